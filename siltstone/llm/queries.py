@@ -3,18 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_templates
+from .bpe import encode_decode
+from .exact_dedup import exact_duplicates
+from .line_templates import drop_templates
 from .ngram_join import near_duplicates
+from .packing import pack
+from .sharding import assign
+from .substring_dedup import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), k=5, num=75, den=100)
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign(_documents(spark, sf_dir), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), window=35).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_documents(spark, sf_dir), keep="largest")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), longest=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_templates(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_sharding": op2_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_packing": op7_packing,
+    "op10_line_dedup": op10_line_dedup,
+}
+
+_EXACT = """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": _EXACT,
+    "op10_line_dedup": line_templates.oracle(),
+}

@@ -164,3 +164,27 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
     two = mix(values + np.uint64(0x0123456789ABCDEF)).sum(dtype=np.uint64)
     pair = mix(np.array([one + np.uint64(len(values)), two], np.uint64)).view(np.int64)
     return int(pair[0]), int(pair[1])
+
+
+def text_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """An Arrow string column over UTF-8 bytes."""
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
+def joined_words(words: Words, keep: np.ndarray) -> pa.Array:
+    """For each row, its kept words joined by one space."""
+    start, end = words.start[keep], words.end[keep]
+    of_row = np.concatenate(([0], np.cumsum(keep)))[words.of_row]
+    size = end - start + 1
+    to = np.cumsum(size) - size
+    total = int(size.sum())
+    source = np.repeat(start - to, size) + np.arange(total)
+    out = words.data[np.minimum(source, max(0, len(words.data) - 1))] if total else np.zeros(0, np.uint8)
+    out[to + size - 1] = 0x20
+    edge = np.append(to, total)[of_row]
+    full = np.flatnonzero(edge[1:] > edge[:-1])
+    stay = np.ones(total, bool)
+    stay[edge[full + 1] - 1] = False
+    dropped = np.zeros(len(edge), np.int64)
+    dropped[full + 1] = 1
+    return text_array(out[stay], edge - np.cumsum(dropped))
