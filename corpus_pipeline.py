@@ -1,19 +1,75 @@
-"""The corpus pipeline: five operators of siltstone.llm applied to `documents`, one after the other."""
+"""The corpus pipeline: five operators of siltstone.llm applied to `documents`, one after the other.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept;
+all but the last return the columns of documents, with n_chars as the text's length.
+Rows with a null id cannot be told apart, so the near-duplicate stage keeps them all;
+of rows that repeat an id it keeps one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import toxicity
+from siltstone.llm.common import written
+from siltstone.llm.line_templates import drop_templates
+from siltstone.llm.ngram_join import near_duplicates
+from siltstone.llm.packing import pack
+from siltstone.llm.queries import tokenizer_file
+from siltstone.llm.substring_dedup import remove_repeats
+
+
+def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, n_chars recounted."""
+    count = F.length("text").cast("long")
+    return changed.select(*[count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents predicted toxic go."""
+    grammar, weights = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, grammar, weights).where("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: recurring line templates keep their first line only."""
+    return _like(drop_templates(docs), docs)
 
-STAGES: list = []
 
-#: Hash digests, learned scores and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: of each group of linked documents the one with the smallest id stays."""
+    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.union(docs.where("doc_id is null"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: words inside repeated 35-word windows go."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return _like(remove_repeats(docs, carry=rest), docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one row for each piece, its token ids included."""
+    packed = pack(docs, tokenizer_file("byte_bpe_50k.json"), longest=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("substring_dedup", drop_repeats),
+    ("packing", pack_tokens),
+]
+
+#: A learned score, shingle hashes and a tokenizer are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each stage's table is written to the shared folder and read again."""
-    from siltstone.llm.common import written
-
+    """Apply STAGES to documents; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates
+from . import line_templates, toxicity, url_filter
 from .bpe import encode_decode
 from .exact_dedup import exact_duplicates
 from .line_templates import drop_templates
+from .media import store_texts
 from .ngram_join import near_duplicates
 from .packing import pack
 from .sharding import assign
@@ -48,11 +49,30 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir), keep="largest")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    grammar, weights = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), grammar, weights)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), longest=2048, end_id=1)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_texts(_documents(spark, sf_dir), row_bytes=576)
+    return stored.select(
+        "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pixels, -32, 32)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -63,7 +83,10 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_media": op8_media,
+    "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
