@@ -16,8 +16,8 @@ each shingle.  A pair links when its Jaccard similarity is at least
 4. *Product.*  First each row is multiplied with one leader row in each of its
    first columns, then with one row of every component that meets it; links found
    become components.  Then the blocks multiply all remaining entries between
-   different components, add up overlap counts over the blocks, and discard pairs
-   whose count plus what the suffixes could add is below the bound.
+   different components where enough columns follow, and overlap counts on the
+   prefixes discard pairs that the suffixes could not lift to the bound.
 5. *Check.*  Pairs left are compared on their whole sets.  Pairs inside one
    component are never multiplied: they cannot change a component.
 
@@ -219,44 +219,48 @@ def _sizes_fit(num: int, den: int):
 
 
 def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
-    """Pairs of different components in entries(col, node, n, label), with counts, less those below the bound."""
+    """Pairs (a, b) of different components in entries(col, node, n, rank, label) that can reach the bound.
+
+    The first column that a linked pair shares, at ranks i and j, leaves enough
+    columns on both sides: n - i and m - j are at least num * (n + m) / (num + den).
+    Only such products are formed; then overlaps on the whole prefixes are counted
+    and pairs that the suffixes cannot lift to the bound are discarded.
+    """
     def multiply(table: pa.Table) -> pa.Table:
-        columns, nodes, n, label = (table[c].to_numpy() for c in ("col", "node", "n", "label"))
+        columns, nodes, n, rank, label = (table[c].to_numpy() for c in ("col", "node", "n", "rank", "label"))
         order = np.lexsort((nodes, n, columns))
-        columns, nodes, n, label = columns[order], nodes[order], n[order], label[order]
+        columns, nodes, n, rank, label = columns[order], nodes[order], n[order], rank[order], label[order]
         # the rows after row i of the same column, up to the largest size that can link with it
         start = np.flatnonzero(np.concatenate(([True], columns[1:] != columns[:-1])))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(columns))))
         wide = np.int64(n.max()) * den // num + 2 if len(n) else 1
-        place = group * wide + n
-        reach = np.searchsorted(place, group * wide + n * den // num, "right")
-        out, at = [], 0
-        spans = reach - np.arange(len(n)) - 1
+        reach = np.searchsorted(group * wide + n, group * wide + n * den // num, "right")
+        spans = np.where((n - rank) * (num + den) >= num * 2 * n, reach - np.arange(len(n)) - 1, 0)
         ends = np.cumsum(spans)
+        out, at = [], 0
         while at < len(n):
-            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (4 << 20), "right")))
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20), "right")))
             span = spans[at:last]
             left = np.repeat(np.arange(at, last), span)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(span) - span, span)
-            keep = label[left] != label[right]
-            left, right = left[keep], right[keep]
-            a, b = np.minimum(nodes[left], nodes[right]), np.maximum(nodes[left], nodes[right])
-            pick = np.lexsort((b, a))
-            a, b, m = a[pick], b[pick], np.minimum(n[left], n[right])[pick] * (1 << 31) + np.maximum(n[left], n[right])[pick]
-            if len(a):
-                first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                out.append((a[first], b[first], m[first], np.diff(np.append(first, len(a)))))
+            least = num * (n[left] + n[right])
+            keep = (label[left] != label[right]) & ((n[left] - rank[left]) * (num + den) >= least) & ((n[right] - rank[right]) * (num + den) >= least)
+            pairs = np.unique(np.stack([nodes[left[keep]], nodes[right[keep]], n[left[keep]], n[right[keep]]], axis=1), axis=0)
+            if len(pairs):
+                out.append(pairs)
             at = last
-        joined = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-        return pa.table([pa.array(x.astype(np.int64)) for x in joined], names=["a", "b", "m", "c"])
-
-    counts = (entries.withColumn("block", F.pmod(F.xxhash64("col"), F.lit(blocks)))
-              .groupBy("block").applyInArrow(multiply, "a long, b long, m long, c long")
-              .groupBy("a", "b").agg(F.first("m").alias("m"), F.sum("c").alias("c")))
-    small, large = F.shiftright("m", 31), F.col("m").bitwiseAND((1 << 31) - 1)
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
+        return pa.table([pa.array(np.ascontiguousarray(found[:, i])) for i in range(4)], names=["a", "b", "na", "nb"])
+
+    pairs = (entries.withColumn("block", F.pmod(F.xxhash64("col"), F.lit(blocks)))
+             .groupBy("block").applyInArrow(multiply, "a long, b long, na long, nb long").distinct())
+    pairs = written(pairs, "product")
+    prefixes = entries.groupBy("node").agg(F.collect_list("col").alias("cols"))  # at most a prefix
+    counted = (pairs.join(prefixes.withColumnsRenamed({"node": "a", "cols": "x"}), "a").join(prefixes.withColumnsRenamed({"node": "b", "cols": "y"}), "b")
+               .withColumn("c", F.size(F.array_intersect("x", "y"))))
     # beyond what the prefixes share, the larger suffix can add ceil(n * num / den) - 1 columns
-    most = F.col("c") + F.floor((large * num + den - 1) / den) - 1
-    return counts.where(most * (num + den) >= num * (small + large)).select("a", "b")
+    most = F.col("c") + F.floor((F.greatest("na", "nb") * num + den - 1) / den) - 1
+    return counted.where(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -287,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def labelled():
         known = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
         open_ = known.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("col")
-        return known.join(open_, "col", "left_semi").select("col", "node", "n", "label")
+        return known.join(open_, "col", "left_semi").select("col", "node", "n", "rank", "label")
 
     # one row of every component that meets a column
     open_entries = written(labelled(), "open")
