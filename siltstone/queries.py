@@ -739,3 +739,97 @@ def tumbling(spark, d):
 
 
 ORACLE_SQL["t_tumbling"] = ORACLE_SQL["t_tumbling"].replace("sum(value)", "round(sum(value), 4)")
+
+
+# ---------------------------------------------------------------- sources of our own: rows only, tests hold the expected rows
+@query("t_php_taint")
+def php_taint(spark, d):
+    from . import fixtures
+    from .plans import taint
+
+    return taint.scan(fixtures.files(spark, fixtures.PHP), "php").select("path", "line", "svid", "rule_name", "level", "sink", "verdict", "reason", F.to_json("chain").alias("chain"))
+
+
+@query("j_js_taint")
+def js_taint(spark, d):
+    from . import fixtures
+    from .plans import taint
+
+    return taint.scan(fixtures.files(spark, fixtures.JS), "javascript").select("path", "line", "svid", "rule_name", "level", "sink", "verdict", "reason", F.to_json("chain").alias("chain"))
+
+
+@query("c10_chains")
+def chain_mining(spark, d):
+    from . import fixtures
+    from .plans import codedb
+    from .plans.parse import records
+
+    return codedb.chains(joins.written_round(records(fixtures.files(spark, fixtures.CHAIN), "php")))
+
+
+@query("c01_code_database")
+def code_database(spark, d):
+    from . import fixtures
+    from .plans import codedb
+    from .plans.parse import records
+
+    return codedb.dataflow(records(fixtures.files(spark, fixtures.CHAIN | fixtures.PHP), "php"))
+
+
+@query("f01_entrances")
+def entrances(spark, d):
+    from . import fixtures
+    from .plans.parse import of, records
+
+    nodes = of(records(fixtures.files(spark, fixtures.CHAIN | fixtures.PHP), "php"), "node").select("path", "kind", F.col("pos").alias("depth"))
+    return corpus.entrances(nodes, limit=-100)
+
+
+@query("s14_script_records")
+def script_records(spark, d):
+    """All scripts of all pages, read into records and counted."""
+    from .plans.parse import records
+
+    scripts = corpus.script_parts(table(spark, d, "pages"), "page_id", "html").where("body <> ''")
+    rows = records(scripts.select(F.concat_ws("#", F.col("id").cast("string"), F.col("pos").cast("string")).alias("path"), F.col("body").alias("content")), "javascript")
+    return rows.groupBy("rec", "kind").agg(F.count("*").alias("n"))
+
+
+@query("v02_manifests")
+def all_manifests(spark, d):
+    from . import fixtures
+    from .sources import manifests
+
+    return manifests.dependencies(fixtures.files(spark, fixtures.MANIFESTS))
+
+
+@query("v01_manifest_files")
+def manifest_files(spark, d):
+    from . import fixtures
+    from .sources import manifests
+
+    return manifests.manifests(fixtures.files(spark, fixtures.MANIFESTS)).select("path", "language")
+
+
+@query("m07_address_zero")
+def address_zero(spark, d):
+    from . import fixtures
+
+    r = catalog.rule(2100)
+    return matching.names_not_guarded(fixtures.files(spark, fixtures.SOLIDITY), r["match_name"], r["match"], [u.replace("=padding=\\s!=", "=padding=\\s*!=") for u in r["unmatch"]], r["black_list"])
+
+
+@query("m06_function_calls")
+def function_calls(spark, d):
+    from . import fixtures
+
+    found = fixtures.files(spark, fixtures.PHP)
+    return matching.function_calls(found, catalog.rule(1011)["match"][0], "php")
+
+
+@query("m01_base_rules")
+def base_rules(spark, d):
+    """The only-regex rules for all languages, over all files."""
+    rules = [r for r in catalog.rule_rows() if r["match_mode"] == catalog.REGEX and r["status"] and r["language"] == "base"]
+    f = files(spark, d).select("path", "content")
+    return reduce(DataFrame.unionByName, [matching.match_and_not(f, r["match"], r["unmatch"]).withColumn("svid", F.lit(r["svid"])) for r in rules])

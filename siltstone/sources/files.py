@@ -24,7 +24,7 @@ def read_tree(spark: SparkSession, root: str, most_bytes: int | None = None) ->
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if most_bytes is not None:
         raw = raw.where(F.col("length") <= most_bytes)
-    return raw.select("path", extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+    return raw.select("path", extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def unzip(archives: DataFrame, most_members: int = 100_000, most_bytes: int = 1 << 28) -> DataFrame:

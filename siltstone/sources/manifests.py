@@ -48,7 +48,7 @@ def go_mod(files: DataFrame) -> DataFrame:
     singles = F.regexp_extract_all(text, F.lit(r"(?m)^\s*require\s+([^\s(]+\s+\S+)"), F.lit(1))
     lines = F.filter(F.flatten(F.array(F.flatten(F.transform(block, lambda b: F.split(b, "\n"))), singles)), lambda x: F.trim(x) != "")
     rows = _named(files, "go.mod").select("path", F.regexp_extract(text, r"(?m)^\s*go\s+(\S+)", 1).alias("go"), F.explode(lines).alias("line"))
-    parts = F.split(F.trim("line"), r"\s+")
+    parts = F.split(F.btrim("line", F.lit(" \t\r")), r"\s+")
     return rows.select(*_row("golang", F.get(parts, 0), F.get(parts, 1), F.col("go")))
 
 
