@@ -48,14 +48,14 @@ def short_file(path: Column) -> Column:
 
 
 def short_path(path: Column, most: int = 36) -> Column:
-    """The path if it is short enough, else its first part, `...`, and as many last parts as fit."""
+    """A path of `most` characters or more as its first parts, `...`, and as many last parts; as many of each as fit."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    head = F.concat(F.lit("/"), F.element_at(parts, 1), F.lit("/..."))
-    room = F.lit(most) - F.length(head)
-    tail = F.aggregate(F.reverse(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))), F.struct(F.lit("").alias("text"), F.lit(True).alias("open")),
-                       lambda a, x: F.struct(F.when(a["open"] & (F.length(a["text"]) + F.length(x) + 1 <= room), F.concat(F.lit("/"), x, a["text"])).otherwise(a["text"]).alias("text"),
-                                             (a["open"] & (F.length(a["text"]) + F.length(x) + 1 <= room)).alias("open")))["text"]
-    return F.when((F.length(path) <= most) | (F.size(parts) < 2), path).otherwise(F.concat(head, tail))
+    n = F.size(parts)
+    fits = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("used"), F.lit(0).alias("pairs")),
+                       lambda a, i: F.struct((a["used"] + F.length(F.get(parts, i)) + F.length(F.get(parts, n - 1 - i)) + 1).alias("used"),
+                                             (a["pairs"] + (a["used"] + F.length(F.get(parts, i)) + F.length(F.get(parts, n - 1 - i)) + 1 <= most).cast("int")).alias("pairs")))["pairs"]
+    short = F.array_join(F.concat(F.slice(parts, F.lit(1), fits), F.array(F.lit("...")), F.slice(parts, F.greatest(n - fits + 1, F.lit(1)), fits)), "/")
+    return F.when(F.length(path) < most, path).when(fits == 0, F.concat(F.lit(".../"), F.element_at(parts, -1))).otherwise(short)
 
 
 def gmt_timestamp(text: Column) -> Column:

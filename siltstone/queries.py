@@ -833,3 +833,141 @@ def base_rules(spark, d):
     rules = [r for r in catalog.rule_rows() if r["match_mode"] == catalog.REGEX and r["status"] and r["language"] == "base"]
     f = files(spark, d).select("path", "content")
     return reduce(DataFrame.unionByName, [matching.match_and_not(f, r["match"], r["unmatch"]).withColumn("svid", F.lit(r["svid"])) for r in rules])
+
+
+@query("x05_short_path", FILES + "SELECT path, CASE WHEN length(path) < 12 THEN path ELSE '.../' || string_split(path, '/')[-1] END AS t FROM v_files WHERE length(path) < 12 OR length(string_split(path, '/')[2]) + length(string_split(path, '/')[-1]) + 1 > 12")
+def x05(spark, d):
+    parts = F.split("path", "/")
+    f = files(spark, d).where((F.length("path") < 12) | (F.length(F.get(parts, 1)) + F.length(F.element_at(parts, -1)) + 1 > 12))
+    return f.select("path", X.short_path(F.col("path"), 12).alias("t"))
+
+
+@query("x22_block_names", "SELECT * FROM " + values([(0, "match"), (1, "match-name"), (2, "black-list"), (3, "keyword"), (4, "unmatch"), (5, "vul-function")], "index, name"))
+def x22(spark, d):
+    return spark.createDataFrame(list(enumerate(("match", "match-name", "black-list", "keyword", "unmatch", "vul-function"))), "index long, name string")
+
+
+@query("p10_comments", FILES + r"SELECT path, regexp_replace(content, '//[^\n]*', '', 'g') AS t FROM v_files WHERE NOT regexp_matches(content, '[\x22\x27]') AND NOT contains(content, '/*')")
+def p10(spark, d):
+    from .functions.extractors import strip_comments
+
+    return files(spark, d).where(~F.col("content").rlike("[\"']") & ~F.contains("content", F.lit("/*"))).select("path", strip_comments(F.col("content")).alias("t"))
+
+
+@query("ud2_variables", r"SELECT doc_id, array_to_string(regexp_extract_all(t, '\$\w+'), ',') AS vars FROM (SELECT doc_id, 'echo $' || lang || ' . $x_' || source || ';' AS t FROM documents)")
+def ud2(spark, d):
+    from .functions.extractors import variables
+
+    text = F.concat(F.lit("echo $"), F.col("lang"), F.lit(" . $x_"), F.col("source"), F.lit(";"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(variables(text), ",").alias("vars"))
+
+
+@query("ud3_sql_variables", "SELECT doc_id, '$' || lang || ',$' || source AS vars FROM documents")
+def ud3(spark, d):
+    from .functions.extractors import sql_variables
+
+    text = F.concat(F.lit('if ($z) { $q = "select * from t where a = $'), F.col("lang"), F.lit(" and b = '\" . $"), F.col("source"), F.lit(" . \"';\"; $later = 1;"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(sql_variables(text), ",").alias("vars"))
+
+
+@query("ud5_attributes", "SELECT doc_id, lang || '.value,' || source AS names FROM documents")
+def ud5(spark, d):
+    from .functions.extractors import attribute_tokens
+
+    return table(spark, d, "documents").select("doc_id", F.array_join(attribute_tokens(F.concat("lang", F.lit(".value + "), "source")), ",").alias("names"))
+
+
+@query("r07_project_vendors", using("v_project_vendors", "v_project") + "SELECT p.project_name, count(*) AS n FROM v_project_vendors v JOIN v_project p ON v.project_id = p.id GROUP BY p.project_name")
+def r07(spark, d):
+    per = view(spark, d, "v_project_vendors").groupBy("project_id").agg(F.count("*").alias("n"))
+    p = view(spark, d, "v_project").withColumnRenamed("id", "project_id")
+    return per.join(p, "project_id").select("project_name", "n")
+
+
+@query("r16_locate_prefix", FILES + "SELECT a.path, b.dir FROM v_files a JOIN (SELECT DISTINCT regexp_extract(path, '^/[^/]*/[^/]*/', 0) AS dir FROM v_files) b ON starts_with(a.path, b.dir)")
+def r16(spark, d):
+    f = files(spark, d).select("path", F.regexp_extract("path", r"^/[^/]*/[^/]*/", 0).alias("dir"))
+    return f.join(f.select("dir").distinct(), "dir").select("path", "dir")  # containment as equality on the prefix column
+
+
+@query("v15_active_sources", using("v_project_vendors") + f", {_ANSWERS} SELECT source, count(*) AS n FROM a WHERE source IN ('osv', 'murphysec') GROUP BY source")
+def v15(spark, d):
+    some = F.when(F.length("version") % 2 == 0, F.array(F.lit("ossindex"), F.lit("murphysec"))).otherwise(F.array(F.lit("osv"), F.lit("depsdev"), F.lit("other")))
+    answers = view(spark, d, "v_project_vendors").select("language", "name", "version").distinct().withColumn("source", F.explode(some))
+    active = spark.createDataFrame([("osv",), ("murphysec",)], "source string")
+    return answers.join(F.broadcast(active), "source", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("v16_known_packages", using("v_project_vendors") + "SELECT DISTINCT language, name FROM v_project_vendors WHERE language <> 'java'")
+def v16(spark, d):
+    return view(spark, d, "v_project_vendors").where("language <> 'java' and version <> 'unknown'").select("language", "name").distinct()
+
+
+@query("a10_max_id", using("v_scan_result") + "SELECT id, max(id) AS max_id FROM v_scan_result GROUP BY id")
+def a10(spark, d):
+    return view(spark, d, "v_scan_result").groupBy("id").agg(F.max("id").alias("max_id"))
+
+
+@query("o01_sorts", using("v_scan_result") + "SELECT cvi_id, count(*) AS total FROM v_scan_result GROUP BY cvi_id")
+def o01(spark, d):
+    return view(spark, d, "v_scan_result").groupBy("cvi_id").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "cvi_id")
+
+
+@query("w01_running_block", FILES + ", l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, unnest(range(len(string_split(content, chr(10))))) AS pos FROM v_files) SELECT path, pos::int AS pos, sum(CASE WHEN contains(t, 'the') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING)::bigint AS open FROM l")
+def w01(spark, d):
+    from pyspark.sql import Window
+
+    lines = files(spark, d).select("path", F.posexplode(F.split("content", "\n")).alias("pos", "t"))
+    order = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.select("path", "pos", F.sum(F.contains("t", F.lit("the")).cast("int")).over(order).alias("open"))
+
+
+@query("k07_flow_context", "SELECT doc_id, array_to_string(list_transform(range(1, least(8, len(string_split(text, chr(10)))) + 1), lambda i: printf('%4d: %s', i, string_split(text, chr(10))[i])), chr(10)) AS context FROM documents WHERE len(string_split(text, chr(10))) >= 2")
+def k07(spark, d):
+    f = files(spark, d)
+    steps = f.where(F.size(F.split("content", "\n")) >= 2).select("path", F.lit(2).alias("line"))
+    ids = f.select("path", F.col("file_id").alias("doc_id"))
+    return reporting.flow_context(steps, f.select("path", "content")).join(ids, "path").select("doc_id", "context")
+
+
+@query("q06_vendor_vulns", using("v_vendor_vulns") + "SELECT id, vuln_id, vendor_name FROM v_vendor_vulns ORDER BY id DESC LIMIT 100")
+def q06(spark, d):
+    return view(spark, d, "v_vendor_vulns").orderBy(F.desc("id")).limit(100).select("id", "vuln_id", "vendor_name")
+
+
+@query("q12_show_rules", f"SELECT language, count(*) AS rules FROM {_RULES} GROUP BY language")
+def q12(spark, d):
+    return catalog.rules(spark).groupBy("language").agg(F.count("*").alias("rules"))
+
+
+@query("q13_report", using("v_scan_result", "v_result_flow") + f""", r AS (SELECT * FROM {_RULES}), f AS (SELECT vul_id, count(*) AS steps FROM v_result_flow GROUP BY vul_id)
+SELECT s.id, coalesce(r.rule_name, 'Unknown Rule') AS rule_name, coalesce(f.steps, 0)::int AS steps FROM v_scan_result s LEFT JOIN r ON s.cvi_id = CAST(r.svid AS STRING) LEFT JOIN f ON f.vul_id = s.id WHERE s.is_active""")
+def q13(spark, d):
+    named = reporting.with_rules(view(spark, d, "v_scan_result").where("is_active"), catalog.rules(spark))
+    return reporting.with_flow(named, view(spark, d, "v_result_flow")).select("id", "rule_name", F.coalesce(F.size("chain"), F.lit(0)).alias("steps"))
+
+
+@query("z03_rule_edit", f"SELECT svid::int AS svid, CASE WHEN svid = 1000 THEN 9 ELSE level END::int AS level FROM {_RULES}")
+def z03(spark, d):
+    return catalog.rules(spark).select("svid", F.when(F.col("svid") == 1000, 9).otherwise(F.col("level")).alias("level"))
+
+
+@query("z11_unknown_rules", "SELECT 77 AS svid")
+def z11(spark, d):
+    return spark.createDataFrame([(77,), (1000,)], "svid int").join(catalog.rules(spark), "svid", "left_anti")
+
+
+@query("z15_black_words", FILES + "SELECT path FROM v_files WHERE NOT contains(content, 'idiot') AND NOT contains(content, 'scum')")
+def z15(spark, d):
+    words = F.split(F.lit("idiot,scum"), ",")
+    return files(spark, d).where(~F.exists(words, lambda w: F.contains(F.col("content"), w))).select("path")
+
+
+@query("scan_fixture_tree")
+def scan_fixtures(spark, d):
+    from . import fixtures
+    from .plans.scan import scan
+
+    tree = fixtures.files(spark, fixtures.PHP | fixtures.JS | fixtures.SOLIDITY | fixtures.MANIFESTS | {"/app/config.php": "<?php $password = 'hunter22xyz';"})
+    advisories = spark.createDataFrame([("Django", "3.2.1", "ADV-1")], "name string, version string, vuln_id string")
+    return scan(tree, advisories=advisories).withColumn("chain", F.to_json("chain"))

@@ -233,3 +233,36 @@ def test_flow_context_and_page(spark):
     rows = spark.range(10)
     assert [r.id for r in reporting.page(rows, ["id"], 2, 4).collect()] == [4, 5, 6, 7]
     assert [r.id for r in reporting.page(rows, ["id"], 9, 4, total=10).collect()] == [0, 1, 2, 3]
+
+
+def test_extractors(spark):
+    from siltstone.functions import extractors
+
+    assert extractors.sql_slice("$q = \"SELECT a FROM t WHERE s = '$size' ORDER BY $order LIMIT $limit, $offset;\";") == ["$size", "$order", "$limit", "$offset"]
+    assert extractors.sql_slice("{$plan = $odb -> query(\"SELECT x WHERE id = '$id'\") -> f(0);} else {$plan='No';}") == ["$id"]
+    assert extractors.sql_slice("{$plan = $odb -> query(\"SELECT x WHERE id = '$id'\") -> f(0)} else {$plan='No';}") == ["$id"]
+    assert extractors.sql_slice('$sql = "SELECT a WHERE 1=1 " . $where . " ORDER BY " . $order . ";";') == ["$where", "$order"]
+    assert extractors.sql_slice(None) == [] and extractors.sql_slice("no") == []
+    assert one(spark, extractors.html_tokens(F.lit(".innerHTML = a.b + 'x' + c"), "innerHTML")) == ["a.b", "c"]
+    assert one(spark, extractors.html_tokens(F.lit("x"), "innerHTML")) == ["innerHTML"]
+    assert one(spark, extractors.strip_comments(F.lit("a // b\n\"//s\" /* x\ny */ c"))) == "a \n\"//s\" \n c"
+    assert one(spark, extractors.pretty_script(F.lit("if(a){b=';';c()}"))) == "if(a){\nb=';';\nc()}"
+
+
+def test_short_path(spark):
+    path = "/impl/src/main/java/com/x/service/mgs/digitalcert/utils/CertUtil.java"
+    assert one(spark, X.short_path(F.lit(path))) == "impl/src/.../utils/CertUtil.java"
+    assert one(spark, X.short_path(F.lit("/averyveryverylongdirectoryname/averyveryverylongfilename.php"))) == ".../averyveryverylongfilename.php"
+
+
+def test_scan_end_to_end(spark, tmp_path):
+    from siltstone import cli
+
+    (tmp_path / "a.php").write_text("<?php\nsystem($_GET['x']);\n")
+    (tmp_path / "config.php").write_text("<?php $password = 'hunter22xyz';")
+    (tmp_path / "jquery.js").write_text("eval(location.hash)")
+    (tmp_path / "p.html").write_text("<script>document.write(location.hash)</script>")
+    got = {(r.svid, r.target.rsplit("/", 1)[-1]) for r in cli.run(spark, ["scan", str(tmp_path)]).collect()}
+    assert {(1011, "a.php:2"), (5003, "config.php:0"), (5001, "config.php:1"), (3002, "p.html#0:1")} <= got
+    assert not any("jquery" in t for _, t in got)
+    assert cli.run(spark, ["show", "rule", "-k", "php"]).count() == 18
