@@ -320,9 +320,9 @@ def r06(spark, d):
     return view(spark, d, "v_scan_task").join(p, F.col("project_id") == F.col("pid")).select("id", "project_name", "task_name")
 
 
-@query("r08_vendor_vulns", using("v_project_vendors", "v_vendor_vulns") + "SELECT DISTINCT v.vuln_id, v.severity FROM v_vendor_vulns v JOIN (SELECT DISTINCT lower(name) AS k FROM v_project_vendors WHERE project_id % 3 = 0) d ON lower(v.vendor_name) = d.k")
+@query("r08_vendor_vulns", using("v_project_vendors", "v_vendor_vulns") + "SELECT DISTINCT v.vuln_id, v.severity FROM v_vendor_vulns v JOIN (SELECT DISTINCT lower(name) AS k FROM v_project_vendors) d ON lower(v.vendor_name) = d.k")
 def r08(spark, d):
-    names = view(spark, d, "v_project_vendors").where("project_id % 3 = 0").select(F.lower("name").alias("k")).distinct()
+    names = view(spark, d, "v_project_vendors").select(F.lower("name").alias("k")).distinct()
     v = view(spark, d, "v_vendor_vulns")
     return v.join(names, F.lower(v["vendor_name"]) == names["k"], "left_semi").select("vuln_id", "severity").distinct()
 
@@ -368,14 +368,14 @@ def r14(spark, d):
     return joins.asof(uses, defs, ["user_id"]).select(F.col("line").alias("event_id"), "def")
 
 
-_EDGES = "SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS a, CAST(l_partkey % 97 + 1 AS BIGINT) AS b FROM lineitem WHERE l_orderkey % 211 = 0"
+_EDGES = "SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS a, CAST(l_partkey % 97 + 1 AS BIGINT) AS b FROM lineitem"
 
 
-@query("r17_hierarchy", f"""WITH RECURSIVE e AS ({_EDGES}), t(root, node, depth) AS (SELECT DISTINCT a, a, 0 FROM e WHERE a <= 5 UNION SELECT t.root, e.b, t.depth + 1 FROM t JOIN e ON t.node = e.a WHERE t.depth < 3)
+@query("r17_hierarchy", f"""WITH RECURSIVE e AS ({_EDGES}), t(root, node, depth) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT t.root, e.b, t.depth + 1 FROM t JOIN e ON t.node = e.a WHERE t.depth < 3)
 SELECT root, node, min(depth)::int AS depth FROM t GROUP BY root, node""")
 def r17(spark, d):
-    edges = table(spark, d, "lineitem").where("l_orderkey % 211 = 0").select(F.col("l_suppkey").cast("long").alias("a"), (F.col("l_partkey") % 97 + 1).cast("long").alias("b")).distinct()
-    return joins.hierarchy(edges, edges.where("a <= 5").select(F.col("a").alias("root")).distinct(), depth=3)
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("a"), (F.col("l_partkey") % 97 + 1).cast("long").alias("b")).distinct()
+    return joins.hierarchy(edges, edges.select(F.col("a").alias("root")).distinct(), depth=3)
 
 
 @query("u01_vendor_upsert", using("v_project_vendors") + """, s AS (SELECT project_id, name, language, min(version) AS version, '' AS source FROM v_project_vendors WHERE language = 'java' GROUP BY project_id, name, language),
@@ -404,13 +404,13 @@ def u03(spark, d):
     return view(spark, d, "v_scan_task").where("is_finished = 1").groupBy("project_id").agg(F.max("id").alias("id"))
 
 
-_HASHED = """, h AS (SELECT *, CASE WHEN cvi_id LIKE '5%' THEN regexp_replace(vulfile_path, ':[0-9]+$', '') ELSE vulfile_path END AS p FROM v_scan_result), k AS (SELECT id, md5(concat_ws(',', CAST(scan_project_id AS STRING), cvi_id, 'php', p, source_code)) AS vul_hash FROM h)"""
+_HASHED = """, h AS (SELECT *, CASE WHEN cvi_id LIKE '5%' THEN regexp_replace(vulfile_path, ':[0-9]+$', '') ELSE vulfile_path END AS p FROM v_scan_result), k AS (SELECT id, is_active, md5(concat_ws(',', CAST(scan_project_id AS STRING), cvi_id, 'php', p, source_code)) AS vul_hash FROM h)"""
 
 
-@query("u04_finding_upsert", using("v_scan_result") + _HASHED + " SELECT min(id) AS id, vul_hash FROM k WHERE vul_hash NOT IN (SELECT vul_hash FROM k WHERE id % 2 = 0) GROUP BY vul_hash")
+@query("u04_finding_upsert", using("v_scan_result") + _HASHED + " SELECT min(id) AS id, vul_hash FROM k WHERE vul_hash NOT IN (SELECT vul_hash FROM k WHERE is_active) GROUP BY vul_hash")
 def u04(spark, d):
     r = reporting.finding_hash(view(spark, d, "v_scan_result").withColumn("language", F.lit("php")))
-    return reporting.finding_upsert(r.where("id % 2 = 0"), r)[1].select("id", "vul_hash")
+    return reporting.finding_upsert(r.where("is_active"), r)[1].select("id", "vul_hash")
 
 
 @query("u05_purge", using("v_scan_result") + _HASHED + " SELECT min(id) AS id, vul_hash FROM k GROUP BY vul_hash")
@@ -701,9 +701,9 @@ def q02(spark, d):
     return r.join(done, r["scan_project_id"] == done["project_id"], "left_semi").select("id", "cvi_id")
 
 
-@query("q03_result_flow", using("v_result_flow") + "SELECT vul_id, seq, node_type, node_content FROM v_result_flow WHERE vul_id BETWEEN 10 AND 60")
+@query("q03_result_flow", using("v_result_flow") + "SELECT vul_id, seq, node_type, node_content FROM v_result_flow")
 def q03(spark, d):
-    return view(spark, d, "v_result_flow").where("vul_id between 10 and 60").select("vul_id", "seq", "node_type", "node_content")
+    return view(spark, d, "v_result_flow").select("vul_id", "seq", "node_type", "node_content")
 
 
 @query("q04_task_vendors", using("v_scan_task", "v_project_vendors") + "SELECT DISTINCT v.project_id, v.name, v.version FROM v_project_vendors v JOIN v_scan_task t ON v.project_id = t.project_id WHERE t.is_finished = 0")
@@ -835,11 +835,10 @@ def base_rules(spark, d):
     return reduce(DataFrame.unionByName, [matching.match_and_not(f, r["match"], r["unmatch"]).withColumn("svid", F.lit(r["svid"])) for r in rules])
 
 
-@query("x05_short_path", FILES + "SELECT path, CASE WHEN length(path) < 12 THEN path ELSE '.../' || string_split(path, '/')[-1] END AS t FROM v_files WHERE length(path) < 12 OR length(string_split(path, '/')[2]) + length(string_split(path, '/')[-1]) + 1 > 12")
+@query("x05_short_path", FILES + """, p AS (SELECT path, string_split(path, '/') AS p FROM v_files), t AS (SELECT path, p, length(p[2]) + length(p[4]) + 1 AS t0, length(p[2]) + length(p[4]) + 2 * length(p[3]) + 2 AS t1 FROM p)
+SELECT path, CASE WHEN length(path) < 14 THEN path WHEN t0 > 14 THEN '.../' || p[4] WHEN t1 > 14 THEN p[2] || '/.../' || p[4] ELSE p[2] || '/' || p[3] || '/.../' || p[3] || '/' || p[4] END AS t FROM t""")
 def x05(spark, d):
-    parts = F.split("path", "/")
-    f = files(spark, d).where((F.length("path") < 12) | (F.length(F.get(parts, 1)) + F.length(F.element_at(parts, -1)) + 1 > 12))
-    return f.select("path", X.short_path(F.col("path"), 12).alias("t"))
+    return files(spark, d).select("path", X.short_path(F.col("path"), 14).alias("t"))
 
 
 @query("x22_block_names", "SELECT * FROM " + values([(0, "match"), (1, "match-name"), (2, "black-list"), (3, "keyword"), (4, "unmatch"), (5, "vul-function")], "index, name"))
@@ -847,11 +846,11 @@ def x22(spark, d):
     return spark.createDataFrame(list(enumerate(("match", "match-name", "black-list", "keyword", "unmatch", "vul-function"))), "index long, name string")
 
 
-@query("p10_comments", FILES + r"SELECT path, regexp_replace(content, '//[^\n]*', '', 'g') AS t FROM v_files WHERE NOT regexp_matches(content, '[\x22\x27]') AND NOT contains(content, '/*')")
+@query("p10_comments", FILES + r"""SELECT path, regexp_replace(content, '("(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*'')|//[^\n]*|/\*[^\n]*?\*/', '\1', 'g') AS t FROM v_files""")
 def p10(spark, d):
     from .functions.extractors import strip_comments
 
-    return files(spark, d).where(~F.col("content").rlike("[\"']") & ~F.contains("content", F.lit("/*"))).select("path", strip_comments(F.col("content")).alias("t"))
+    return files(spark, d).select("path", strip_comments(F.col("content")).alias("t"))
 
 
 @query("ud2_variables", r"SELECT doc_id, array_to_string(regexp_extract_all(t, '\$\w+'), ',') AS vars FROM (SELECT doc_id, 'echo $' || lang || ' . $x_' || source || ';' AS t FROM documents)")
