@@ -15,8 +15,9 @@ copies of a text count once).  Of a recurring template only the first line stays
 Lines of fewer than `min_tokens` tokens are never dropped.
 
 Counts are taken over all lines with partial aggregation, so a line that a third of
-all rows share shuffles as one partial count a task; only lines of leaves with
-enough texts go on, as a table in the shared folder.  Null texts have no lines and
+all rows share shuffles as one partial count a task.  Only lines of leaves with
+enough texts go on: a bitmap of fixed size lets them pass in a second scan, an exact
+join drops what it let through by chance, and their tokens are written down.  Null texts have no lines and
 come back null; rows that repeat id and text come back alike.  Other columns of
 the input pass through.
 """
@@ -30,27 +31,50 @@ from .common import written
 
 DEPTH = 3
 BLANK = r"[\x09-\x0D\x20]+"
+WORDS = 1 << 16
 
 
-def _tokens(line):
-    parts = F.filter(F.split(line, BLANK), lambda t: t != "")
-    return F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
+def _raw_tokens(line):
+    """The tokens of a line; one empty token for a blank line."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), BLANK)
+
+
+def _masked(tokens):
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
 
 
 def _texts(lines: DataFrame, key: str) -> DataFrame:
     return lines.select(key, "h").distinct().groupBy(key).agg(F.count("*").alias("texts"))
 
 
+def _slot(key):
+    return F.pmod(key, F.lit(WORDS * 64))
+
+
+def _bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """One row with an array of WORDS longs (512 KB at any input size) whose bits mark the keys' slots."""
+    marks = keys.select(_slot(F.col(key)).alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    words = keys.sparkSession.range(WORDS).join(marks, F.col("id") == F.col("i"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+
+
+def _may_hold(bitmap: DataFrame, key):
+    """Whether a key's slot is marked: no key is missed; false hits are for an exact join to drop."""
+    slot = _slot(key)
+    return F.get(bitmap.scalar(), F.floor(slot / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))) != 0
+
+
 def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 16, min_tokens: int = 3) -> DataFrame:
     """The columns of `docs` with the text less its dropped lines, and n_lines, n_dropped (these replace columns of that name)."""
     base = docs.withColumn("h", F.xxhash64(text_column)) if "h" not in docs.columns else docs.withColumnRenamed("h", "h_").withColumn("h", F.xxhash64(text_column))
-    lines = (base.where(F.col(text_column).isNotNull())
-             .select(F.col(id_column).alias("id"), "h", F.posexplode(F.split(text_column, "\n")).alias("pos", "line"))
-             .select("id", "h", "pos", _tokens(F.col("line")).alias("tokens"))
-             .where(F.size("tokens") >= min_tokens)
-             .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))))
-    full = _texts(lines.select("leaf", "h"), "leaf").where(F.col("texts") >= min_docs).select("leaf")
-    lines = written(lines.join(full, "leaf", "left_semi").withColumn("mask", F.xxhash64("tokens")), "lines")
+    # tokens and leaf are made inside the array, so that no filter makes them again
+    split = F.transform(F.split(text_column, "\n"), lambda line, i: F.struct(i.alias("pos"), _raw_tokens(line).alias("raw")))
+    long = F.filter(split, lambda x: (F.size(x["raw"]) >= min_tokens) & (F.get(x["raw"], F.lit(0)) != ""))
+    leaves = F.transform(long, lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), F.xxhash64(F.size(x["raw"]), _masked(F.slice(x["raw"], 1, DEPTH))).alias("leaf")))
+    raw = base.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), "h", F.inline(leaves))
+    full = written(_texts(raw.select("leaf", "h"), "leaf").where(F.col("texts") >= min_docs).select("leaf"), "leaves")
+    some = raw.where(_may_hold(written(_bitmap(full, "leaf"), "bitmap"), F.col("leaf"))).join(full, "leaf", "left_semi")
+    lines = written(some.select("id", "h", "pos", "leaf", _masked(F.col("raw")).alias("tokens")).withColumn("mask", F.xxhash64("tokens")), "lines")
 
     total = lines.groupBy("leaf").agg(F.count("*").alias("total"))
     each = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
