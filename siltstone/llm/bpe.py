@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import block_count, block_of, compress, decompress, pack_sorted, planes, unplanes
+from .common import block_count, block_of, compress, decompress, pack_sorted, planes, small_batches, unplanes
 
 BUNDLE_BYTES = 12 << 20
 
@@ -127,7 +127,7 @@ def _bundles(batches):
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row: id, n_tokens, ids (little-endian unsigned 32-bit), decoded."""
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     blocks = block_count(base, 24 << 20, 12)
 
     def ask(batches):
@@ -148,8 +148,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id
         place: dict[bytes, int] = {}
         asked = [np.fromiter((place.setdefault(w, len(place)) for w in decompress(x.as_py()).split(b" ")), np.int64) for x in table["words"]]
         words, flat, sizes = list(place), [], []
-        for at in range(0, len(words), 20_000):
-            found = [x.ids for x in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at:at + 20_000]], add_special_tokens=False)]
+        for at in range(0, len(words), 4000):
+            found = [x.ids for x in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at:at + 4000]], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
             flat.append(np.fromiter((i for x in found for i in x), np.uint32))
         flat, size = np.concatenate(flat), np.concatenate(sizes)

@@ -44,12 +44,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, so that a Python worker and its JVM hold few texts at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches made no larger than BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "0")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size; only ever used to choose a number of blocks."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def block_count(df: DataFrame, per_block: int = 12 << 20, least: int = 24, most: int = 1 << 17) -> int:
+def block_count(df: DataFrame, per_block: int = 6 << 20, least: int = 24, most: int = 1 << 17) -> int:
     """Blocks that keep one block's share of the work near `per_block` bytes of input."""
     return int(min(most, max(least, plan_bytes(df) // per_block)))
 

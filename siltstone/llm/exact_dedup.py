@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import written
+from .common import small_batches, written
 
 
 class Node:
@@ -168,7 +168,7 @@ def owners(docs: DataFrame, id_column: str, text_column: str, budget: int = 48 <
         if out:
             yield table(out)
 
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     parts = base.mapInArrow(combine, "size long, hash long, key binary, least long, most long, rows long")
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (parts.repartition(n, "size", "hash").sortWithinPartitions("size", "hash")

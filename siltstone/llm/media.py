@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import small_batches
 from .webp import MOST_SIDE, decode, encode
 
 
@@ -64,7 +65,7 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), pa.array(np.diff(offsets)), pa.array(media, pa.binary()), pa.array(pixels, pa.binary()), pa.array(features)],
                                                  ["id", "n_bytes", "media", "pixels", "feature"])
 
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return base.mapInArrow(run, "id long, n_bytes long, media binary, pixels binary, feature string").withColumnRenamed("id", id_column)
 
 

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import block_count, block_of, bloom_of, compress, decompress, pack_sorted, planes, unpack_sorted, unplanes, written
+from .common import block_count, block_of, bloom_of, compress, decompress, pack_sorted, planes, small_batches, unpack_sorted, unplanes, written
 from .components import components
 
 LEVEL_BITS = 24
 LEVEL_KEYS = 1 << 20
-FLUSH = 3 << 20
+FLUSH = 3 << 19
 
 
 def _digests(docs: DataFrame, k: int) -> DataFrame:
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     with an equal set.  A null id takes part with its text and is smallest only
     where its component has no other id.
     """
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     texts = base.select("text")
     blocks = block_count(texts)
     rows = written(_digests(base, k), "digests")

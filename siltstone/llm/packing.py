@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import small_batches
 
-CACHE = 1_500_000
+CACHE = 1_200_000
 
 # The first bytes of white space beyond ASCII and of separators that engines treat differently.
 _ODD = np.zeros(256, bool)
@@ -50,7 +51,9 @@ class UnitEncoder:
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]):
-        found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = []
+        for at in range(0, len(texts), 4000):  # encodings are large, ids small
+            found += [x.ids for x in self.tokenizer.encode_batch(texts[at:at + 4000], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(size.sum())), size
 
@@ -71,10 +74,8 @@ class UnitEncoder:
             base = len(self.size)
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
             self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, size))
-            known = np.concatenate((self.known, value[~hit]))
-            index = np.concatenate((self.index, base + np.arange(len(new))))
-            order = np.argsort(known, kind="stable")
-            self.known, self.index = known[order], index[order]
+            where = np.searchsorted(self.known, value[~hit])
+            self.known, self.index = np.insert(self.known, where, value[~hit]), np.insert(self.index, where, base + np.arange(len(new)))
             place = np.searchsorted(self.known, value)
         return self.index[place][back]
 
@@ -154,7 +155,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
     def cut(batches):
         at = encoder(tokenizer_path)
         for batch in batches:
-            for first, data, offsets in K.chunks(batch.column(1)):
+            for first, data, offsets in K.chunks(batch.column(1), 2 << 20):
                 ids, edge = at.encode(data, offsets)
                 n = len(offsets) - 1
                 all_ids = np.empty(len(ids) + n, np.uint32)  # every row's end id added
@@ -175,7 +176,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n).take(pa.array(row)), pa.array(place - begin[row]), pa.array(length), blob, pa.array(tokens[row])],
                                                  ["id", "start", "length", "ids", "doc_tokens"])
 
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     cut_ = base.mapInArrow(cut, "id long, start long, length long, ids binary, doc_tokens long")
     return cut_.select(F.col("id").alias(id_column), "start", "length", "ids", "doc_tokens", F.log2("length").cast("int").alias("bucket"),
                        F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

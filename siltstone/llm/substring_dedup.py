@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import Bloom, block_count, block_of, compress, decompress, pack_sorted, planes, unpack_sorted, unplanes, written
+from .common import Bloom, block_count, block_of, compress, decompress, pack_sorted, planes, small_batches, unpack_sorted, unplanes, written
 
 # Perfect difference sets, by period.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
-FLUSH = 3 << 20
+FLUSH = 3 << 19
 
 
 def cover(window: int) -> tuple[int, np.ndarray]:
@@ -139,7 +139,7 @@ def _ids(batch, first: int, n: int):
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 35, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of `docs`: id, n_words, n_removed, text (kept words joined by one space), and `carry`."""
     kind = T.StructType([docs.schema[c] for c in carry])
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"),
+    base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"),
                        (F.to_json(F.struct(*carry)) if carry else F.lit("")).alias("carry"))
     blocks = block_count(base)
     bloom, field = _shared_anchors(base.select("text"), window, blocks)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import small_batches
 
 # Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -78,7 +79,7 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
 
 def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES) -> DataFrame:
     """One row for each row: id, host, path, rule, verdict, score (null where a rule judged)."""
-    base = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"))
+    base = small_batches(pages).select(F.col(id_column).alias("id"), F.col(url_column).alias("url"))
     host, path = host_and_path("url")
     base = base.select("id", "url", host.alias("host"), path.alias("path"))
     rule = ruled = F.lit(None).cast("string")
