@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, written
+
 # Seeds of the transducers, by class, in English, German, French and Spanish.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "dummkopf", "arschloch", "connard", "imbécile", "estúpido", "idiota")
 THREATS = ("kill", "hurt", "destroy", "murder", "töten", "umbringen", "vernichten", "tuer", "détruire", "matar", "destruir")
@@ -138,7 +140,15 @@ def choose(rows: list[tuple[int, list[int]]], names: list[str], chance: float) -
     of = [np.array(x, np.int64) for x in of]
     open_ = label.copy()
     picked: list[int] = []
-    live = list(range(m))
+    # a beginning for which one word, or one longer beginning, accounts says no more than that
+    longer: dict[str, int] = {}
+    for p in range(m):
+        text = names[p].strip("=*")
+        for n in PREFIXES:
+            if len(text) > n:
+                longer[text[:n] + "*"] = max(longer.get(text[:n] + "*", 0), len(of[p]))
+    useful = [p for p in range(m) if names[p][0] == "=" or longer.get(names[p], 0) < 0.95 * len(of[p])]
+    live = list(useful)
     while live:
         gain = [(int(open_[of[p]].sum()) - 3 * int((~label[of[p]]).sum()), names[p][0] == "=", len(names[p]), names[p], p) for p in live]
         best = max(gain)
@@ -149,9 +159,9 @@ def choose(rows: list[tuple[int, list[int]]], names: list[str], chance: float) -
         live = [p for g, p in zip(gain, live, strict=True) if p != best[-1] and g[0] >= 2]
     share = max(1, label.sum()) / max(1, len(label))
     floor = max(3, 0.02 * label.sum())
-    for p in range(m):
+    for p in useful:
         n, hits = len(of[p]), int(label[of[p]].sum())
-        if p not in picked and n and hits >= floor and hits >= 0.97 * n and hits * np.log(share) + np.log(m) < np.log(chance):
+        if p not in picked and n and hits >= floor and hits >= 0.995 * n and hits * np.log(share) + np.log(m) < np.log(chance):
             picked.append(p)
     return picked
 
@@ -170,7 +180,7 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0)
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = 8000, candidates: int = 4000, chance: float = 1e-3):
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = 12000, candidates: int = 4000, chance: float = 1e-3):
     """(Grammar, weights) from labelled rows whose crc32(id as text) mod 3 is not 1."""
     known = (labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("y"))
              .where("id is not null and y in (0, 1) and crc32(cast(cast(id as string) as binary)) % 3 <> 1")
@@ -189,8 +199,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                     held.setdefault(p, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in (0, 1))], ["pattern", "clean", "toxic"])
 
-    from .common import written
-
     rows = written(rows, "sample")
     total = {y: n for y, n in rows.groupBy("y").count().collect()}
     clean, toxic = total.get(0, 0), total.get(1, 0)
@@ -241,7 +249,7 @@ def score(docs: DataFrame, grammar: Grammar, weights: np.ndarray, id_column: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "score"])
 
     names = [c for c in docs.columns if c not in (text_column, "score", "predicted")]
-    rows = docs.select(*names, text_column)
+    rows = small_batches(docs).select(*names, text_column)
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
