@@ -54,7 +54,7 @@ def reported_code(code: Column) -> Column:
 def enabled_rules(rules: DataFrame) -> DataFrame:
     """Rules that are on; a rule loaded alone runs even if it is off."""
     alone = rules.agg(F.count("*").alias("n_rules"))
-    return rules.crossJoin(F.broadcast(alone)).where(F.col("status") | (F.col("n_rules") == 1)).drop("n_rules")
+    return rules.where(F.col("status") | (alone.scalar() == 1))
 
 
 def unconfirmed(reason: Column) -> Column:

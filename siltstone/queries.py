@@ -53,7 +53,7 @@ hit AS (SELECT path, line, unnest(regexp_extract_all(text, '{IP}')) AS code FROM
 SELECT path, line::int AS line, code, 5002 AS svid, 'hard-coded IP' AS rule_name, 'low' AS level, md5(concat_ws(',', '5002', path, code)) AS vul_hash FROM hit""")
 def hardcoded_ip(spark, d):
     rules = catalog.rules(spark, only=[5002]).select("svid", "rule_name", "level")
-    found = matching.hits(files(spark, d).select("path", "content"), IP, insensitive=False).crossJoin(F.broadcast(rules))
+    found = matching.hits(files(spark, d).select("path", "content"), IP, insensitive=False).withColumn("svid", F.lit(5002)).join(F.broadcast(rules), "svid")
     return found.select("path", "line", F.col("text").alias("code"), "svid", "rule_name", X.level_label(F.col("level")).alias("level"), X.md5_hex(F.col("svid").cast("string"), "path", "text").alias("vul_hash"))
 
 
