@@ -251,20 +251,20 @@ def m13(spark, d):
 
 
 _FUNCS = r""", l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(len(string_split(content, chr(10))))) AS pos, len(string_split(content, chr(10))) AS last FROM v_files),
-n AS (SELECT path, regexp_extract(text, '^(An[a-z]+)\b', 1) AS name, pos, last FROM l),
+n AS (SELECT path, regexp_extract(text, '^(An[a-z]+)[ ,.]', 1) AS name, pos, last FROM l),
 fn AS (SELECT path, name, pos + 1 AS start, coalesce(lead(pos) OVER (PARTITION BY path ORDER BY pos), last) AS "end" FROM n WHERE name <> '')"""
 
 
 @query("m14_functions", FILES + _FUNCS + ' SELECT path, name, start::int AS start, "end"::int AS "end" FROM fn')
 def m14(spark, d):
-    return matching.functions_by_regex(files(spark, d), r"^(An[a-z]+)\b")
+    return matching.functions_by_regex(files(spark, d), r"^(An[a-z]+)[ ,.]")
 
 
 @query("r15_enclosing_function", FILES + _FUNCS + ' SELECT l.path, (l.pos + 1)::int AS line, fn.name FROM l JOIN fn ON l.path = fn.path AND l.pos + 1 BETWEEN fn.start AND fn."end" WHERE regexp_matches(l.text, \'^The\')')
 def r15(spark, d):
     found = files(spark, d)
     points = found.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).where(F.col("text").startswith("The")).select("path", (F.col("pos") + 1).alias("line"))
-    return matching.enclosing_function(points, matching.functions_by_regex(found, r"^(An[a-z]+)\b")).select("path", "line", "name")
+    return matching.enclosing_function(points, matching.functions_by_regex(found, r"^(An[a-z]+)[ ,.]")).select("path", "line", "name")
 
 
 @query("m15_block_slices", FILES + _FUNCS + """ SELECT l.path, (l.pos + 1)::int AS line, fn.name, array_to_string(string_split(f.content, chr(10))[fn.start : l.pos], chr(10)) AS up, l.text AS own,
@@ -272,7 +272,7 @@ def r15(spark, d):
 def m15(spark, d):
     found = files(spark, d)
     points = found.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).where(F.col("text").startswith("The")).select("path", (F.col("pos") + 1).alias("line"))
-    return matching.block_slices(points, found, matching.functions_by_regex(found, r"^(An[a-z]+)\b"))
+    return matching.block_slices(points, found, matching.functions_by_regex(found, r"^(An[a-z]+)[ ,.]"))
 
 
 @query("m16_repaired", "SELECT doc_id, regexp_matches(text, 'the ' || lang || '[a-z]*') AS repaired FROM documents")
