@@ -116,7 +116,7 @@ class Bundle:
 def _bundles(batches):
     bundle = Bundle()
     for batch in batches:
-        for first, data, offsets in K.chunks(batch.column(1)):
+        for first, data, offsets in K.chunks(batch.column(1), 1 << 20):
             bundle.add(batch.column(0).slice(first, len(offsets) - 1), K.Words(data, offsets))
             if bundle.bytes >= BUNDLE_BYTES:
                 yield bundle.close()

@@ -61,7 +61,7 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def block_count(df: DataFrame, per_block: int = 6 << 20, least: int = 24, most: int = 1 << 17) -> int:
+def block_count(df: DataFrame, per_block: int = 4 << 20, least: int = 24, most: int = 1 << 17) -> int:
     """Blocks that keep one block's share of the work near `per_block` bytes of input."""
     return int(min(most, max(least, plan_bytes(df) // per_block)))
 

@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
     def cut(batches):
         at = encoder(tokenizer_path)
         for batch in batches:
-            for first, data, offsets in K.chunks(batch.column(1), 2 << 20):
+            for first, data, offsets in K.chunks(batch.column(1), 1 << 20):
                 ids, edge = at.encode(data, offsets)
                 n = len(offsets) - 1
                 all_ids = np.empty(len(ids) + n, np.uint32)  # every row's end id added

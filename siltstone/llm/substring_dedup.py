@@ -35,7 +35,7 @@ from .common import Bloom, block_count, block_of, compress, decompress, pack_sor
 
 # Perfect difference sets, by period.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
-FLUSH = 3 << 19
+FLUSH = 1 << 20
 
 
 def cover(window: int) -> tuple[int, np.ndarray]:
@@ -84,10 +84,10 @@ def _shared_anchors(texts: DataFrame, window: int, blocks: int):
                     held.append(value)
                     size += len(value)
                 if size >= FLUSH:
-                    yield flush()
+                    yield from K.spread(flush())
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from K.spread(flush())
 
     def merge(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack_sorted(x.as_py()) for x in table["keys"]])
@@ -181,10 +181,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 held.append((value[pick], (check[pick] >> np.uint64(32)).astype(np.uint32), owner, (start - words.of_row[row]).astype(np.uint32), keys))
                 size += len(start)
                 if size >= FLUSH:
-                    yield flush()
+                    yield from K.spread(flush())
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from K.spread(flush())
 
     def repeated(table: pa.Table) -> pa.Table:
         parts = [[], [], [], []]

@@ -12,10 +12,12 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -80,6 +82,22 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES):
         last = min(n, max(last, first + 1))
         yield first, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+def spread(batch: pa.RecordBatch, rows: int = 8):
+    """A batch of large blobs as batches of a few rows: its reader holds one at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 class Words:
