@@ -16,7 +16,7 @@ each shingle.  A pair links when its Jaccard similarity is at least
 4. *Product.*  First each row is multiplied with one leader row in each of its
    first columns, then with one row of every component that meets it; links found
    become components.  Then the blocks multiply all remaining entries between
-   different components where enough columns follow, and overlap counts on the
+   different components where enough columns follow; overlap counts on the
    prefixes discard pairs that the suffixes could not lift to the bound.
 5. *Check.*  Pairs left are compared on their whole sets.  Pairs inside one
    component are never multiplied: they cannot change a component.
@@ -38,7 +38,7 @@ from .components import components
 
 LEVEL_BITS = 24
 LEVEL_KEYS = 1 << 20
-FLUSH = 3 << 19
+FLUSH = 1 << 20
 
 
 def _digests(docs: DataFrame, k: int) -> DataFrame:
@@ -81,10 +81,10 @@ def _level_table(texts: DataFrame, k: int, blocks: int):
             held.append(s >> np.uint64(24))
             size += len(s)
             if size >= FLUSH:
-                yield flush()
+                yield from K.spread(flush())
                 held, size = [], 0
         if held:
-            yield flush()
+            yield from K.spread(flush())
 
     def total(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack_sorted(x.as_py()) for x in table["keys"]])
@@ -147,10 +147,10 @@ def _postings(texts: DataFrame, k: int, num: int, den: int, blocks: int, levels)
             held.append((node, first, n))
             size += p
             if size >= FLUSH:
-                yield flush()
+                yield from K.spread(flush())
                 held, size = [], 0
         if held:
-            yield flush()
+            yield from K.spread(flush())
 
     def meet(table: pa.Table) -> pa.Table:
         parts = [[], [], [], []]
@@ -183,7 +183,7 @@ def _postings(texts: DataFrame, k: int, num: int, den: int, blocks: int, levels)
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    ends = written(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct(), "ends")
     keys = ends.count()
     if not keys:
         return pairs
@@ -219,15 +219,17 @@ def _sizes_fit(num: int, den: int):
 
 
 def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components in entries(col, node, n, rank, label) that can reach the bound.
+    """Pairs (a, b) of different components in entries(col, node, n, rank, label) that can reach the bound, each once.
 
     The first column that a linked pair shares, at ranks i and j, leaves enough
     columns on both sides: n - i and m - j are at least num * (n + m) / (num + den).
-    Only such products are formed; then overlaps on the whole prefixes are counted
-    and pairs that the suffixes cannot lift to the bound are discarded.
+    Only such products are formed.  Rows carry the columns of their prefix, so that a
+    block counts a pair's whole overlap there at the pair's first shared column, and
+    discards it where the suffixes cannot lift the count to the bound.
     """
     def multiply(table: pa.Table) -> pa.Table:
         columns, nodes, n, rank, label = (table[c].to_numpy() for c in ("col", "node", "n", "rank", "label"))
+        prefix = table["cols"].combine_chunks()
         order = np.lexsort((nodes, n, columns))
         columns, nodes, n, rank, label = columns[order], nodes[order], n[order], rank[order], label[order]
         # the rows after row i of the same column, up to the largest size that can link with it
@@ -237,6 +239,17 @@ def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
         reach = np.searchsorted(group * wide + n, group * wide + n * den // num, "right")
         spans = np.where((n - rank) * (num + den) >= num * 2 * n, reach - np.arange(len(n)) - 1, 0)
         ends = np.cumsum(spans)
+        held: dict[int, tuple] = {}
+
+        def row(i: int) -> tuple:
+            found = held.get(int(nodes[i]))
+            if found is None:
+                if len(held) >= 20_000:
+                    held.clear()
+                ordered = prefix[int(order[i])].as_py()
+                found = held[int(nodes[i])] = (ordered, frozenset(ordered))
+            return found
+
         out, at = [], 0
         while at < len(n):
             last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20), "right")))
@@ -245,22 +258,20 @@ def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(span) - span, span)
             least = num * (n[left] + n[right])
             keep = (label[left] != label[right]) & ((n[left] - rank[left]) * (num + den) >= least) & ((n[right] - rank[right]) * (num + den) >= least)
-            pairs = np.unique(np.stack([nodes[left[keep]], nodes[right[keep]], n[left[keep]], n[right[keep]]], axis=1), axis=0)
-            if len(pairs):
-                out.append(pairs)
+            for i, j in zip(left[keep].tolist(), right[keep].tolist(), strict=True):
+                (ordered, one), (_, other) = row(i), row(j)
+                if next(c for c in ordered if c in other) != columns[i]:
+                    continue  # the pair belongs to an earlier column
+                # beyond what the prefixes share, the larger suffix can add ceil(n * num / den) - 1 columns
+                most = len(one & other) + -(-int(n[j]) * num // den) - 1
+                if most * (num + den) >= num * int(n[i] + n[j]):
+                    out.append((int(nodes[i]), int(nodes[j])))
             at = last
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
-        return pa.table([pa.array(np.ascontiguousarray(found[:, i])) for i in range(4)], names=["a", "b", "na", "nb"])
-
-    pairs = (entries.withColumn("block", F.pmod(F.xxhash64("col"), F.lit(blocks)))
-             .groupBy("block").applyInArrow(multiply, "a long, b long, na long, nb long").distinct())
-    pairs = written(pairs, "product")
-    prefixes = entries.groupBy("node").agg(F.collect_list("col").alias("cols"))  # at most a prefix
-    counted = (pairs.join(prefixes.withColumnsRenamed({"node": "a", "cols": "x"}), "a").join(prefixes.withColumnsRenamed({"node": "b", "cols": "y"}), "b")
-               .withColumn("c", F.size(F.array_intersect("x", "y"))))
-    # beyond what the prefixes share, the larger suffix can add ceil(n * num / den) - 1 columns
-    most = F.col("c") + F.floor((F.greatest("na", "nb") * num + den - 1) / den) - 1
-    return counted.where(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    prefixes = entries.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "col"))), lambda x: x["col"]).alias("cols"))  # at most a prefix
+    return (entries.join(prefixes, "node").withColumn("block", F.pmod(F.xxhash64("col"), F.lit(blocks)))
+            .groupBy("block").applyInArrow(multiply, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
