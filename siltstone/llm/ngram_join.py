@@ -219,7 +219,7 @@ def _sizes_fit(num: int, den: int):
 
 
 def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components in entries(col, node, n, rank, label) that can reach the bound, each once.
+    """Pairs (a, b) of different components in entries(col, node, n, rank, label, least) that can reach the bound, each once.
 
     The first column that a linked pair shares, at ranks i and j, leaves enough
     columns on both sides: n - i and m - j are at least num * (n + m) / (num + den).
@@ -270,7 +270,10 @@ def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     prefixes = entries.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "col"))), lambda x: x["col"]).alias("cols"))  # at most a prefix
-    return (entries.join(prefixes, "node").withColumn("block", F.pmod(F.xxhash64("col"), F.lit(blocks)))
+    # an entry takes part only if enough columns follow it for the smallest partner that its column may hold
+    partner = F.greatest(F.col("least"), F.floor((F.col("n") * num + den - 1) / den))
+    useful = entries.where((F.col("n") - F.col("rank")) * (num + den) >= num * (F.col("n") + partner)).drop("least")
+    return (useful.join(prefixes, "node").withColumn("block", F.pmod(F.xxhash64("col"), F.lit(blocks)))
             .groupBy("block").applyInArrow(multiply, "a long, b long"))
 
 
@@ -301,8 +304,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def labelled():
         known = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        open_ = known.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("col")
-        return known.join(open_, "col", "left_semi").select("col", "node", "n", "rank", "label")
+        open_ = known.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("col", "least")
+        return known.join(open_, "col").select("col", "node", "n", "rank", "label", "least")
 
     # one row of every component that meets a column
     open_entries = written(labelled(), "open")
