@@ -103,6 +103,31 @@ def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                       F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
 
 
+def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """As `drop_templates`, for every line that is not blank: a line recurs if its form stands in two different texts.
+
+    The form is the line with its digit fields masked; lines of fewer than DEPTH tokens count as they are.
+    """
+    base = docs.withColumn("h", F.xxhash64(text_column)) if "h" not in docs.columns else docs.withColumnRenamed("h", "h_").withColumn("h", F.xxhash64(text_column))
+    split = F.transform(F.split(text_column, "\n"), lambda line, i: F.struct(i.alias("pos"), _raw_tokens(line).alias("raw"), line.rlike("[0-9]").alias("digits")))
+    some = F.filter(split, lambda x: F.get(x["raw"], F.lit(0)) != "")
+    form = lambda x: F.when(x["digits"] & (F.size(x["raw"]) >= DEPTH), _masked(x["raw"])).otherwise(x["raw"])
+    keyed = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.size(x["raw"]), form(x)).alias("key")))
+    lines = written(base.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), "h", F.inline(keyed)), "lines")
+
+    forms = lines.groupBy("key").agg((F.min("h") != F.max("h")).alias("same"), F.min(F.struct("id", "pos", "h")).alias("first"))
+    recurring = forms.where("same").select("key", "first")
+    gone = (lines.join(recurring, "key").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
+            .groupBy("id", "h").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}))
+    kept = F.filter(F.split(text_column, "\n"), lambda _, i: ~F.array_contains("gone", i))
+    names = [c for c in docs.columns if c not in (text_column, "n_lines", "n_dropped")]
+    out = base.join(gone, base[id_column].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
+    return out.select(*[(base["h_"] if c == "h" else base[c]).alias(c) for c in names],
+                      F.when(F.col("gone").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n")).alias(text_column),
+                      F.coalesce(F.size(F.split(text_column, "\n")), F.lit(0)).cast("long").alias("n_lines"),
+                      F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
+
+
 def oracle(min_docs: int = 16, min_tokens: int = 3) -> str:
     """The same rows in DuckDB: doc_id, n_lines, n_dropped, text."""
     return f"""

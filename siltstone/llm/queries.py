@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import line_templates, toxicity, url_filter
 from .bpe import encode_decode
 from .exact_dedup import exact_duplicates
-from .line_templates import drop_templates
+from .line_templates import drop_recurring, drop_templates
 from .media import store_texts
 from .ngram_join import near_duplicates
 from .packing import pack
@@ -77,6 +77,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op10_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op10_recurring_lines": op10_recurring_lines,
 }
 
 _EXACT = """

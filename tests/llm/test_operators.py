@@ -305,6 +305,21 @@ def test_line_templates(spark):
     assert line_templates.drop_templates(empty(spark)).count() == 0
 
 
+def recurring(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring(docs).collect()}
+
+
+def test_recurring_lines(spark):
+    copy = "only here once\nand here too"
+    got = recurring(spark, ["Les.\none alpha", "two beta\n  Les.", "Page 1 of 9\nUnit 7\n", "Page 2 of 9\n\nUnit 8", copy, copy, None, "twice in one\ntwice in one"])
+    assert got == {0: ("Les.\none alpha", 0), 1: ("two beta", 1), 2: ("Page 1 of 9\nUnit 7\n", 0), 3: ("\nUnit 8", 1), 4: (copy, 0), 5: (copy, 0), 6: (None, 0), 7: ("twice in one\ntwice in one", 0)}
+    out = line_templates.drop_recurring(table(spark, rows()))
+    assert out.columns == [c for c in table(spark, rows()).columns if c != "text"] + ["text", "n_lines", "n_dropped"]
+    assert out.count() == len(rows())
+    assert line_templates.drop_recurring(empty(spark)).count() == 0
+
+
 def test_toxicity(spark):
     docs = [(i, f"plain words here {i}. the cat sat " + ("you are a zorgle now" if i % 5 == 0 else "and slept"), "en", "s", 1, 1, 1, "h") for i in range(300)]
     labels = [(i, int(i % 5 == 0)) for i in range(300)] + [(7, 1), (None, 1), (9, None), (11, 5)]
