@@ -103,20 +103,62 @@ def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                       F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
 
 
-def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _leaf(x):
+    """The leaf of a line with its raw tokens and whether it has digits."""
+    lead = F.slice(x["raw"], 1, DEPTH)
+    return F.xxhash64(F.size(x["raw"]), F.when(x["digits"], _masked(lead)).otherwise(lead))
+
+
+def _templates(deep: DataFrame, min_docs: int) -> DataFrame:
+    """(key, template) of the forms that a template with word fields takes, from deep(leaf, key, h, tokens)."""
+    spot = F.xxhash64("leaf", "at", "token")
+    tokens = lambda rows, *more: rows.select(*more, F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= DEPTH)
+    constants = written(_texts(tokens(deep, "leaf", "h").select(spot.alias("spot"), "h"), "spot").where(F.col("texts") >= min_docs), "constants")
+    forms = deep.groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))
+    spots = tokens(forms, "leaf", "key", F.size("tokens").alias("n")).select("leaf", "key", "n", "at", spot.alias("spot")).join(constants, "spot")
+    patterns = written(spots.groupBy("leaf", "key", "n").agg(F.sort_array(F.collect_list(F.struct("at", "spot", "texts"))).alias("constants"))
+                       .select("key", "n", "constants", F.xxhash64("leaf", "constants.spot").alias("template")), "patterns")
+    spelt = deep.select("key", "h").distinct().join(patterns.where((F.size("constants") + DEPTH) * 2 >= F.col("n")).select("key", "template"), "key")
+    known = _texts(spelt, "template").where(F.col("texts") >= min_docs).select("template")
+    # a template meets the forms that hold its rarest constant, then all constants decide
+    whole = (patterns.join(known, "template", "left_semi").groupBy("template").agg(F.first("constants").alias("constants"))
+             .select("template", F.col("constants.spot").alias("needs"), F.array_min(F.transform("constants", lambda c: F.struct(c["texts"].alias("texts"), c["spot"].alias("spot"))))["spot"].alias("spot")))
+    held = patterns.select("key", F.col("constants.spot").alias("holds"), F.explode("constants.spot").alias("spot"))
+    fit = held.join(whole, "spot").where(F.size(F.array_except("needs", "holds")) == 0)
+    return fit.groupBy("key").agg(F.max(F.struct(F.size("needs").alias("n"), "template"))["template"].alias("template"))
+
+
+def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 16) -> DataFrame:
     """As `drop_templates`, for every line that is not blank: a line recurs if its form stands in two different texts.
 
     The form is the line with its digit fields masked; lines of fewer than DEPTH tokens count as they are.
+    A leaf also yields any number of templates with word fields.  Below DEPTH a token is a constant of
+    its leaf if it stands there in `min_docs` texts; a form's pattern is its constants, all other fields
+    variable; a pattern of which at least half of the tokens are constant and that `min_docs` texts spell is
+    a template.  It takes each form that agrees with its constants; of several, the one with the most.
+    Everything is counted in different texts, so copies of a text weigh nothing.
     """
     base = docs.withColumn("h", F.xxhash64(text_column)) if "h" not in docs.columns else docs.withColumnRenamed("h", "h_").withColumn("h", F.xxhash64(text_column))
     split = F.transform(F.split(text_column, "\n"), lambda line, i: F.struct(i.alias("pos"), _raw_tokens(line).alias("raw"), line.rlike("[0-9]").alias("digits")))
     some = F.filter(split, lambda x: F.get(x["raw"], F.lit(0)) != "")
     form = lambda x: F.when(x["digits"] & (F.size(x["raw"]) >= DEPTH), _masked(x["raw"])).otherwise(x["raw"])
-    keyed = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.size(x["raw"]), form(x)).alias("key")))
+    keyed = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.size(x["raw"]), form(x)).alias("key"),
+                                                  F.when(F.size(x["raw"]) > DEPTH + 1, _leaf(x)).alias("leaf")))
     lines = written(base.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), "h", F.inline(keyed)), "lines")
 
     forms = lines.groupBy("key").agg((F.min("h") != F.max("h")).alias("same"), F.min(F.struct("id", "pos", "h")).alias("first"))
-    recurring = forms.where("same").select("key", "first")
+    # only leaves of several forms and enough texts can hold a template that is not one form
+    full = written(lines.where("leaf is not null").groupBy("leaf", "h").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+                   .groupBy("leaf").agg(F.count("*").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
+                   .where((F.col("texts") >= min_docs) & (F.col("low") != F.col("high"))).select("leaf"), "leaves")
+    marked = written(_bitmap(full, "leaf"), "bitmap")
+    branches = F.transform(F.filter(some, lambda x: F.size(x["raw"]) > DEPTH + 1), lambda x: F.struct(_leaf(x).alias("leaf"), form(x).alias("tokens")))
+    found = base.where(F.col(text_column).isNotNull()).select("h", F.inline(branches))
+    deep = written(found.where(_may_hold(marked, F.col("leaf"))).join(full, "leaf", "left_semi").withColumn("key", F.xxhash64(F.size("tokens"), "tokens")), "deep")
+    templates = written(_templates(deep, min_docs), "templates")
+    groups = written(forms.join(templates, "key", "left").where(F.col("same") | F.col("template").isNotNull()), "forms")
+    heads = groups.where("template is not null").groupBy("template").agg(F.min("first").alias("head"))
+    recurring = groups.join(heads, "template", "left").select("key", F.coalesce("head", "first").alias("first"))
     gone = (lines.join(recurring, "key").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
             .groupBy("id", "h").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}))
     kept = F.filter(F.split(text_column, "\n"), lambda _, i: ~F.array_contains("gone", i))

@@ -320,6 +320,19 @@ def test_recurring_lines(spark):
     assert line_templates.drop_recurring(empty(spark)).count() == 0
 
 
+def test_several_templates_in_a_leaf(spark):
+    word = [a + b for a in "abcde" for b in "vwxyz"]
+    texts = [f"the user of {w} logged in from home\nown {w}" for w in word[:20]] + [f"the user of {w} has left the site\nown {w} too" for w in word[:20]]
+    skewed = "\n".join(f"the user of this very long copy {i}x" for i in "abcdefgh")
+    texts += [skewed] * 300
+    # 'av' holds in enough texts to be a constant, and the lines that have it still fit
+    texts += [f"the user of av spoke to {w} once\nown {w} as well" for w in word]
+    got = recurring(spark, texts)
+    assert [got[i][1] for i in range(40)] == [0] + [1] * 19 + [0] + [1] * 19
+    assert all(got[i] == (skewed, 0) for i in range(40, 340))
+    assert [got[i][1] for i in range(340, 365)] == [0] + [1] * 24
+
+
 def test_toxicity(spark):
     docs = [(i, f"plain words here {i}. the cat sat " + ("you are a zorgle now" if i % 5 == 0 else "and slept"), "en", "s", 1, 1, 1, "h") for i in range(300)]
     labels = [(i, int(i % 5 == 0)) for i in range(300)] + [(7, 1), (None, 1), (9, None), (11, 5)]
