@@ -118,7 +118,7 @@ def _templates(deep: DataFrame, min_docs: int) -> DataFrame:
     spots = tokens(forms, "leaf", "key", F.size("tokens").alias("n")).select("leaf", "key", "n", "at", spot.alias("spot")).join(constants, "spot")
     patterns = written(spots.groupBy("leaf", "key", "n").agg(F.sort_array(F.collect_list(F.struct("at", "spot", "texts"))).alias("constants"))
                        .select("key", "n", "constants", F.xxhash64("leaf", "constants.spot").alias("template")), "patterns")
-    spelt = deep.select("key", "h").distinct().join(patterns.where((F.size("constants") + DEPTH) * 2 >= F.col("n")).select("key", "template"), "key")
+    spelt = deep.select("key", "h").distinct().join(patterns.where(F.size("constants") * 2 >= F.col("n") - DEPTH).select("key", "template"), "key")
     known = _texts(spelt, "template").where(F.col("texts") >= min_docs).select("template")
     # a template meets the forms that hold its rarest constant, then all constants decide
     whole = (patterns.join(known, "template", "left_semi").groupBy("template").agg(F.first("constants").alias("constants"))
@@ -134,8 +134,8 @@ def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str
     The form is the line with its digit fields masked; lines of fewer than DEPTH tokens count as they are.
     A leaf also yields any number of templates with word fields.  Below DEPTH a token is a constant of
     its leaf if it stands there in `min_docs` texts; a form's pattern is its constants, all other fields
-    variable; a pattern of which at least half of the tokens are constant and that `min_docs` texts spell is
-    a template.  It takes each form that agrees with its constants; of several, the one with the most.
+    variable; a pattern of which at least half of the tokens below DEPTH are constant and that `min_docs`
+    texts spell is a template; the leading tokens, alike in a whole leaf, do not count.  It takes each form that agrees with its constants; of several, the one with the most.
     Everything is counted in different texts, so copies of a text weigh nothing.
     """
     base = docs.withColumn("h", F.xxhash64(text_column)) if "h" not in docs.columns else docs.withColumnRenamed("h", "h_").withColumn("h", F.xxhash64(text_column))

@@ -333,6 +333,12 @@ def test_several_templates_in_a_leaf(spark):
     assert [got[i][1] for i in range(340, 365)] == [0] + [1] * 24
 
 
+def test_leading_words_are_no_template(spark):
+    word = [a + b for a in "abcde" for b in "vwxyz"]
+    texts = [f"was it that {w} {w[::-1]}\nwas it that {w} {w}{w}\nwas it that {w} and {w[::-1]}\nown {w}" for w in word]
+    assert recurring(spark, texts) == {i: (t, 0) for i, t in enumerate(texts)}
+
+
 def test_toxicity(spark):
     docs = [(i, f"plain words here {i}. the cat sat " + ("you are a zorgle now" if i % 5 == 0 else "and slept"), "en", "s", 1, 1, 1, "h") for i in range(300)]
     labels = [(i, int(i % 5 == 0)) for i in range(300)] + [(7, 1), (None, 1), (9, None), (11, 5)]
