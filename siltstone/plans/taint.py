@@ -4,7 +4,7 @@ A state is a leaf that a sink's value may come from: (fid, path, cls, scope, nam
 ord, branch, through, stack, chain).  Each round settles what it can (sources,
 sanitisers, constants), joins variables with their definitions, formal parameters with
 the arguments of the call they were entered by, calls with returns and `__toString`, and
-open names with included files.  States that were met before are dropped, rounds are
+open names with included files.  States that were met before are dropped, include hops are
 bounded, and each round is written to the shared folder.
 
 Verdicts: 1 controllable, 4 flows to a parameter (a new rule), 3 open, 2 sanitised,
@@ -14,6 +14,8 @@ Verdicts: 1 controllable, 4 flows to a parameter (a new rule), 3 open, 2 sanitis
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from .. import catalog
 from ..operators.joins import written_round
 from .parse import of, records
 
-STATE = ("fid", "svid", "path", "cls", "scope", "kind", "name", "key", "ord", "branch", "through", "call", "stack", "chain")
+STATE = ("fid", "svid", "path", "cls", "scope", "kind", "name", "key", "ord", "branch", "through", "call", "stack", "chain", "hops")
 LAST = 1 << 30
 
 
@@ -60,7 +62,7 @@ def sinks(rows: DataFrame, table: DataFrame) -> DataFrame:
 def _start(seeds: DataFrame) -> DataFrame:
     return seeds.select("fid", "svid", "path", "cls", "scope", "ord", "branch", "name", "line", F.explode("flow").alias("leaf")).select(
         "fid", "svid", "path", "cls", "scope", F.col("leaf.kind").alias("kind"), F.col("leaf.name").alias("name"), F.col("leaf.key").alias("key"), "ord", "branch", F.col("leaf.through").alias("through"), F.col("leaf.call").alias("call"),
-        F.array().cast("array<int>").alias("stack"), F.array(F.struct(F.lit("sink").alias("node"), F.col("name").alias("code"), F.col("path").alias("path"), F.col("line").alias("line"))).alias("chain"))
+        F.array().cast("array<int>").alias("stack"), F.array(F.struct(F.lit("sink").alias("node"), F.col("name").alias("code"), F.col("path").alias("path"), F.col("line").alias("line"))).alias("chain"), F.lit(0).alias("hops"))
 
 
 def _follow(found: DataFrame, prefix: str, node: str, stack=None) -> DataFrame:
@@ -69,7 +71,7 @@ def _follow(found: DataFrame, prefix: str, node: str, stack=None) -> DataFrame:
     step = F.struct(F.lit(node).alias("node"), p("name").alias("code"), p("path").alias("path"), p("line").alias("line"))
     rows = found.select(*STATE, *[c for c in found.columns if c.startswith(prefix) and c != prefix + "flow"], F.explode(prefix + "flow").alias("leaf"))
     return rows.select("fid", "svid", p("path").alias("path"), p("cls").alias("cls"), p("scope").alias("scope"), F.col("leaf.kind").alias("kind"), F.col("leaf.name").alias("name"), F.col("leaf.key").alias("key"),
-                       p("ord").alias("ord"), p("branch").alias("branch"), F.concat("through", "leaf.through").alias("through"), F.col("leaf.call").alias("call"), (F.col("stack") if stack is None else stack).alias("stack"), F.concat("chain", F.array(step)).alias("chain"))
+                       p("ord").alias("ord"), p("branch").alias("branch"), F.concat("through", "leaf.through").alias("through"), F.col("leaf.call").alias("call"), (F.col("stack") if stack is None else stack).alias("stack"), F.concat("chain", F.array(step)).alias("chain"), "hops")
 
 
 def _with(rows: DataFrame, prefix: str) -> DataFrame:
@@ -77,7 +79,10 @@ def _with(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame, depth: int = 20) -> DataFrame:
-    """(fid, svid, verdict, param, function, chain) of every seed."""
+    """(fid, svid, verdict, param, function, chain) of every seed.
+
+    Rounds go on until no state is new: seen states and the stack guard end cycles.  `depth` bounds include hops alone.
+    """
     php = language == "php"
     filters = tampers.where("tam_type = 'Filter-Function'").groupBy("svid").agg(F.collect_set("tam_key").alias("sanitisers"))
     inputs = [r.tam_key for r in tampers.where("tam_type = 'Input-Control'").select("tam_key").distinct().collect()]  # a catalog table
@@ -90,9 +95,9 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
     root = F.regexp_extract("name", r"^(\$?[\w\\]+)", 1) if php else F.col("name")
     verdicts: list[DataFrame] = []
     states = written_round(_start(seeds))
-    seen = states.select("fid", "path", "scope", "name", "key", "ord", "stack", "kind")
+    seen = states.select("fid", "path", "scope", "name", "key", "ord", "stack", "kind", "hops")
     empty = seeds.select("fid", "svid", F.lit(-1).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), F.array().cast(states.schema["chain"].dataType).alias("chain"))
-    for _ in range(depth):
+    for turn in count(1):
         known = states.join(F.broadcast(filters), "svid", "left")
         clean = F.coalesce(F.arrays_overlap("through", "sanitisers"), F.lit(False))
         if php:
@@ -144,7 +149,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         i = includes.select(F.col("path").alias("i_path"), F.explode(F.filter("flow", lambda x: x["kind"] == "str")).alias("i")).select("i_path", F.col("i.name").alias("target"))
         files = rows.select(F.col("path").alias("f_path")).distinct()
         into = free.where("scope = ''").join(i, F.col("path") == F.col("i_path")).join(files, F.endswith("f_path", F.concat(F.lit("/"), F.regexp_replace("target", r"^(\./|/)", ""))))
-        included = into.where("f_path <> path").select(*[F.col("f_path").alias("path") if c == "path" else F.lit(LAST).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
+        included = into.where((F.col("f_path") != F.col("path")) & (F.col("hops") < depth)).select(*[(F.col("hops") + 1).alias("hops") if c == "hops" else F.col("f_path").alias("path") if c == "path" else F.lit(LAST).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
         verdicts.append(written_round(free.select("fid", "svid", F.lit(3).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), "chain")))
 
         # calls of functions that the files define
@@ -158,16 +163,20 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
 
         new = out.unionByName(outer).unionByName(to_args).unionByName(included).unionByName(entering)
         key = ["fid", "path", "scope", "name", "key", "ord", "stack", "kind"]
-        fresh = new.dropDuplicates(key)
-        k = seen.select(*[F.col(c).alias("k_" + c) for c in key])
-        match = None
+        # a state met before comes again only with fewer include hops
+        fresh = new.groupBy(*key).agg(F.min_by(F.struct(*[c for c in STATE if c not in key]), "hops").alias("rest")).select(*[c if c in key else "rest." + c for c in STATE])
+        k = seen.select(*[F.col(c).alias("k_" + c) for c in (*key, "hops")])
+        match = F.col("k_hops") <= F.col("hops")
         for c in key:
             one = F.col(c).eqNullSafe(F.col("k_" + c)) if c in ("key", "name") else F.col(c) == F.col("k_" + c)
-            match = one if match is None else match & one
+            match = match & one
         states = written_round(fresh.join(k, match, "left_anti"))
         if states.isEmpty():
             break
-        seen = seen.unionByName(states.select(*key))
+        seen = seen.unionByName(states.select(*key, "hops"))
+        if turn % 16 == 0:  # plans stay small over many rounds
+            seen = written_round(seen)
+            verdicts = [written_round(reduce(DataFrame.unionByName, verdicts))]
     every = empty
     for v in verdicts:
         every = every.unionByName(v)

@@ -39,6 +39,12 @@ def test_recursion_ends(spark):
     assert {r.sink for r in taint.scan(source, "php").collect()} == {"system"}
 
 
+def test_long_flow(spark):
+    steps = " ".join(f"$a{i + 1} = $a{i};" for i in range(19))
+    source = fixtures.files(spark, {"/a.php": f"<?php $a0 = $_GET['x']; {steps} system($a19);"})
+    assert {r.sink for r in taint.scan(source, "php").collect()} == {"system"}
+
+
 def test_chains(spark):
     rows = records(fixtures.files(spark, fixtures.CHAIN), "php")
     got = {tuple(r.methods) for r in codedb.chains(rows).collect()}
