@@ -4,12 +4,14 @@ Words (runs without ASCII white space) are split on the executors.  The tokenize
 drops white space and never merges across it, so a text's ids are the ids of its
 words, one after the other.
 
-A *bundle* is what one task holds of about 16 MB of texts.  Each bundle sends out
-its distinct words, in blocks by word hash, and a skeleton: the place of every word
-in the bundle's word list.  A block encodes each distinct word once, whatever the
-number of bundles that ask, and answers each of them.  A bundle's answers join its
-skeleton by position and give the ids of every row; ids become pieces by a join
-with the id-to-piece table, which is as large as the vocabulary.
+A *bundle* is what one task holds of 12 MB of texts, or more where there are many
+blocks.  Each bundle sends out its distinct words, in blocks by word hash, and a
+skeleton: the place of every word in the bundle's word list.  A block's task encodes
+each distinct word once, whatever the number of bundles that ask, and answers them one
+after the other.  A bundle's answers join its skeleton by position and give the ids of
+every row; ids become pieces by a join with the id-to-piece table, which is as large as
+the vocabulary.  Words are told apart by their bytes (long ones by a digest, see
+`textkernel.span_keys`); their hashes only order them.
 
 Bundles are named by a digest of their ids and words, so the two sides agree when
 a task runs again.  A frequent word costs one entry in each bundle.  Null counts as
@@ -19,6 +21,8 @@ the empty text; empty texts have no ids.  Repeated rows each come back.
 from __future__ import annotations
 
 import os
+from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import block_count, block_of, compress, decompress, pack_sorted, planes, small_batches, unplanes
+from .common import block_count, block_of, bundle_bytes, compress, decompress, planes, small_batches, unplanes
 
-BUNDLE_BYTES = 12 << 20
+#: Words that a block's task remembers; beyond, it starts anew.
+REMEMBERED = 3_000_000
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -87,38 +92,41 @@ class Bundle:
     """Rows gathered by a task: ids, word counts, and the words' places among the distinct ones."""
 
     def __init__(self):
-        self.ids, self.counts, self.hashes, self.words, self.bytes = [], [], [], [], 0
+        self.ids, self.counts, self.keys, self.places, self.words, self.bytes = [], [], [], [], [], 0
 
     def add(self, ids: pa.Array, words: K.Words) -> None:
-        value, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        one, two = words.keys()
+        _, at, back = K.distinct_keys(one, two)
         size = (words.end - words.start)[at]
         self.ids.append(ids)
         self.counts.append(np.diff(words.of_row))
-        self.hashes.append((value, back))
+        self.keys.append((one[at], two[at]))
+        self.places.append(back)
         self.words.append((_gather(words.data, words.start[at], size), size))
         self.bytes += len(words.data)
 
     def close(self):
-        """name, distinct hashes ascending, their words, places of all words."""
-        value, at, back = np.unique(np.concatenate([v for v, _ in self.hashes]), return_index=True, return_inverse=True)
-        shift = np.cumsum([0, *(len(v) for v, _ in self.hashes)])
-        places = np.concatenate([back[shift[i]:shift[i + 1]][b] for i, (_, b) in enumerate(self.hashes)])
+        """name, ids, word counts, distinct hashes ascending, their words, places of all words."""
+        one, two = (np.concatenate([x[i] for x in self.keys]) for i in (0, 1))
+        value, at, back = K.distinct_keys(one, two)
+        shift = np.cumsum([0, *(len(x) for x, _ in self.keys)])
+        places = np.concatenate([back[shift[i]:shift[i + 1]][b] for i, b in enumerate(self.places)])
         flat, size = np.concatenate([f for f, _ in self.words]), np.concatenate([s for _, s in self.words])
         ids = pa.concat_arrays(self.ids)
-        numbers = np.asarray(ids.fill_null(0), np.int64).view(np.uint64)
-        order = np.arange(1, len(places) + 1, dtype=np.uint64)
-        digest = [K.mix(value[places] + order).sum(dtype=np.uint64), K.mix(K.mix(numbers) + np.arange(len(numbers), dtype=np.uint64)).sum(dtype=np.uint64)]
-        name = np.array(digest, np.uint64).tobytes()
+        counts = np.concatenate(self.counts)
+        name = blake2b(np.asarray(ids.fill_null(0), np.int64).tobytes(), digest_size=16)
+        for part in (counts, places, one[at], two[at]):
+            name.update(np.ascontiguousarray(part).tobytes())
         first = np.cumsum(size) - size
-        return name, ids, np.concatenate(self.counts), value, flat, first[at], size[at], places
+        return name.digest(), ids, counts, value, flat, first[at], size[at], places
 
 
-def _bundles(batches):
+def _bundles(batches, size: int):
     bundle = Bundle()
     for batch in batches:
         for first, data, offsets in K.chunks(batch.column(1), 1 << 20):
             bundle.add(batch.column(0).slice(first, len(offsets) - 1), K.Words(data, offsets))
-            if bundle.bytes >= BUNDLE_BYTES:
+            if bundle.bytes >= size:
                 yield bundle.close()
                 bundle = Bundle()
     if bundle.ids:
@@ -128,10 +136,11 @@ def _bundles(batches):
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row: id, n_tokens, ids (little-endian unsigned 32-bit), decoded."""
     base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    blocks = block_count(base, 24 << 20, 12)
+    blocks = block_count(base, 24 << 20, 12, 1 << 12)
+    share = bundle_bytes(blocks, share=16 << 10)
 
     def ask(batches):
-        for name, _, _, value, flat, first, size, _ in _bundles(batches):
+        for name, _, _, value, flat, first, size, _ in _bundles(batches, share):
             cut = np.searchsorted(block_of(value, blocks), np.arange(blocks + 1))
             rows, blobs = [], []
             for b in range(blocks):
@@ -143,25 +152,33 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id
                     blobs.append(compress(b" ".join([raw[a:a + n].tobytes() for a, n in spans])))
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.binary()), pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bundle", "block", "words"])
 
-    def answer(table: pa.Table) -> pa.Table:
+    def answer(batches):
         tokenizer = load(tokenizer_path)
         place: dict[bytes, int] = {}
-        asked = [np.fromiter((place.setdefault(w, len(place)) for w in decompress(x.as_py()).split(b" ")), np.int64) for x in table["words"]]
-        words, flat, sizes = list(place), [], []
-        for at in range(0, len(words), 4000):
-            found = [x.ids for x in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at:at + 4000]], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter((i for x in found for i in x), np.uint32))
-        flat, size = np.concatenate(flat), np.concatenate(sizes)
-        first = np.cumsum(size) - size
-        return pa.table([table["bundle"], table["block"], pa.array([planes(size[x].astype(np.uint32)) for x in asked], pa.binary()),
-                         pa.array([planes(_gather(flat, first[x], size[x])) for x in asked], pa.binary())], names=["bundle", "block", "sizes", "ids"])
-
-    answers = (base.mapInArrow(ask, "bundle binary, block int, words binary")
-               .groupBy("block").applyInArrow(answer, "bundle binary, block int, sizes binary, ids binary"))
+        flat, size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for batch in batches:
+            if len(place) > REMEMBERED:
+                place.clear()
+                flat, size = flat[:0], size[:0]
+            known = len(place)
+            asked = [np.fromiter((place.setdefault(w, len(place)) for w in decompress(x.as_py()).split(b" ")), np.int64) for x in batch.column(2)]
+            words, flats, sizes = list(islice(place, known, None)), [flat], [size]
+            for at in range(0, len(words), 4000):
+                found = [x.ids for x in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at:at + 4000]], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                flats.append(np.fromiter((i for x in found for i in x), np.uint32))
+            flat, size = np.concatenate(flats), np.concatenate(sizes)
+            first = np.cumsum(size) - size
+            for i, x in enumerate(asked):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([planes(size[x].astype(np.uint32))], pa.binary()),
+                                                  pa.array([planes(_gather(flat, first[x], size[x]))], pa.binary())], ["bundle", "block", "sizes", "ids"])
+
+    # a task streams through the asks of its blocks and holds only its dictionary
+    answers = (base.mapInArrow(ask, "bundle binary, block int, words binary").repartition("block")
+               .mapInArrow(answer, "bundle binary, block int, sizes binary, ids binary"))
 
     def skeleton(batches):
-        for name, ids, counts, value, _, _, _, places in _bundles(batches):
+        for name, ids, counts, value, _, _, _, places in _bundles(batches, share):
             # frequent words get small numbers, so that the numbers compress
             often = np.argsort(-np.bincount(places, minlength=len(value)), kind="stable")
             rank = np.empty(len(often), np.uint32)
@@ -174,7 +191,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id
     skeletons = base.mapInArrow(skeleton, "bundle binary, known binary, numbers binary, counts binary, places binary, often binary")
 
     def meet(left: pa.Table, right: pa.Table):
-        order = np.argsort(right["block"].to_numpy()) if right.num_rows else []
+        # bundles of one name hold the same rows: their answers are alike
+        order = np.unique(right["block"].to_numpy(), return_index=True)[1] if right.num_rows else []
         parts = [(unplanes(right["sizes"][int(i)].as_py(), np.uint32).astype(np.int64), unplanes(right["ids"][int(i)].as_py(), np.uint32)) for i in order]
         size = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
         flat = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.uint32)

@@ -9,15 +9,18 @@ import uuid
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CODEC = zstandard.ZstdCompressor(level=1)
 _DECODEC = zstandard.ZstdDecompressor()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where master is local and none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,13 +38,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as a table in the shared folder and read it back.
 
-    The table outlives lost executors and goes when the driver exits.
+    The table outlives lost executors; it goes with `discard`, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._siltstone_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `written` whose last reader is done."""
+    for table in tables:
+        _remove(table.sparkSession, table._siltstone_path)
 
 
 #: Rows of an Arrow batch, so that a Python worker and its JVM hold few texts at once.
@@ -56,9 +67,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size; only ever used to choose a number of blocks."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, text_column: str = "text") -> int:
+    """Catalyst's estimate of a plan's size, or where it has none the texts' bytes; only ever used to choose a number of blocks."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found < 1 << 55:
+        return found
+    return df.agg(F.coalesce(F.sum(F.octet_length(text_column)), F.lit(0))).first()[0]
 
 
 def block_count(df: DataFrame, per_block: int = 4 << 20, least: int = 24, most: int = 1 << 17) -> int:
@@ -101,6 +115,23 @@ def block_of(values: np.ndarray, blocks: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
+def bundle_bytes(blocks: int, least: int = 12 << 20, most: int = 64 << 20, share: int = 1 << 10) -> int:
+    """How much text a bundle gathers before it answers to `blocks` blocks: more blocks, larger bundles."""
+    return int(min(most, max(least, blocks * share)))
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, parts: int = 1024) -> DataFrame:
+    """left inner join right on `key`, where `right` has each key once and `count`, how many rows of `left` hold it.
+
+    Keys that hold a `parts`-th of all these rows or more, of which there are `parts` at most,
+    are broadcast; only the others shuffle, so no task gets a hot key.
+    """
+    total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.broadcast(right.where(F.col(count) * parts >= total).drop(count))
+    cold = right.where(F.col(count) * parts < total).drop(count)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 class Bloom:
     """A blocked two-probe Bloom filter of a fixed size.
 

@@ -5,7 +5,8 @@ each shingle.  A pair links when its Jaccard similarity is at least
 `num / den`.  The steps:
 
 1. *Classes.*  Rows with equal sets collapse into one node, so copies never meet
-   as pairs.  A node is the 64-bit digest of its set.
+   as pairs.  A node is 64 bits of its set's digest; where sets that differ in 128 bits
+   share these (some 300 nodes at 10**11 documents), the other 64 bits take their place.
 2. *Column order.*  How often each column is filled is counted in blocks; the
    most frequent ones (at most 2**20) get a level in a fixed 16 MiB table.  Rows
    order their columns by (level, hash).  Any order gives right results; this
@@ -17,7 +18,8 @@ each shingle.  A pair links when its Jaccard similarity is at least
    first columns, then with one row of every component that meets it; links found
    become components.  Then the blocks multiply all remaining entries between
    different components where enough columns follow; overlap counts on the
-   prefixes discard pairs that the suffixes could not lift to the bound.
+   prefixes discard pairs that the suffixes could not lift to the bound.  A column of
+   many open rows is dealt out in tiles, a block for each two tiles.
 5. *Check.*  Pairs left are compared on their whole sets.  Pairs inside one
    component are never multiplied: they cannot change a component.
 
@@ -31,40 +33,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import block_count, block_of, bloom_of, compress, decompress, pack_sorted, planes, small_batches, unpack_sorted, unplanes, written
+from .common import block_count, block_of, bloom_of, compress, decompress, discard, join_counted, pack_sorted, planes, small_batches, unpack_sorted, unplanes, written
 from .components import components
 
 LEVEL_BITS = 24
 LEVEL_KEYS = 1 << 20
+#: Entries that a task gathers before it sends them to the blocks; more where there are many blocks.
 FLUSH = 1 << 20
+#: Rows of a tile of a column.
+TILE = 2048
+#: Columns of the longest prefix that goes with each of its entries.
+SHIPPED = 1024
 
 
 def _digests(docs: DataFrame, k: int) -> DataFrame:
     def digest(batches):
         for batch in batches:
             found = [(len(s), *K.set_digest(s)) for s in K.shingle_sets(batch.column(1), k)]
-            n, d, _ = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["id", "n", "node"])
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], ["id", "n", "node", "other"])
 
-    return docs.mapInArrow(digest, "id long, n long, node long")
+    return docs.mapInArrow(digest, "id long, n long, node long, other long")
 
 
-def _fresh_sets(batches, k: int):
+def _node(s: np.ndarray, shared: frozenset) -> int:
+    """The node of a set; `shared` are digests that different sets share."""
+    node, other = K.set_digest(s)
+    return other if node in shared else node
+
+
+def _fresh_sets(batches, k: int, shared: frozenset):
     """(node, set) of each batch's non-empty sets; copies inside a task come once."""
     seen: set[int] = set()
     for batch in batches:
         for s in K.shingle_sets(batch.column(0), k):
             if len(s):
-                node = K.set_digest(s)[0]
+                node = _node(s, shared)
                 if node not in seen:
                     seen.add(node)
                     yield node, s
 
 
-def _level_table(texts: DataFrame, k: int, blocks: int):
+def _level_table(texts: DataFrame, k: int, blocks: int, shared: frozenset):
     """A broadcast table of 2**24 bytes: log2 of how often a slot's columns are filled, 0 for rare ones."""
+    flush_at = max(FLUSH, blocks * 32)
+
     def count(batches):
         held, size = [], 0
 
@@ -77,10 +93,10 @@ def _level_table(texts: DataFrame, k: int, blocks: int):
                 pa.array([pack_sorted(keys[cut[b]:cut[b + 1]]) for b in rows], pa.binary()),
                 pa.array([planes(n[cut[b]:cut[b + 1]].astype(np.uint32)) for b in rows], pa.binary())], ["block", "keys", "n"])
 
-        for _, s in _fresh_sets(batches, k):
+        for _, s in _fresh_sets(batches, k, shared):
             held.append(s >> np.uint64(24))
             size += len(s)
-            if size >= FLUSH:
+            if size >= flush_at:
                 yield from K.spread(flush())
                 held, size = [], 0
         if held:
@@ -110,11 +126,14 @@ def _level_table(texts: DataFrame, k: int, blocks: int):
     if keys:
         for batch in counted.where(F.col("level") >= least).groupBy("slot").agg(F.max("level").alias("level")).toArrow().to_batches():
             table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    discard(counted)
     return texts.sparkSession.sparkContext.broadcast(table)
 
 
-def _postings(texts: DataFrame, k: int, num: int, den: int, blocks: int, levels) -> DataFrame:
+def _postings(texts: DataFrame, k: int, num: int, den: int, blocks: int, levels, shared: frozenset) -> DataFrame:
     """Prefix entries of columns that at least two nodes fill: (column, node, n, rank)."""
+    flush_at = max(FLUSH, blocks * 32)
+
     def emit(batches):
         table = levels.value
         held, size = [], 0
@@ -139,14 +158,14 @@ def _postings(texts: DataFrame, k: int, num: int, den: int, blocks: int, levels)
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(list(x), pa.binary()) for x in zip(*out, strict=True))],
                                               ["block", "columns", "local", "rank", "nodes", "sizes"])
 
-        for node, s in _fresh_sets(batches, k):
+        for node, s in _fresh_sets(batches, k, shared):
             n = len(s)
             p = n - -(-n * num // den) + 1
             level = table[s >> np.uint64(64 - LEVEL_BITS)]
             first = s[np.argsort(level, kind="stable")[:p]] if level.any() else s[:p]
             held.append((node, first, n))
             size += p
-            if size >= FLUSH:
+            if size >= flush_at:
                 yield from K.spread(flush())
                 held, size = [], 0
         if held:
@@ -181,8 +200,8 @@ def _postings(texts: DataFrame, k: int, num: int, den: int, blocks: int, levels)
     return written(blobs.groupBy("block").applyInArrow(meet, "col long, node long, n long, rank long"), "entries")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, shared: frozenset) -> DataFrame:
+    """The pairs (a, b), a written table that goes, whose whole sets reach the similarity."""
     ends = written(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct(), "ends")
     keys = ends.count()
     if not keys:
@@ -191,7 +210,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
     def fetch(batches):
         for batch in batches:
-            rows = [(node, s.tobytes()) for node, s in _fresh_sets([batch], k)]
+            rows = [(node, s.tobytes()) for node, s in _fresh_sets([batch], k, shared)]
             if rows:
                 hit = bloom.test(field.value, np.array([x[0] for x in rows], np.int64).view(np.uint64))
                 rows = [x for x, h in zip(rows, hit, strict=True) if h]
@@ -211,7 +230,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     sets = written(sets, "sets")
     both = (pairs.join(sets.withColumnsRenamed({"node": "a", "set": "x"}), "a")
             .join(sets.withColumnsRenamed({"node": "b", "set": "y"}), "b").select("a", "b", "x", "y"))
-    return written(both.mapInArrow(compare, "a long, b long"), "links")
+    links = written(both.mapInArrow(compare, "a long, b long"), "links")
+    discard(pairs, ends, sets)
+    return links
 
 
 def _sizes_fit(num: int, den: int):
@@ -225,15 +246,18 @@ def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
     columns on both sides: n - i and m - j are at least num * (n + m) / (num + den).
     Only such products are formed.  Rows carry the columns of their prefix, so that a
     block counts a pair's whole overlap there at the pair's first shared column, and
-    discards it where the suffixes cannot lift the count to the bound.
+    discards it where the suffixes cannot lift the count to the bound.  Prefixes of more
+    than SHIPPED columns stay behind: what an entry carries is bounded, and pairs
+    with such a row are left to the check.
     """
     def multiply(table: pa.Table) -> pa.Table:
-        columns, nodes, n, rank, label = (table[c].to_numpy() for c in ("col", "node", "n", "rank", "label"))
+        columns, nodes, n, rank, label, tile, other = (table[c].to_numpy() for c in ("col", "node", "n", "rank", "label", "tile", "other"))
         prefix = table["cols"].combine_chunks()
-        order = np.lexsort((nodes, n, columns))
-        columns, nodes, n, rank, label = columns[order], nodes[order], n[order], rank[order], label[order]
-        # the rows after row i of the same column, up to the largest size that can link with it
-        start = np.flatnonzero(np.concatenate(([True], columns[1:] != columns[:-1])))
+        low, high = np.minimum(tile, other), np.maximum(tile, other)
+        order = np.lexsort((nodes, n, high, low, columns))
+        columns, nodes, n, rank, label, tile, low, high = (x[order] for x in (columns, nodes, n, rank, label, tile, low, high))
+        # the rows after row i of the same column and tiles, up to the largest size that can link with it
+        start = np.flatnonzero(np.concatenate(([True], (columns[1:] != columns[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(columns))))
         wide = np.int64(n.max()) * den // num + 2 if len(n) else 1
         reach = np.searchsorted(group * wide + n, group * wide + n * den // num, "right")
@@ -247,34 +271,40 @@ def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
                 if len(held) >= 20_000:
                     held.clear()
                 ordered = prefix[int(order[i])].as_py()
-                found = held[int(nodes[i])] = (ordered, frozenset(ordered))
+                found = held[int(nodes[i])] = (ordered, frozenset(ordered or ()))
             return found
 
-        out, at = [], 0
+        out, at = {}, 0
         while at < len(n):
             last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20), "right")))
             span = spans[at:last]
             left = np.repeat(np.arange(at, last), span)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(span) - span, span)
             least = num * (n[left] + n[right])
-            keep = (label[left] != label[right]) & ((n[left] - rank[left]) * (num + den) >= least) & ((n[right] - rank[right]) * (num + den) >= least)
+            keep = (label[left] != label[right]) & ((low[left] == high[left]) | (tile[left] != tile[right])) & ((n[left] - rank[left]) * (num + den) >= least) & ((n[right] - rank[right]) * (num + den) >= least)
             for i, j in zip(left[keep].tolist(), right[keep].tolist(), strict=True):
                 (ordered, one), (_, other) = row(i), row(j)
-                if next(c for c in ordered if c in other) != columns[i]:
-                    continue  # the pair belongs to an earlier column
-                # beyond what the prefixes share, the larger suffix can add ceil(n * num / den) - 1 columns
-                most = len(one & other) + -(-int(n[j]) * num // den) - 1
-                if most * (num + den) >= num * int(n[i] + n[j]):
-                    out.append((int(nodes[i]), int(nodes[j])))
+                if one and other:
+                    if next(c for c in ordered if c in other) != columns[i]:
+                        continue  # the pair belongs to an earlier column
+                    # beyond what the prefixes share, the larger suffix can add ceil(n * num / den) - 1 columns
+                    most = len(one & other) + -(-int(n[j]) * num // den) - 1
+                    if most * (num + den) < num * int(n[i] + n[j]):
+                        continue
+                out[int(nodes[i]), int(nodes[j])] = None
             at = last
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    prefixes = entries.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "col"))), lambda x: x["col"]).alias("cols"))  # at most a prefix
+    short = F.col("n") - F.ceil(F.col("n") * num / den) + 1 <= SHIPPED
+    prefixes = entries.where(short).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "col"))), lambda x: x["col"]).alias("cols"))  # SHIPPED at most
     # an entry takes part only if enough columns follow it for the smallest partner that its column may hold
     partner = F.greatest(F.col("least"), F.floor((F.col("n") * num + den - 1) / den))
     useful = entries.where((F.col("n") - F.col("rank")) * (num + den) >= num * (F.col("n") + partner)).drop("least")
-    return (useful.join(prefixes, "node").withColumn("block", F.pmod(F.xxhash64("col"), F.lit(blocks)))
-            .groupBy("block").applyInArrow(multiply, "a long, b long"))
+    tiles = F.ceil(F.col("m") / TILE)
+    tiled = (useful.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles.cast("int") - 1))).drop("m"))
+    block = F.pmod(F.xxhash64("col", F.least("tile", "other"), F.greatest("tile", "other")), F.lit(blocks))
+    return (tiled.join(prefixes, "node", "left").withColumn("block", block)
+            .groupBy("block").applyInArrow(multiply, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -285,13 +315,53 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     with an equal set.  A null id takes part with its text and is smallest only
     where its component has no other id.
     """
+    rows, roots, _ = _grouped(docs, id_column, text_column, k, num, den)
+    known = (rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+             .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = written(known.join(lowest, "root").select("node", "component_id", F.col("copies").alias("count"), "copies"), "known")
+    out = join_counted(rows.where("n > 0"), known, "node", "count").unionByName(rows.where("n = 0").selectExpr("*", "id as component_id", "1L as copies"))
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "copies")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The rows of `docs` of which one of each group of linked rows stays; rows without words all stay.
+
+    The row with the smallest id stays, a null id only where its group has no other; of rows that
+    share that id, the one of the smallest set digest, then text, then other columns as JSON.
+    Columns come back as they are.
+    """
+    rows, roots, shared = _grouped(docs, id_column, text_column, k, num, den)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    firsts = rows.where("n > 0").groupBy("node").agg(F.min(order).alias("first")).join(roots, "node", "left")
+    stay = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.node", "first.id")
+
+    def name(batches):
+        for batch in batches:
+            sets = [(len(s), _node(s, shared)) for s in K.shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1))], ["id", "text", "rest", "n", "node"])
+
+    rest = [c for c in docs.columns if c not in (id_column, text_column)]
+    base = small_batches(docs).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), (F.struct(*rest) if rest else F.lit(0)).alias("rest"))
+    named = written(base.mapInArrow(name, T.StructType([*base.schema.fields, T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])), "named")
+    match = (named["node"] == stay["node"]) & named["id"].cast("long").eqNullSafe(stay["id"])
+    some = named.where("n > 0").join(stay, match, "left_semi")
+    one = some.groupBy(F.col("id").cast("long").alias("key"), "node").agg(F.min_by(F.struct("id", "text", "rest"), F.struct("text", F.to_json(F.struct("rest")))).alias("row")).select("row.*")
+    every = one.unionByName(named.where("n = 0").select("id", "text", "rest"))
+    return every.select(*[F.col("id").alias(c) if c == id_column else F.col("text").alias(c) if c == text_column else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str, k: int, num: int, den: int):
+    """(id, n, node) of each row; (node, root) of each linked node; the digests that different sets share."""
     base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     texts = base.select("text")
     blocks = block_count(texts)
     rows = written(_digests(base, k), "digests")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    levels = _level_table(texts, k, blocks)
-    entries = _postings(texts, k, num, den, blocks, levels)
+    alike = rows.where("n > 0").groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high")
+    shared = frozenset(r.node for r in alike.select("node").collect())  # about n * n / 2**65 of n documents
+    rows = rows.select("id", "n", (F.when(F.col("node").isin(list(shared)), F.col("other")).otherwise(F.col("node")) if shared else F.col("node")).alias("node"))
+    levels = _level_table(texts, k, blocks, shared)
+    entries = _postings(texts, k, num, den, blocks, levels, shared)
     fit = _sizes_fit(num, den)
 
     # one leader in each of a row's first columns
@@ -299,13 +369,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = (entries.where("rank < 2").join(leads, "col")
              .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
              .where("a <> b").where(fit).select("a", "b").distinct())
-    links = _verified(written(first, "pairs"), texts, k, num, den)
+    links = _verified(written(first, "pairs"), texts, k, num, den, shared)
     roots = written(components(links), "roots")
 
     def labelled():
         known = entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        open_ = known.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("col", "least")
-        return known.join(open_, "col").select("col", "node", "n", "rank", "label", "least")
+        open_ = known.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.count("*").alias("m")).where("lo <> hi").select("col", "least", "m")
+        return known.join(open_, "col").select("col", "node", "n", "rank", "label", "least", "m")
 
     # one row of every component that meets a column
     open_entries = written(labelled(), "open")
@@ -314,17 +384,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     second = (tops.join(leads, "col").where("label <> lead.label")
               .select(F.least("lead.top.node", "top.node").alias("a"), F.greatest("lead.top.node", "top.node").alias("b"), F.col("lead.top.n").alias("na"), F.col("top.n").alias("nb"))
               .where(fit).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")))
-    more = _verified(written(second.select("a", "b"), "pairs"), texts, k, num, den)
+    more = _verified(written(second.select("a", "b"), "pairs"), texts, k, num, den, shared)
     links = links.union(more)
     roots = written(components(links), "roots")
+    discard(open_entries)
 
     rest = _product(labelled(), blocks, num, den)
-    links = links.union(_verified(written(rest, "pairs"), texts, k, num, den))
+    links = links.union(_verified(written(rest, "pairs"), texts, k, num, den, shared))
     roots = written(components(links), "roots")
-
-    known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = known.join(lowest, "root").select("node", "component_id", "copies")
-    return (rows.join(known, "node", "left")
-            .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies")))
+    discard(entries)
+    return rows, roots, shared

@@ -2,8 +2,10 @@
 
 A document's tokens (with an end id) are cut from the start into pieces of the
 longest length, then into pieces whose lengths are the binary digits of the rest,
-descending.  Each piece is a sequence of its own and sequences of equal length
-share a bucket, so no sequence crosses documents and none is padded.
+descending.  Each piece is a sequence of its own, so no sequence crosses documents and
+none is padded.  Sequences of equal length share a bucket: pieces shuffle by bucket and
+one of 65,536 slots of a hash of their place and ids, and a sequence's id is its bucket,
+slot and rank there, the same under any partitioning of the input.
 
 Tokenising: the byte-level BPE of the tokenizer file splits a text at ASCII white
 space into units that do not depend on their neighbours: a run followed by a word
@@ -11,8 +13,7 @@ gives the word its last blank, and the rest of the run is a unit.  Each task enc
 a unit once and gathers ids by position.  Texts with other white space or with the
 string of a special token are encoded whole.
 
-One pass, no shuffle.  Null and empty texts hold the end id alone.  Repeated rows
-are packed one by one.
+Null and empty texts hold the end id alone.  Repeated rows are packed one by one.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import small_batches
 
 CACHE = 1_200_000
+SLOTS = 1 << 16
 
 # The first bytes of white space beyond ASCII and of separators that engines treat differently.
 _ODD = np.zeros(256, bool)
@@ -47,7 +49,7 @@ class UnitEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.index = np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)  # hash and both keys of each unit, by hash
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]):
@@ -59,25 +61,30 @@ class UnitEncoder:
 
     def _lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each span, the index of its ids."""
-        value, at, back = np.unique(K.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, value)
-        hit = np.zeros(len(value), bool)
-        inside = place < len(self.known)
-        hit[inside] = self.known[place[inside]] == value[inside]
+        one, two = K.span_keys(data, start, end)
+        value, at, back = K.distinct_keys(one, two)
+        keys = np.stack((value, one[at], two[at]), axis=1)
+        place = np.searchsorted(self.known[:, 0], value)
+        hit = place < len(self.known)
+        hit[hit] = (self.known[place[hit]] == keys[hit]).all(axis=1)
+        if len(self.known) > CACHE and not hit.all():
+            self._forget()
+            place, hit = np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+        found = np.empty(len(value), np.int64)
+        found[hit] = self.index[place[hit]]
         if not hit.all():
-            if len(self.known) > CACHE:
-                self._forget()
-                hit[:] = False
             new = at[~hit]
             raw = data.tobytes()
             flat, size = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-            base = len(self.size)
+            found[~hit] = len(self.size) + np.arange(len(new))
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
             self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, size))
-            where = np.searchsorted(self.known, value[~hit])
-            self.known, self.index = np.insert(self.known, where, value[~hit]), np.insert(self.index, where, base + np.arange(len(new)))
-            place = np.searchsorted(self.known, value)
-        return self.index[place][back]
+            # a hash is remembered for one unit: another one with that hash is encoded each time it comes
+            free = ~hit & ((place == len(self.known)) | (self.known[np.minimum(place, len(self.known) - 1), 0] != value if len(self.known) else True))
+            free[1:] &= value[1:] != value[:-1]
+            self.known = np.insert(self.known, place[free], keys[free], axis=0)
+            self.index = np.insert(self.index, place[free], found[free])
+        return found[back]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """(ids, row offsets) of a run of texts."""
@@ -177,6 +184,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
                                                  ["id", "start", "length", "ids", "doc_tokens"])
 
     base = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    cut_ = base.mapInArrow(cut, "id long, start long, length long, ids binary, doc_tokens long")
-    return cut_.select(F.col("id").alias(id_column), "start", "length", "ids", "doc_tokens", F.log2("length").cast("int").alias("bucket"),
-                       F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    cut_ = (base.mapInArrow(cut, "id long, start long, length long, ids binary, doc_tokens long")
+            .withColumn("bucket", F.log2("length").cast("int")).withColumn("crc", F.crc32("ids")).withColumn("slot", F.pmod(F.xxhash64("id", "start", "crc"), F.lit(SLOTS))))
+    place = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy("id", "start", "crc", "doc_tokens")).cast("long") - 1
+    number = F.shiftleft(F.col("bucket").cast("long"), 57) + F.shiftleft("slot", 41) + place
+    return cut_.select(F.col("id").alias(id_column), "start", "length", "ids", "doc_tokens", "bucket", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -13,6 +13,7 @@ Null texts count as empty.
 from __future__ import annotations
 
 import ctypes
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
-_BASE = {0: 0x5851F42D4C957F2D, 1: 0xD1342543DE82EF95, 2: 0x2545F4914F6CDD1D}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,26 +39,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_tables(lane: int) -> np.ndarray:
-    seed = np.arange(256, dtype=np.uint64) * _GOLD + np.uint64(1 + 7919 * lane)
-    return mix(mix(seed + _GOLD))
-
-
-_BYTES = {lane: _byte_tables(lane) for lane in (0, 1)}
-_FOLD = np.arange(256)
+_LANE = (np.uint64(0x632BE59BD9B4E019), np.uint64(0xD1342543DE82EF95))
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _powers(n: int, lane: int, inverse: bool) -> np.ndarray:
-    """base**i (or its inverse) modulo 2**64 for i < n; grown by doubling."""
-    key = (lane, inverse)
-    if key not in _POWERS or len(_POWERS[key]) < n:
-        base = pow(_BASE[lane], -1, 1 << 64) if inverse else _BASE[lane]
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS[key][:n]
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 16  # bytes from which a span's keys are a digest
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES):
@@ -123,32 +108,78 @@ class Words:
             self.start = self.end = np.zeros(0, np.int64)
         self.of_row = np.searchsorted(self.start, offsets)
 
+    def keys(self, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit keys for each word, as `span_keys`; with `fold`, A-Z count as a-z."""
+        return span_keys(_FOLD[self.data] if fold else self.data, self.start, self.end)
+
     def hashes(self, lane: int = 0, fold: bool = False) -> np.ndarray:
-        """One 64-bit hash for each word; with `fold`, A-Z count as a-z."""
-        return span_hashes(self.data, self.start, self.end, lane, fold)
+        """One 64-bit hash for each word."""
+        return hash_keys(*self.keys(fold), lane)
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.of_row))
 
 
-def span_hashes(data, start, end, lane: int = 0, fold: bool = False) -> np.ndarray:
-    """Hashes of byte spans: a polynomial over random byte values, finalised with the length."""
-    table = _BYTES[lane][_FOLD] if fold else _BYTES[lane]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * _powers(len(data), lane, False), out=total[1:])
-    value = (total[end] - total[start]) * _powers(len(data) + 1, lane, True)[start]
-    return mix(value + (end - start).astype(np.uint64) * _GOLD)
-
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each byte span.
 
-def window_hashes(words: np.ndarray, of_row: np.ndarray, k: int, lane: int = 0):
-    """Hashes of every window of k words inside a row: (first word's index, hash)."""
+    Spans of up to 15 bytes *are* their keys (bytes and length), so different ones never
+    agree; longer ones have 120 bits of a BLAKE2b digest.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    size = end - start
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each position on
+    one = eight[start] & _MASK[np.minimum(size, 8)]
+    two = eight[np.minimum(start + 8, len(data))] & _MASK[np.clip(size - 8, 0, 8)] | size.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size >= _LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        found = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        one[long], two[long] = found[:, 0], found[:, 1] | np.uint64(0xFF << 56)
+    return one, two
+
+
+def hash_keys(one: np.ndarray, two: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of pairs of keys; the lanes mix them differently."""
+    if lane:
+        one, two = two, one
+    return mix(mix(two + _LANE[lane]) ^ one)
+
+
+def distinct_keys(one: np.ndarray, two: np.ndarray):
+    """(hash, first index) of each distinct pair of keys, by hash, and the place of every pair among them."""
+    hashed = hash_keys(one, two)
+    value, at, back = np.unique(hashed, return_index=True, return_inverse=True)
+    if len(hashed) and ((one[at][back] != one) | (two[at][back] != two)).any():  # a hash that different keys share
+        order = np.lexsort((two, one, hashed))
+        a, b, h = one[order], two[order], hashed[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (h[1:] != h[:-1])))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        at, value = order[new], h[new]
+    return value, at, back
+
+
+def window_hashes(words: np.ndarray, of_row: np.ndarray, k: int):
+    """Hashes of every window of k words inside a row: (first word's index, hash).
+
+    Spans of 1, 2, 4, ... words are mixed pairwise; two of them that overlap make the window.
+    """
     n = len(words)
     last = np.repeat(of_row[1:], np.diff(of_row))
     at = np.flatnonzero(np.arange(n) + k <= last)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * _powers(n, 2, False), out=total[1:])
-    value = (total[at + k] - total[at]) * _powers(n + 1, 2, True)[at]
-    return at, mix(value + np.uint64((k * int(_GOLD) + lane) % (1 << 64)))
+    value, span = mix(words), 1
+    while span * 2 <= k:
+        value = mix(value[:-span] * _M1 + value[span:]) if len(value) > span else value[:0]
+        span *= 2
+    if span < k:
+        value = value[at] * _M2 + value[at + k - span]
+    else:
+        value = value[at]
+    return at, mix(value + np.uint64(k * int(_GOLD) % (1 << 64)))
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -177,11 +208,8 @@ def shingle_sets(column: pa.Array, k: int):
 
 
 def set_digest(values: np.ndarray) -> tuple[int, int]:
-    """Two order-free 64-bit digests of a set of hashes (as signed integers)."""
-    one = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    two = mix(values + np.uint64(0x0123456789ABCDEF)).sum(dtype=np.uint64)
-    pair = mix(np.array([one + np.uint64(len(values)), two], np.uint64)).view(np.int64)
-    return int(pair[0]), int(pair[1])
+    """Two 64-bit digests of an ascending array of hashes (as signed integers)."""
+    return tuple(np.frombuffer(blake2b(values.tobytes(), digest_size=16).digest(), "<i8").tolist())
 
 
 def text_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

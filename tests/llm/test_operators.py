@@ -129,7 +129,7 @@ def test_substring_dedup(spark, window):
             if seen[tuple(w[i:i + window])] > 1:
                 gone[i:i + window] = [True] * window
         want[id_, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()] += 1
-    got = remove_repeats(table(spark, some), window=window, carry=("lang", "n_chars")).collect()
+    got = remove_repeats(table(spark, some), window=window, carry=("lang", "n_chars")).select("*", "carry.*").collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == want
     assert Counter((r.doc_id, r.lang, r.n_chars) for r in got) == Counter((r[0], r[2], r[4]) for r in some)
     assert remove_repeats(empty(spark)).count() == 0
@@ -168,13 +168,21 @@ def test_patricia_trie(budget):
     import random
 
     rng = random.Random(1)
-    keys = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    keys = [b"begin"[:i // 500] + bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(12))) for i in range(2999, -1, -1)]
     trie, want = PatriciaTrie(budget), {}
     for i, key in enumerate(keys):
-        trie.insert(key, (i, i, 1))
-        low, high, n = want.get(key, (i, i, 0))
-        want[key] = (min(low, i), max(high, i), n + 1)
-    assert dict(trie.entries()) == want
+        trie.insert(key, (i, i, 1, [i]))
+        low, high, n, rows_ = want.get(key, (i, i, 0, []))
+        want[key] = (min(low, i), max(high, i), n + 1, rows_ + [i])
+    assert {k: (*e[:3], sorted(e[3])) for k, e in trie.entries()} == want
+    assert (trie.spills > 3) == (budget == 3000)
+
+
+def test_exact_dedup_spills(spark):
+    """An owner whose trie spills subtrees, and subtrees of those, gives the same rows."""
+    some = [(i, f"{'x' * (i % 7)} text {i % 400}", "en", "s", 1, 1, 1, "h") for i in range(2000)]
+    one, two = (Counter(tuple(r) for r in exact_duplicates(table(spark, some), budget=b).collect()) for b in (1 << 30, 4000))
+    assert one == two and sum(r[3] for r in one) == len({r[1] for r in some})
 
 
 def test_packing(spark):
