@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept;
 all but the last return the columns of documents, with n_chars as the text's length.
-Rows with a null id cannot be told apart, so the near-duplicate stage keeps them all;
-of rows that repeat an id it keeps one.
+Columns beyond doc_id and text travel as one struct, so none of their names can clash with
+an operator's and their values come back untouched.  Ids may be null or repeat: rows are
+told apart by their texts as well.
 """
 
 from __future__ import annotations
@@ -13,41 +14,44 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import toxicity
 from siltstone.llm.common import written
-from siltstone.llm.line_templates import drop_templates
-from siltstone.llm.ngram_join import near_duplicates
+from siltstone.llm.line_templates import drop_recurring
+from siltstone.llm.ngram_join import keep_one
 from siltstone.llm.packing import pack
 from siltstone.llm.queries import tokenizer_file
 from siltstone.llm.substring_dedup import remove_repeats
 
 
-def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of `docs`, n_chars recounted."""
-    count = F.length("text").cast("long")
-    return changed.select(*[count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+def _folded(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one struct, `carry`."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(0)).alias("carry"))
+
+
+def _unfolded(rows: DataFrame, docs: DataFrame, changed: bool = True) -> DataFrame:
+    """The columns of `docs` again; n_chars recounted where texts have changed."""
+    count = F.length("text").cast(docs.schema["n_chars"].dataType) if changed and "n_chars" in docs.columns else None
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else (count if c == "n_chars" and changed else F.col("carry")[c]).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents predicted toxic go."""
     grammar, weights = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, grammar, weights).where("predicted = 0").select(*docs.columns)
+    return _unfolded(toxicity.score(_folded(docs), grammar, weights).where("predicted = 0"), docs, changed=False)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: recurring line templates keep their first line only."""
-    return _like(drop_templates(docs), docs)
+    """Operator 10: recurring lines keep their first one only."""
+    return _unfolded(drop_recurring(_folded(docs)), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each group of linked documents the one with the smallest id stays."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null"))
+    return keep_one(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: words inside repeated 35-word windows go."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return _like(remove_repeats(docs, carry=rest), docs)
+    """Operator 3: words inside repeated 35-word windows go; what is left keeps its layout."""
+    return _unfolded(remove_repeats(_folded(docs), carry=("carry",), layout=True).withColumn("carry", F.col("carry.carry")), docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
