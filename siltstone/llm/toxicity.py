@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers over the tokens of a clause emit insult, threat, target, negation and
-reported speech; their composition accepts a clause that holds an insult, or a threat
-with a target, and gives it one of the kinds in KINDS.  A negation up to three
-tokens before an insult, or a verb of speech before it, changes the clause's kind.
+A lexical transducer turns each token into a class and a weight; transducers for
+negation, reported speech, insult, threat and target (transducers.py) read the classes
+of a clause, and their composition, one table, accepts a clause that holds an insult, or a
+threat with a target, and gives it one of the kinds in KINDS.  A negation up to three
+tokens before an insult, or a verb of speech before it, changes the clause's kind.  A
+clause weighs as much as its heaviest insult.
 A text's features are its clauses of each kind; weights are learned, so how much a
 negated or reported insult counts comes from the labels, starting from priors.
 
@@ -30,7 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import transducers as T
 from .common import small_batches, written
 
 # Seeds of the transducers, by class, in English, German, French and Spanish.
@@ -53,49 +57,39 @@ class Grammar:
 
     def __init__(self, words: dict[str, float], starts: dict[str, float]):
         self.words, self.starts = words, starts
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton()  # finds the clauses worth reading
         for word in {*words, *THREATS}:
             self.automaton.add_word(word, (len(word), True))
         for start in starts:
-            if not self.automaton.exists(start):
-                self.automaton.add_word(start, (len(start), False))
-            else:
-                self.automaton.add_word(start, (len(start), False))
+            self.automaton.add_word(start, (len(start), False))
         self.automaton.make_automaton()
-        self.targets, self.negations, self.reports, self.threats = map(frozenset, (TARGETS, NEGATIONS, REPORTS, THREATS))
-
-    def insult(self, token: str) -> float | None:
-        """The insult transducer's weight for a token."""
-        found = self.words.get(token)
+        self.classes = {t: c for c, some in ((T.THREAT, THREATS), (T.REPORT, REPORTS), (T.NEGATION, NEGATIONS), (T.TARGET, TARGETS)) for t in some}
+        self.table, marks = T.compose(T.negation(), T.reported_speech(), T.insult(), T.threat(), T.target())
+        self.kinds = [self._kind(m) for m in marks]
+
+    @staticmethod
+    def _kind(marks: frozenset[str]) -> int | None:
+        """The kind of a clause that ends with these marks."""
+        if "plain" in marks:
+            return 1 if "target" in marks else 0
+        return 2 if "negated" in marks else 3 if "reported" in marks else 4 if {"threat", "target"} <= marks else None
+
+    def token(self, token: str) -> tuple[int, float]:
+        """The lexical transducer: a token's class and weight."""
+        weight = self.words.get(token)
         for n in PREFIXES:
             if len(token) > n and (w := self.starts.get(token[:n])) is not None:
-                found = w if found is None else max(found, w)
-        return found
+                weight = w if weight is None else max(weight, w)
+        return (self.classes.get(token, T.OTHER), 0.0) if weight is None else (T.INSULT, weight)
 
     def clause(self, text: str) -> tuple[int, float] | None:
         """(kind, weight) of an accepted clause."""
-        weight, best, kind = 0.0, None, None
-        negated, reported, aimed, threat = 99, False, False, False
+        state, heaviest = 0, 0.0
         for token in TOKEN.findall(text):
-            negated += 1
-            if (w := self.insult(token)) is not None:
-                state = 3 if reported else 2 if negated <= 3 else 0
-                if best is None or state < best:
-                    best = state
-                weight = max(weight, w)
-            elif token in self.targets:
-                aimed = True
-            elif token in self.negations:
-                negated = 0
-            elif token in self.reports:
-                reported = True
-            elif token in self.threats:
-                threat = True
-        if best is not None:
-            kind = 1 if best == 0 and aimed else best
-        elif threat and aimed:
-            kind = 4
-        return None if kind is None else (kind, weight)
+            c, weight = self.token(token)
+            state, heaviest = self.table[state][c], max(heaviest, weight)
+        kind = self.kinds[state]
+        return None if kind is None else (kind, heaviest)
 
     def features(self, text: str) -> np.ndarray | None:
         """log(1 + clauses) of each kind and the largest insult weight; None without an accepted clause."""
@@ -250,7 +244,5 @@ def score(docs: DataFrame, grammar: Grammar, weights: np.ndarray, id_column: str
 
     names = [c for c in docs.columns if c not in (text_column, "score", "predicted")]
     rows = small_batches(docs).select(*names, text_column)
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
     return rows.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -378,5 +378,53 @@ def test_grammar_kinds():
     assert grammar.features("a loweish thing. nice day") is not None
 
 
+def brute_clause(tokens, insults):
+    """(kind, weight) by rules over positions, without a machine."""
+    plain = negated = reported = False
+    heaviest = 0.0
+    for i, token in enumerate(tokens):
+        if token in insults:
+            heaviest = max(heaviest, insults[token])
+            said = any(t in toxicity.REPORTS and t not in insults for t in tokens[:i])
+            no = any(t in toxicity.NEGATIONS and t not in insults for t in tokens[max(0, i - 3):i])
+            reported, negated, plain = reported or said, negated or no and not said, plain or not (no or said)
+    rest = [t for t in tokens if t not in insults]
+    aimed, threat = any(t in toxicity.TARGETS for t in rest), any(t in toxicity.THREATS for t in rest)
+    kind = (1 if aimed else 0) if plain else 2 if negated else 3 if reported else 4 if threat and aimed else None
+    return None if kind is None else (kind, heaviest)
+
+
+def test_composed_grammar_against_rules():
+    import random
+
+    rng = random.Random(5)
+    insults = {"idiot": 2.0, "moron": 1.0}
+    grammar = toxicity.Grammar(insults, {})
+    tokens = ["idiot", "moron", "not", "said", "you", "kill", "the", "cat"]
+    for _ in range(4000):
+        clause = [rng.choice(tokens) for _ in range(rng.randrange(8))]
+        assert grammar.clause(" ".join(clause)) == brute_clause(clause, insults), clause
+
+
+def test_toxicity_features_against_rules():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    insults = {"idiot": 2.0, "moron": 1.0}
+    grammar = toxicity.Grammar(insults, {})
+    for _ in range(500):
+        text = "".join(rng.choice(["idiot", "Moron", "not", "said", "you", "kill", "the", "idiotic"]) + rng.choice([" ", " ", ", ", ". ", "!", "\n"]) for _ in range(rng.randrange(30)))
+        want = np.zeros(len(toxicity.KINDS) + 1)
+        for clause in re.split(r"[.!?;\n]", text.lower()):
+            if found := brute_clause(re.findall(r"[a-z]+", clause), insults):
+                want[found[0]] += 1
+                want[-1] = max(want[-1], found[1])
+        want[:-1] = np.log1p(want[:-1])
+        got = grammar.features(text)
+        assert np.allclose(want, 0 if got is None else got), text
+
+
 def test_schema_is_the_documents_schema():
     assert SCHEMA.startswith("doc_id long, text string, lang string, source string, n_chars long")
