@@ -70,13 +70,19 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def read_media(table: DataFrame, media_column: str = "media", id_column: str = "doc_id") -> DataFrame:
-    """One row for each image of each row: id, frame, width, height, pixels (RGBA samples). Null media give no rows."""
+    """One row for each image of each row: id, frame, width, height, pixels (RGBA samples).
+
+    Null media give no rows; a value that cannot be read gives one row whose other columns are null.
+    """
     def run(batches):
         for batch in batches:
             rows = []
             for id_, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if value.is_valid:
-                    rows += [(id_, i, x.shape[1], x.shape[0], x.tobytes()) for i, x in enumerate(from_media(value.as_py()))]
+                    try:
+                        rows += [(id_, i, x.shape[1], x.shape[0], x.tobytes()) for i, x in enumerate(from_media(value.as_py()))]
+                    except (ValueError, IndexError):  # what damaged files raise
+                        rows.append((id_, None, None, None, None))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], ["id", "frame", "width", "height", "pixels"])
 

@@ -1,15 +1,18 @@
-"""Lossless WebP (VP8L): a reader of the whole format and a writer of plain images.
+"""Lossless WebP (VP8L): a reader of the whole format and a writer.
 
 The reader follows the public bitstream specification: prefix codes (simple and
 normal, in groups chosen by an entropy image), back-references with the plane
 distances, the colour cache, and the inverses of the predictor, cross-colour,
-subtract-green and palette transforms.  Where all four literal codes of an image
-have one length each and nothing else can occur, pixels have a fixed width and are
-unpacked as an array; other images go symbol by symbol.
-
-The writer stores RGBA samples with such codes: k bits for a channel that uses at
-most 2**k values.  An image takes at most 16,384 rows; longer payloads become
-several files, one after the other.
+subtract-green and palette transforms; in a plain file or in an extended one.  Where one
+group of codes serves the whole image, the symbol that would begin at each bit is looked up
+for all bits at once, and the image is the chain of symbols from the first bit; images with
+several groups go symbol by symbol.
+
+The writer uses the palette transform for images of at most 16 colours, else the predictor
+(black, left or top, whichever leaves least entropy); then back-references of three pixels
+or more, the colour cache where it is hit, and a prefix code for each channel by its counts.
+Equal images give equal files.  An image takes at most 16,384 rows; longer payloads
+become several files, one after the other.
 """
 
 from __future__ import annotations
@@ -21,60 +24,73 @@ CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 SIGNATURE = 0x2F
 MOST_SIDE = 1 << 14
 CACHE_FACTOR = 0x1E35A7BD
+LONGEST = 15
+BLACK = 0xFF000000
+FARTHEST = (1 << 20) - 120
+MOST_COPY = 4096
 
 #: Short distance codes, as (dx, dy): nearer first, then smaller |dx|, then dx before -dx.
 PLANE = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
+#: Bits that the reader looks at in one go.
+SEGMENT = 1 << 15
+
+_REVERSED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << LONGEST)], np.int64)
 
 
 class Bits:
     """Bits of a buffer, least significant first."""
 
     def __init__(self, data: bytes):
-        self.all = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-        self.at = 0
+        self.data, self.size, self.at = data + bytes(32), 8 * len(data), 0
+        self.eight = np.ndarray((len(data) + 24,), "<u8", self.data, strides=(1,))
+
+    def peek(self) -> int:
+        first = self.at >> 3
+        return int.from_bytes(self.data[first:first + 8], "little") >> (self.at & 7)
 
     def read(self, n: int) -> int:
-        if self.at + n > len(self.all):
-            raise ValueError("the image ends early")
-        value = 0
-        for i in range(n):
-            value |= int(self.all[self.at + i]) << i
+        value = self.peek() & (1 << n) - 1
         self.at += n
+        if self.at > self.size:
+            raise ValueError("the image ends early")
         return value
 
+    def windows(self, n: int) -> np.ndarray:
+        """The bits from each of the next n positions on, 57 at least; zeros beyond the end."""
+        first = self.at >> 3
+        rows = self.eight[first:((self.at + n - 1) >> 3) + 1]
+        return (rows[:, None] >> np.arange(8, dtype=np.uint64)).reshape(-1)[self.at & 7:(self.at & 7) + n]
+
 
 class PrefixCode:
     """A canonical prefix code, from the length of each symbol's code."""
 
     def __init__(self, lengths: np.ndarray):
-        self.lengths = lengths = np.asarray(lengths, np.int64)
+        lengths = np.asarray(lengths, np.int64)
         used = np.flatnonzero(lengths)
-        self.single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
-        self.width = 0 if self.single is not None else int(lengths[used[0]]) if (lengths[used] == lengths[used[0]]).all() else None
-        self.symbols = used if self.single is None else np.array([self.single])
-        self.table = None
-
-    def _build(self) -> None:
-        self.table, code, last = {}, 0, 0
-        for symbol in sorted(self.symbols.tolist(), key=lambda s: (self.lengths[s], s)):
-            length = int(self.lengths[symbol])
-            code <<= length - last
-            self.table[length, code] = symbol
-            code, last = code + 1, length
-        if code != 1 << last:
+        if len(used) < 2:
+            self.longest, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64)
+            return
+        used = used[np.argsort(lengths[used], kind="stable")]
+        of = lengths[used]
+        self.longest = longest = int(of[-1])
+        share = 1 << longest - of
+        if share.sum() != 1 << longest:
             raise ValueError("a prefix code is not complete")
+        row = np.repeat(np.arange(len(used)), share)[_REVERSED[:1 << longest] if longest == LONGEST else _REVERSED[:1 << longest] >> LONGEST - longest]
+        self.symbol, self.length = used[row], of[row]
 
     def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
-        if self.table is None:
-            self._build()
-        code = 0
-        for length in range(1, 16):
-            code = code << 1 | bits.read(1)
-            if (symbol := self.table.get((length, code))) is not None:
-                return symbol
-        raise ValueError("no such prefix code")
+        at = bits.peek() & (1 << self.longest) - 1
+        bits.at += int(self.length[at])
+        if bits.at > bits.size:
+            raise ValueError("the image ends early")
+        return int(self.symbol[at])
+
+    def look(self, windows: np.ndarray):
+        """(symbol, length) at the beginning of each window."""
+        at = (windows & np.uint64((1 << self.longest) - 1)).astype(np.int64)
+        return self.symbol[at], self.length[at]
 
 
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
@@ -90,24 +106,32 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
         of[CODE_ORDER[i]] = bits.read(3)
     code = PrefixCode(of)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    if code.width == 1 and code.symbols.max() < 16 and left >= alphabet:  # one bit for each length
-        taken = bits.all[bits.at:bits.at + alphabet]
-        bits.at += alphabet
-        return PrefixCode(code.symbols[taken])
     at, previous = 0, 8
+    symbol_of, length_of, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.longest) - 1
     while at < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        window = bits.peek()
+        symbol, n = symbol_of[window & mask], length_of[window & mask]
+        bits.at += n
         if symbol < 16:
             lengths[at] = symbol
             previous = symbol or previous
             at += 1
             continue
-        value, n = (previous, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3)) if symbol == 17 else (0, 11 + bits.read(7))
-        if at + n > alphabet:
+        window >>= n
+        if symbol == 16:
+            value, run, n = previous, 3 + (window & 3), 2
+        elif symbol == 17:
+            value, run, n = 0, 3 + (window & 7), 3
+        else:
+            value, run, n = 0, 11 + (window & 127), 7
+        bits.at += n
+        if at + run > alphabet:
             raise ValueError("too many code lengths")
-        lengths[at:at + n] = value
-        at += n
+        lengths[at:at + run] = value
+        at += run
+    if bits.at > bits.size:
+        raise ValueError("the image ends early")
     return PrefixCode(lengths)
 
 
@@ -118,25 +142,112 @@ def _extra(bits: Bits, symbol: int) -> int:
     return (2 + (symbol & 1) << more) + bits.read(more) + 1
 
 
+def _values(symbol: np.ndarray, windows: np.ndarray):
+    """(value, extra bits) of length or distance symbols, the extra bits first in the windows."""
+    more = np.where(symbol < 4, 0, symbol - 2 >> 1)
+    extra = (windows & ((np.uint64(1) << more.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return np.where(symbol < 4, symbol + 1, (2 + (symbol & 1) << more) + extra + 1), more
+
+
+def _distances(code: np.ndarray, width: int) -> np.ndarray:
+    near = np.array([max(1, x + y * width) for x, y in PLANE])
+    return np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+
+
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """ARGB values of an entropy-coded image, row by row."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
-    cache = [0] * (1 << cache_bits) if cache_bits else []
+    cache_size = 1 << cache_bits if cache_bits else 0
     groups_of, step, groups = None, 0, 1
     if main and bits.read(1):
         step = bits.read(3) + 2
         across = (width + (1 << step) - 1) >> step
         groups_of = (read_pixels(bits, across, (height + (1 << step) - 1) >> step, False) >> 8 & 0xFFFF).reshape(-1, across)
         groups = int(groups_of.max()) + 1
-    codes = [[read_code(bits, n) for n in (256 + 24 + len(cache), 256, 256, 256, 40)] for _ in range(groups)]
-    total = width * height
-    if groups == 1 and not cache_bits and all(c.width is not None for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
-        return _fixed_width(bits, codes[0][:4], total)
+    codes = [[read_code(bits, n) for n in (256 + 24 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
+    if groups == 1:
+        return _by_chain(bits, codes[0], width, width * height, cache_bits)
+    return _by_symbol(bits, codes, groups_of, step, width, width * height, cache_bits)
+
+
+def _cache_keys(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def _by_chain(bits: Bits, codes: list[PrefixCode], width: int, total: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image with one group of codes."""
+    out, at = np.zeros(total, np.uint32), 0
+    specials = []
+    while at < total:
+        n = min(SEGMENT, bits.size - bits.at + 1)
+        if n < 1:
+            raise ValueError("the image ends early")
+        windows = bits.windows(n + 64)
+        green, next_ = codes[0].look(windows[:n])
+        next_ = next_ + np.arange(n)
+        literal, advance = green < 256, np.ones(n, np.int64)
+        value = green.astype(np.uint32) << np.uint32(8)
+        after, spot = next_.copy(), np.where(literal, next_, 0)
+        for code, shift in zip(codes[1:4], (16, 0, 24), strict=True):
+            symbol, length = code.look(windows[spot])
+            value |= symbol.astype(np.uint32) << np.uint32(shift)
+            spot = spot + length
+        after[literal] = spot[literal]
+        copies = np.flatnonzero((green >= 256) & (green < 280))
+        if len(copies):
+            spot = next_[copies]
+            length, more = _values(green[copies] - 256, windows[spot])
+            spot = spot + more
+            found, wide = codes[4].look(windows[np.minimum(spot, n + 63)])
+            spot = spot + wide
+            far, more = _values(found, windows[np.minimum(spot, n + 63)])
+            advance[copies], after[copies] = length, spot + more
+            value[copies] = _distances(far, width)
+        tokens, q, here = [], 0, at
+        jump, steps = after.tolist(), advance.tolist()
+        while q < n and here < total:
+            if jump[q] == q:  # symbols without bits fill the rest
+                tokens += [q] * (total - here)
+                here = total
+                break
+            tokens.append(q)
+            here += steps[q]
+            q = jump[q]
+        if here > total:
+            raise ValueError("a back-reference leaves the image")
+        bits.at += q
+        if bits.at > bits.size:
+            raise ValueError("the image ends early")
+        tokens = np.array(tokens)
+        took = advance[tokens]
+        places = at + np.cumsum(took) - took
+        plain = literal[tokens]
+        out[places[plain]] = value[tokens[plain]]
+        for t, place in zip(tokens[~plain].tolist(), places[~plain].tolist(), strict=True):
+            specials.append((place, int(green[t]), steps[t], int(value[t])))
+        at = here
+    cache, known = np.zeros(1 << cache_bits, np.uint32), 0
+    for place, symbol, length, distance in specials:
+        if symbol < 280:
+            if distance > place:
+                raise ValueError("a back-reference leaves the image")
+            out[place:place + length] = out[place - distance:place - distance + length] if distance >= length else np.resize(out[place - distance:place], length)
+        else:
+            fresh = out[known:place]
+            cache[_cache_keys(fresh, cache_bits)] = fresh  # of equal keys the last one stays
+            known = place
+            out[place] = cache[symbol - 280]
+    return out
+
+
+def _by_symbol(bits: Bits, codes, groups_of: np.ndarray, step: int, width: int, total: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image whose codes change from tile to tile."""
+    cache = [0] * (1 << cache_bits)
     out, at = np.zeros(total, np.uint32), 0
     while at < total:
-        group = codes[int(groups_of[at // width >> step, at % width >> step]) if groups_of is not None else 0]
+        group = codes[int(groups_of[at // width >> step, at % width >> step])]
         symbol = group[0].read(bits)
         if symbol < 256:
             red, blue, alpha = (c.read(bits) for c in group[1:4])
@@ -162,25 +273,6 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
-def _fixed_width(bits: Bits, codes: list[PrefixCode], total: int) -> np.ndarray:
-    wide = [c.width for c in codes]
-    span = sum(wide)
-    if bits.at + span * total > len(bits.all):
-        raise ValueError("the image ends early")
-    field = bits.all[bits.at:bits.at + span * total].reshape(total, span)
-    bits.at += span * total
-    out, at = np.zeros(total, np.uint32), 0
-    for code, width, shift in zip(codes, wide, (8, 16, 0, 24), strict=True):  # green, red, blue, alpha
-        if len(code.symbols) != 1 << width:
-            raise ValueError("a prefix code is not complete")
-        index = np.zeros(total, np.uint16)
-        for i in range(width):
-            index = index << 1 | field[:, at + i]
-        out |= code.symbols.astype(np.uint32)[index] << np.uint32(shift)
-        at += width
-    return out
-
-
 def _bytes(pixels: np.ndarray) -> np.ndarray:
     """Channels blue, green, red, alpha of ARGB values."""
     return pixels.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -246,12 +338,30 @@ def _predict(mode: int, left, top, top_left, top_right):
     return _clamp(middle + np.sign(half) * (np.abs(half) >> 1))
 
 
+def _one_mode(rest: np.ndarray, mode: int) -> np.ndarray:
+    """The whole image predicted by black, left or top: sums along its rows and columns."""
+    out = rest.copy()
+    out[0, 0, 3] += 255
+    out[0] = np.cumsum(out[0], axis=0)
+    if mode == 2:
+        out = np.cumsum(out, axis=0)
+    else:
+        out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        if mode:
+            out[1:] = np.cumsum(out[1:], axis=1)
+        else:
+            out[1:, 1:, 3] += 255
+    return np.ascontiguousarray((out & 0xFF).astype(np.uint8)).view("<u4").reshape(-1)
+
+
 def inverse_predictor(pixels: np.ndarray, width: int, modes: np.ndarray, step: int) -> np.ndarray:
     """Adds to each pixel what its decoded neighbours predict."""
     rest = _bytes(pixels).reshape(-1, width, 4).astype(np.int64)
     out = np.zeros_like(rest)
     across = (width + (1 << step) - 1) >> step
     mode_of = (modes >> 8 & 0xFF).reshape(-1, across)
+    if (mode_of == mode_of[0, 0]).all() and mode_of[0, 0] < 3:
+        return _one_mode(rest, int(mode_of[0, 0]))
     for y in range(len(rest)):
         for x in range(width):
             if not y:
@@ -267,10 +377,17 @@ def inverse_predictor(pixels: np.ndarray, width: int, modes: np.ndarray, step: i
 
 def decode(data: bytes) -> tuple[int, int, np.ndarray, int]:
     """(width, height, RGBA samples as height x width x 4, bytes of the file) of the file that `data` starts with."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WEBP" or data[12:16] != b"VP8L" or data[20] != SIGNATURE:
-        raise ValueError("not a lossless WebP file")
-    whole = 8 + int.from_bytes(data[4:8], "little")
-    bits = Bits(data[21:20 + int.from_bytes(data[16:20], "little")])
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    whole, at = 8 + int.from_bytes(data[4:8], "little"), 12
+    while data[at:at + 4] != b"VP8L":  # an extended file holds other chunks as well
+        if at + 8 > min(whole, len(data)) or data[at:at + 4] == b"VP8 ":
+            raise ValueError("no lossless image")
+        size = int.from_bytes(data[at + 4:at + 8], "little")
+        at += 8 + size + (size & 1)
+    if data[at + 8:at + 9] != bytes([SIGNATURE]):
+        raise ValueError("not a lossless image")
+    bits = Bits(data[at + 9:at + 8 + int.from_bytes(data[at + 4:at + 8], "little")])
     width, height = bits.read(14) + 1, bits.read(14) + 1
     opaque = not bits.read(1)
     if bits.read(3):
@@ -303,48 +420,221 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray, int]:
     return width, height, samples, whole + (whole & 1)
 
 
-def _number(value: int, n: int) -> np.ndarray:
-    return np.array([value >> i & 1 for i in range(n)], np.uint8)
+def _forward(argb: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What the predictor leaves of an image: channels blue, green, red, alpha."""
+    rows = _bytes(argb).reshape(-1, width, 4)
+    out = rows.copy()
+    out[0, 0, 3] += np.uint8(1)  # less 255
+    out[0, 1:] -= rows[0, :-1]
+    out[1:, 0] -= rows[:-1, 0]
+    if mode == 0:
+        out[1:, 1:, 3] += np.uint8(1)
+    else:
+        out[1:, 1:] -= rows[1:, :-1] if mode == 1 else rows[:-1, 1:]
+    return out.reshape(-1, 4)
+
+
+def _entropy(channels: np.ndarray) -> float:
+    """Bits that four codes by count would take."""
+    counts = np.bincount((channels + np.arange(0, 1024, 256)).reshape(-1), minlength=1024)
+    counts = counts[counts > 0].astype(np.float64)
+    return float(4 * len(channels) * np.log2(len(channels)) - (counts * np.log2(counts)).sum())
+
+
+def _lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a complete prefix code of at most 15 bits: by each symbol's share, then shortened until nothing is left over."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 3:
+        lengths[used] = 1
+        return lengths
+    used = used[np.argsort(-counts[used], kind="stable")]
+    share = np.maximum(counts[used], counts.sum() / (1 << LONGEST - 1))
+    of = np.ceil(np.log2(share.sum() / share)).astype(np.int64)
+    left = (1 << LONGEST) - int((1 << LONGEST - of).sum())
+    while left:  # the shortest code that can lose a bit; ties go to the more frequent symbol
+        at = int(np.argmax(of >= LONGEST + 1 - left.bit_length()))
+        left -= 1 << LONGEST - int(of[at])
+        of[at] -= 1
+        if at and of[at] < of[at - 1]:  # stay in order
+            to = int(np.searchsorted(of[:at], of[at], "right"))
+            of[to], of[at] = of[at], of[to]
+    lengths[used] = of
+    return lengths
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """Each symbol's code, first bit lowest; a lone symbol's takes no bits."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) > 1:
+        used = used[np.argsort(lengths[used], kind="stable")]
+        share = 1 << LONGEST - lengths[used]
+        out[used] = _REVERSED[np.cumsum(share) - share]
+    return out
 
 
-_NUMBERS = {n: np.array([[v >> n - 1 - i & 1 for i in range(n)] for v in range(1 << n)], np.uint8) for n in range(1, 9)}
+# The code of code lengths: five bits for four rare lengths, four bits for others; 16 is not used.
+_OF = np.array([5 if n in (1, 2, 14, 15) else 0 if n == 16 else 4 for n in range(19)])
+_OF_CODES = _codes(_OF).tolist()
+_OF_HEADER = [(0, 1), (15, 4), *((int(_OF[n]), 3) for n in CODE_ORDER), (0, 1)]
+
+
+def _code_header(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(value, bits) pairs that tell a code."""
+    used = np.flatnonzero(lengths).tolist()
+    if not used:
+        return [(1, 4)]
+    if len(used) <= 2 and used[-1] < 256:
+        return [(1, 1), (len(used) - 1, 1), (1, 1), *((x, 8) for x in used)]
+    out, at = list(_OF_HEADER), 0
+    of, wide = lengths.tolist(), _OF.tolist()
+    for symbol in [*used, len(of)]:
+        gap = symbol - at
+        while gap > 10:
+            run = min(gap, 138)
+            out += ((_OF_CODES[18], wide[18]), (run - 11, 7))
+            gap -= run
+        if gap > 2:
+            out += ((_OF_CODES[17], wide[17]), (gap - 3, 3))
+            gap = 0
+        out += [(_OF_CODES[0], wide[0])] * gap
+        if symbol < len(of):
+            out.append((_OF_CODES[of[symbol]], wide[of[symbol]]))
+        at = symbol + 1
+    return out
 
 
-def _written_code(used: np.ndarray, alphabet: int):
-    """(bits of the code's header, the code's length, each value's rank) for a channel that uses these values."""
-    if len(used) == 1:
-        return np.concatenate((_number(1 | 0 << 1 | 1 << 2, 3), _number(int(used[0]), 8))), 0, None
-    k = int(len(used) - 1).bit_length()
-    member = np.zeros(256, bool)
-    member[used] = True
-    member[np.flatnonzero(~member)[:(1 << k) - len(used)]] = True
-    place = CODE_ORDER.index(k)
-    of = np.zeros((max(place, 2) + 1, 3), np.uint8)
-    of[2, 0] = of[place, 0] = 1  # lengths 0 and k have one bit each
-    n = max(len(of), 4)
-    of = np.concatenate((of, np.zeros((n - len(of), 3), np.uint8)))
-    lengths = np.zeros(alphabet, np.uint8)
-    lengths[:256] = member
-    if k == 8 and alphabet == 256:  # every length is k: one symbol, which takes no bits
-        of[2, 0], lengths = 0, lengths[:0]
-    rank = np.cumsum(member) - 1
-    return np.concatenate((_number(0, 1), _number(n - 4, 4), of.reshape(-1), _number(0, 1), lengths)), k, rank
+def _matches(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of copies of three pixels or more from the nearest earlier place, first come first served."""
+    n = len(argb)
+    found: list[tuple[int, int, int]] = []
+    if n > 5:
+        key = argb.astype(np.uint64)
+        key = (key[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ key[1:-1] * np.uint64(0xBF58476D1CE4E5B9)) + key[2:] * np.uint64(0x94D049BB133111EB)
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        later, earlier = order[1:][same], order[:-1][same]
+        keep = (later - earlier <= FARTHEST) & (argb[later] == argb[earlier]) & (argb[later + 1] == argb[earlier + 1]) & (argb[later + 2] == argb[earlier + 2])
+        later, earlier = later[keep], earlier[keep]
+        by = np.argsort(later)
+        at = 0
+        for place, source in zip(later[by].tolist(), earlier[by].tolist(), strict=True):
+            if place < at:
+                continue
+            step = 64
+            length = 3
+            while True:
+                end = min(n, place + min(length + step, MOST_COPY))
+                differ = argb[place + length:end] != argb[source + length:source + end - place]
+                first = int(differ.argmax()) if differ.any() else len(differ)
+                length += first
+                if first < len(differ) or place + length >= n or length >= MOST_COPY:
+                    break
+                step *= 4
+            found.append((place, length, place - source))
+            at = place + length
+    return tuple(np.array([x[i] for x in found], np.int64) for i in range(3))
+
+
+def _prefixed(value: np.ndarray):
+    """(symbol, extra value, extra bits) of lengths or distance codes."""
+    less = value - 1
+    top = np.frexp(np.maximum(less, 1).astype(np.float64))[1] - 1
+    more = np.where(value <= 4, 0, top - 1)
+    symbol = np.where(value <= 4, less, 2 * top + (less >> np.maximum(top - 1, 0) & 1))
+    return symbol, np.where(value <= 4, 0, less & (1 << more) - 1), more
+
+
+def _near_codes(distance: np.ndarray, width: int) -> np.ndarray:
+    """The code of each distance: a short one where the plane has it."""
+    short = {}
+    for i, (x, y) in enumerate(PLANE):
+        short.setdefault(max(1, x + y * width), i + 1)
+    return np.array([short.get(d, d + 120) for d in distance.tolist()], np.int64)
+
+
+def _written(argb: np.ndarray, width: int, main: bool):
+    """(values, bits) of an entropy-coded image."""
+    n = len(argb)
+    place, length, distance = _matches(argb)
+    step = np.zeros(n + 1, np.int64)
+    step[place] += 1
+    np.add.at(step, place + length, -1)
+    covered = np.cumsum(step)[:n] > 0
+    cache_bits = min(10, max(1, n.bit_length() - 3)) if n > 15 else 0
+    hit = np.zeros(n, bool)
+    if cache_bits:
+        keys = _cache_keys(argb, cache_bits)
+        order = np.argsort(keys, kind="stable")
+        hit[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+        hit &= ~covered
+        if not hit.any():
+            cache_bits = 0
+    plain = ~covered & ~hit
+    channels = _bytes(argb).astype(np.int64)
+    green = np.where(plain, channels[:, 1], -1)
+    if cache_bits:
+        green[hit] = 280 + keys[hit]
+    long, long_extra, long_bits = _prefixed(length)
+    far, far_extra, far_bits = _prefixed(_near_codes(distance, width))
+    green[place] = 256 + long
+    counts = [np.bincount(green[green >= 0], minlength=280 + (1 << cache_bits if cache_bits else 0)),
+              *(np.bincount(channels[plain, c], minlength=256) for c in (2, 0, 3)), np.bincount(far, minlength=40)]
+    head = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
+    if main:
+        head.append((0, 1))
+    lengths = [_lengths(c) for c in counts]
+    codes = [_codes(x) for x in lengths]
+    for x in lengths:
+        head += _code_header(x)
+    lengths = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in lengths]
+    token = np.flatnonzero(green >= 0)
+    values, bits = codes[0][green[token]], lengths[0][green[token]]
+    which = plain[token]
+    at = token[which]
+    for code, of, c in zip(codes[1:4], lengths[1:4], (2, 0, 3), strict=True):
+        values[which] |= code[channels[at, c]] << bits[which]
+        bits[which] += of[channels[at, c]]
+    which = np.searchsorted(token, place)
+    for value, more in ((long_extra, long_bits), (codes[4][far], lengths[4][far]), (far_extra, far_bits)):
+        values[which] |= value << bits[which]
+        bits[which] += more
+    head = np.array(head, np.int64)
+    return np.concatenate((head[:, 0], values)), np.concatenate((head[:, 1], bits))
+
+
+def _packed(values: np.ndarray, bits: np.ndarray) -> bytes:
+    total = int(bits.sum())
+    shift = np.arange(total) - np.repeat(np.cumsum(bits) - bits, bits)
+    return np.packbits((np.repeat(values, bits) >> shift & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def encode(samples: np.ndarray) -> bytes:
     """A file of RGBA samples (height x width x 4), lossless."""
     height, width = samples.shape[:2]
-    flat = samples.reshape(-1, 4)
-    head = [_number(width - 1, 14), _number(height - 1, 14), _number(1, 1), _number(0, 3), _number(0, 1), _number(0, 1), _number(0, 1)]
-    fields = []
-    for channel, alphabet in ((1, 280), (0, 256), (2, 256), (3, 256)):
-        values = flat[:, channel]
-        code, k, rank = _written_code(np.flatnonzero(np.bincount(values, minlength=256)), alphabet)
-        head.append(code)
-        if k:
-            fields.append(_NUMBERS[k][rank[values]])
-    head.append(_number(1 | 0 << 1 | 0 << 2 | 0 << 3, 4))  # distances: one symbol, 0
-    body = np.concatenate(fields, axis=1).reshape(-1) if fields else np.zeros(0, np.uint8)
-    data = bytes([SIGNATURE]) + np.packbits(np.concatenate((*head, body)), bitorder="little").tobytes()
+    argb = np.ascontiguousarray(samples[:, :, [2, 1, 0, 3]]).view("<u4").reshape(-1)
+    parts = [(np.array([width - 1, height - 1, 1, 0]), np.array([14, 14, 1, 3]))]
+    colours = np.unique(argb) if len(argb) < 1 << 12 or len(np.unique(argb[:1 << 12])) <= 16 else argb[:17]
+    if len(colours) <= 16:
+        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        parts.append((np.array([1, 3, len(colours) - 1]), np.array([1, 2, 8])))
+        steps = np.diff(_bytes(colours).astype(np.uint8), axis=0, prepend=np.zeros((1, 4), np.uint8))
+        parts.append(_written(np.ascontiguousarray(steps).view("<u4").reshape(-1), len(colours), False))
+        across = (width + (1 << pack) - 1) >> pack
+        index = np.zeros((height, across << pack), np.uint32)
+        index[:, :width] = np.searchsorted(colours, argb).reshape(height, width)
+        shifts = (8 >> pack) * np.arange(1 << pack, dtype=np.uint32) + np.uint32(8)
+        pixels, wide = (index.reshape(height, across, -1) << shifts).sum(axis=2, dtype=np.uint32).reshape(-1), across
+    else:
+        rests = [_forward(argb, width, mode) for mode in (0, 1, 2)]
+        mode = int(np.argmin([_entropy(x) for x in rests]))
+        tiles = ((width + 511) >> 9) * ((height + 511) >> 9)
+        parts.append((np.array([1, 0, 7]), np.array([1, 2, 3])))
+        parts.append(_written(np.full(tiles, BLACK | mode << 8, np.uint32), (width + 511) >> 9, False))
+        pixels, wide = np.ascontiguousarray(rests[mode]).view("<u4").reshape(-1), width
+    parts.append((np.array([0]), np.array([1])))
+    parts.append(_written(pixels, wide, True))
+    data = bytes([SIGNATURE]) + _packed(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
     odd = b"\0" * (len(data) & 1)
     return b"RIFF" + (12 + len(data) + len(odd)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + odd

@@ -307,3 +307,46 @@ def test_damaged_files():
     for bad in (b"", good[:10], b"x" * 40):
         with pytest.raises((ValueError, IndexError)):
             webp.decode(bad)
+
+
+def test_extended_file():
+    samples = np.random.default_rng(2).integers(0, 256, (3, 5, 4), np.uint8)
+    plain = webp.encode(samples)
+    chunk = b"VP8X" + (10).to_bytes(4, "little") + bytes([0x10, 0, 0, 0, 4, 0, 0, 2, 0, 0]) + b"ICCP" + (3).to_bytes(4, "little") + b"abc\0" + plain[12:]
+    extended = b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+    width, height, got, used = webp.decode(extended + b"next")
+    assert (width, height, used) == (5, 3, len(extended)) and (got == samples).all()
+
+
+def test_writer_uses_the_format(monkeypatch):
+    """A text's image has a predictor, back-references, cache hits and codes of several lengths; a plain one has a palette."""
+    seen = set()
+    for name in ("inverse_predictor", "inverse_palette", "_cache_keys", "_distances"):
+        def spy(*a, real=getattr(webp, name), name=name):
+            seen.add(name)
+            return real(*a)
+
+        monkeypatch.setattr(webp, name, spy)
+    rng = random.Random(4)
+    words = ["the ", "storm ", "over ", "a quiet ", "harbour ", "lasts ", "until morning "]
+    text = "".join(rng.choice(words) for _ in range(900)).encode()
+    payload = np.frombuffer(text + b"\xff" * (-len(text) % 576), np.uint8).reshape(-1, 144, 4)
+    file = webp.encode(payload)
+    seen.clear()
+    assert (webp.decode(file)[2] == payload).all() and seen == {"inverse_predictor", "_cache_keys", "_distances"}
+    assert len(file) < 0.6 * payload.size
+    seen.clear()
+    blank = np.full((1, 144, 4), 255, np.uint8)
+    assert (webp.decode(webp.encode(blank))[2] == blank).all() and "inverse_palette" in seen
+
+
+@pytest.mark.parametrize("skew", [1, 3, 40])
+def test_lengths_are_complete(skew):
+    rng = np.random.default_rng(skew)
+    for n in range(3, 300, 7):
+        counts = np.floor(rng.random(n) ** skew * 1e6).astype(np.int64)
+        lengths = webp._lengths(counts)
+        used = lengths[lengths > 0]
+        assert (lengths > 0).sum() == (counts > 0).sum() and used.max(initial=0) <= 15
+        assert len(used) < 3 or (2.0 ** -used).sum() == 1
+        webp.PrefixCode(lengths)
