@@ -120,7 +120,7 @@ def bundle_bytes(blocks: int, least: int = 12 << 20, most: int = 64 << 20, share
     return int(min(most, max(least, blocks * share)))
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, parts: int = 1024) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], count: str, parts: int = 1024) -> DataFrame:
     """left inner join right on `key`, where `right` has each key once and `count`, how many rows of `left` hold it.
 
     Keys that hold a `parts`-th of all these rows or more, of which there are `parts` at most,
@@ -129,7 +129,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, parts:
     total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.broadcast(right.where(F.col(count) * parts >= total).drop(count))
     cold = right.where(F.col(count) * parts < total).drop(count)
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+    return left.join(hot, key).unionByName(left.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(cold, key))
 
 
 class Bloom:

@@ -1,25 +1,27 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-Lines are parsed into a tree of fixed depth: token count, then the first DEPTH
-tokens; a token with a digit is a variable field, `<*>`, at any depth.  Below a leaf
-a position is constant if one token stands there in at least half of the leaf's
-lines, and variable otherwise.  Two kinds of template come from a leaf:
-
-* the line with its digit fields masked;
-* the leaf's constants, with all other fields variable, if at least half of the
-  tokens are constant; it takes the lines that agree with every constant.
-
-A template recurs if its lines stand in at least `min_docs` different texts (exact
-copies of a text count once).  Of a recurring template only the first line stays
-(by id, then position); every other line is dropped, other lines stay as they are.
-Lines of fewer than `min_tokens` tokens are never dropped.
-
-Counts are taken over all lines with partial aggregation, so a line that a third of
-all rows share shuffles as one partial count a task.  Only lines of leaves with
-enough texts go on: a bitmap of fixed size lets them pass in a second scan, an exact
-join drops what it let through by chance, and their tokens are written down.  Null texts have no lines and
-come back null; rows that repeat id and text come back alike.  Other columns of
-the input pass through.
+Lines that are not blank are parsed into a tree of fixed depth: token count, then the
+first DEPTH tokens; a token with a digit is a variable field, `<*>`, at any depth.  A line's
+*form* is its tokens with digit fields masked; lines of fewer than DEPTH tokens count as
+they are.  A form recurs if it stands in two different texts.
+
+A leaf of lines of more than DEPTH + 1 tokens also yields any number of templates with word
+fields.  Below DEPTH a token is a constant of its leaf if it stands there in `min_docs` different
+texts; a form's pattern is its constants, all other fields variable; a pattern of which at least
+half of the tokens below DEPTH are constant and that `min_docs` texts spell is a template.  The
+leading tokens, alike in a whole leaf, do not count.  A template takes each form that agrees
+with its constants; of several, the one with the most constants, then the first by (place, token).
+
+Of a recurring form, or of all forms of a template, the first line stays (by id, then
+position); every other line is dropped, other lines stay as they are.  Everything is counted in
+different texts, so exact copies of a text weigh nothing and keep their own lines.
+
+Counts are partial aggregations, so a line that a third of all rows share shuffles as one count
+a task; lines meet the forms that recur through a broadcast for the hottest forms (1,024 at most)
+and a shuffle for the rest.  Only lines of leaves that may hold a template are parsed
+further: a bitmap of fixed size tells them, and what it lets through by chance cannot reach
+`min_docs`.  Forms are told apart by 96 bits of hashes.  Null texts have no lines and come back
+null; rows that repeat id and text come back alike.  Other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, join_counted, written
 
 DEPTH = 3
 BLANK = r"[\x09-\x0D\x20]+"
@@ -64,45 +66,6 @@ def _may_hold(bitmap: DataFrame, key):
     return F.get(bitmap.scalar(), F.floor(slot / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))) != 0
 
 
-def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 16, min_tokens: int = 3) -> DataFrame:
-    """The columns of `docs` with the text less its dropped lines, and n_lines, n_dropped (these replace columns of that name)."""
-    base = docs.withColumn("h", F.xxhash64(text_column)) if "h" not in docs.columns else docs.withColumnRenamed("h", "h_").withColumn("h", F.xxhash64(text_column))
-    # tokens and leaf are made inside the array, so that no filter makes them again
-    split = F.transform(F.split(text_column, "\n"), lambda line, i: F.struct(i.alias("pos"), _raw_tokens(line).alias("raw")))
-    long = F.filter(split, lambda x: (F.size(x["raw"]) >= min_tokens) & (F.get(x["raw"], F.lit(0)) != ""))
-    leaves = F.transform(long, lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), F.xxhash64(F.size(x["raw"]), _masked(F.slice(x["raw"], 1, DEPTH))).alias("leaf")))
-    raw = base.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), "h", F.inline(leaves))
-    full = written(_texts(raw.select("leaf", "h"), "leaf").where(F.col("texts") >= min_docs).select("leaf"), "leaves")
-    some = raw.where(_may_hold(written(_bitmap(full, "leaf"), "bitmap"), F.col("leaf"))).join(full, "leaf", "left_semi")
-    lines = written(some.select("id", "h", "pos", "leaf", _masked(F.col("raw")).alias("tokens")).withColumn("mask", F.xxhash64("tokens")), "lines")
-
-    total = lines.groupBy("leaf").agg(F.count("*").alias("total"))
-    each = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    top = each.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("n")).alias("less"), "token")).alias("top"))
-    constants = (top.join(total, "leaf").where(-F.col("top.less") * 2 >= F.col("total"))
-                 .groupBy("leaf").agg(F.collect_list(F.struct("at", F.col("top.token").alias("token"))).alias("constants")))
-    parsed = (lines.join(constants, "leaf")
-              .withColumn("fits", (F.size("constants") * 2 >= F.size("tokens")) & F.forall("constants", lambda c: F.get("tokens", c["at"]) == c["token"]))
-              .select("id", "h", "pos", "leaf", "mask", "fits"))
-    general = _texts(parsed.where("fits").select("leaf", "h"), "leaf").where(F.col("texts") >= min_docs).select("leaf", F.lit(True).alias("general"))
-    masked = _texts(parsed.select("mask", "h"), "mask").where(F.col("texts") >= min_docs).select("mask", F.lit(True).alias("same"))
-    hits = (parsed.join(general, "leaf", "left").join(masked, "mask", "left")
-            .withColumn("general", F.col("fits") & F.coalesce("general", F.lit(False)))
-            .where(F.col("general") | F.coalesce("same", F.lit(False)))
-            .select("id", "h", "pos", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("mask")).alias("template")))
-    hits = written(hits, "hits")
-    first = hits.groupBy("template").agg(F.min(F.struct("id", "pos")).alias("first"))
-    gone = (hits.join(first, "template").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
-            .groupBy("id", "h").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}))
-    kept = F.filter(F.split(text_column, "\n"), lambda _, i: ~F.array_contains("gone", i))
-    names = [c for c in docs.columns if c not in (text_column, "n_lines", "n_dropped")]
-    out = base.join(gone, base[id_column].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
-    return out.select(*[(base["h_"] if c == "h" else base[c]).alias(c) for c in names],
-                      F.when(F.col("gone").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n")).alias(text_column),
-                      F.coalesce(F.size(F.split(text_column, "\n")), F.lit(0)).cast("long").alias("n_lines"),
-                      F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
-
-
 def _leaf(x):
     """The leaf of a line with its raw tokens and whether it has digits."""
     lead = F.slice(x["raw"], 1, DEPTH)
@@ -115,85 +78,82 @@ def _templates(deep: DataFrame, min_docs: int) -> DataFrame:
     tokens = lambda rows, *more: rows.select(*more, F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= DEPTH)
     constants = written(_texts(tokens(deep, "leaf", "h").select(spot.alias("spot"), "h"), "spot").where(F.col("texts") >= min_docs), "constants")
     forms = deep.groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))
-    spots = tokens(forms, "leaf", "key", F.size("tokens").alias("n")).select("leaf", "key", "n", "at", spot.alias("spot")).join(constants, "spot")
-    patterns = written(spots.groupBy("leaf", "key", "n").agg(F.sort_array(F.collect_list(F.struct("at", "spot", "texts"))).alias("constants"))
+    spots = tokens(forms, "leaf", "key", F.size("tokens").alias("n")).select("leaf", "key", "n", "at", "token", spot.alias("spot")).join(constants, "spot")
+    patterns = written(spots.groupBy("leaf", "key", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token", "spot", "texts"))).alias("constants"))
                        .select("key", "n", "constants", F.xxhash64("leaf", "constants.spot").alias("template")), "patterns")
     spelt = deep.select("key", "h").distinct().join(patterns.where(F.size("constants") * 2 >= F.col("n") - DEPTH).select("key", "template"), "key")
     known = _texts(spelt, "template").where(F.col("texts") >= min_docs).select("template")
     # a template meets the forms that hold its rarest constant, then all constants decide
     whole = (patterns.join(known, "template", "left_semi").groupBy("template").agg(F.first("constants").alias("constants"))
-             .select("template", F.col("constants.spot").alias("needs"), F.array_min(F.transform("constants", lambda c: F.struct(c["texts"].alias("texts"), c["spot"].alias("spot"))))["spot"].alias("spot")))
+             .select("template", F.col("constants.spot").alias("needs"), F.transform("constants", lambda c: F.struct(c["at"].alias("at"), c["token"].alias("token"))).alias("spelling"),
+                     F.array_min(F.transform("constants", lambda c: F.struct(c["texts"].alias("texts"), c["spot"].alias("spot"))))["spot"].alias("spot")))
     held = patterns.select("key", F.col("constants.spot").alias("holds"), F.explode("constants.spot").alias("spot"))
     fit = held.join(whole, "spot").where(F.size(F.array_except("needs", "holds")) == 0)
-    return fit.groupBy("key").agg(F.max(F.struct(F.size("needs").alias("n"), "template"))["template"].alias("template"))
+    return fit.groupBy("key").agg(F.min(F.struct((-F.size("needs")).alias("less"), "spelling", "template"))["template"].alias("template"))
 
 
-def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 16) -> DataFrame:
-    """As `drop_templates`, for every line that is not blank: a line recurs if its form stands in two different texts.
-
-    The form is the line with its digit fields masked; lines of fewer than DEPTH tokens count as they are.
-    A leaf also yields any number of templates with word fields.  Below DEPTH a token is a constant of
-    its leaf if it stands there in `min_docs` texts; a form's pattern is its constants, all other fields
-    variable; a pattern of which at least half of the tokens below DEPTH are constant and that `min_docs`
-    texts spell is a template; the leading tokens, alike in a whole leaf, do not count.  It takes each form that agrees with its constants; of several, the one with the most.
-    Everything is counted in different texts, so copies of a text weigh nothing.
-    """
-    base = docs.withColumn("h", F.xxhash64(text_column)) if "h" not in docs.columns else docs.withColumnRenamed("h", "h_").withColumn("h", F.xxhash64(text_column))
-    split = F.transform(F.split(text_column, "\n"), lambda line, i: F.struct(i.alias("pos"), _raw_tokens(line).alias("raw"), line.rlike("[0-9]").alias("digits")))
+def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 16) -> DataFrame:
+    """The columns of `docs` with the text less its dropped lines, and n_lines, n_dropped (these replace columns of that name)."""
+    rest = [c for c in docs.columns if c not in (id_column, text_column)]
+    base = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), (F.struct(*rest) if rest else F.lit(0)).alias("rest"), F.xxhash64(text_column).alias("h"))
+    # tokens, form and leaf are made inside the array, so that no filter makes them again
+    split = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), _raw_tokens(line).alias("raw"), line.rlike("[0-9]").alias("digits")))
     some = F.filter(split, lambda x: F.get(x["raw"], F.lit(0)) != "")
     form = lambda x: F.when(x["digits"] & (F.size(x["raw"]) >= DEPTH), _masked(x["raw"])).otherwise(x["raw"])
-    keyed = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.size(x["raw"]), form(x)).alias("key"),
-                                                  F.when(F.size(x["raw"]) > DEPTH + 1, _leaf(x)).alias("leaf")))
-    lines = written(base.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), "h", F.inline(keyed)), "lines")
+    formed = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), form(x).alias("form"), F.when(F.size(x["raw"]) > DEPTH + 1, _leaf(x)).alias("leaf")))
+    keyed = F.transform(formed, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.size(x["form"]), x["form"]).alias("key"), F.hash(x["form"]).alias("also"), x["leaf"].alias("leaf")))
+    lines = written(base.where(F.col("text").isNotNull()).select("id", "h", F.inline(keyed)), "lines")
 
-    forms = lines.groupBy("key").agg((F.min("h") != F.max("h")).alias("same"), F.min(F.struct("id", "pos", "h")).alias("first"))
+    forms = lines.groupBy("key", "also").agg((F.min("h") != F.max("h")).alias("same"), F.min(F.struct("id", "pos", "h")).alias("first"), F.count("*").alias("n"))
     # only leaves of several forms and enough texts can hold a template that is not one form
-    full = written(lines.where("leaf is not null").groupBy("leaf", "h").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-                   .groupBy("leaf").agg(F.count("*").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
-                   .where((F.col("texts") >= min_docs) & (F.col("low") != F.col("high"))).select("leaf"), "leaves")
+    full = (lines.where("leaf is not null").groupBy("leaf", "h").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+            .groupBy("leaf").agg(F.count("*").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
+            .where((F.col("texts") >= min_docs) & (F.col("low") != F.col("high"))).select("leaf"))
     marked = written(_bitmap(full, "leaf"), "bitmap")
     branches = F.transform(F.filter(some, lambda x: F.size(x["raw"]) > DEPTH + 1), lambda x: F.struct(_leaf(x).alias("leaf"), form(x).alias("tokens")))
-    found = base.where(F.col(text_column).isNotNull()).select("h", F.inline(branches))
-    deep = written(found.where(_may_hold(marked, F.col("leaf"))).join(full, "leaf", "left_semi").withColumn("key", F.xxhash64(F.size("tokens"), "tokens")), "deep")
+    found = base.where(F.col("text").isNotNull()).select("h", F.inline(branches))
+    deep = written(found.where(_may_hold(marked, F.col("leaf"))).withColumn("key", F.xxhash64(F.size("tokens"), "tokens")), "deep")
     templates = written(_templates(deep, min_docs), "templates")
     groups = written(forms.join(templates, "key", "left").where(F.col("same") | F.col("template").isNotNull()), "forms")
+    discard(deep, templates)
     heads = groups.where("template is not null").groupBy("template").agg(F.min("first").alias("head"))
-    recurring = groups.join(heads, "template", "left").select("key", F.coalesce("head", "first").alias("first"))
-    gone = (lines.join(recurring, "key").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
-            .groupBy("id", "h").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}))
-    kept = F.filter(F.split(text_column, "\n"), lambda _, i: ~F.array_contains("gone", i))
-    names = [c for c in docs.columns if c not in (text_column, "n_lines", "n_dropped")]
-    out = base.join(gone, base[id_column].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
-    return out.select(*[(base["h_"] if c == "h" else base[c]).alias(c) for c in names],
-                      F.when(F.col("gone").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n")).alias(text_column),
-                      F.coalesce(F.size(F.split(text_column, "\n")), F.lit(0)).cast("long").alias("n_lines"),
-                      F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
-
-
-def oracle(min_docs: int = 16, min_tokens: int = 3) -> str:
+    recurring = written(groups.join(heads, "template", "left").select("key", "also", F.coalesce("head", "first").alias("first"), "n"), "recurring")
+    gone = (join_counted(lines, recurring, ["key", "also"], "n").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
+            .groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}))
+    out = base.join(gone, base["id"].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
+    # the runs of lines between dropped ones
+    starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1)), F.concat("gone", F.array(F.size("parts")))
+    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice("parts", x["a"] + 1, x["b"] - x["a"])))
+    out = out.withColumn("parts", F.split("text", "\n"))
+    return out.select(*[(F.col("id").alias(c) if c == id_column else F.col("rest")[c].alias(c)) for c in docs.columns if c not in (text_column, "n_lines", "n_dropped")],
+                      F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_column),
+                      F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def oracle(min_docs: int = 16) -> str:
     """The same rows in DuckDB: doc_id, n_lines, n_dropped, text."""
     return f"""
 with lines as (
-  select doc_id, text, pos, list_transform(list_filter(regexp_split_to_array(line, '[\\x09-\\x0D\\x20]+'), lambda x: x <> ''),
-         lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens
-  from (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null)),
-keyed as (select *, len(tokens) as n, tokens[1:{DEPTH}] as lead from lines where len(tokens) >= {min_tokens}),
-leaves as (select n, lead, count(*) as total from keyed group by n, lead having count(distinct text) >= {min_docs}),
-deep as (select k.*, l.total from keyed k join leaves l on k.n = l.n and k.lead = l.lead),
-tok as (select n, lead, total, unnest(tokens) as token, unnest(range(len(tokens))) as spot from deep),
-each as (select n, lead, spot, token, any_value(total) as total, count(*) as c from tok group by n, lead, spot, token),
-top as (select *, row_number() over (partition by n, lead, spot order by c desc, token) as r from each),
-consts as (select n, lead, list(spot order by spot) as ats, list(token order by spot) as toks from top where r = 1 and c * 2 >= total group by n, lead),
-parsed as (select d.doc_id, d.text, d.pos, d.tokens, d.n, d.lead,
-    len(c.ats) * 2 >= d.n and len(list_filter(range(len(c.ats)), lambda i: d.tokens[c.ats[i + 1] + 1] <> c.toks[i + 1])) = 0 as fits
-  from deep d join consts c on d.n = c.n and d.lead = c.lead),
-general as (select n, lead from parsed where fits group by n, lead having count(distinct text) >= {min_docs}),
-masked as (select tokens from parsed group by tokens having count(distinct text) >= {min_docs}),
-hits as (select p.doc_id, p.pos, (p.fits and g.n is not null) as gen, p.n, p.lead, p.tokens
-  from parsed p left join general g on p.n = g.n and p.lead = g.lead left join masked m on p.tokens = m.tokens
-  where (p.fits and g.n is not null) or m.tokens is not null),
-ranked as (select doc_id, pos, row_number() over (partition by gen, n, lead, case when gen then null else tokens end order by doc_id, pos) as r from hits),
-gone as (select doc_id, list(pos) as gone from ranked where r > 1 group by doc_id)
+  select doc_id, text, pos, n, case when n >= {DEPTH} and regexp_matches(line, '[0-9]') then list_transform(raw, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) else raw end as form
+  from (select *, len(raw) as n from (
+    select doc_id, text, line, pos, list_filter(regexp_split_to_array(line, '[\x09-\x0D\x20]+'), lambda x: x <> '') as raw
+    from (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null)))
+  where n > 0),
+forms as (select form, count(distinct text) > 1 as same, min({{'id': doc_id, 'pos': pos}}) as first from lines group by form),
+leaves as (select n, form[1:{DEPTH}] as lead from lines where n > {DEPTH + 1} group by all having count(distinct text) >= {min_docs} and count(distinct form) > 1),
+deep as (select l.n, l.form[1:{DEPTH}] as lead, l.form, l.text from lines l join leaves f on l.n = f.n and l.form[1:{DEPTH}] = f.lead),
+consts as (select n, lead, place, token from (select n, lead, text, unnest(form) as token, unnest(range(n)) as place from deep) where place >= {DEPTH} group by all having count(distinct text) >= {min_docs}),
+spots as (select distinct n, lead, form, unnest(form) as token, unnest(range(n)) as place from (select distinct n, lead, form from deep)),
+patterns as (select s.n, s.lead, s.form, list({{'place': s.place, 'token': s.token}} order by s.place, s.token) as spelling
+  from spots s join consts c on s.n = c.n and s.lead = c.lead and s.place = c.place and s.token = c.token group by s.n, s.lead, s.form),
+whole as (select p.n, p.lead, p.spelling from patterns p join (select distinct form, text from deep) d on d.form = p.form
+  where len(p.spelling) * 2 >= p.n - {DEPTH} group by p.n, p.lead, p.spelling having count(distinct d.text) >= {min_docs}),
+fit as (select p.form, w.n, w.lead, w.spelling, row_number() over (partition by p.form order by len(w.spelling) desc, w.spelling) as r
+  from patterns p join whole w on p.n = w.n and p.lead = w.lead and list_has_all(p.spelling, w.spelling)),
+groups as (select f.form, f.first, case when t.form is not null then {{'n': t.n, 'lead': t.lead, 'spelling': t.spelling}} end as template
+  from forms f left join (select * from fit where r = 1) t on f.form = t.form where f.same or t.form is not null),
+recurring as (select form, case when template is null then first else min(first) over (partition by template) end as first from groups),
+gone as (select l.doc_id, list(l.pos) as gone from lines l join recurring r on l.form = r.form where not (l.doc_id = r.first.id and l.pos = r.first.pos) group by l.doc_id)
 select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(len(g.gone), 0)::bigint as n_dropped,
   case when g.gone is null then d.text else
     array_to_string(list_transform(list_filter(range(len(string_split(d.text, chr(10)))), lambda i: not list_contains(g.gone, i)), lambda i: string_split(d.text, chr(10))[i + 1]), chr(10)) end as text

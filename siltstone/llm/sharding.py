@@ -1,7 +1,7 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has 2**16 slots; each shard owns `replicas` of them (virtual nodes) and
-every arc up to its next virtual node.  A row's slot is the upper part of its id's
+every arc up to its next virtual node.  A row's slot is the upper part of its
 hash.  Shard loads are bounded by N // shards, plus one for N % shards shards
 (those with the largest own load), so the counts of any two shards differ by one at
 most.  A shard keeps its own rows in ring order up to its bound; what overflows
@@ -11,8 +11,8 @@ Only the row count of each slot (65,536 numbers at any table size) reaches the
 driver, which turns it into at most a few segments of ranks for each slot; they
 return by a broadcast of that fixed size.  Rows shuffle once, by slot.
 
-Rows with a null id all hash to one slot; repeated rows are placed one by one, in
-the order of hash, id, crc and size.  An empty table gives no rows.
+A row hashes by id, text and size, so null ids and copies of one id spread; rows equal in
+all three share a slot and are placed one by one.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def assign(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("h", F.xxhash64("id")).withColumn("at", F.shiftrightunsigned("h", 48).cast("int"))
+    rows = rows.withColumn("h", F.xxhash64("id", "text_crc32", "size")).withColumn("at", F.shiftrightunsigned("h", 48).cast("int"))
     counts = np.zeros(SLOTS, np.int64)
     for slot, n in rows.groupBy("at").count().collect():  # at most SLOTS rows
         counts[slot] = n

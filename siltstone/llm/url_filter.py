@@ -4,11 +4,13 @@ Rules judge first; the longest that fits wins.  The URLs that rules allow or blo
 are the accepted and the rejected class of the model: for each class a smoothed
 variable-order Markov model over 40 symbols, orders 0 to 3 interpolated by
 Witten-Bell weights.  A URL's score is the difference of its log-likelihoods under
-the two, divided by its symbols; it is blocked below a threshold calibrated on all
-judged URLs (least sum of the two error rates).
+the two, divided by its symbols; it is blocked below a threshold.
 
-Counts cover every judged URL.  They are sums over at most 2 * 40**4 cells, whatever
-the input's size; the scoring table sent to tasks has 40**4 four-byte cells (10 MB).
+The threshold is the one with the least sum of the two error rates on a fifth of the judged
+URLs (by hash of the URL) under models of the other four fifths; these rates come with the
+model.  The models that judge then count every judged URL.  Counts are sums over at most
+4 * 40**4 cells, whatever the input's size; a scoring table sent to tasks has 40**4
+four-byte cells (10 MB).
 
 Null urls, and those without `://`, have an empty host and path; no rule fits them.
 An empty url scores 0.  Without judged URLs of both classes every other URL is allowed.
@@ -17,8 +19,11 @@ Repeated rows each come back.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +82,32 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
     return np.log(lower).astype(np.float32).reshape(-1)
 
 
-def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES) -> DataFrame:
-    """One row for each row: id, host, path, rule, verdict, score (null where a rule judged)."""
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratios by symbol and context, the threshold, and the shares of held-out URLs that it gets wrong."""
+
+    table: np.ndarray
+    threshold: float
+    allowed_lost: float | None = None
+    blocked_missed: float | None = None
+
+
+def _ratio(rejected: np.ndarray, accepted: np.ndarray) -> np.ndarray | None:
+    return log_probabilities(accepted) - log_probabilities(rejected) if rejected.any() and accepted.any() else None
+
+
+def _scores(column, table: np.ndarray) -> np.ndarray:
+    out = [np.zeros(0)]
+    for _, data, offsets in K.chunks(column):
+        row, index = _grams(data, offsets)
+        size = np.diff(offsets) + 1
+        total = np.bincount(row, table[index].astype(np.float64), len(size))
+        out.append(np.where(size > 1, total / size, 0.0))
+    return np.concatenate(out)
+
+
+def _ruled(pages: DataFrame, id_column: str, url_column: str, rules) -> DataFrame:
+    """id, url, host, path, rule, ruled (the rule's verdict)."""
     base = small_batches(pages).select(F.col(id_column).alias("id"), F.col(url_column).alias("url"))
     host, path = host_and_path("url")
     base = base.select("id", "url", host.alias("host"), path.alias("path"))
@@ -86,66 +115,71 @@ def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
     for verdict, name, prefix in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((F.col("host") == name) | F.endswith("host", F.lit("." + name))) & F.startswith("path", F.lit(prefix))
         rule, ruled = F.when(fits, name + prefix).otherwise(rule), F.when(fits, verdict).otherwise(ruled)
-    base = base.withColumn("rule", rule).withColumn("ruled", ruled)
+    return base.withColumn("rule", rule).withColumn("ruled", ruled)
+
+
+def fit(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES) -> Model:
+    """The model of the URLs that the rules judge; without URLs of both classes it allows everything."""
+    judged = (_ruled(pages, id_column, url_column, rules).where("ruled is not null")
+              .select("url", (F.col("ruled") == "allow").cast("int").alias("kind"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).cast("int").alias("held")))
+    cells_of = SYMBOLS**(ORDER + 1)
 
     def count(batches):
         held = {}
         for batch in batches:
-            accepted = np.asarray(batch.column(1).to_numpy(zero_copy_only=False) == "allow", np.int64)
+            part = np.asarray(batch.column(1)).astype(np.int64) + 2 * np.asarray(batch.column(2))
             for first, data, offsets in K.chunks(batch.column(0)):
                 row, index = _grams(data, offsets)
-                cell, n = np.unique(index + accepted[first + row] * SYMBOLS**(ORDER + 1), return_counts=True)
+                cell, n = np.unique(index + part[first + row] * cells_of, return_counts=True)
                 for c, m in zip(cell.tolist(), n.tolist(), strict=True):
                     held[c] = held.get(c, 0) + m
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["cell", "n"])
 
-    judged = base.where("ruled is not null").select("url", "ruled")
-    cells = judged.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(2 * SYMBOLS**(ORDER + 1), np.int64)
-    for batch in cells.toArrow().to_batches():  # at most one row a cell
+    counts = np.zeros(4 * cells_of, np.int64)
+    for batch in judged.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most one row a cell
         counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    rejected, accepted = counts.reshape(2, -1)
-    ready = bool(rejected.any() and accepted.any())
-    table = log_probabilities(accepted) - log_probabilities(rejected) if ready else np.zeros(SYMBOLS**(ORDER + 1), np.float32)
-    shared = pages.sparkSession.sparkContext.broadcast(table)
-
-    def scores(column):
-        out = [np.zeros(0)]
-        for _, data, offsets in K.chunks(column):
-            row, index = _grams(data, offsets)
-            size = np.diff(offsets) + 1
-            total = np.bincount(row, shared.value[index].astype(np.float64), len(size))
-            out.append(np.where(size > 1, total / size, 0.0))
-        return np.concatenate(out)
+    counts = counts.reshape(2, 2, cells_of)  # held out or not, rejected or accepted
+    final = _ratio(*counts.sum(axis=0))
+    if final is None:
+        return Model(np.zeros(cells_of, np.float32), -np.inf)
+    trial, check = _ratio(*counts[0]), "held = 1"
+    if trial is None or not counts[1].any(axis=1).all():  # too few to hold any out
+        trial, check = final, "true"
+    shared = pages.sparkSession.sparkContext.broadcast(trial)
 
     def spread(batches):
         held = np.zeros((2, BINS), np.int64)
         for batch in batches:
-            accepted = np.asarray(batch.column(1).to_numpy(zero_copy_only=False) == "allow", np.int64)
-            place = np.clip(np.floor((scores(batch.column(0)) / SPAN + 0.5) * BINS), 0, BINS - 1).astype(np.int64)
-            np.add.at(held, (accepted, place), 1)
+            place = np.clip(np.floor((_scores(batch.column(0), shared.value) / SPAN + 0.5) * BINS), 0, BINS - 1).astype(np.int64)
+            np.add.at(held, (np.asarray(batch.column(1)).astype(np.int64), place), 1)
         kind, place = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(place), pa.array(held[kind, place])], ["kind", "bin", "n"])
 
-    threshold = -np.inf
-    if ready:
-        bins = np.zeros((2, BINS), np.int64)
-        for kind, place, n in judged.mapInArrow(spread, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n")).collect():
-            bins[kind, place] = n
-        # a bin's lower edge as threshold blocks everything below it
-        lost = np.concatenate(([0], np.cumsum(bins[1])[:-1])) / bins[1].sum() + (bins[0].sum() - np.concatenate(([0], np.cumsum(bins[0])[:-1]))) / bins[0].sum()
-        edges = (np.arange(BINS) / BINS - 0.5) * SPAN
-        best = np.flatnonzero(lost == lost.min())
-        threshold = float(edges[best[np.argmin(np.abs(edges[best]))]])
+    bins = np.zeros((2, BINS), np.int64)
+    for kind, place, n in judged.where(check).mapInArrow(spread, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n")).collect():  # 2 * BINS rows at most
+        bins[kind, place] = n
+    # a bin's lower edge as threshold blocks everything below it
+    below = np.cumsum(bins, axis=1) - bins
+    lost, missed = below[1] / bins[1].sum(), 1 - below[0] / bins[0].sum()
+    edges = (np.arange(BINS) / BINS - 0.5) * SPAN
+    best = np.flatnonzero(lost + missed == (lost + missed).min())
+    at = best[np.argmin(np.abs(edges[best]))]
+    return Model(final, float(edges[at]), float(lost[at]), float(missed[at]))
+
+
+def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, model: Model | None = None) -> DataFrame:
+    """One row for each row: id, host, path, rule, verdict, score (null where a rule judged); `model` is fitted on `pages` if not given."""
+    base = _ruled(pages, id_column, url_column, rules)
+    model = fit(pages, id_column, url_column, rules) if model is None else model
+    shared, threshold = pages.sparkSession.sparkContext.broadcast(model.table), model.threshold
 
     def decide(batches):
         for batch in batches:
-            score = scores(batch.column(1))
+            score = _scores(batch.column(1), shared.value)
             verdict = pa.array(np.where(score < threshold, "block", "allow"))
             ruled = batch.column(5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4),
-                                              pa.compute.coalesce(ruled, verdict), pa.array(score, mask=np.asarray(ruled.is_valid()))], ["id", "host", "path", "rule", "verdict", "score"])
+                                              pc.coalesce(ruled, verdict), pa.array(score, mask=np.asarray(ruled.is_valid()))], ["id", "host", "path", "rule", "verdict", "score"])
 
-    import pyarrow.compute  # noqa: F401  for pa.compute on the executors
     kind = dict(pages.dtypes)[id_column]
     return base.mapInArrow(decide, f"id {kind}, host string, path string, rule string, verdict string, score double").withColumnRenamed("id", id_column)
