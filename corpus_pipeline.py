@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import toxicity
 from siltstone.llm.common import written
-from siltstone.llm.line_templates import drop_recurring
+from siltstone.llm.line_templates import drop_templates
 from siltstone.llm.ngram_join import keep_one
 from siltstone.llm.packing import pack
 from siltstone.llm.queries import tokenizer_file
@@ -41,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: recurring lines keep their first one only."""
-    return _unfolded(drop_recurring(_folded(docs)), docs)
+    return _unfolded(drop_templates(_folded(docs)), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
