@@ -120,10 +120,15 @@ def similarity(a: Column, b: Column) -> Column:
     return counts * 2.0 / (F.length(a) + F.length(b))
 
 
-def entrances(nodes: DataFrame, limit: int = 0) -> DataFrame:
+def entrances(nodes: DataFrame, limit: int | None = 0) -> DataFrame:
     """Entrance finder: files by the weight of their top nodes: definitions and imports -1, control +2, others +1; descending."""
     weight = F.when(F.col("kind").isin("Function", "Class", "Trait", "Interface", "Namespace", "Use", "Include", "Constant"), -1).when(F.col("kind").isin("If", "While", "For", "Foreach", "Switch", "Try", "DoWhile"), 2).otherwise(1)
-    return nodes.where("depth = 0").groupBy("path").agg(F.sum(weight).alias("weight")).where(F.col("weight") > limit).orderBy(F.desc("weight"), "path")
+    return nodes.where("depth = 0").groupBy("path").agg(F.sum(weight).alias("weight")).where(F.lit(True) if limit is None else F.col("weight") > limit).orderBy(F.desc("weight"), "path")
+
+
+def entrance_report(weights: DataFrame, limit: int = 0) -> DataFrame:
+    """Entrance finder's report of entrances(nodes, limit=None) rows: weights above `limit` first, then those up to it; descending."""
+    return weights.withColumn("bucket", F.when(F.col("weight") > limit, "above").otherwise("up to")).orderBy("bucket", F.desc("weight"), "path")
 
 
 def ranked_once(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import PHP_SOURCES
-from ..operators.joins import written_round
+from ..operators.joins import hierarchy, written_round
 from .parse import of
 
 # Entry methods, and sinks with the positions that must be controllable.
@@ -28,71 +28,86 @@ def dataflow(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node_type", kind).where("node_type is not null").select("path", locate.alias("node_locate"), F.col("ord").alias("node_sort"), F.col("name").alias("source_node"), "node_type", sink.alias("sink_node"))
 
 
-def methods(rows: DataFrame) -> DataFrame:
-    return of(rows, "function").where("cls <> ''").select("cls", F.col("name").alias("method"), "scope").distinct()
+def _project(projects: str | None):
+    """The project of a record: what the regular expression finds in its path; one for all without it."""
+    return (F.regexp_extract("path", projects, 0) if projects else F.lit("")).alias("project")
 
 
-def ancestors(rows: DataFrame) -> DataFrame:
-    """(cls, parent) with each class its own first parent; two levels up."""
-    direct = of(rows, "class").where("key <> ''").select(F.col("name").alias("cls"), F.explode(F.split("key", ",")).alias("parent"))
-    own = of(rows, "class").select(F.col("name").alias("cls"), F.col("name").alias("parent"))
-    up = direct.alias("a").join(direct.alias("b"), F.col("a.parent") == F.col("b.cls")).select("a.cls", "b.parent")
-    return own.union(direct).union(up).distinct()
+def methods(rows: DataFrame, projects: str | None = None) -> DataFrame:
+    return of(rows, "function").where("cls <> ''").select(_project(projects), "cls", F.col("name").alias("method"), "scope").distinct()
 
 
-def edges(rows: DataFrame) -> DataFrame:
-    """(src, dst, kind): which method may run which."""
-    m = methods(rows)
-    up = ancestors(rows)
-    calls = of(rows, "call").where("cls <> ''").select("scope", "cls", "name", "kind", "flow")
+def ancestors(rows: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, cls, parent) with each class its own first parent, all levels up."""
+    named = lambda c: F.struct(_project(projects), F.col(c).alias("cls"))
+    classes = of(rows, "class")
+    direct = classes.where("key <> ''").select("path", "name", F.explode(F.split("key", ",")).alias("parent")).select(named("name").alias("a"), named("parent").alias("b"))
+    found = hierarchy(direct, classes.select(named("name").alias("root")))
+    return found.select("root.project", F.col("root.cls").alias("cls"), F.col("node.cls").alias("parent"))
+
+
+def edges(rows: DataFrame, projects: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Which method may run which, inside a project: (project, src, dst, kind) by name; (project, src, magic) and (project, magic, dst) by a magic method.
+
+    Callers and magic methods of a name meet through that name, so their product is never formed.
+    """
+    project = _project(projects)
+    m = methods(rows, projects)
+    up = ancestors(rows, projects)
+    calls = of(rows, "call").where("cls <> ''").select(project, "scope", "cls", "name", "kind", "flow")
     named = calls.where("kind = 'method'")
-    inherited = m.select(F.col("cls").alias("parent"), F.col("method").alias("m"), F.col("scope").alias("dst")).join(up, "parent")
-    own = named.join(inherited.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & (F.col("name") == F.col("m"))).select(F.col("scope").alias("src"), "dst", F.lit("own").alias("kind"))
-    anywhere = named.join(m.select(F.col("method").alias("m"), F.col("scope").alias("dst")), F.col("name") == F.col("m")).select(F.col("scope").alias("src"), "dst", F.lit("any").alias("kind"))
+    inherited = m.select("project", F.col("cls").alias("parent"), F.col("method").alias("name"), F.col("scope").alias("dst")).join(up, ["project", "parent"])
+    own = named.join(inherited, ["project", "cls", "name"]).select("project", F.col("scope").alias("src"), "dst", F.lit("own").alias("kind"))
+    anywhere = named.join(m.select("project", F.col("method").alias("name"), F.col("scope").alias("dst")), ["project", "name"]).select("project", F.col("scope").alias("src"), "dst", F.lit("any").alias("kind"))
 
-    def magic(sources: DataFrame, name: str, kind: str) -> DataFrame:
-        return sources.select(F.col("scope").alias("src")).distinct().join(m.where(F.col("method") == name).select(F.col("scope").alias("dst")), F.lit(True)).select("src", "dst", F.lit(kind).alias("kind"))
+    def magic(sources: DataFrame, name: str) -> DataFrame:
+        return sources.select("project", F.col("scope").alias("src"), F.lit(name).alias("magic")).distinct()
 
-    unknown = named.join(m.select(F.col("method").alias("name")).distinct(), "name", "left_anti")
+    unknown = named.join(m.select("project", F.col("method").alias("name")).distinct(), ["project", "name"], "left_anti")
     args = of(rows, "arg").where("cls <> ''")
     fields = F.exists("flow", lambda x: (x["kind"] == "var") & F.startswith(x["name"], F.lit("$this->")))
     deep = F.exists("flow", lambda x: (x["kind"] == "var") & (F.regexp_count(x["name"], F.lit("->")) >= 2))
-    texts = args.where(F.col("name").isin("echo", "print", "strlen", "trim", "strtolower", "md5", "preg_match", "file_exists", "die", "exit") & fields)
-    out = own.unionByName(anywhere)
-    for part in (magic(unknown, "__call", "call"), magic(calls.where("kind = 'dynamic'"), "__invoke", "invoke"), magic(texts, "__toString", "text"),
-                 magic(of(rows, "def", "arg", "return").where("cls <> ''").where(deep), "__get", "get"), magic(calls.where("kind = 'static'").join(m.select(F.concat("cls", F.lit("::"), "method").alias("name")), "name", "left_anti"), "__callStatic", "static")):
-        out = out.unionByName(part)
-    return out.where("src <> dst").distinct()
+    texts = args.where(F.col("name").isin("echo", "print", "strlen", "trim", "strtolower", "md5", "preg_match", "file_exists", "die", "exit") & fields).select(project, "scope")
+    statics = calls.where("kind = 'static'").join(m.select("project", F.concat("cls", F.lit("::"), "method").alias("name")), ["project", "name"], "left_anti")
+    into = magic(unknown, "__call")
+    for part in (magic(calls.where("kind = 'dynamic'"), "__invoke"), magic(texts, "__toString"),
+                 magic(of(rows, "def", "arg", "return").where("cls <> ''").where(deep).select(project, "scope"), "__get"), magic(statics, "__callStatic")):
+        into = into.unionByName(part)
+    return own.unionByName(anywhere).where("src <> dst").distinct(), into, m.select("project", F.col("method").alias("magic"), F.col("scope").alias("dst"))
 
 
-def danger(rows: DataFrame) -> DataFrame:
-    """(scope, sink, line): calls of a dangerous function whose required positions are all controllable."""
+def danger(rows: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, scope, sink, line): calls of a dangerous function whose required positions are all controllable."""
     want = rows.sparkSession.createDataFrame([(n, p) for n, ps in SINKS.items() for p in ps], "name string, pos int")
     good = F.exists("flow", lambda x: (x["kind"] == "var") & (F.startswith(x["name"], F.lit("$this->")) | x["name"].isin(*PHP_SOURCES)))
     params = of(rows, "param").select("path", "scope", F.col("name").alias("param")).groupBy("path", "scope").agg(F.collect_set("param").alias("params"))
     args = of(rows, "arg").where("cls <> ''").join(F.broadcast(want), ["name", "pos"]).join(params, ["path", "scope"], "left")
     by_param = F.exists("flow", lambda x: F.array_contains(F.coalesce("params", F.array().cast("array<string>")), x["name"]))
-    return args.groupBy("path", "scope", "name", "id", "line").agg(F.bool_and(good | by_param).alias("ok"), F.count("*").alias("n")).where("ok").select("scope", F.col("name").alias("sink"), "line").distinct()
+    return args.groupBy("path", "scope", "name", "id", "line").agg(F.bool_and(good | by_param).alias("ok"), F.count("*").alias("n")).where("ok").select(_project(projects), "scope", F.col("name").alias("sink"), "line").distinct()
 
 
-def chains(rows: DataFrame, depth: int = 40) -> DataFrame:
-    """(entry, methods, classes, sink, fingerprint, has_wakeup): shortest chains from entry methods to dangerous calls.
+def chains(rows: DataFrame, depth: int = 40, projects: str | None = None) -> DataFrame:
+    """(project, entry, methods, classes, sink, line, fingerprint, has_wakeup): shortest chains from entry methods to dangerous calls of a project.
 
     A frontier loop: a method is reached once from each entry, by the first path in
-    order among the shortest; rounds are written to the shared folder.
+    order among the shortest; rounds are written to the shared folder.  Projects are what the
+    regular expression `projects` finds in paths; without it all files are one.
     """
-    e = written_round(edges(rows))
-    start = methods(rows).where(F.col("method").isin(*ENTRIES)).select(F.col("scope").alias("entry"), F.col("scope").alias("at"), F.array("scope").alias("methods"))
+    direct, into, onward = (written_round(x) for x in edges(rows, projects))
+    at = F.col("scope")
+    start = methods(rows, projects).where(F.col("method").isin(*ENTRIES)).select("project", at.alias("entry"), at.alias("at"), F.array(at).alias("methods"))
     known = frontier = written_round(start)
     for _ in range(depth):
-        step = frontier.join(e, F.col("at") == F.col("src")).select("entry", F.col("dst").alias("at"), F.concat("methods", F.array("dst")).alias("methods"))
-        best = step.groupBy("entry", "at").agg(F.min("methods").alias("methods"))
-        frontier = written_round(best.join(known.select("entry", "at"), ["entry", "at"], "left_anti"))
+        from_ = frontier.withColumnRenamed("at", "src")
+        by_magic = from_.join(into, ["project", "src"]).groupBy("project", "entry", "magic").agg(F.min("methods").alias("methods")).join(onward, ["project", "magic"])
+        step = from_.join(direct, ["project", "src"]).select("project", "entry", "methods", "dst").unionByName(by_magic.select("project", "entry", "methods", "dst"))
+        best = step.groupBy("project", "entry", F.col("dst").alias("at")).agg(F.min(F.concat("methods", F.array("dst"))).alias("methods"))
+        frontier = written_round(best.join(known.select("project", "entry", "at"), ["project", "entry", "at"], "left_anti"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
-    found = known.join(danger(rows), F.col("at") == F.col("scope"))
+    found = known.join(danger(rows, projects).withColumnRenamed("scope", "at"), ["project", "at"])
     classes = F.array_distinct(F.transform("methods", lambda x: F.element_at(F.split(x, "::"), 1)))
-    out = found.select("entry", "methods", classes.alias("classes"), "sink", "line")
-    return (out.withColumn("fingerprint", F.md5(F.to_json(F.struct("methods", "sink")).cast("binary"))).dropDuplicates(["fingerprint"])
+    out = found.select("project", "entry", "methods", classes.alias("classes"), "sink", "line")
+    return (out.withColumn("fingerprint", F.md5(F.to_json(F.struct("methods", "sink")).cast("binary"))).dropDuplicates(["project", "fingerprint"])
             .withColumn("has_wakeup", F.exists("methods", lambda x: F.endswith(x, F.lit("::__wakeup")))))

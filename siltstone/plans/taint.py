@@ -50,19 +50,26 @@ def sink_table(spark: SparkSession, language: str, only=None) -> DataFrame:
     return spark.createDataFrame(rows, "svid int, sink string, argument int, kind string")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Records whose call numbers are unique over all files, for stacks of calls that cross them."""
+    number = lambda c: F.when(c.isNotNull(), F.xxhash64("path", c))
+    return rows.withColumn("id", number(F.col("id"))).withColumn("flow", F.transform("flow", lambda leaf: leaf.withField("call", number(leaf["call"]))))
+
+
 def sinks(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Seeds: one row for each sink's argument, with its flow."""
-    t = F.broadcast(table.withColumnsRenamed({"kind": "sink_kind"}))
-    args = of(rows, "arg").withColumn("last", F.element_at(F.split("name", r"[.]"), -1))
-    by_call = args.join(t.where("sink_kind <> 'target'"), ((F.col("sink_kind") == "name") & (F.col("name") == F.col("sink")) | (F.col("sink_kind") == "member") & (F.col("last") == F.col("sink"))) & (F.col("argument").isNull() | (F.col("pos") == F.col("argument")))).drop("last")
-    targets = of(rows, "def").join(t.where("sink_kind = 'target'"), F.endswith("name", F.concat(F.lit("."), F.col("sink"))))
-    return by_call.unionByName(targets).withColumn("fid", F.xxhash64("path", "svid", "ord"))
+    """Seeds: one row for each sink's argument, with its flow; equal joins on the kind and the name that it looks at."""
+    last = F.element_at(F.split("name", r"[.]"), -1)
+    args, defs = of(rows, "arg"), of(rows, "def")
+    looked = (args.withColumn("sink_kind", F.explode(F.array(F.lit("name"), F.lit("member")))).withColumn("sink", F.when(F.col("sink_kind") == "name", F.col("name")).otherwise(last))
+              .unionByName(defs.where(F.contains("name", F.lit("."))).withColumn("sink_kind", F.lit("target")).withColumn("sink", last)))
+    found = looked.join(table.withColumnRenamed("kind", "sink_kind"), ["sink", "sink_kind"]).where((F.col("sink_kind") == "target") | F.col("argument").isNull() | (F.col("pos") == F.col("argument")))
+    return found.withColumn("fid", F.xxhash64("path", "svid", "ord"))
 
 
 def _start(seeds: DataFrame) -> DataFrame:
     return seeds.select("fid", "svid", "path", "cls", "scope", "ord", "branch", "name", "line", F.explode("flow").alias("leaf")).select(
         "fid", "svid", "path", "cls", "scope", F.col("leaf.kind").alias("kind"), F.col("leaf.name").alias("name"), F.col("leaf.key").alias("key"), "ord", "branch", F.col("leaf.through").alias("through"), F.col("leaf.call").alias("call"),
-        F.array().cast("array<int>").alias("stack"), F.array(F.struct(F.lit("sink").alias("node"), F.col("name").alias("code"), F.col("path").alias("path"), F.col("line").alias("line"))).alias("chain"), F.lit(0).alias("hops"))
+        F.array().cast("array<bigint>").alias("stack"), F.array(F.struct(F.lit("sink").alias("node"), F.col("name").alias("code"), F.col("path").alias("path"), F.col("line").alias("line"))).alias("chain"), F.lit(0).alias("hops"))
 
 
 def _follow(found: DataFrame, prefix: str, node: str, stack=None) -> DataFrame:
@@ -147,8 +154,10 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         verdicts.append(written_round(as_param))
         free = lost.where("p_pos is null")
         i = includes.select(F.col("path").alias("i_path"), F.explode(F.filter("flow", lambda x: x["kind"] == "str")).alias("i")).select("i_path", F.col("i.name").alias("target"))
-        files = rows.select(F.col("path").alias("f_path")).distinct()
-        into = free.where("scope = ''").join(i, F.col("path") == F.col("i_path")).join(files, F.endswith("f_path", F.concat(F.lit("/"), F.regexp_replace("target", r"^(\./|/)", ""))))
+        files = rows.select(F.col("path").alias("f_path")).distinct().withColumn("f_base", F.substring_index("f_path", "/", -1))
+        wanted = F.concat(F.lit("/"), F.regexp_replace("target", r"^(\./|/)", ""))
+        into = (free.where("scope = ''").join(i, F.col("path") == F.col("i_path")).withColumn("f_base", F.substring_index("target", "/", -1))
+                .join(files, "f_base").where(F.endswith("f_path", wanted)).drop("f_base"))
         included = into.where((F.col("f_path") != F.col("path")) & (F.col("hops") < depth)).select(*[(F.col("hops") + 1).alias("hops") if c == "hops" else F.col("f_path").alias("path") if c == "path" else F.lit(LAST).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
         verdicts.append(written_round(free.select("fid", "svid", F.lit(3).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), "chain")))
 
@@ -191,7 +200,7 @@ def findings(rows: DataFrame, language: str, tampers: DataFrame, table: DataFram
     A verdict of 4 makes the function a sink at that argument for the same rule; derived sinks
     are traced in the next round, each (function, argument, rule) once, at most `derive` rounds.
     """
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, numbered(rows)
     table = sink_table(spark, language) if table is None else table
     out, made = None, None
     for level in range(derive + 1):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
+from . import generated as G
 from .functions import scalars as X
 from .operators import corpus, joins, matching, predicates, reporting, sca
 from .views import table, using, view
@@ -47,16 +48,6 @@ def files(spark, d):
     return view(spark, d, "v_files")
 
 
-# ---------------------------------------------------------------- flagship: hard-coded addresses as findings
-@query("entry_hardcoded_ip", FILES + f""", lines AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM v_files),
-hit AS (SELECT path, line, unnest(regexp_extract_all(text, '{IP}')) AS code FROM lines)
-SELECT path, line::int AS line, code, 5002 AS svid, 'hard-coded IP' AS rule_name, 'low' AS level, md5(concat_ws(',', '5002', path, code)) AS vul_hash FROM hit""")
-def hardcoded_ip(spark, d):
-    rules = catalog.rules(spark, only=[5002]).select("svid", "rule_name", "level")
-    found = matching.hits(files(spark, d).select("path", "content"), IP, insensitive=False).withColumn("svid", F.lit(5002)).join(F.broadcast(rules), "svid")
-    return found.select("path", "line", F.col("text").alias("code"), "svid", "rule_name", X.level_label(F.col("level")).alias("level"), X.md5_hex(F.col("svid").cast("string"), "path", "text").alias("vul_hash"))
-
-
 # ---------------------------------------------------------------- sources
 @query("s02_extensions", FILES + "SELECT ext, count(*) AS count FROM v_files GROUP BY ext")
 def s02(spark, d):
@@ -741,100 +732,149 @@ def tumbling(spark, d):
 ORACLE_SQL["t_tumbling"] = ORACLE_SQL["t_tumbling"].replace("sum(value)", "round(sum(value), 4)")
 
 
-# ---------------------------------------------------------------- sources of our own: rows only, tests hold the expected rows
-@query("t_php_taint")
-def php_taint(spark, d):
-    from . import fixtures
-    from .plans import taint
+# ---------------------------------------------------------------- projects made from documents, each with a case of its own
+_TAINT = "name, line, svid, sink"
+_TAINT_COLUMNS = f"{G.PATH} AS path, (c.line + {G.LINES})::int AS line, c.svid::int AS svid, r.rule_name, r.level::int AS level, {G.own('c.sink')} AS sink, 1 AS verdict, CASE WHEN contains(c.sink, '§') OR c.sink = 'closure' THEN 'New-function-param-controllable' ELSE 'Function-param-controllable' END AS reason"
 
-    return taint.scan(fixtures.files(spark, fixtures.PHP), "php").select("path", "line", "svid", "rule_name", "level", "sink", "verdict", "reason", F.to_json("chain").alias("chain"))
 
+def _taint_sql(cases: dict) -> str:
+    return G.expected(cases, _TAINT, _TAINT_COLUMNS) + f" JOIN (SELECT * FROM {_RULES}) r ON r.svid = c.svid"
 
-@query("j_js_taint")
-def js_taint(spark, d):
-    from . import fixtures
+
+def _tainted(spark, files, language):
     from .plans import taint
 
-    return taint.scan(fixtures.files(spark, fixtures.JS), "javascript").select("path", "line", "svid", "rule_name", "level", "sink", "verdict", "reason", F.to_json("chain").alias("chain"))
+    sink = F.regexp_replace("sink", "^closure@.*", "closure")
+    return taint.scan(files, language).select("path", "line", "svid", "rule_name", "level", sink.alias("sink"), "verdict", "reason")
+
+
+@query("t_php_taint", _taint_sql(G.PHP))
+def php_taint(spark, d):
+    return _tainted(spark, G.tree(spark, d, G.PHP), "php")
+
+
+@query("j_js_taint", _taint_sql(G.JS))
+def js_taint(spark, d):
+    return _tainted(spark, G.tree(spark, d, G.JS), "javascript")
 
 
-@query("c10_chains")
+@query("c10_chains", G.expected(G.CHAINS, "entry, methods, sink, line", f"'/gen/' || d.doc_id || '/' AS project, c.entry, c.methods, c.sink, (c.line + {G.LINES})::int AS line"))
 def chain_mining(spark, d):
-    from . import fixtures
     from .plans import codedb
     from .plans.parse import records
 
-    return codedb.chains(joins.written_round(records(fixtures.files(spark, fixtures.CHAIN), "php")))
+    rows = joins.written_round(records(G.tree(spark, d, G.CHAINS), "php"))
+    return codedb.chains(rows, projects=G.PROJECT).select("project", "entry", F.array_join("methods", " ").alias("methods"), "sink", "line")
 
 
-@query("c01_code_database")
+@query("c01_code_database", G.expected(G.CODE, "name, place, node_sort, source_node, node_type, sink_node", f"{G.PATH} AS path, {G.PATH} || c.place AS node_locate, c.node_sort::int AS node_sort, c.source_node, c.node_type, c.sink_node"))
 def code_database(spark, d):
-    from . import fixtures
     from .plans import codedb
     from .plans.parse import records
 
-    return codedb.dataflow(records(fixtures.files(spark, fixtures.CHAIN | fixtures.PHP), "php"))
+    return codedb.dataflow(records(G.tree(spark, d, G.CODE), "php"))
 
 
-@query("f01_entrances")
-def entrances(spark, d):
-    from . import fixtures
+def _weights(spark, d):
     from .plans.parse import of, records
 
-    nodes = of(records(fixtures.files(spark, fixtures.CHAIN | fixtures.PHP), "php"), "node").select("path", "kind", F.col("pos").alias("depth"))
-    return corpus.entrances(nodes, limit=-100)
+    return corpus.entrances(of(records(G.tree(spark, d, G.ENTRANCES), "php"), "node").select("path", "kind", F.col("pos").alias("depth")), limit=None)
+
+
+_ENTRANCES = G.expected(G.ENTRANCES, "name, weight", f"{G.PATH} AS path, c.weight::bigint AS weight")
+
+
+@query("f01_entrances", _ENTRANCES)
+def entrances(spark, d):
+    return _weights(spark, d)
+
+
+@query("f03_entrance_report", f"SELECT *, CASE WHEN weight > 0 THEN 'above' ELSE 'up to' END AS bucket FROM ({_ENTRANCES})")
+def entrance_report(spark, d):
+    return corpus.entrance_report(_weights(spark, d))
 
 
-@query("s14_script_records")
+@query("s14_script_records", r"""WITH p AS (SELECT unnest(regexp_extract_all(html, '(?is)<script([^>]*)>(.*?)</script\s*>', 2)) AS body FROM pages)
+SELECT count(*) AS scripts, sum(CASE WHEN regexp_matches(body, '^\s*var\s') THEN 1 ELSE 0 END)::bigint AS with_var FROM p WHERE trim(body) <> ''""")
 def script_records(spark, d):
-    """All scripts of all pages, read into records and counted."""
+    """All scripts of all pages read into records: how many there are, and how many begin with a definition."""
     from .plans.parse import records
 
     scripts = corpus.script_parts(table(spark, d, "pages"), "page_id", "html").where("body <> ''")
     rows = records(scripts.select(F.concat_ws("#", F.col("id").cast("string"), F.col("pos").cast("string")).alias("path"), F.col("body").alias("content")), "javascript")
-    return rows.groupBy("rec", "kind").agg(F.count("*").alias("n"))
+    first = rows.groupBy("path").agg(F.min_by("rec", F.when(F.col("rec") != "node", F.col("ord"))).alias("rec"))
+    return scripts.agg(F.count("*").alias("scripts")).join(first.agg(F.coalesce(F.sum((F.col("rec") == "def").cast("long")), F.lit(0)).alias("with_var")))
 
 
-@query("v02_manifests")
+_DEPENDENCIES = f"{G.PATH} AS path, c.language, {G.own('c.package')} AS name, {G.own('c.version')} AS version, {G.own('c.ext')} AS ext"
+
+
+@query("v02_manifests", G.expected(G.MANIFESTS, "name, language, package, version, ext", _DEPENDENCIES))
 def all_manifests(spark, d):
-    from . import fixtures
     from .sources import manifests
 
-    return manifests.dependencies(fixtures.files(spark, fixtures.MANIFESTS))
+    return manifests.dependencies(G.tree(spark, d, G.MANIFESTS))
 
 
-@query("v01_manifest_files")
+@query("v01_manifest_files", f"WITH t AS ({G.tree_sql(G.MANIFESTS)}), m AS (SELECT * FROM {values([(l, n) for l, ns in catalog.MANIFEST_FILES.items() for n in ns], 'language, base')}) SELECT t.path, m.language FROM t JOIN m ON regexp_extract(t.path, '[^/]*$') = m.base")
 def manifest_files(spark, d):
-    from . import fixtures
     from .sources import manifests
 
-    return manifests.manifests(fixtures.files(spark, fixtures.MANIFESTS)).select("path", "language")
+    return manifests.manifests(G.tree(spark, d, G.MANIFESTS)).select("path", "language")
 
 
-@query("m07_address_zero")
-def address_zero(spark, d):
-    from . import fixtures
+@query("v18_framework_dependencies", f"SELECT '/gen/' || d.doc_id || '/' AS project, c.name, {G.own('c.version')} AS version FROM documents d JOIN {G.values([(list(G.MANIFESTS).index(k), *r) for k, *r in G.FRAMEWORK], 'case_no, name, version')} ON d.doc_id % {len(G.MANIFESTS)} = c.case_no")
+def framework_dependencies(spark, d):
+    from .sources import manifests
+
+    return manifests.framework_dependencies(G.tree(spark, d, G.MANIFESTS), projects=G.PROJECT)
 
+
+@query("m07_address_zero", G.expected({k: (f, [x for x in w if x[2] == 2100]) for k, (f, w) in G.OTHERS.items()}, "name, code, svid", f"{G.PATH} AS path, 0 AS line, c.code AS text"))
+def address_zero(spark, d):
+    """Rule 2100 as it ships: names of address parameters that nothing compares with zero."""
     r = catalog.rule(2100)
-    return matching.names_not_guarded(fixtures.files(spark, fixtures.SOLIDITY), r["match_name"], r["match"], [u.replace("=padding=\\s!=", "=padding=\\s*!=") for u in r["unmatch"]], r["black_list"])
+    return matching.names_not_guarded(G.tree(spark, d, G.OTHERS).where("ext = '.sol'"), r["match_name"], r["match"], r["unmatch"], r["black_list"])
 
 
-@query("m06_function_calls")
+@query("m06_function_calls", f"""WITH t AS ({G.tree_sql(G.PHP)}), l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM t)
+SELECT path, line::int AS line, count(*) AS calls FROM (SELECT path, line, unnest(regexp_extract_all(text, '(?i)\\b(?:system|passthru|exec|popen)\\s*\\(')) AS hit FROM l) GROUP BY path, line""")
 def function_calls(spark, d):
-    from . import fixtures
+    found = matching.function_calls(G.tree(spark, d, G.PHP), catalog.rule(1011)["match"][0], "php")
+    return found.groupBy("path", F.col("line").cast("int").alias("line")).agg(F.count("*").alias("calls"))
 
-    found = fixtures.files(spark, fixtures.PHP)
-    return matching.function_calls(found, catalog.rule(1011)["match"][0], "php")
 
+def _base_sql() -> str:
+    """Hits of the shipped only-regex rules for all languages, with their lines, by DuckDB's regular expressions."""
+    parts = []
+    for r in catalog.rule_rows():
+        if r["match_mode"] == catalog.REGEX and r["status"] and r["language"] == "base":
+            pattern = "(?i)" + r["match"][0].replace("'", "''")
+            no = "".join(" AND NOT regexp_matches(content, '(?i)" + u.replace("'", "''") + "')" for u in r["unmatch"])
+            parts.append(f"""SELECT path, {r['svid']} AS svid, unnest(range(1, len(hits) + 1)) AS i, hits, parts FROM (SELECT path, regexp_extract_all(content, '{pattern}') AS hits, regexp_split_to_array(content, '{pattern}') AS parts FROM t WHERE regexp_matches(content, '{pattern}'){no})""")
+    breaks = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y) - length(replace(y, chr(10), '')))), 0)"
+    return f"WITH t AS ({G.tree_sql(G.BASE)}), h AS ({' UNION ALL '.join(parts)}) SELECT path, (1 + {breaks('parts[1:i]')} + {breaks('hits[1:i - 1]')})::int AS line, hits[i] AS text, svid::int AS svid FROM h"
 
-@query("m01_base_rules")
-def base_rules(spark, d):
-    """The only-regex rules for all languages, over all files."""
+
+def _base_hits(spark, d):
     rules = [r for r in catalog.rule_rows() if r["match_mode"] == catalog.REGEX and r["status"] and r["language"] == "base"]
-    f = files(spark, d).select("path", "content")
+    f = G.tree(spark, d, G.BASE).select("path", "content")
     return reduce(DataFrame.unionByName, [matching.match_and_not(f, r["match"], r["unmatch"]).withColumn("svid", F.lit(r["svid"])) for r in rules])
 
 
+@query("m01_base_rules", _base_sql())
+def base_rules(spark, d):
+    """The only-regex rules for all languages, over a configuration file for each document."""
+    return _base_hits(spark, d).select("path", F.col("line").cast("int").alias("line"), "text", "svid")
+
+
+# ---------------------------------------------------------------- flagship: the base rules' hits as findings
+@query("entry_base_findings", f"SELECT h.path, h.line, h.text AS code, h.svid, r.rule_name, CASE WHEN r.level >= 8 THEN 'critical' WHEN r.level >= 6 THEN 'high' WHEN r.level >= 3 THEN 'medium' ELSE 'low' END AS level, md5(concat_ws(',', h.svid::varchar, h.path, h.text)) AS vul_hash FROM ({_base_sql()}) h JOIN (SELECT * FROM {_RULES}) r ON r.svid = h.svid")
+def base_findings(spark, d):
+    named = _base_hits(spark, d).join(F.broadcast(catalog.rules(spark).select("svid", "rule_name", "level")), "svid")
+    return named.select("path", F.col("line").cast("int").alias("line"), F.col("text").alias("code"), "svid", "rule_name", X.level_label(F.col("level")).alias("level"), X.md5_hex(F.col("svid").cast("string"), "path", "text").alias("vul_hash"))
+
+
 @query("x05_short_path", FILES + """, p AS (SELECT path, string_split(path, '/') AS p FROM v_files), t AS (SELECT path, p, length(p[2]) + length(p[4]) + 1 AS t0, length(p[2]) + length(p[4]) + 2 * length(p[3]) + 2 AS t1 FROM p)
 SELECT path, CASE WHEN length(path) < 14 THEN path WHEN t0 > 14 THEN '.../' || p[4] WHEN t1 > 14 THEN p[2] || '/.../' || p[4] ELSE p[2] || '/' || p[3] || '/.../' || p[3] || '/' || p[4] END AS t FROM t""")
 def x05(spark, d):
@@ -962,11 +1002,28 @@ def z15(spark, d):
     return files(spark, d).where(~F.exists(words, lambda w: F.contains(F.col("content"), w))).select("path")
 
 
-@query("scan_fixture_tree")
-def scan_fixtures(spark, d):
-    from . import fixtures
+_SCANNED = G.PHP | {f"js {k}": v for k, v in G.JS.items()} | {f"other {k}": v for k, v in G.OTHERS.items()}
+
+
+def _scan_sql() -> str:
+    rows = []
+    for i, (name, (_, found)) in enumerate(_SCANNED.items()):
+        for f in found:
+            if name.startswith("other "):
+                rows.append((i, f[0], 0, f[2], f[1], "vendor_source_match" if f[2] == 9999 else "file-path-regex-match" if f[2] == 5003 else "Regex-return-regex" if f[2] == 2100 else "Specail-crx-keyword-match", True))
+            else:
+                rows.append((i, f[0], f[1], f[2], f[3], "New-function-param-controllable" if "§" in f[3] or f[3] == "closure" else "Function-param-controllable", False))
+    return f"""WITH f AS (SELECT {G.PATH} AS path, c.svid, (CASE WHEN c.whole THEN 0 ELSE c.line + {G.LINES} END)::int AS line, {G.own('c.code')} AS code, c.reason
+FROM documents d JOIN {G.values(rows, 'case_no, name, line, svid, code, reason, whole')} ON d.doc_id % {len(_SCANNED)} = c.case_no)
+SELECT f.path, f.line, f.svid::int AS svid, f.code, f.reason, 1 AS verdict, r.rule_name, r.language, r.level::int AS level FROM f LEFT JOIN (SELECT * FROM {_RULES}) r ON r.svid = f.svid"""
+
+
+@query("scan_tree", _scan_sql())
+def scan_tree(spark, d):
+    """The whole scan, all match modes, taint, derived rules and advisories, over a project for each document."""
     from .plans.scan import scan
 
-    tree = fixtures.files(spark, fixtures.PHP | fixtures.JS | fixtures.SOLIDITY | fixtures.MANIFESTS | {"/app/config.php": "<?php $password = 'hunter22xyz';"})
     advisories = spark.createDataFrame([("Django", "3.2.1", "ADV-1")], "name string, version string, vuln_id string")
-    return scan(tree, advisories=advisories).withColumn("chain", F.to_json("chain"))
+    only = [r["svid"] for r in catalog.rule_rows() if r["status"] and r["svid"] not in (5001, 5002)]  # those two read texts as well: m01_base_rules
+    found = scan(G.tree(spark, d, _SCANNED), only=only, advisories=advisories)
+    return found.select("path", "line", "svid", F.regexp_replace("code", "^closure@.*", "closure").alias("code"), "reason", "verdict", "rule_name", "language", "level")

@@ -56,12 +56,13 @@ def _xpath(path: str) -> str:
     return "/".join(f"*[local-name()=\"{p}\"]" for p in path.split("/"))
 
 
-def pom(files: DataFrame) -> DataFrame:
-    """Maven dependencies; ${name} is looked up in the properties of all files, ${project.version} in the own file."""
+def pom(files: DataFrame, compat: bool = False) -> DataFrame:
+    """Maven dependencies; ${name} is looked up in the own file's properties, with `compat` in those of all files; ${project.version} in the own file."""
     docs = _named(files, "pom.xml").where(F.contains("content", F.lit("</project>"))).withColumn("xml", F.regexp_replace("content", r"(?s)<\?xml.*?\?>|<!--.*?-->", ""))
     block = F.regexp_extract("xml", r"(?s)<properties>(.*?)</properties>", 1)
-    found = docs.select(F.explode(F.arrays_zip(F.regexp_extract_all(block, F.lit(r"<([\w.-]+)>([^<]*)</"), F.lit(1)).alias("key"), F.regexp_extract_all(block, F.lit(r"<([\w.-]+)>([^<]*)</"), F.lit(2)).alias("value"))).alias("p")).select("p.key", "p.value")
-    properties = found.groupBy("key").agg(F.min("value").alias("value"))
+    found = docs.select("path", F.explode(F.arrays_zip(F.regexp_extract_all(block, F.lit(r"<([\w.-]+)>([^<]*)</"), F.lit(1)).alias("key"), F.regexp_extract_all(block, F.lit(r"<([\w.-]+)>([^<]*)</"), F.lit(2)).alias("value"))).alias("p")).select("path", "p.key", "p.value")
+    at = ["key"] if compat else ["path", "key"]
+    properties = found.groupBy(*at).agg(F.min("value").alias("value"))
     items = F.regexp_extract_all("xml", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
     parent = F.regexp_extract("xml", r"(?s)<parent>(.*?)</parent>", 1)
     rest = F.regexp_replace("xml", r"(?s)<(parent|dependencies|dependencyManagement|build|profiles|plugins)>.*?</\1>", "")
@@ -73,7 +74,7 @@ def pom(files: DataFrame) -> DataFrame:
     rows = docs.select("path", own.alias("own"), F.explode(F.concat(F.when(parent != "", F.array(parent)).otherwise(F.array().cast("array<string>")), items)).alias("item"))
     rows = rows.select("path", "own", F.concat_ws(":", tag(F.col("item"), "groupId"), tag(F.col("item"), "artifactId")).alias("name"), F.nullif(tag(F.col("item"), "version"), F.lit("")).alias("raw"))
     rows = rows.withColumn("key", F.nullif(F.regexp_extract("raw", r"^\$\{(.+)\}$", 1), F.lit("")))
-    joined = rows.join(properties, "key", "left")
+    joined = rows.join(properties, at, "left")
     version = F.when(F.col("key").isin("project.version", "version"), F.col("own")).when(F.col("key").isNotNull(), F.col("value")).otherwise(F.col("raw"))
     return joined.select(*_row("java", F.col("name"), version))
 
@@ -99,3 +100,21 @@ def dependencies(files: DataFrame) -> DataFrame:
     for more in (composer, go_mod, pom, gradle, package_json):
         out = out.unionByName(more(files))
     return out
+
+
+NO_VERSION = "The latest version"
+
+
+def framework_dependencies(files: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, name, version) as framework detection sees them: names of requirements.txt files, or, in a project without one, artifacts of pom.xml files.
+
+    A package without a version has NO_VERSION.  `projects` is a regular expression for the project in a path.
+    """
+    project = (F.regexp_extract("path", projects, 0) if projects else F.lit("")).alias("project")
+    lines = _named(files, "requirements.txt").select(project, F.explode(F.split("content", "\r?\n")).alias("line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).where("line <> ''")
+    parts = F.split("line", "==")
+    pip = lines.select("project", F.trim(F.get(parts, 0)).alias("name"), F.trim(F.get(parts, 1)).alias("version"))
+    named = _named(files, "requirements.txt").select(project).distinct()
+    maven = pom(files).select(project, F.element_at(F.split("name", ":"), -1).alias("name"), "version").join(named, "project", "left_anti")
+    return pip.unionByName(maven).where("name <> ''").withColumn("version", F.coalesce(F.nullif("version", F.lit("")), F.lit(NO_VERSION))).distinct()
