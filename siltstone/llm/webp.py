@@ -4,14 +4,16 @@ The reader follows the public bitstream specification: prefix codes (simple and
 normal, in groups chosen by an entropy image), back-references with the plane
 distances, the colour cache, and the inverses of the predictor, cross-colour,
 subtract-green and palette transforms; in a plain file or in an extended one.  Where one
-group of codes serves the whole image, the symbol that would begin at each bit is looked up
-for all bits at once, and the image is the chain of symbols from the first bit; images with
-several groups go symbol by symbol.
+group of codes serves the whole image, the length of the symbol that would begin at each bit
+is looked up for all bits at once, and the image is the chain of symbols from the first bit;
+references are pointers, followed for all pixels at once.  Images with several groups go symbol
+by symbol.  Codes that were read before are known by their bits.
 
 The writer uses the palette transform for images of at most 16 colours, else the predictor
-(black, left or top, whichever leaves least entropy); then back-references of three pixels
-or more, the colour cache where it is hit, and a prefix code for each channel by its counts.
-Equal images give equal files.  An image takes at most 16,384 rows; longer payloads
+(black, left or top); then back-references of three pixels or more, the colour cache where it
+is hit, and prefix codes.  Palettes and the predictor's modes have codes by their counts; pixels
+have one of three sets of codes, made by rules for prose, differences and anything: mode and
+set are those that cost the image least.  Equal images give equal files.  An image takes at most 16,384 rows; longer payloads
 become several files, one after the other.
 """
 
@@ -37,6 +39,9 @@ SEGMENT = 1 << 15
 _REVERSED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << LONGEST)], np.int64)
 
 
+_EIGHT = np.arange(8, dtype=np.uint64)
+
+
 class Bits:
     """Bits of a buffer, least significant first."""
 
@@ -59,7 +64,7 @@ class Bits:
         """The bits from each of the next n positions on, 57 at least; zeros beyond the end."""
         first = self.at >> 3
         rows = self.eight[first:((self.at + n - 1) >> 3) + 1]
-        return (rows[:, None] >> np.arange(8, dtype=np.uint64)).reshape(-1)[self.at & 7:(self.at & 7) + n]
+        return (rows[:, None] >> _EIGHT).reshape(-1)[self.at & 7:(self.at & 7) + n]
 
 
 class PrefixCode:
@@ -89,7 +94,7 @@ class PrefixCode:
 
     def look(self, windows: np.ndarray):
         """(symbol, length) at the beginning of each window."""
-        at = (windows & np.uint64((1 << self.longest) - 1)).astype(np.int64)
+        at = windows.view(np.int64) & (1 << self.longest) - 1
         return self.symbol[at], self.length[at]
 
 
@@ -135,6 +140,26 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     return PrefixCode(lengths)
 
 
+_KNOWN: dict[int, list[tuple[int, int, list[PrefixCode]]]] = {}
+
+
+def read_group(bits: Bits, cache_size: int) -> list[PrefixCode]:
+    """The five codes of a group; the last 16 groups of each size are known by their bits."""
+    first, shift = bits.at >> 3, bits.at & 7
+    window = int.from_bytes(bits.data[first:first + 1024], "little") >> shift
+    known = _KNOWN.setdefault(cache_size, [])
+    for n, value, codes in known:
+        if window & (1 << n) - 1 == value and bits.at + n <= bits.size:
+            bits.at += n
+            return codes
+    begin = bits.at
+    codes = [read_code(bits, n) for n in (256 + 24 + cache_size, 256, 256, 256, 40)]
+    if (n := bits.at - begin) < 8000:
+        known.append((n, window & (1 << n) - 1, codes))
+        del known[:-16]
+    return codes
+
+
 def _extra(bits: Bits, symbol: int) -> int:
     if symbol < 4:
         return symbol + 1
@@ -166,7 +191,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         across = (width + (1 << step) - 1) >> step
         groups_of = (read_pixels(bits, across, (height + (1 << step) - 1) >> step, False) >> 8 & 0xFFFF).reshape(-1, across)
         groups = int(groups_of.max()) + 1
-    codes = [[read_code(bits, n) for n in (256 + 24 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
+    codes = [read_group(bits, cache_size) for _ in range(groups)]
     if groups == 1:
         return _by_chain(bits, codes[0], width, width * height, cache_bits)
     return _by_symbol(bits, codes, groups_of, step, width, width * height, cache_bits)
@@ -178,70 +203,112 @@ def _cache_keys(argb: np.ndarray, cache_bits: int) -> np.ndarray:
 
 def _by_chain(bits: Bits, codes: list[PrefixCode], width: int, total: int, cache_bits: int) -> np.ndarray:
     """The pixels of an image with one group of codes."""
+    if not any(c.longest for c in codes[:4]) and codes[0].symbol[0] < 256:  # one colour, no bits
+        argb = sum(int(c.symbol[0]) << shift for c, shift in zip(codes, (8, 16, 0, 24), strict=False))
+        return np.full(total, argb, np.uint32)
     out, at = np.zeros(total, np.uint32), 0
-    specials = []
+    copies_of, cached = [], []  # (place, length, distance); (places, indexes)
     while at < total:
         n = min(SEGMENT, bits.size - bits.at + 1)
         if n < 1:
             raise ValueError("the image ends early")
         windows = bits.windows(n + 64)
-        green, next_ = codes[0].look(windows[:n])
-        next_ = next_ + np.arange(n)
-        literal, advance = green < 256, np.ones(n, np.int64)
-        value = green.astype(np.uint32) << np.uint32(8)
-        after, spot = next_.copy(), np.where(literal, next_, 0)
-        for code, shift in zip(codes[1:4], (16, 0, 24), strict=True):
-            symbol, length = code.look(windows[spot])
-            value |= symbol.astype(np.uint32) << np.uint32(shift)
-            spot = spot + length
-        after[literal] = spot[literal]
-        copies = np.flatnonzero((green >= 256) & (green < 280))
-        if len(copies):
-            spot = next_[copies]
-            length, more = _values(green[copies] - 256, windows[spot])
-            spot = spot + more
-            found, wide = codes[4].look(windows[np.minimum(spot, n + 63)])
-            spot = spot + wide
-            far, more = _values(found, windows[np.minimum(spot, n + 63)])
-            advance[copies], after[copies] = length, spot + more
-            value[copies] = _distances(far, width)
-        tokens, q, here = [], 0, at
-        jump, steps = after.tolist(), advance.tolist()
-        while q < n and here < total:
-            if jump[q] == q:  # symbols without bits fill the rest
-                tokens += [q] * (total - here)
-                here = total
-                break
-            tokens.append(q)
-            here += steps[q]
-            q = jump[q]
-        if here > total:
+        low = windows.view(np.int64)
+        begin = low[:n] & (1 << codes[0].longest) - 1
+        here = np.arange(n)
+        after = here + codes[0].length[begin]
+        green = codes[0].symbol[begin]
+        literal = green < 256
+        spot, last, wide = after, None, None
+        for code in codes[1:4]:
+            if wide is None or code is not last:
+                wide, last = code.length[low & (1 << code.longest) - 1], code
+            spot = spot + wide[spot]
+        jump = np.where(literal, spot, after)
+        lengths: dict[int, int] = {}
+        far = np.flatnonzero((green >= 256) & (green < 280))
+        if len(far):
+            spot = after[far].astype(np.int64)
+            length, more = _values(green[far] - 256, windows[spot])
+            spot += more
+            found, wide = codes[4].look(windows[spot])
+            spot += wide
+            distance, more = _values(found, windows[spot])
+            jump[far] = spot + more
+            lengths = dict(zip(far.tolist(), length.tolist(), strict=True))
+            distance = dict(zip(far.tolist(), _distances(distance, width).tolist(), strict=True))
+        step, q, left = memoryview(jump), 0, total - at
+        tokens, advance = [], lengths.get
+        add = tokens.append
+        while q < n and left > 0:
+            add(q)
+            left -= advance(q, 1)
+            q = step[q]
+        if left < 0:
             raise ValueError("a back-reference leaves the image")
         bits.at += q
         if bits.at > bits.size:
             raise ValueError("the image ends early")
         tokens = np.array(tokens)
-        took = advance[tokens]
-        places = at + np.cumsum(took) - took
-        plain = literal[tokens]
-        out[places[plain]] = value[tokens[plain]]
-        for t, place in zip(tokens[~plain].tolist(), places[~plain].tolist(), strict=True):
-            specials.append((place, int(green[t]), steps[t], int(value[t])))
-        at = here
-    cache, known = np.zeros(1 << cache_bits, np.uint32), 0
-    for place, symbol, length, distance in specials:
-        if symbol < 280:
-            if distance > place:
-                raise ValueError("a back-reference leaves the image")
-            out[place:place + length] = out[place - distance:place - distance + length] if distance >= length else np.resize(out[place - distance:place], length)
+        if len(far):
+            wide = np.ones(n, np.int64)
+            wide[far] = length
+            wide = wide[tokens]
+            places = at + np.cumsum(wide) - wide
+            for i in np.flatnonzero((green[tokens] >= 256) & (green[tokens] < 280)).tolist():
+                copies_of.append((int(places[i]), int(wide[i]), distance[int(tokens[i])]))
         else:
-            fresh = out[known:place]
-            cache[_cache_keys(fresh, cache_bits)] = fresh  # of equal keys the last one stays
-            known = place
-            out[place] = cache[symbol - 280]
+            places = np.arange(at, at + len(tokens))
+        plain = literal[tokens]
+        some = tokens[plain]
+        value = green[some].astype(np.uint32) << np.uint32(8)
+        spot = after[some]
+        for code, shift in zip(codes[1:4], (16, 0, 24), strict=True):
+            symbol, wide = code.look(windows[spot])
+            value |= symbol.astype(np.uint32) << np.uint32(shift)
+            spot = spot + wide
+        out[places[plain]] = value
+        held = green[tokens] >= 280
+        if held.any():
+            cached.append((places[held], green[tokens[held]] - 280))
+        at = total - left
+    if copies_of or cached:
+        _resolve(out, copies_of, cached, cache_bits)
     return out
 
 
+def _resolve(out: np.ndarray, copies: list[tuple[int, int, int]], cached: list, cache_bits: int) -> None:
+    """Fills in what copies and cache hits stand for: each such pixel points to an earlier one, up to a literal.
+
+    A pixel that came from the cache has its index as key, a copied one its source's key, so
+    the pixel that a hit means is the last one before it with its key.
+    """
+    source = np.arange(len(out))
+    keys = _cache_keys(out, cache_bits) if cached else None
+    for places, index in cached:
+        keys[places] = index
+    for place, length, distance in copies:
+        if distance > place:
+            raise ValueError("a back-reference leaves the image")
+        source[place:place + length] -= distance
+        if cached:
+            keys[place:place + length] = keys[place - distance:place - distance + length] if distance >= length else np.resize(keys[place - distance:place], length)
+    if cached:
+        order = np.argsort(keys, kind="stable")
+        before = np.full(len(out), -1)
+        before[order[1:]] = np.where(keys[order[1:]] == keys[order[:-1]], order[:-1], -1)
+        hits = np.concatenate([places for places, _ in cached])
+        source[hits] = before[hits]
+    empty = source < 0  # a cache slot that holds nothing yet is 0
+    source[empty] = np.flatnonzero(empty)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    out[:] = out[source]
+
+
 def _by_symbol(bits: Bits, codes, groups_of: np.ndarray, step: int, width: int, total: int, cache_bits: int) -> np.ndarray:
     """The pixels of an image whose codes change from tile to tile."""
     cache = [0] * (1 << cache_bits)
@@ -434,13 +501,6 @@ def _forward(argb: np.ndarray, width: int, mode: int) -> np.ndarray:
     return out.reshape(-1, 4)
 
 
-def _entropy(channels: np.ndarray) -> float:
-    """Bits that four codes by count would take."""
-    counts = np.bincount((channels + np.arange(0, 1024, 256)).reshape(-1), minlength=1024)
-    counts = counts[counts > 0].astype(np.float64)
-    return float(4 * len(channels) * np.log2(len(channels)) - (counts * np.log2(counts)).sum())
-
-
 def _lengths(counts: np.ndarray) -> np.ndarray:
     """Lengths of a complete prefix code of at most 15 bits: by each symbol's share, then shortened until nothing is left over."""
     lengths = np.zeros(len(counts), np.int64)
@@ -505,6 +565,43 @@ def _code_header(lengths: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _shares() -> list[np.ndarray]:
+    """How often each byte is expected: in prose, among differences, anywhere."""
+    often = " enisratdhulcgombfpkvwz.,\n"
+    rank = np.full(256, 90.0)
+    rank[0x80:0xC0] = 45
+    rank[0x20:0x7F] = 55
+    rank[[0xC3, 0xFF]] = 22, 30
+    rank[np.frombuffer(often.encode(), np.uint8)] = np.arange(len(often))
+    prose, near = 1 / (rank + 1.5), 1 / (4.0 + np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(float)))
+    prose, near = prose / prose.sum(), near / near.sum()
+    return [0.8 * prose + 0.2 * near, near, np.full(256, 1 / 256)]
+
+
+_SHARES = _shares()
+_SETS: dict[tuple[int, int], tuple] = {}
+
+
+def _code_set(kind: int, cache_bits: int) -> tuple:
+    """(codes, lengths, header) of one of the sets, for green, red, blue, alpha and distances."""
+    if (kind, cache_bits) not in _SETS:
+        share, size = _SHARES[kind], 1 << cache_bits if cache_bits else 0
+        more = [0.04 / 24 * np.linspace(1.8, 0.2, 24), *([np.full(size, 0.08 / size)] if size else [])]
+        alpha = np.roll(share, 1) if kind == 0 else share  # black leaves one more than the byte
+        lengths = [_lengths(x * 1e9) for x in (np.concatenate((0.88 * share, *more)), share, share, alpha, np.linspace(0.2, 1.8, 40))]
+        _SETS[kind, cache_bits] = [_codes(x) for x in lengths], lengths, np.array([pair for x in lengths for pair in _code_header(x)])
+    return _SETS[kind, cache_bits]
+
+
+def _costs() -> np.ndarray:
+    """Bits of each byte of the four channels (blue, green, red, alpha) in each set."""
+    out = []
+    for kind in range(len(_SHARES)):
+        _, (green, red, blue, alpha, _), _ = _code_set(kind, 0)
+        out.append(np.concatenate((blue, green[:256], red, alpha)))
+    return np.array(out)
+
+
 def _matches(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, length, distance) of copies of three pixels or more from the nearest earlier place, first come first served."""
     n = len(argb)
@@ -554,15 +651,21 @@ def _near_codes(distance: np.ndarray, width: int) -> np.ndarray:
     return np.array([short.get(d, d + 120) for d in distance.tolist()], np.int64)
 
 
-def _written(argb: np.ndarray, width: int, main: bool):
-    """(values, bits) of an entropy-coded image."""
+def _written(argb: np.ndarray, width: int, main: bool, kind: int | None = None):
+    """(values, bits) of an entropy-coded image, with a set of codes or, without `kind`, codes by counts."""
     n = len(argb)
+    if (argb == argb[0]).all():  # five codes of one symbol, no bits for pixels
+        one = [int(argb[0]) >> shift & 0xFF for shift in (8, 16, 0, 24)]
+        head = np.array([(0, 1), *([(0, 1)] if main else []), *((5 | v << 3, 11) for v in (*one, 0))])
+        return head[:, 0], head[:, 1]
     place, length, distance = _matches(argb)
-    step = np.zeros(n + 1, np.int64)
-    step[place] += 1
-    np.add.at(step, place + length, -1)
-    covered = np.cumsum(step)[:n] > 0
-    cache_bits = min(10, max(1, n.bit_length() - 3)) if n > 15 else 0
+    covered = np.zeros(n, bool)
+    if len(place):
+        step = np.zeros(n + 1, np.int64)
+        step[place] += 1
+        np.add.at(step, place + length, -1)
+        covered = np.cumsum(step)[:n] > 0
+    cache_bits = min(8, max(1, n.bit_length() - 3)) if n > 15 else 0
     hit = np.zeros(n, bool)
     if cache_bits:
         keys = _cache_keys(argb, cache_bits)
@@ -571,36 +674,46 @@ def _written(argb: np.ndarray, width: int, main: bool):
         hit &= ~covered
         if not hit.any():
             cache_bits = 0
-    plain = ~covered & ~hit
+    plain = ~(covered | hit)
     channels = _bytes(argb).astype(np.int64)
     green = np.where(plain, channels[:, 1], -1)
     if cache_bits:
         green[hit] = 280 + keys[hit]
-    long, long_extra, long_bits = _prefixed(length)
-    far, far_extra, far_bits = _prefixed(_near_codes(distance, width))
-    green[place] = 256 + long
-    counts = [np.bincount(green[green >= 0], minlength=280 + (1 << cache_bits if cache_bits else 0)),
-              *(np.bincount(channels[plain, c], minlength=256) for c in (2, 0, 3)), np.bincount(far, minlength=40)]
-    head = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
+    if len(place):
+        long, long_extra, long_bits = _prefixed(length)
+        far, far_extra, far_bits = _prefixed(_near_codes(distance, width))
+        green[place] = 256 + long
+    else:
+        far = place
+    head, more_head = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)], np.zeros((0, 2), np.int64)
     if main:
         head.append((0, 1))
-    lengths = [_lengths(c) for c in counts]
-    codes = [_codes(x) for x in lengths]
-    for x in lengths:
-        head += _code_header(x)
-    lengths = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in lengths]
+    if kind is None:
+        counts = [np.bincount(green[green >= 0], minlength=280 + (1 << cache_bits if cache_bits else 0)),
+                  *(np.bincount(channels[plain, c], minlength=256) for c in (2, 0, 3)), np.bincount(far, minlength=40)]
+        lengths = [_lengths(c) for c in counts]
+        codes = [_codes(x) for x in lengths]
+        for x in lengths:
+            head += _code_header(x)
+        lengths = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in lengths]
+    else:
+        codes, lengths, more_head = _code_set(kind, cache_bits)
     token = np.flatnonzero(green >= 0)
     values, bits = codes[0][green[token]], lengths[0][green[token]]
     which = plain[token]
     at = token[which]
+    value, wide = values[which], bits[which]
     for code, of, c in zip(codes[1:4], lengths[1:4], (2, 0, 3), strict=True):
-        values[which] |= code[channels[at, c]] << bits[which]
-        bits[which] += of[channels[at, c]]
-    which = np.searchsorted(token, place)
-    for value, more in ((long_extra, long_bits), (codes[4][far], lengths[4][far]), (far_extra, far_bits)):
-        values[which] |= value << bits[which]
-        bits[which] += more
-    head = np.array(head, np.int64)
+        channel = channels[at, c]
+        value |= code[channel] << wide
+        wide += of[channel]
+    values[which], bits[which] = value, wide
+    if len(place):
+        which = np.searchsorted(token, place)
+        for value, more in ((long_extra, long_bits), (codes[4][far], lengths[4][far]), (far_extra, far_bits)):
+            values[which] |= value << bits[which]
+            bits[which] += more
+    head = np.concatenate((np.array(head), more_head))
     return np.concatenate((head[:, 0], values)), np.concatenate((head[:, 1], bits))
 
 
@@ -610,12 +723,18 @@ def _packed(values: np.ndarray, bits: np.ndarray) -> bytes:
     return np.packbits((np.repeat(values, bits) >> shift & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+_CHANNELS = np.arange(0, 1024, 256)
+_COSTS = _costs()
+
+
 def encode(samples: np.ndarray) -> bytes:
     """A file of RGBA samples (height x width x 4), lossless."""
     height, width = samples.shape[:2]
     argb = np.ascontiguousarray(samples[:, :, [2, 1, 0, 3]]).view("<u4").reshape(-1)
     parts = [(np.array([width - 1, height - 1, 1, 0]), np.array([14, 14, 1, 3]))]
-    colours = np.unique(argb) if len(argb) < 1 << 12 or len(np.unique(argb[:1 << 12])) <= 16 else argb[:17]
+    some = set(argb[:64].tolist())
+    colours = np.unique(argb) if len(some) <= 16 else argb[:17]
+    kind = None
     if len(colours) <= 16:
         pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
         parts.append((np.array([1, 3, len(colours) - 1]), np.array([1, 2, 8])))
@@ -628,13 +747,14 @@ def encode(samples: np.ndarray) -> bytes:
         pixels, wide = (index.reshape(height, across, -1) << shifts).sum(axis=2, dtype=np.uint32).reshape(-1), across
     else:
         rests = [_forward(argb, width, mode) for mode in (0, 1, 2)]
-        mode = int(np.argmin([_entropy(x) for x in rests]))
+        counts = np.array([np.bincount((x + _CHANNELS).reshape(-1), minlength=1024) for x in rests])
+        mode, kind = divmod(int(np.argmin(counts @ _COSTS.T)), len(_SHARES))
         tiles = ((width + 511) >> 9) * ((height + 511) >> 9)
         parts.append((np.array([1, 0, 7]), np.array([1, 2, 3])))
         parts.append(_written(np.full(tiles, BLACK | mode << 8, np.uint32), (width + 511) >> 9, False))
         pixels, wide = np.ascontiguousarray(rests[mode]).view("<u4").reshape(-1), width
     parts.append((np.array([0]), np.array([1])))
-    parts.append(_written(pixels, wide, True))
+    parts.append(_written(pixels, wide, True, kind))
     data = bytes([SIGNATURE]) + _packed(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
     odd = b"\0" * (len(data) & 1)
     return b"RIFF" + (12 + len(data) + len(odd)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + odd
