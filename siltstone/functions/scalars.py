@@ -167,3 +167,12 @@ def line_of(content: Column, index: Column) -> Column:
     """The line, from 1, of the character at `index` (from 1)."""
     before = F.substring(content, F.lit(1), index - 1)
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+# The parts of a rule, by number.
+BLOCKS = ("match", "match-name", "black-list", "keyword", "unmatch", "vul-function")
+
+
+def block_name(index: Column) -> Column:
+    """The part of a rule with this number; null for none."""
+    return F.get(F.array(*map(F.lit, BLOCKS)), index)

@@ -37,11 +37,18 @@ PHP: dict[str, tuple[dict[str, str], list[tuple]]] = {
     "foreach": ({"a.php": "foreach ($_POST as $k => $v) {\neval($v);\n}"}, [("a.php", 2, 1009, "eval")]),
     "to string": ({"a.php": "class Str§ {\nfunction __toString() { return $_GET['s']; }\n}\n$s = new Str§();\nsystem($s);"}, [("a.php", 5, 1011, "system")]),
     "include": ({"a.php": "include 'conf§.php';\nsystem($conf);\nsystem($safe);", "conf§.php": "$conf = $_GET['c'];\n$safe = 'ls';"}, [("a.php", 2, 1011, "system")]),
+    "include by constant": ({"a.php": "define('CONF§', 'conf§.php');\ninclude CONF§;\nsystem($conf);\nsystem($safe);", "conf§.php": "$conf = $_GET['c'];\n$safe = 'ls';"}, [("a.php", 3, 1011, "system")]),
     "derived rule": ({"a.php": "function run§($p) { helper§($p); }\nfunction helper§($q) { eval($q); }\nrun§('1');\nrun§($_COOKIE['z']);"}, [("a.php", 4, 1009, "run§")]),
     "derived position": ({"a.php": "function two§($p, $q) {\nexec($q);\n}\ntwo§($_GET['a'], 'ls');\ntwo§('ls', $_GET['a']);"}, [("a.php", 5, 1011, "two§")]),
     "nothing": ({"a.php": "$a = 'fixed';\nsystem($a);\necho 'x';\neval('1;');"}, []),
 }
 
+#: (case, rule, function, argument, the sink it hands on to) of the functions that PHP's cases derive rules from.
+DERIVED = [("property argument", 1011, "Box§", 0, "system"), ("derived rule", 1009, "helper§", 0, "eval"), ("derived rule", 1009, "run§", 0, "helper§"), ("derived position", 1011, "two§", 1, "exec")]
+#: (case, file, line, function, argument as written) of their calls.
+DERIVED_CALLS = [("property argument", "a.php", 6, "Box§", "$_GET['y']"), ("derived rule", "a.php", 1, "helper§", "$p"), ("derived rule", "a.php", 3, "run§", "'1'"), ("derived rule", "a.php", 4, "run§", "$_COOKIE['z']"),
+                 ("derived position", "a.php", 4, "two§", " 'ls'"), ("derived position", "a.php", 5, "two§", " $_GET['a']")]
+
 JS: dict[str, tuple[dict[str, str], list[tuple]]] = {
     "variable": ({"a.js": "var a = location.hash;\nlet b = a.substr(1) + 'x';\ndocument.write(b);\ndocument.write('fixed');"}, [("a.js", 3, 3002, "document.write")]),
     "function return": ({"a.js": "var a = location.hash;\nfunction f§(x, y) { return x + y; }\ndocument.write(f§(a, 1));"}, [("a.js", 3, 3002, "document.write")]),

@@ -112,12 +112,22 @@ def parsable_scripts(files: DataFrame) -> DataFrame:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """2 * |shared characters as multisets| / (|a| + |b|), from two texts."""
-    def chars(x):
-        return F.array_sort(F.filter(F.split(x, ""), lambda c: c != ""))
+    """2 * |shared characters as multisets| / (|a| + |b|), from two texts; null for two empty ones."""
+    counts = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(F.length(a) - F.length(F.replace(a, c, F.lit(""))), F.length(b) - F.length(F.replace(b, c, F.lit(""))))))
+    return F.try_divide(counts * F.lit(2.0), (F.length(a) + F.length(b)).cast("double"))
 
-    counts = F.aggregate(F.array_distinct(chars(a)), F.lit(0), lambda n, c: n + F.least(F.length(a) - F.length(F.replace(a, c, F.lit(""))), F.length(b) - F.length(F.replace(b, c, F.lit("")))))
-    return counts * 2.0 / (F.length(a) + F.length(b))
+
+def similar_to_first(files: DataFrame, group: str, key: str, step: float = 0.03) -> DataFrame:
+    """files(`group`, `key`, content): each one's similarity to the first of its group by `key`, and its cluster.
+
+    In the order of falling similarity a cluster goes on while the ratio falls by less than `step`; clusters count from 1.
+    A group's first text reaches its rows by a join on the group, whose hot side Spark may split.
+    """
+    firsts = files.groupBy(group).agg(F.min_by("content", key).alias("_first"))
+    rated = files.join(firsts, group).select(group, key, F.coalesce(similarity(F.col("_first"), F.col("content")), F.lit(1.0)).alias("ratio"))
+    order = Window.partitionBy(group).orderBy(F.desc("ratio"), key)
+    falls = F.coalesce((F.lag("ratio").over(order) - F.col("ratio") >= step).cast("int"), F.lit(0))
+    return rated.withColumn("_falls", falls).withColumn("cluster", F.sum("_falls").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_falls")
 
 
 def entrances(nodes: DataFrame, limit: int | None = 0) -> DataFrame:

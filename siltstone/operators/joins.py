@@ -36,20 +36,33 @@ def hierarchy(edges: DataFrame, start: DataFrame, depth: int = 40) -> DataFrame:
     return known
 
 
-def written_round(df: DataFrame) -> DataFrame:
-    """Cut the lineage of one round of a loop: a table in the shared folder, removed at exit."""
-    import atexit
+def by_prefix(rows: DataFrame, column: str, prefixes: DataFrame, prefix: str, separator: str = "/") -> DataFrame:
+    """Rows with each of `prefixes` that their path begins with: a path's own beginnings, up to each separator, join as equals."""
+    parts = F.split(column, separator)
+    own = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), separator), F.lit(separator)))
+    return rows.where(F.size(parts) > 1).withColumn(prefix, F.explode(F.array_distinct(own))).join(prefixes, prefix)
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share; one of our own only where master is local and none is named."""
     import tempfile
-    import uuid
 
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written_round(df: DataFrame) -> DataFrame:
+    """Cut the lineage of one round of a loop: a table in the shared folder, removed at exit."""
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
 
     def remove():

@@ -42,10 +42,12 @@ def with_flow(results: DataFrame, flow: DataFrame) -> DataFrame:
 
 
 def flow_context(flow: DataFrame, files: DataFrame, before: int = 3, after: int = 6) -> DataFrame:
-    """Chain steps (path, line, ...) with the numbered source lines around them."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    steps = flow.join(lines, "path").where((F.col("pos") + 1 >= F.col("line") - before) & (F.col("pos") + 1 <= F.col("line") + after))
-    return steps.groupBy("path", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: F.format_string("%4d: %s", x["pos"] + 1, x["text"])), "\n").alias("context"))
+    """Chain steps (path, line, ...) with the numbered source lines around them: a slice of each file's lines."""
+    first = F.greatest(F.col("line") - before, F.lit(1))
+    lines = files.select("path", F.split("content", "\n").alias("_lines"))
+    steps = flow.select("path", "line").distinct().join(lines, "path")
+    numbered = F.transform(F.slice("_lines", first, F.col("line") + after - first + 1), lambda text, i: F.format_string("%4d: %s", i + first, text))
+    return steps.where(F.size("_lines") >= first).select("path", "line", F.array_join(numbered, "\n").alias("context"))
 
 
 def vendor_statistics(vendors: DataFrame, most: int = 100) -> DataFrame:

@@ -1,7 +1,13 @@
-"""Sinks for findings: CSV, JSON, XML, Parquet, and the printed table."""
+"""Sinks for findings: CSV, JSON, XML, Parquet, and the printed table.
+
+`write` makes folders of parts, at any size.  `write_csv` makes one file with one header, which grows;
+`write_json` keeps one folder for each scan, so writing a scan again replaces it and leaves the others.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +20,39 @@ def report_columns(findings: DataFrame) -> list[str]:
     return (["target"] if "target" in findings.columns else []) + rest
 
 
+def _hadoop(spark, path: str):
+    """The file system of a path, and the path as it knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_csv(findings: DataFrame, path: str) -> bool:
+    """Append findings to the one CSV file at `path`, whose header is written once; False without findings. One task writes: for reports."""
+    if findings.isEmpty():
+        return False
+    spark, rows = findings.sparkSession, findings.select(*[F.col(c).cast("string").alias(c) for c in report_columns(findings)])
+    system, target = _hadoop(spark, path)
+    options = {"header": True, "quoteAll": True, "escape": '"', "multiLine": True}
+    if system.exists(target):
+        rows = spark.read.options(**options).csv(path).unionByName(rows, allowMissingColumns=True)
+    folder = f"{path}.{uuid.uuid4().hex}"
+    rows.coalesce(1).write.options(**options).csv(folder)
+    system, made = _hadoop(spark, folder)
+    part = next(f.getPath() for f in system.listStatus(made) if f.getPath().getName().startswith("part-"))
+    system.delete(target, False)
+    system.rename(part, target)
+    system.delete(made, True)
+    return True
+
+
+def write_json(findings: DataFrame, path: str, sid: str) -> bool:
+    """One JSON object a finding under the scan's folder of `path`; an earlier report of that scan goes, those of others stay."""
+    if findings.isEmpty():
+        return False
+    findings.select(*report_columns(findings)).withColumn("sid", F.lit(sid)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sid").json(path)
+    return True
+
+
 def write(findings: DataFrame, path: str, kind: str, sid: str | None = None, mode: str = "append") -> bool:
     """Write findings; False for an unknown format or no findings. JSON is one object for each row under its scan's folder."""
     if kind not in FORMATS or findings.isEmpty():

@@ -56,6 +56,12 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", number(F.col("id"))).withColumn("flow", F.transform("flow", lambda leaf: leaf.withField("call", number(leaf["call"]))))
 
 
+def constants(rows: DataFrame) -> DataFrame:
+    """The constant table: (path, key, value) of each constant that a file defines as a text."""
+    named = of(rows, "define").select("path", F.col("name").alias("key"), F.explode(F.filter("flow", lambda x: x["kind"] == "str")).alias("leaf"))
+    return named.select("path", "key", F.col("leaf.name").alias("value")).distinct()
+
+
 def sinks(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Seeds: one row for each sink's argument, with its flow; equal joins on the kind and the name that it looks at."""
     last = F.element_at(F.split("name", r"[.]"), -1)
@@ -153,7 +159,9 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         as_param = lost.where("p_pos is not null and size(stack) = 0").select("fid", "svid", F.lit(4).alias("verdict"), F.col("p_pos").alias("param"), F.col("scope").alias("function"), "chain")
         verdicts.append(written_round(as_param))
         free = lost.where("p_pos is null")
-        i = includes.select(F.col("path").alias("i_path"), F.explode(F.filter("flow", lambda x: x["kind"] == "str")).alias("i")).select("i_path", F.col("i.name").alias("target"))
+        leaves = includes.select(F.col("path").alias("i_path"), F.explode("flow").alias("i")).select("i_path", "i.kind", F.col("i.name").alias("target"))
+        i = leaves.where("kind = 'str'").select("i_path", "target").unionByName(
+            leaves.where("kind = 'const'").join(constants(rows).withColumnRenamed("key", "target"), "target").select("i_path", F.col("value").alias("target")))
         files = rows.select(F.col("path").alias("f_path")).distinct().withColumn("f_base", F.substring_index("f_path", "/", -1))
         wanted = F.concat(F.lit("/"), F.regexp_replace("target", r"^(\./|/)", ""))
         into = (free.where("scope = ''").join(i, F.col("path") == F.col("i_path")).withColumn("f_base", F.substring_index("target", "/", -1))
@@ -194,35 +202,60 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
     return best.select("fid", "svid", "b.*")
 
 
-def findings(rows: DataFrame, language: str, tampers: DataFrame, table: DataFrame | None = None, derive: int = 20, unconfirmed: bool = False) -> DataFrame:
-    """(path, line, svid, sink, verdict, reason, chain): sinks of the rules, then of rules derived from parameters.
+def derive(rows: DataFrame, language: str, tampers: DataFrame, table: DataFrame | None = None, derive: int = 20, unconfirmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Findings, (path, line, svid, sink, verdict, reason, chain), of the rules and of rules derived from parameters; and the derived functions.
 
     A verdict of 4 makes the function a sink at that argument for the same rule; derived sinks
     are traced in the next round, each (function, argument, rule) once, at most `derive` rounds.
+    Derived functions are rows (svid, sink, argument, kind, origin, round): which sink's parameter they came from, and in which round.
     """
     spark, rows = rows.sparkSession, numbered(rows)
     table = sink_table(spark, language) if table is None else table
-    out, made = None, None
+    made = written_round(table.select("svid", "sink", "argument", "kind"))
+    out = functions = None
     for level in range(derive + 1):
         seeds = written_round(sinks(rows, table))
-        traced = written_round(trace(rows, seeds, language, tampers))
+        traced = written_round(trace(rows, seeds, language, tampers).join(seeds.select("fid", F.col("path").alias("at"), "line", F.col("name").alias("called")).distinct(), "fid"))
         keep = [1, 3] if unconfirmed else [1]
-        found = traced.where(F.col("verdict").isin(keep)).join(seeds.select("fid", "path", "line", F.col("name").alias("sink")), "fid")
         reason = F.when(F.col("verdict") == 3, "Unconfirmed Function-param-controllable").otherwise("Function-param-controllable" if not level else "New-function-param-controllable")
-        found = found.select("path", "line", "svid", "sink", "verdict", reason.alias("reason"), "chain")
+        found = traced.where(F.col("verdict").isin(keep)).select(F.col("at").alias("path"), "line", "svid", F.col("called").alias("sink"), "verdict", reason.alias("reason"), "chain")
         out = found if out is None else out.unionByName(found)
         method = F.element_at(F.split("function", "::"), -1)
         constructor = F.element_at(F.split("function", "::"), 1)
         if language != "php":
             method = F.element_at(F.split(method, "[.]"), -1)
-        new = traced.where("verdict = 4 and function is not null").select("svid", F.when(method == "__construct", constructor).otherwise(method).alias("sink"), F.col("param").alias("argument"),
-                                                                         F.lit("name" if language == "php" else "member").alias("kind")).distinct()
-        made = table.select("svid", "sink", "argument", "kind") if made is None else made
-        table = written_round(new.join(made, ["svid", "sink", "argument"], "left_anti"))
+        new = (traced.where("verdict = 4 and function is not null").select("svid", F.when(method == "__construct", constructor).otherwise(method).alias("sink"), F.col("param").alias("argument"),
+                                                                          F.lit("name" if language == "php" else "member").alias("kind"), F.col("called").alias("origin"))
+               .groupBy("svid", "sink", "argument", "kind").agg(F.min("origin").alias("origin")))
+        table = written_round(new.join(made, ["svid", "sink", "argument"], "left_anti").withColumn("round", F.lit(level + 1)))
+        functions = table if functions is None else functions.unionByName(table)
         if table.isEmpty():
             break
-        made = made.unionByName(table)
-    return out.dropDuplicates(["path", "line", "svid", "sink"])
+        made = made.unionByName(table.select("svid", "sink", "argument", "kind"))
+        table = table.select("svid", "sink", "argument", "kind")
+    return out.dropDuplicates(["path", "line", "svid", "sink"]), functions
+
+
+def findings(rows: DataFrame, language: str, tampers: DataFrame, **more) -> DataFrame:
+    """The findings of `derive`."""
+    return derive(rows, language, tampers, **more)[0]
+
+
+def call_pattern(name: str, argument: int, optional: int = 0, constructed: bool = False) -> str:
+    """A regular expression for calls of a derived function that hands on `argument`, of which the last `optional` before it may be absent; its first group is the argument.
+
+    Definitions of the function are no calls.
+    """
+    before = "[^,()]*," * (argument - optional) + "(?:[^,()]*,)?" * optional
+    return rf"(?<!function )(?<!\w)(?:{'new ' if constructed else ''}{re.escape(name)})\s*\({before}([^,()]*)"
+
+
+def derived_parameters(groups, php: bool = True):
+    """What a derived rule's hit hands on: of the first group that is not empty, the PHP variables, or else the arguments, trimmed."""
+    first = F.get(F.filter(groups, lambda g: F.trim(g) != ""), F.lit(0))
+    if php:
+        return F.regexp_extract_all(first, F.lit(r"\$\w+"), F.lit(0))
+    return F.transform(F.split(first, ","), lambda x: F.btrim(x, F.lit(" \t\n\r'\"")))
 
 
 def scan(files: DataFrame, language: str, tampers: DataFrame | None = None, **more) -> DataFrame:

@@ -134,9 +134,17 @@ def p01(spark, d):
     return files(spark, d).where(predicates.white_listed(F.col("path"), ("/src0/fr/f0.php", "/src1/en/f1.js"))).select("path")
 
 
-@query("p04_annotations", FILES + r", l AS (SELECT path, unnest(string_split(content, chr(10))) AS text FROM v_files) SELECT path, text FROM l WHERE regexp_matches(trim(text), '^(#|\\\*|//)')")
+_MARKED = "list_transform(string_split(content, chr(10)), lambda x, i: CASE (length(x) + i) % 5 WHEN 0 THEN '# ' || x WHEN 1 THEN ' // ' || x WHEN 2 THEN '\\*' || x WHEN 3 THEN '* ' || x ELSE x END)"
+
+
+@query("p04_annotations", FILES + f", l AS (SELECT path, unnest({_MARKED}) AS text FROM v_files) SELECT path, text FROM l WHERE starts_with(ltrim(text, ' '), '#') OR starts_with(ltrim(text, ' '), '//') OR starts_with(ltrim(text, ' '), '\\*')")
 def p04(spark, d):
-    return files(spark, d).select("path", F.explode(F.split("content", "\n")).alias("text")).where(predicates.annotation(F.col("text")))
+    """Every line with one of four marks, or none, before it."""
+    def marked(x, i):
+        at = (F.length(x) + i + 1) % 5
+        return F.when(at == 0, F.concat(F.lit("# "), x)).when(at == 1, F.concat(F.lit(" // "), x)).when(at == 2, F.concat(F.lit("\\*"), x)).when(at == 3, F.concat(F.lit("* "), x)).otherwise(x)
+
+    return files(spark, d).select("path", F.explode(F.transform(F.split("content", "\n"), marked)).alias("text")).where(predicates.annotation(F.col("text")))
 
 
 @query("p05_reported_code", FILES + "SELECT path, CASE WHEN length(content) > 512 THEN substring(content, 1, 500) ELSE content END AS stored, translate(trim(substring(content, 1, 50)), chr(13) || chr(10), '  ') AS reported FROM v_files")
@@ -513,25 +521,33 @@ def x28(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(X.references(text), "|").alias("refs"))
 
 
-@query("c15_dynamic_dispatch", "SELECT doc_id, doc_id % 3 >= 2 AS dynamic FROM documents")
+# each line of a text that has -> in it, made so from its commas
+_CALLS = "SELECT doc_id, replace(replace(split_part(coalesce(text, ''), chr(10), 1), ', ', '->'), '. ', '(') AS call FROM documents"
+
+
+@query("c15_dynamic_dispatch", f"SELECT doc_id, (length(split_part(call, '(', 1)) - length(replace(split_part(call, '(', 1), '->', ''))) / 2 >= 2 AS dynamic FROM ({_CALLS})")
 def c15(spark, d):
-    call = F.concat(F.lit("$a"), F.repeat(F.lit("->b"), F.col("doc_id").cast("int") % 3), F.lit("($c->d->e)"))
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 0)
+    call = F.replace(F.replace(line, F.lit(", "), F.lit("->")), F.lit(". "), F.lit("("))
     return table(spark, d, "documents").select("doc_id", (F.regexp_count(F.get(F.split(call, r"\("), 0), F.lit("->")) >= 2).alias("dynamic"))
 
 
-@query("c17_property_path", "SELECT doc_id, lang || '/' || source AS path FROM documents")
+@query("c17_property_path", r"SELECT doc_id, replace(ltrim(regexp_extract('$this->' || replace(split_part(coalesce(text, ''), chr(10), 1), ' ', '->'), '^[$]this((?:->[A-Za-z_][A-Za-z0-9_]*)+)', 1), '->'), '->', '/') AS path FROM documents")
 def c17(spark, d):
-    text = F.concat(F.lit("x = $this->"), F.col("lang"), F.lit("->"), F.col("source"), F.lit(" + 1"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.property_path(text), "/").alias("path"))
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 0)
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.property_path(F.concat(F.lit("$this->"), F.replace(line, F.lit(" "), F.lit("->")))), "/").alias("path"))
 
 
-@query("f02_similarity", """WITH c AS (SELECT b.item_id, unnest(string_split(b.text, '')) AS ch FROM benchmark b), n AS (SELECT item_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
-p AS (SELECT a.item_id AS a, b.item_id AS b, sum(least(a.n, b.n)) AS same FROM n a JOIN n b ON a.ch = b.ch AND a.item_id = 0 GROUP BY ALL)
-SELECT p.b AS item_id, round(p.same * 2.0 / (length(x.text) + length(y.text)), 6) AS ratio FROM p JOIN benchmark x ON x.item_id = p.a JOIN benchmark y ON y.item_id = p.b""")
+@query("f02_similarity", """WITH t AS (SELECT concat(source, '/', lang) AS grp, doc_id, coalesce(text, '') AS text FROM documents), f AS (SELECT grp, arg_min(text, doc_id) AS first FROM t GROUP BY grp),
+c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM t), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
+fc AS (SELECT grp, unnest(string_split(first, '')) AS ch FROM f), fn AS (SELECT grp, ch, count(*) AS n FROM fc WHERE ch <> '' GROUP BY ALL),
+s AS (SELECT t.grp, t.doc_id, sum(least(n.n, fn.n)) AS same FROM t JOIN n ON t.doc_id = n.doc_id JOIN fn ON fn.grp = t.grp AND fn.ch = n.ch GROUP BY ALL),
+r AS (SELECT t.grp, t.doc_id, CASE WHEN length(t.text) + length(f.first) = 0 THEN 1.0 ELSE coalesce(s.same, 0) * 2.0::double / (length(t.text) + length(f.first)) END AS ratio FROM t JOIN f ON t.grp = f.grp LEFT JOIN s ON s.doc_id = t.doc_id),
+w AS (SELECT *, CASE WHEN lag(ratio) OVER (PARTITION BY grp ORDER BY ratio DESC, doc_id) - ratio >= 0.03 THEN 1 ELSE 0 END AS falls FROM r)
+SELECT grp, doc_id, round(ratio, 6) AS ratio, (sum(falls) OVER (PARTITION BY grp ORDER BY ratio DESC, doc_id ROWS UNBOUNDED PRECEDING) + 1)::bigint AS cluster FROM w""")
 def f02(spark, d):
-    b = table(spark, d, "benchmark")
-    first = F.broadcast(b.where("item_id = 0").select(F.col("text").alias("first")))
-    return b.crossJoin(first).select("item_id", F.round(corpus.similarity(F.col("first"), F.col("text")), 6).alias("ratio"))
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("grp"), "doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    return corpus.similar_to_first(docs, "grp", "doc_id").withColumn("ratio", F.round("ratio", 6))
 
 
 # ---------------------------------------------------------------- dependencies
@@ -881,9 +897,9 @@ def x05(spark, d):
     return files(spark, d).select("path", X.short_path(F.col("path"), 14).alias("t"))
 
 
-@query("x22_block_names", "SELECT * FROM " + values([(0, "match"), (1, "match-name"), (2, "black-list"), (3, "keyword"), (4, "unmatch"), (5, "vul-function")], "index, name"))
+@query("x22_block_names", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'match' WHEN 1 THEN 'match-name' WHEN 2 THEN 'black-list' WHEN 3 THEN 'keyword' WHEN 4 THEN 'unmatch' WHEN 5 THEN 'vul-function' END AS name FROM documents")
 def x22(spark, d):
-    return spark.createDataFrame(list(enumerate(("match", "match-name", "black-list", "keyword", "unmatch", "vul-function"))), "index long, name string")
+    return table(spark, d, "documents").select("doc_id", X.block_name((F.col("doc_id") % 7).cast("int")).alias("name"))
 
 
 @query("p10_comments", FILES + r"""SELECT path, regexp_replace(content, '("(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*'')|//[^\n]*|/\*[^\n]*?\*/', '\1', 'g') AS t FROM v_files""")
@@ -901,19 +917,39 @@ def ud2(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(variables(text), ",").alias("vars"))
 
 
-@query("ud3_sql_variables", "SELECT doc_id, '$' || lang || ',$' || source AS vars FROM documents")
+_FIRST = "regexp_extract_all(replace(split_part(coalesce(text, ''), chr(10), 1), '$', ''), '[A-Za-z]+')"
+
+
+@query("ud3_sql_variables", f"SELECT doc_id, array_to_string(list_transform(list_filter({_FIRST}[1:6], lambda x: length(x) % 2 = 0), lambda x: '$' || x), ',') AS vars FROM documents")
 def ud3(spark, d):
+    """The first six words of a text as columns of a statement: those of even length are variables, what follows the statement is not in it."""
     from .functions.extractors import sql_variables
 
-    text = F.concat(F.lit('if ($z) { $q = "select * from t where a = $'), F.col("lang"), F.lit(" and b = '\" . $"), F.col("source"), F.lit(" . \"';\"; $later = 1;"))
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 0)
+    words = F.slice(F.regexp_extract_all(F.replace(line, F.lit("$"), F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)
+    columns = F.array_join(F.transform(words, lambda x: F.when(F.length(x) % 2 == 0, F.concat(F.lit("$"), x)).otherwise(x)), " and x = ")
+    text = F.concat(F.lit('if ($z) { $q = "select * from t where a = '), columns, F.lit("\"; $later = 1;"))
     return table(spark, d, "documents").select("doc_id", F.array_join(sql_variables(text), ",").alias("vars"))
 
 
-@query("ud5_attributes", "SELECT doc_id, lang || '.value,' || source AS names FROM documents")
+@query("ud4_html_tokens", f"SELECT doc_id, array_to_string(list_filter({_FIRST}[1:6], lambda x: length(x) % 2 = 0), ',') AS names FROM documents WHERE len({_FIRST}) > 0")
+def ud4(spark, d):
+    """The first six words of a text on the right side of an assignment: those of odd length are quoted and fall out."""
+    from .functions.extractors import html_tokens
+
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 0)
+    words = F.slice(F.regexp_extract_all(F.replace(line, F.lit("$"), F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)
+    side = F.array_join(F.transform(words, lambda x: F.when(F.length(x) % 2 == 0, x).otherwise(F.concat(F.lit("'"), x, F.lit("'")))), " + ")
+    found = table(spark, d, "documents").where(F.size(words) > 0)
+    return found.select("doc_id", F.array_join(html_tokens(F.concat(F.lit(".innerHTML = "), side), "innerHTML"), ",").alias("names"))
+
+
+@query("ud5_attributes", "SELECT doc_id, array_to_string(regexp_extract_all(split_part(coalesce(text, ''), chr(10), 1), '[A-Za-z0-9_.]+'), ',') AS names FROM documents WHERE NOT regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '[^\\x00-\\x7F]')")
 def ud5(spark, d):
     from .functions.extractors import attribute_tokens
 
-    return table(spark, d, "documents").select("doc_id", F.array_join(attribute_tokens(F.concat("lang", F.lit(".value + "), "source")), ",").alias("names"))
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 0)
+    return table(spark, d, "documents").where(~line.rlike(r"[^\x00-\x7F]")).select("doc_id", F.array_join(attribute_tokens(line), ",").alias("names"))
 
 
 @query("r07_project_vendors", using("v_project_vendors", "v_project") + "SELECT p.project_name, count(*) AS n FROM v_project_vendors v JOIN v_project p ON v.project_id = p.id GROUP BY p.project_name")
@@ -923,10 +959,11 @@ def r07(spark, d):
     return per.join(p, "project_id").select("project_name", "n")
 
 
-@query("r16_locate_prefix", FILES + "SELECT a.path, b.dir FROM v_files a JOIN (SELECT DISTINCT regexp_extract(path, '^/[^/]*/[^/]*/', 0) AS dir FROM v_files) b ON starts_with(a.path, b.dir)")
+@query("r16_locate_prefix", FILES + "SELECT a.path, b.dir FROM v_files a JOIN (SELECT DISTINCT unnest([regexp_extract(path, '^/[^/]*/', 0), regexp_extract(path, '^/[^/]*/[^/]*/', 0)]) AS dir FROM v_files) b ON starts_with(a.path, b.dir)")
 def r16(spark, d):
-    f = files(spark, d).select("path", F.regexp_extract("path", r"^/[^/]*/[^/]*/", 0).alias("dir"))
-    return f.join(f.select("dir").distinct(), "dir").select("path", "dir")  # containment as equality on the prefix column
+    f = files(spark, d).select("path")
+    places = f.select(F.explode(F.array(F.regexp_extract("path", "^/[^/]*/", 0), F.regexp_extract("path", "^/[^/]*/[^/]*/", 0))).alias("dir")).distinct()
+    return joins.by_prefix(f, "path", places, "dir")
 
 
 @query("v15_active_sources", using("v_project_vendors") + f", {_ANSWERS} SELECT source, count(*) AS n FROM a WHERE source IN ('osv', 'murphysec') GROUP BY source")
@@ -991,9 +1028,11 @@ def z03(spark, d):
     return catalog.rules(spark).select("svid", F.when(F.col("svid") == 1000, 9).otherwise(F.col("level")).alias("level"))
 
 
-@query("z11_unknown_rules", "SELECT 77 AS svid")
+@query("z11_unknown_rules", f"SELECT d.p_partkey AS svid, count(*) AS n FROM (SELECT 990 + p_partkey % 30 AS p_partkey FROM part) d WHERE d.p_partkey NOT IN (SELECT svid FROM {_RULES}) GROUP BY ALL")
 def z11(spark, d):
-    return spark.createDataFrame([(77,), (1000,)], "svid int").join(catalog.rules(spark), "svid", "left_anti")
+    """Rule numbers named 990 to 1019 by the parts, of which some are no rules."""
+    named = table(spark, d, "part").select((F.lit(990) + F.col("p_partkey") % 30).alias("svid"))
+    return named.join(F.broadcast(catalog.rules(spark).select(F.col("svid").cast("long").alias("svid"))), "svid", "left_anti").groupBy("svid").agg(F.count("*").alias("n"))
 
 
 @query("z15_black_words", FILES + "SELECT path FROM v_files WHERE NOT contains(content, 'idiot') AND NOT contains(content, 'scum')")
@@ -1002,6 +1041,94 @@ def z15(spark, d):
     return files(spark, d).where(~F.exists(words, lambda w: F.contains(F.col("content"), w))).select("path")
 
 
+@query("s15_constants", G.expected({k: (f, [("a.php", "CONF§", "conf§.php")] if k == "include by constant" else []) for k, (f, _) in G.PHP.items()}, "name, key, value", f"{G.PATH} AS path, {G.own('c.key')} AS key, {G.own('c.value')} AS value"))
+def constant_table(spark, d):
+    from .plans import taint
+    from .plans.parse import records
+
+    return taint.constants(records(G.tree(spark, d, G.PHP), "php"))
+
+
+_PHP_NAMES = list(G.PHP)
+
+
+@query("n05_derived_functions", f"SELECT c.svid::int AS svid, {G.own('c.sink')} AS sink, c.argument::int AS argument, {G.own('c.origin')} AS origin FROM documents d JOIN {G.values([(_PHP_NAMES.index(k), *r) for k, *r in G.DERIVED], 'case_no, svid, sink, argument, origin')} ON d.doc_id % {len(G.PHP)} = c.case_no")
+def derived_functions(spark, d):
+    """The functions that the scan of all projects derives rules for, as it would persist them."""
+    from .plans import taint
+    from .plans.parse import records
+
+    rows = joins.written_round(records(G.tree(spark, d, G.PHP), "php"))
+    return taint.derive(rows, "php", catalog.tampers(spark))[1].select("svid", "sink", "argument", "origin")
+
+
+@query("n02_derived_calls", f"SELECT {G.PATH} AS path, (c.line + {G.LINES})::int AS line, {G.own('c.argument')} AS argument FROM documents d JOIN {G.values([(_PHP_NAMES.index(k), *r) for k, *r in G.DERIVED_CALLS], 'case_no, name, line, sink, argument')} ON d.doc_id % {len(G.PHP)} = c.case_no")
+def derived_calls(spark, d):
+    """Calls of derived functions by their regular expressions, line by line."""
+    from .plans import taint
+
+    files_ = G.tree(spark, d, G.PHP)
+    out = None
+    for case, _, name, argument, _ in G.DERIVED:
+        pattern = taint.call_pattern(name, argument, constructed=name == "Box§").replace("§", r"\d+")
+        mine = files_.where(F.pmod(F.regexp_extract("path", r"^/gen/(\d+)/", 1).cast("long"), F.lit(len(G.PHP))) == _PHP_NAMES.index(case))
+        found = matching.hits(mine.select("path", "content"), pattern, group=1, insensitive=False)
+        out = found if out is None else out.unionByName(found)
+    return out.select("path", F.col("line").cast("int").alias("line"), F.col("text").alias("argument"))
+
+
+@query("n04_derived_parameters", f"""SELECT doc_id, array_to_string(list_transform(list_filter({_FIRST}[1:6], lambda x: length(x) % 2 = 0), lambda x: '$' || x), ',') AS php, array_to_string({_FIRST}[1:6], ',') AS javascript FROM documents WHERE len({_FIRST}) > 0""")
+def derived_parameters(spark, d):
+    """The first six words of a text as the arguments of a hit, whose first group is empty."""
+    from .plans import taint
+
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), 0)
+    words = F.slice(F.regexp_extract_all(F.replace(line, F.lit("$"), F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)
+    group = lambda change: F.array(F.lit(" "), F.array_join(F.transform(words, change), ", "), F.lit("later"))
+    php = taint.derived_parameters(group(lambda x: F.when(F.length(x) % 2 == 0, F.concat(F.lit("$"), x)).otherwise(x)))
+    script = taint.derived_parameters(group(lambda x: F.concat(F.lit("'"), x, F.lit("'"))), php=False)
+    return table(spark, d, "documents").where(F.size(words) > 0).select("doc_id", F.array_join(php, ",").alias("php"), F.array_join(script, ",").alias("javascript"))
+
+
+def _report_folder(spark) -> str:
+    from uuid import uuid4
+
+    from .operators.joins import shared_folder
+
+    return f"{shared_folder(spark)}/siltstone-report-{uuid4().hex}"
+
+
+@query("k01_csv_report", using("v_scan_result") + "SELECT '/app' AS target, id::varchar AS id, cvi_id, vulfile_path, source_code FROM v_scan_result")
+def csv_report(spark, d):
+    """Findings written to one CSV file in two runs and read back."""
+    from .operators import sinks
+
+    rows = view(spark, d, "v_scan_result").select("id", "cvi_id", "vulfile_path", "source_code", F.lit("/app").alias("target"))
+    path = _report_folder(spark) + ".csv"
+    for part in (0, 1):
+        sinks.write_csv(rows.where(F.col("id") % 2 == part), path)
+    return spark.read.options(header=True, quoteAll=True, escape='"', multiLine=True).csv(path)
+
+
+@query("k02_json_report", using("v_scan_result") + "SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS sid, id, cvi_id, vulfile_path FROM v_scan_result WHERE id % 2 = 1 OR is_active")
+def json_report(spark, d):
+    """Two scans' findings in one report, the first written twice: its second report replaces the first one."""
+    from .operators import sinks
+
+    rows, path = view(spark, d, "v_scan_result").select("id", "cvi_id", "vulfile_path", "is_active"), _report_folder(spark)
+    for sid, some in (("a", rows.where("id % 2 = 0")), ("b", rows.where("id % 2 = 1")), ("a", rows.where("id % 2 = 0 and is_active"))):
+        sinks.write_json(some.drop("is_active"), path, sid)
+    return spark.read.schema("id long, cvi_id string, vulfile_path string, sid string").json(path)
+
+
+@query("v13_affected_versions", using("v_vendor_vulns") + "SELECT vendor_name AS name, 'ADV-' || severity AS vuln_id, array_to_string(list_sort(list_distinct(list(fixed_before))), ',') AS versions FROM v_vendor_vulns GROUP BY ALL")
+def affected_versions(spark, d):
+    """Package responses made from the advisories: each names its versions, and each version its advisories."""
+    v = view(spark, d, "v_vendor_vulns").groupBy(F.col("vendor_name").alias("name")).agg(F.collect_list(F.struct(F.struct(F.col("fixed_before").alias("version")).alias("versionKey"), F.array(F.struct(F.concat(F.lit("ADV-"), F.col("severity").cast("string")).alias("id"))).alias("advisoryKeys"))).alias("versions"))
+    found = sca.depsdev_affected(v.select(F.lit("python").alias("language"), "name", F.to_json(F.struct("versions")).alias("payload")))
+    return found.select("name", "vuln_id", F.array_join("affected_versions", ",").alias("versions"))
+
+
 _SCANNED = G.PHP | {f"js {k}": v for k, v in G.JS.items()} | {f"other {k}": v for k, v in G.OTHERS.items()}
 
 

@@ -16,20 +16,20 @@ VIEWS = {
        CASE doc_id % 6 WHEN 0 THEN '.php' WHEN 1 THEN '.js' WHEN 2 THEN '.sol' WHEN 3 THEN '.html' WHEN 4 THEN '.py' ELSE 'no_extension' END AS ext,
        source AS project, text AS content, n_chars AS size FROM documents""",
     "v_project": "SELECT c_custkey AS id, c_name AS project_name, md5(c_name) AS project_hash FROM customer",
-    "v_project_vendors": """SELECT o.o_custkey AS project_id, p.p_name AS name,
+    "v_project_vendors": """SELECT o.o_custkey AS project_id, concat(p.p_name, ' ', CAST(p.p_partkey % 16 AS STRING)) AS name,
        concat(CAST(p.p_size AS STRING), '.', CAST(l.l_linenumber AS STRING), '.', CAST(CAST(floor(l.l_quantity) AS BIGINT) AS STRING)) AS version,
        CASE l.l_returnflag WHEN 'A' THEN 'python' WHEN 'N' THEN 'nodejs' ELSE 'java' END AS language,
        concat('/o', CAST(o.o_orderkey AS STRING), '/manifest') AS source
        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey""",
-    "v_vendor_vulns": """SELECT p_partkey AS id, concat('ADV-', CAST(p_partkey AS STRING)) AS vuln_id, p_name AS vendor_name,
-       p_size % 11 AS severity, concat(CAST(p_size AS STRING), '.3') AS fixed_before FROM part WHERE p_partkey % 7 = 0""",
+    "v_vendor_vulns": """SELECT p_partkey AS id, concat('ADV-', CAST(p_partkey AS STRING)) AS vuln_id, concat(p_name, ' ', CAST(p_partkey % 16 AS STRING)) AS vendor_name,
+       p_size % 11 AS severity, concat(CAST(p_size AS STRING), '.3') AS fixed_before FROM part""",
     "v_scan_task": """SELECT o_orderkey AS id, o_custkey AS project_id, o_orderpriority AS task_name, o_orderdate AS last_scan_time,
        CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 0 ELSE -1 END AS is_finished FROM orders""",
     "v_scan_result": """SELECT event_id AS id, user_id AS scan_project_id,
        CASE event_type WHEN 'error' THEN '1009' WHEN 'click' THEN '3005' WHEN 'purchase' THEN '1005' WHEN 'signup' THEN '5001' ELSE '9999' END AS cvi_id,
        concat('/app/m', CAST(user_id % 13 AS STRING), '.php:', CAST(event_id % 97 AS STRING)) AS vulfile_path,
        props AS source_code, event_type AS result_type, event_type = 'view' AS is_unconfirm, event_id % 10 <> 0 AS is_active FROM events""",
-    "v_result_flow": """SELECT conv_id AS vul_id, turn AS seq, role AS node_type, substring(text, 1, 60) AS node_content, CAST(turn AS STRING) AS node_lineno FROM conversations""",
+    "v_result_flow": """SELECT conv_id AS vul_id, turn AS seq, role AS node_type, text AS node_content, CAST(turn AS STRING) AS node_lineno FROM conversations""",
 }
 
 
