@@ -58,35 +58,29 @@ COMMENTS = {
 _CLOSE = {"'''": "'''", '"""': '"""', "/*": "*/", "<!--": "-->"}
 
 
-def _fold(line_comment: str | None, openers: tuple[str, ...]):
-    """A fold over lines: the open block comment, and how many lines are blank, comment and code."""
-    def step(state, line):
-        text = F.trim(F.regexp_replace(line, r"[\r\t]", " "))
-        inside = state["block"] != ""
-        closes = F.lit(False)
-        opened = F.lit("")
-        for o in reversed(openers):
-            c = _CLOSE[o]
-            closes = F.when((state["block"] == o) & F.contains(text, F.lit(c)), True).otherwise(closes)
-            rest = F.substring(text, len(o) + 1, 1 << 30)
-            opened = F.when(F.startswith(text, F.lit(o)), F.when(F.contains(rest, F.lit(c)), "once").otherwise(o)).otherwise(opened)
-        single = F.rlike(text, F.lit("^(" + line_comment + ")")) if line_comment else F.lit(False)
-        blank = text == ""
-        comment = ~blank & (inside | (opened != "") | single)
-        block = F.when(inside, F.when(closes, "").otherwise(state["block"])).otherwise(F.when((opened == "once") | single, "").otherwise(opened))
-        return F.struct(block.alias("block"), (state["blank"] + blank.cast("int")).alias("blank"), (state["comment"] + comment.cast("int")).alias("comment"), (state["code"] + (~blank & ~comment).cast("int")).alias("code"))
-
-    return step
+def line_classes(files: DataFrame) -> DataFrame:
+    """(path, ext, blank, comment, code): one fold over each file's lines, in the JVM, with the extension's markers as columns.
 
+    A block comment begins where a line starts with one of its markers, and ends with a line that holds its end.
+    """
+    rows = [(ext, single or "", [(o, _CLOSE[o]) for o in openers]) for ext, (single, openers) in COMMENTS.items()]
+    markers = F.broadcast(files.sparkSession.createDataFrame(rows, "ext string, single string, blocks array<struct<open:string,close:string>>"))
+    single, blocks = F.col("single"), F.col("blocks")
 
-def line_classes(files: DataFrame) -> DataFrame:
-    """(path, ext, blank, comment, code): a fold over each file's lines, in the JVM."""
-    lines = F.split("content", "\n")
-    start = F.struct(F.lit("").alias("block"), F.lit(0).alias("blank"), F.lit(0).alias("comment"), F.lit(0).alias("code"))
-    counted = F.lit(None).cast("struct<block:string,blank:int,comment:int,code:int>")
-    for ext, (single, openers) in COMMENTS.items():
-        counted = F.when(F.col("ext") == ext, F.aggregate(lines, start, _fold(single, openers))).otherwise(counted)
-    return files.where(F.col("ext").isin(*COMMENTS)).select("path", "ext", counted.alias("c")).select("path", "ext", "c.blank", "c.comment", "c.code")
+    def step(state, line):
+        text = F.trim(F.regexp_replace(line, r"[\r\t]", " "))
+        own = F.get(F.filter(blocks, lambda b: F.startswith(text, b["open"])), F.lit(0))
+        inside, blank = state["close"] != "", text == ""
+        once = F.contains(F.substr(text, F.length(own["open"]) + 1), own["close"])
+        alone = (single != "") & F.rlike(text, F.concat(F.lit("^("), single, F.lit(")")))
+        comment = ~blank & (inside | own.isNotNull() | alone)
+        close = F.when(inside, F.when(F.contains(text, state["close"]), "").otherwise(state["close"])).otherwise(F.when(own.isNull() | once | alone, "").otherwise(own["close"]))
+        add = lambda name, one: (state[name] + one.cast("int")).alias(name)
+        return F.struct(close.alias("close"), add("blank", blank), add("comment", comment), add("code", ~blank & ~comment))
+
+    start = F.struct(F.lit("").alias("close"), F.lit(0).alias("blank"), F.lit(0).alias("comment"), F.lit(0).alias("code"))
+    counted = files.join(markers, "ext").select("path", "ext", F.aggregate(F.split("content", "\n"), start, step).alias("c"))
+    return counted.select("path", "ext", "c.blank", "c.comment", "c.code")
 
 
 def cloc(files: DataFrame) -> DataFrame:
