@@ -33,64 +33,64 @@ EXTENSIONS = {
 
 # ---------------------------------------------------------------- fixed values: languages by extension, in order; True: chiefly
 LANGUAGES = (
-    ("PHP", True, ".php .php3 .php4 .php5 .pht .phs .phtml"),
-    ("Java", True, ".java"),
-    ("Python", True, ".py"),
-    ("Solidity", True, ".sol"),
-    ("Javascript", True, ".js"),
-    ("ChromeExt", True, ".crx"),
-    ("JSP", False, ".jsp"),
-    ("C", False, ".h .c"),
-    ("Ruby", False, ".rb"),
-    ("Perl", False, ".pl"),
-    ("Lua", False, ".lua"),
-    ("Go", False, ".go"),
-    ("Swift", False, ".swift"),
-    ("C++", False, ".c .cpp"),
-    ("C#", False, ".cs"),
-    ("Header", False, ".h"),
-    ("Objective-C", False, ".m"),
-    ("Scale", False, ".sbt .scale"),
-    ("Ceylon", False, ".ceylon"),
-    ("Kotlin", False, ".kt"),
-    ("Shell", False, ".sh"),
-    ("Bat", False, ".bat"),
-    ("HTML", True, ".html .htm .phtml"),
-    ("CSS", False, ".css .less .scss .styl"),
-    ("Image", False, ".jpg .png .bmp .gif .ico .cur"),
-    ("Font", False, ".eot .otf .svg .ttf .woff"),
-    ("Conf", False, ".properties .conf .ini .cfg .yml .xml .iml .spf .manifest"),
-    ("CMake", False, ".cmake .cmake.in"),
-    ("SQL", False, ".sql"),
-    ("Compression", False, ".zip .tar .tar.gz .rar"),
-    ("Executable", False, ".exe"),
-    ("Log", False, ".log"),
-    ("Text", False, ".txt .text .md .rst .csv"),
-    ("Office", False, ".doc .docx .wps .rtf .xls .ppt"),
-    ("Media", False, ".mp3 .mp4 .swf .flv"),
-    ("Certificate", False, ".p12 .crt .key .pfx .csr"),
-    ("Source", False, ".psd .ai .axure .xmind .plan"),
-    ("Thumb", False, ".db .DS_Store"),
-    ("Git", False, ".pack .idx .sample"),
+    ("PHP", True, (".php", ".php3", ".php4", ".php5", ".pht", ".phs", ".phtml")),
+    ("Java", True, (".java",)),
+    ("Python", True, (".py",)),
+    ("Solidity", True, (".sol",)),
+    ("Javascript", True, (".js",)),
+    ("ChromeExt", True, (".crx",)),
+    ("JSP", False, (".jsp",)),
+    ("C", False, (".h", ".c")),
+    ("Ruby", False, (".rb",)),
+    ("Perl", False, (".pl",)),
+    ("Lua", False, (".lua",)),
+    ("Go", False, (".go",)),
+    ("Swift", False, (".swift",)),
+    ("C++", False, (".c", ".cpp")),
+    ("C#", False, (".cs",)),
+    ("Header", False, (".h",)),
+    ("Objective-C", False, (".m",)),
+    ("Scale", False, (".sbt", ".scale")),
+    ("Ceylon", False, (".ceylon",)),
+    ("Kotlin", False, (".kt",)),
+    ("Shell", False, (".sh",)),
+    ("Bat", False, (".bat",)),
+    ("HTML", True, (".html", ".htm", ".phtml")),
+    ("CSS", False, (".css", ".less", ".scss", ".styl")),
+    ("Image", False, (".jpg", ".png", ".bmp", ".gif", ".ico", ".cur")),
+    ("Font", False, (".eot", ".otf", ".svg", ".ttf", ".woff")),
+    ("Conf", False, (".properties", ".conf", ".ini", ".cfg", ".yml", ".xml", ".iml", ".spf", ".manifest")),
+    ("CMake", False, (".cmake", ".cmake.in")),
+    ("SQL", False, (".sql",)),
+    ("Compression", False, (".zip", ".tar", ".tar.gz", ".rar")),
+    ("Executable", False, (".exe",)),
+    ("Log", False, (".log",)),
+    ("Text", False, (".txt", ".text", ".md", ".rst", ".csv")),
+    ("Office", False, (".doc", ".docx", ".wps", ".rtf", ".xls", ".ppt")),
+    ("Media", False, (".mp3", ".mp4", ".swf", ".flv")),
+    ("Certificate", False, (".p12", ".crt", ".key", ".pfx", ".csr")),
+    ("Source", False, (".psd", ".ai", ".axure", ".xmind", ".plan")),
+    ("Thumb", False, (".db", ".DS_Store")),
+    ("Git", False, (".pack", ".idx", ".sample")),
 )
 
 # ---------------------------------------------------------------- fixed values: frameworks and their markers, in order
 FRAMEWORKS = (
-    ("WordPress", "php", "file wp-cron.php", "file wp-load.php", "folder wp-admin"),
-    ("Joomla", "php", "file images/joomla_black.png", "folder layout/joomla"),
-    ("Drupal", "php", "file core/lib/Drupal.php", "file core/scripts/drupal.sh", "folder core/lib/Drupal", "folder core/tests/Drupal"),
-    ("CodeIgniter", "php", "file system/core/CodeIgniter.php", "file test/codeigniter/Setup_test.php", "file mocks/ci_testcase.php", "folder user_guide_src", "folder tests/codeigniter"),
-    ("ThinkPHP", "php", "file ThinkPHP/ThinkPHP.php", "folder ThinkPHP"),
-    ("Laravel", "php", "file app/Http/Kernel.php", "file app/Console/Kernel.php", "file config/broadcasting.php", "folder database/migrations", "folder storage/framework/testing"),
-    ("Kohana", "php", "file system/classes/Kohana.php", "file modules/auth/config/auth.php", "file modules/cache/config/cache.php", "folder modules/userguide", "folder system/guide/kohanna"),
-    ("Yii", "php", "file framework/BaseYii.php", "file tests/framework/BaseYiiTest.php", "folder contrib/completion/bash", "folder framework/web/migrations"),
-    ("Symfony", "php", "file PropertyInfo/Type.php", "file FrameworkBundle/Client.php", "folder WebServerBundle/Command", "folder BrowserKit/Tests", "folder Config/DependencyInjection"),
-    ("Phalcon", "php", "file tests/_ci/phaIcon.ini", "file phaIcon/di.zep", "folder tests/_data/di", "folder phaIcon/mvc/collection"),
-    ("Slim", "php", "file Exception/SlimException.php", "file MiddlewareAwareTrait.php", "folder Handlers/Strategies"),
-    ("CakePHP", "php", "file Core/StaticConfigTrait.php", "file Routing/RequestActionTrait.php", "folder Core/Configure/Engine", "folder Database/Dialect"),
-    ("Django", "python", "dependency django"),
-    ("Flask", "python", "dependency Flask"),
-    ("Spring", "java", "dependency org.springframework"),
+    ("WordPress", "php", ("file", "wp-cron.php"), ("file", "wp-load.php"), ("folder", "wp-admin")),
+    ("Joomla", "php", ("file", "images/joomla_black.png"), ("folder", "layout/joomla")),
+    ("Drupal", "php", ("file", "core/lib/Drupal.php"), ("file", "core/scripts/drupal.sh"), ("folder", "core/lib/Drupal"), ("folder", "core/tests/Drupal")),
+    ("CodeIgniter", "php", ("file", "system/core/CodeIgniter.php"), ("file", "test/codeigniter/Setup_test.php"), ("file", "mocks/ci_testcase.php"), ("folder", "user_guide_src"), ("folder", "tests/codeigniter")),
+    ("ThinkPHP", "php", ("file", "ThinkPHP/ThinkPHP.php"), ("folder", "ThinkPHP")),
+    ("Laravel", "php", ("file", "app/Http/Kernel.php"), ("file", "app/Console/Kernel.php"), ("file", "config/broadcasting.php"), ("folder", "database/migrations"), ("folder", "storage/framework/testing")),
+    ("Kohana", "php", ("file", "system/classes/Kohana.php"), ("file", "modules/auth/config/auth.php"), ("file", "modules/cache/config/cache.php"), ("folder", "modules/userguide"), ("folder", "system/guide/kohanna")),
+    ("Yii", "php", ("file", "framework/BaseYii.php"), ("file", "tests/framework/BaseYiiTest.php"), ("folder", "contrib/completion/bash"), ("folder", "framework/web/migrations")),
+    ("Symfony", "php", ("file", "PropertyInfo/Type.php"), ("file", "FrameworkBundle/Client.php"), ("folder", "WebServerBundle/Command"), ("folder", "BrowserKit/Tests"), ("folder", "Config/DependencyInjection")),
+    ("Phalcon", "php", ("file", "tests/_ci/phaIcon.ini"), ("file", "phaIcon/di.zep"), ("folder", "tests/_data/di"), ("folder", "phaIcon/mvc/collection")),
+    ("Slim", "php", ("file", "Exception/SlimException.php"), ("file", "MiddlewareAwareTrait.php"), ("folder", "Handlers/Strategies")),
+    ("CakePHP", "php", ("file", "Core/StaticConfigTrait.php"), ("file", "Routing/RequestActionTrait.php"), ("folder", "Core/Configure/Engine"), ("folder", "Database/Dialect")),
+    ("Django", "python", ("dependency", "django")),
+    ("Flask", "python", ("dependency", "Flask")),
+    ("Spring", "java", ("dependency", "org.springframework")),
 )
 
 # ---------------------------------------------------------------- fixed values: sanitisers (function: rule ids) and inputs, by tamper
@@ -212,7 +212,7 @@ def tampers(spark: SparkSession) -> DataFrame:
 
 def languages(spark: SparkSession) -> DataFrame:
     """(ord, language, chiefly, ext)."""
-    return spark.createDataFrame([(i, n, c, e) for i, (n, c, es) in enumerate(LANGUAGES) for e in es.split()], "ord int, language string, chiefly boolean, ext string")
+    return spark.createDataFrame([(i, n, c, e) for i, (n, c, es) in enumerate(LANGUAGES) for e in es], "ord int, language string, chiefly boolean, ext string")
 
 
 def scanned_extensions(spark: SparkSession) -> DataFrame:
@@ -222,7 +222,7 @@ def scanned_extensions(spark: SparkSession) -> DataFrame:
 
 def frameworks(spark: SparkSession) -> DataFrame:
     """(ord, framework, language, kind, marker)."""
-    rows = [(i, f[0], f[1], *m.split(" ", 1)) for i, f in enumerate(FRAMEWORKS) for m in f[2:]]
+    rows = [(i, f[0], f[1], *m) for i, f in enumerate(FRAMEWORKS) for m in f[2:]]
     return spark.createDataFrame(rows, "ord int, framework string, language string, kind string, marker string")
 
 

@@ -38,7 +38,7 @@ def values(rows, names: str) -> str:
 
 FILES = using("v_files")
 IP = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-_LANGUAGES = values([(i, n, c, e) for i, (n, c, es) in enumerate(catalog.LANGUAGES) for e in es.split()], "ord, language, chiefly, ext")
+_LANGUAGES = values([(i, n, c, e) for i, (n, c, es) in enumerate(catalog.LANGUAGES) for e in es], "ord, language, chiefly, ext")
 _EXTENSIONS = values([(n, e) for n, es in catalog.EXTENSIONS.items() for e in es], "language, ext")
 _RULES = values([(r["svid"], r["language"], r["rule_name"], r["level"], r["status"], r["match_mode"]) for r in catalog.rule_rows()], "svid, language, rule_name, level, status, match_mode")
 _TAMPERS = values([(n, "Filter-Function", f, s) for n, (fs, _) in catalog.TAMPERS.items() for f, ss in fs.items() for s in ss] + [(n, "Input-Control", i, None) for n, (_, ins) in catalog.TAMPERS.items() for i in ins], "tam_name, tam_type, tam_key, svid")
@@ -341,12 +341,18 @@ def r10(spark, d):
     return sca.below_fix(view(spark, d, "v_project_vendors"), view(spark, d, "v_vendor_vulns"))
 
 
-@query("r11_frameworks", FILES + """, m AS (SELECT * FROM (VALUES (0, 'One', 'php', '/en/f1'), (1, 'Two', 'php', '.sol'), (2, 'Three', 'python', '/de/')) AS t(ord, framework, language, marker)),
-h AS (SELECT f.project, m.ord, m.framework, m.language FROM v_files f JOIN m ON contains(f.path, m.marker)) SELECT project, framework, language FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ord) AS r FROM h) WHERE r = 1""")
+_FRAMEWORKS = values([(i, f[0], f[1], k, m) for i, f in enumerate(catalog.FRAMEWORKS) for k, m in f[2:]], "ord, framework, language, kind, marker")
+_LAID = "SELECT doc_id, '/p' || doc_id || '/' || CASE doc_id % 5 WHEN 0 THEN 'wp-load.php' WHEN 1 THEN 'app/Http/Kernel.php' WHEN 2 THEN 'src/ThinkPHP/x.php' WHEN 3 THEN 'requirements.txt' ELSE 'readme.md' END AS path, CASE WHEN doc_id % 5 = 3 OR doc_id % 7 = 0 THEN 'Django' END AS name FROM documents"
+
+
+@query("r11_frameworks", f"""WITH p AS ({_LAID}), m AS (SELECT * FROM {_FRAMEWORKS}),
+h AS (SELECT p.doc_id, 0 AS rank, m.ord, m.framework, m.language FROM p JOIN m ON m.kind = 'dependency' AND contains(lower(p.name), lower(m.marker)) UNION ALL SELECT p.doc_id, 1, m.ord, m.framework, m.language FROM p JOIN m ON m.kind <> 'dependency' AND contains(p.path, m.marker))
+SELECT 'p' || doc_id AS project, framework, language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, ord) AS r FROM h) WHERE r = 1""")
 def r11(spark, d):
-    markers = spark.createDataFrame([(0, "One", "php", "file", "/en/f1"), (1, "Two", "php", "file", ".sol"), (2, "Three", "python", "folder", "/de/")], "ord int, framework string, language string, kind string, marker string")
-    f = files(spark, d)
-    return corpus.framework(f, spark.createDataFrame([], "project string, name string"), markers)
+    """The catalog's markers over a project for each document: some have a framework's file, some its package, some both or neither."""
+    table(spark, d, "documents").createOrReplaceTempView("documents")
+    laid = spark.sql(_LAID.replace("'/p' || doc_id", "'/p' || cast(doc_id as string)")).withColumn("project", F.concat(F.lit("p"), F.col("doc_id").cast("string")))
+    return corpus.framework(laid.select("project", "path"), laid.where("name is not null").select("project", "name"), catalog.frameworks(spark))
 
 
 @query("r12_language_counts", FILES + f"SELECT l.language, l.chiefly, count(*) AS files FROM v_files f JOIN (SELECT * FROM {_LANGUAGES}) l ON f.ext = l.ext GROUP BY l.language, l.chiefly")
