@@ -176,3 +176,15 @@ BLOCKS = ("match", "match-name", "black-list", "keyword", "unmatch", "vul-functi
 def block_name(index: Column) -> Column:
     """The part of a rule with this number; null for none."""
     return F.get(F.array(*map(F.lit, BLOCKS)), index)
+
+
+def split_arguments(text: Column) -> Column:
+    """The arguments of a command line: words, or what single or double quotes enclose, without them."""
+    found = F.regexp_extract_all(text, F.lit("\"[^\"]*\"|'[^']*'|[^\\s\"']+"), F.lit(0))
+    return F.transform(found, lambda x: F.when(x.rlike("^[\"']"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+
+
+def target_mode(target: Column) -> Column:
+    """git for URLs of http, https and ssh; else file or folder by the ending of the last part."""
+    last = F.element_at(F.split(F.rtrim(target, F.lit("/")), "/"), -1)
+    return F.when(target.rlike("^(https?|ssh)://"), "git").when(F.contains(last, F.lit(".")), "file").otherwise("folder")

@@ -27,12 +27,17 @@ def _of_language(files: DataFrame, language: str) -> DataFrame:
     return files if "*" in extensions else files.where(F.col("ext").isin(*extensions))
 
 
-def regex_findings(files: DataFrame, rule: dict) -> DataFrame:
-    """One rule of a mode that needs no taint."""
+def without_comments(files: DataFrame) -> DataFrame:
+    """(path, ext, content), PHP and JavaScript less their comments; written down, as every only-regex rule reads it."""
+    commented = F.col("ext").isin(*catalog.EXTENSIONS["php"], *catalog.EXTENSIONS["javascript"])
+    return taint.written_round(files.select("path", "ext", F.when(commented, strip_comments(F.col("content"))).otherwise(F.col("content")).alias("content")))
+
+
+def regex_findings(files: DataFrame, rule: dict, plain: DataFrame | None) -> DataFrame:
+    """One rule of a mode that needs no taint; `plain` are the files without comments."""
     mine = _of_language(files, rule["language"])
     if rule["match_mode"] == catalog.REGEX:
-        text = mine.select("path", F.when(F.col("ext").isin(*catalog.EXTENSIONS["php"], *catalog.EXTENSIONS["javascript"]), strip_comments(F.col("content"))).otherwise(F.col("content")).alias("content"))
-        return _shaped(matching.match_and_not(text, rule["match"], rule["unmatch"]), rule["svid"], "Regex-only-match")
+        return _shaped(matching.match_and_not(_of_language(plain, rule["language"]).select("path", "content"), rule["match"], rule["unmatch"]), rule["svid"], "Regex-only-match")
     if rule["match_mode"] == catalog.NAMES:
         return _shaped(matching.names_not_guarded(mine, rule["match_name"], rule["match"], rule["unmatch"], rule["black_list"]), rule["svid"], "Regex-return-regex")
     if rule["match_mode"] == catalog.MANIFEST:
@@ -69,7 +74,8 @@ def scan(files: DataFrame, languages=None, only=None, tampers: DataFrame | None
     tampers = catalog.tampers(spark) if tampers is None else tampers
     files = predicates.not_ignored(files, list(ignore))
     rules = [r for r in catalog.rule_rows() if (languages is None or r["language"] in (*languages, "base")) and (r["svid"] in only if only is not None else r["status"])]
-    parts = [regex_findings(files, r) for r in rules if r["match_mode"] in (catalog.REGEX, catalog.NAMES, catalog.MANIFEST, catalog.PATH)]
+    plain = without_comments(files) if any(r["match_mode"] == catalog.REGEX for r in rules) else None
+    parts = [regex_findings(files, r, plain) for r in rules if r["match_mode"] in (catalog.REGEX, catalog.NAMES, catalog.MANIFEST, catalog.PATH)]
     for language in ("php", "javascript"):
         chosen = [r["svid"] for r in rules if r["language"] == language and r["match_mode"] in (catalog.FUNCTION, catalog.CUSTOM)]
         if chosen:

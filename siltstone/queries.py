@@ -1153,6 +1153,74 @@ def affected_versions(spark, d):
     return found.select("name", "vuln_id", F.array_join("affected_versions", ",").alias("versions"))
 
 
+@query("x23_arguments", "SELECT doc_id, array_to_string(list_concat(['set', lang], [split_part(replace(coalesce(text, ''), '\"', ''), chr(10), 1)], ['-x', 'a b', source]), '|') AS arguments FROM documents")
+def command_arguments(spark, d):
+    """A command line made from each row: words, the text's first line in double quotes, a pair in single ones."""
+    line = F.get(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit("")), "\n"), 0)
+    command = F.concat(F.lit("set "), F.col("lang"), F.lit(' "'), line, F.lit("\" -x 'a b' "), F.col("source"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.split_arguments(command), "|").alias("arguments"))
+
+
+@query("s01_target_modes", r"SELECT page_id, target, CASE WHEN starts_with(target, 'http') OR starts_with(target, 'ssh:') THEN 'git' WHEN regexp_matches(target, '[.][^/]*/*$') THEN 'file' ELSE 'folder' END AS mode FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, 'https://', '/') WHEN 2 THEN replace(url, 'https:', 'ssh:') ELSE '/srv/p' || page_id || '/' END AS target FROM pages)")
+def target_modes(spark, d):
+    kind = F.col("page_id") % 4
+    target = F.when(kind == 0, F.col("url")).when(kind == 1, F.replace("url", F.lit("https://"), F.lit("/"))).when(kind == 2, F.replace("url", F.lit("https:"), F.lit("ssh:"))).otherwise(F.concat(F.lit("/srv/p"), F.col("page_id").cast("string"), F.lit("/")))
+    return table(spark, d, "pages").select("page_id", target.alias("target"), X.target_mode(target).alias("mode"))
+
+
+@query("x12_pretty_scripts", FILES + "SELECT path, list_sum(list_transform(string_split(replace(translate(content, '\"''`', '   '), chr(10), ' '), '.'), lambda x: 1))::bigint AS statements FROM v_files")
+def pretty_scripts(spark, d):
+    """Every text as a script on one line whose sentences are statements: one line for each comes out."""
+    one = F.replace(F.replace(F.translate("content", "\"'`", "   "), F.lit("\n"), F.lit(" ")), F.lit("."), F.lit(";."))
+    from .functions.extractors import pretty_script
+
+    marked = pretty_script(F.regexp_replace(F.translate(one, "{}", "  "), r"/", " "))
+    return files(spark, d).select("path", (F.size(F.split(marked, r"\n\.")) + F.when(F.rlike(marked, F.lit(r"^\.")), 1).otherwise(0)).cast("long").alias("statements"))
+
+
+@query("x13_main_names", FILES + "SELECT path, regexp_extract(path, '([^/]+?)([.][^./]*)?$', 1) AS name FROM v_files")
+def main_names(spark, d):
+    return files(spark, d).select("path", X.main_name(F.col("path")).alias("name"))
+
+
+@query("m17_java_parameters", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'continue' ELSE 'controllable' END AS verdict FROM documents WHERE NOT regexp_matches(coalesce(text, ''), 'v[0-9]+ *=')")
+def java_parameters(spark, d):
+    """A block of each text with a parameter that a literal, a request, or neither is assigned to."""
+    name = F.concat(F.lit("v"), F.col("doc_id").cast("string"))
+    given = F.when(F.col("doc_id") % 3 == 0, F.lit(' = "fixed";')).when(F.col("doc_id") % 3 == 1, F.lit(" = request.getParameter(")).otherwise(F.lit(" = other;"))
+    text = F.coalesce("text", F.lit(""))
+    blocks = table(spark, d, "documents").where(~text.rlike("v[0-9]+ *=")).select("doc_id", name.alias("param"), F.concat(text, F.lit("\nString "), name, given).alias("block"))
+    return matching.java_parameter(blocks).select("doc_id", "verdict")
+
+
+_WORDS_OF = {0: "CRITICAL", 1: "High", 2: "moderate", 3: "LOW", 4: "odd"}
+
+
+def _payloads(spark, d, item, field: str):
+    """Responses for each package: an item for each of its advisories, under `field`."""
+    v = view(spark, d, "v_vendor_vulns").groupBy(F.col("vendor_name").alias("name")).agg(F.collect_list(item).alias(field))
+    return v.select(F.lit("python").alias("language"), "name", F.lit("1").alias("version"), F.to_json(F.struct(field)).alias("payload"))
+
+
+@query("v11_osv_advisories", using("v_vendor_vulns") + "SELECT vendor_name AS name, vuln_id, CASE id % 5 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 6 WHEN 3 THEN 3 ELSE 5 END::int AS severity, '[\"CVE-' || id || '\"]' AS cves FROM v_vendor_vulns")
+def osv_advisories(spark, d):
+    word = F.get(F.array(*[F.lit(w) for w in _WORDS_OF.values()]), (F.col("id") % 5).cast("int"))
+    item = F.struct(F.col("vuln_id").alias("id"), F.lit("s").alias("summary"), F.array(F.concat(F.lit("CVE-"), F.col("id").cast("string")), F.lit("GHSA-1")).alias("aliases"), F.struct(word.alias("severity")).alias("database_specific"))
+    return sca.osv_rows(_payloads(spark, d, item, "vulns")).select("name", "vuln_id", "severity", "cves")
+
+
+@query("v12_ossindex_advisories", using("v_vendor_vulns") + "SELECT vendor_name AS name, vuln_id, CASE WHEN id % 3 = 0 THEN 5 ELSE severity END::int AS severity FROM v_vendor_vulns")
+def ossindex_advisories(spark, d):
+    item = F.struct(F.col("vuln_id").alias("id"), F.lit("t").alias("title"), F.when(F.col("id") % 3 != 0, F.col("severity") + 0.9).alias("cvssScore"))
+    return sca.ossindex_rows(_payloads(spark, d, item, "vulnerabilities")).select("name", "vuln_id", "severity")
+
+
+@query("v14_murphysec_advisories", using("v_vendor_vulns") + "SELECT vendor_name AS name, vuln_id, CASE WHEN id % 2 = 0 THEN severity ELSE greatest(severity - 3, 0) END::int AS severity FROM v_vendor_vulns")
+def murphysec_advisories(spark, d):
+    item = F.struct(F.col("vuln_id").alias("id"), F.col("severity").cast("int").alias("level"), F.when(F.col("id") % 2 == 0, "strong").otherwise("weak").alias("suggest"))
+    return sca.murphysec_rows(_payloads(spark, d, item, "vulns")).select("name", "vuln_id", "severity")
+
+
 _SCANNED = G.PHP | {f"js {k}": v for k, v in G.JS.items()} | {f"other {k}": v for k, v in G.OTHERS.items()}
 
 
