@@ -94,7 +94,28 @@ _EXACT = """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))"""
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+_NGRAM_JOIN = f"""
+with recursive w as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end)) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+links as (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach as (select doc_id as a, doc_id as b from s union select r.a, l.b from reach r join links l on r.b = l.a),
+low as (select a, min(b) as component_id from reach group by a)
+select s.doc_id, len(s.sh)::bigint as n_shingles, low.component_id, case when len(s.sh) = 0 then 1 else count(*) over (partition by s.sh) end::bigint as copies from s join low on s.doc_id = low.a"""
+
+_SUBSTRING = f"""
+with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+windows as (select doc_id, i, array_to_string(ws[i:i + 34], ' ') as t from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35)),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as j from windows where t in (select t from windows group by t having count(*) > 1)),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+kept as (select doc_id, string_agg(word, ' ' order by j) as t, count(*) as n from words anti join gone using (doc_id, j) group by doc_id)
+select w.doc_id, len(w.ws)::bigint as n_words, (len(w.ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from w left join kept k on w.doc_id = k.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": _NGRAM_JOIN,
+    "op3_substring_dedup": _SUBSTRING,
     "op5_exact_dedup": _EXACT,
     "op10_line_dedup": line_templates.oracle(),
 }
