@@ -136,6 +136,14 @@ OTHERS: dict[str, tuple[dict[str, str], list[tuple]]] = {
     "advisory": ({"requirements.txt": "Django==3.2.1\nflask==2.0\n"}, [("requirements.txt", "Django:3.2.1:ADV-1", 9999)]),
 }
 
+#: name -> (files, what custom rules' hits hand on as (file, line, rule, parameters)).
+CUSTOM: dict[str, tuple[dict[str, str], list[tuple]]] = {
+    "curl": ({"a.php": "$ch = curl_init();\ncurl_setopt($ch, CURLOPT_URL, $url->host);\ncurl_setopt($ch, CURLOPT_TIMEOUT, $t);"}, [("a.php", 2, 1001, "$url->host")]),
+    "sql": ({"a.php": "$q = \"select * from t where a=$a and b='\" . $b . \"'\"; $later = 1;\n$r = \"choose $c\";"}, [("a.php", 1, 1004, "$a,$b")]),
+    "html": ({"a.js": "el.innerHTML = b;\nel.outerHTML = 'x' + c;\nel.textContent = d;"}, [("a.js", 1, 3005, "b"), ("a.js", 2, 30051, "c")]),
+    "attribute": ({"a.js": "el.setAttribute('x',b.c);\n$(el).attr('y',d);"}, [("a.js", 1, 3006, "b.c"), ("a.js", 2, 30061, "d")]),
+}
+
 #: Texts of configuration files: addresses with ports, passwords, and both beside what excludes them.
 BASE: dict[str, tuple[dict[str, str], list[tuple]]] = {
     "address": ({"a.conf": "host = 'http://10.20.30.40:8080/x'\nother 10.20.30.41:99\n"}, []),

@@ -177,3 +177,11 @@ def java_parameter(blocks: DataFrame) -> DataFrame:
     literal = F.rlike(F.col("block"), F.concat(own, F.lit('\\s*=\\s*"[^"]*"')))
     request = F.rlike(F.col("block"), F.concat(own, F.lit("\\s*=\\s*[\\w.]*getParameter\\(")))
     return blocks.withColumn("verdict", F.when(literal | request, "continue").otherwise("controllable"))
+
+
+def custom_parameters(files: DataFrame, rule: dict) -> DataFrame:
+    """Custom mode: (path, line, svid, parameters) of a rule's hits, the parameters as its extractor reads them from the hit, or from the value that it sets."""
+    from ..functions.extractors import extract
+
+    found = hits(files.select("path", "content"), rule["match"][0], group=2 if rule["extractor"] == "attr" else 1)
+    return found.select("path", F.col("line").cast("int").alias("line"), F.lit(rule["svid"]).alias("svid"), extract(rule["extractor"], F.col("text"), rule["vul_function"] or "").alias("parameters"))

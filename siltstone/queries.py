@@ -1065,6 +1065,15 @@ def z15(spark, d):
     return files(spark, d).where(~F.exists(words, lambda w: F.contains(F.col("content"), w))).select("path")
 
 
+@query("m05_custom_parameters", G.expected(G.CUSTOM, "name, line, svid, parameters", f"{G.PATH} AS path, (c.line + {G.LINES})::int AS line, c.svid::int AS svid, c.parameters"))
+def custom_parameters(spark, d):
+    """The rules with an extractor that are on, each over the files of its language."""
+    tree = G.tree(spark, d, G.CUSTOM)
+    rules = [r for r in catalog.rule_rows() if r["match_mode"] == catalog.CUSTOM and r["status"]]
+    found = [matching.custom_parameters(tree.where(F.col("ext").isin(*catalog.EXTENSIONS[r["language"]])), r) for r in rules]
+    return reduce(DataFrame.unionByName, found).withColumn("parameters", F.array_join("parameters", ","))
+
+
 @query("s15_constants", G.expected({k: (f, [("a.php", "CONF§", "conf§.php")] if k == "include by constant" else []) for k, (f, _) in G.PHP.items()}, "name, key, value", f"{G.PATH} AS path, {G.own('c.key')} AS key, {G.own('c.value')} AS value"))
 def constant_table(spark, d):
     from .plans import taint

@@ -272,3 +272,64 @@ def test_scan_end_to_end(spark, tmp_path):
     assert {(1011, "a.php:2"), (5003, "config.php:0"), (5001, "config.php:1"), (3002, "p.html#0:1")} <= got
     assert not any("jquery" in t for _, t in got)
     assert cli.run(spark, ["show", "rule", "-k", "php"]).count() == 18
+
+
+def test_properties_stay_in_their_pom(spark):
+    def one(v):
+        return f"<project><properties><a.v>{v}</a.v></properties><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>${{a.v}}</version></dependency></dependencies></project>"
+
+    f = fixtures.files(spark, {"/x/pom.xml": one("2.0"), "/y/pom.xml": one("9.0")})
+    assert {(r.path, r.version) for r in manifests.pom(f).collect()} == {("/x/pom.xml", "2.0"), ("/y/pom.xml", "9.0")}
+    assert {r.version for r in manifests.pom(f, compat=True).collect()} == {"2.0"}
+
+
+def test_ancestors_of_any_depth(spark):
+    rows = records(fixtures.files(spark, {"/p/a.php": "<?php class A {} class B extends A {} class C extends B {} class D extends C {} class E extends D {}"}), "php")
+    up = {(r.cls, r.parent) for r in codedb.ancestors(rows).collect()}
+    assert {("E", x) for x in "ABCDE"} <= up and ("A", "B") not in up
+
+
+def test_chains_have_no_products(spark):
+    rows = records(fixtures.files(spark, fixtures.CHAIN), "php")
+    for part in codedb.edges(rows):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_calls_of_other_files_stay_apart(spark):
+    """Files whose calls have the same numbers: a constant argument in one is no source in another."""
+    text = "<?php function f{0}($w) {{ return trim($w); }} system(f{0}({1}));"
+    found = taint.scan(fixtures.files(spark, {f"/{i}.php": text.format(i, "$_GET['a']" if i % 2 else "'ls'") for i in range(6)}), "php").collect()
+    assert {r.path for r in found} == {"/1.php", "/3.php", "/5.php"}
+
+
+def test_call_pattern():
+    import re
+
+    pattern = taint.call_pattern("run", 1)
+    assert [m[1] for m in re.finditer(pattern, "function run($a, $b) {} run(1, $x); rerun(1, $y); run( 2 ,$z )")] == [" $x", "$z "]
+    assert re.search(taint.call_pattern("Box", 0, constructed=True), "$o = new Box($p);")[1] == "$p"
+    assert re.search(taint.call_pattern("run", 1, optional=1), "run($x)")[1] == "$x"
+
+
+def test_reports_grow_or_replace(spark, tmp_path):
+    one = spark.createDataFrame([("t", 1, 'a, "b"\nc')], "target string, n int, code string")
+    assert sinks.write_csv(one, f"{tmp_path}/r.csv") and sinks.write_csv(one.withColumn("extra", F.lit("x")), f"{tmp_path}/r.csv")
+    assert not sinks.write_csv(one.limit(0), f"{tmp_path}/r.csv")
+    text = (tmp_path / "r.csv").read_text()
+    assert text.count("target") == 1 and text.startswith('"target"') and text.count('a, ""b""') == 2
+    for sid, n in (("a", 1), ("b", 2), ("a", 3)):
+        sinks.write_json(one.withColumn("n", F.lit(n)), f"{tmp_path}/j", sid)
+    assert {(r.sid, r.n) for r in spark.read.json(f"{tmp_path}/j").collect()} == {("a", 3), ("b", 2)}
+
+
+def test_similarity_clusters(spark):
+    rows = spark.createDataFrame([("g", 1, "aaaa"), ("g", 2, "aaaa"), ("g", 3, "aaab"), ("g", 4, ""), ("h", 1, ""), ("h", 2, "")], "grp string, k int, content string")
+    got = {(r.grp, r.k): (r.ratio, r.cluster) for r in corpus.similar_to_first(rows, "grp", "k").collect()}
+    assert got == {("g", 1): (1.0, 1), ("g", 2): (1.0, 1), ("g", 3): (0.75, 2), ("g", 4): (0.0, 3), ("h", 1): (1.0, 1), ("h", 2): (1.0, 1)}
+
+
+def test_beginnings_join_as_equals(spark):
+    rows = spark.createDataFrame([("/a/b/c.php",), ("/a/x.php",), ("plain",), (None,)], "path string")
+    some = spark.createDataFrame([("/a/",), ("/a/b/",), ("/z/",)], "dir string")
+    assert {(r.path, r.dir) for r in joins.by_prefix(rows, "path", some, "dir").collect()} == {("/a/b/c.php", "/a/"), ("/a/b/c.php", "/a/b/"), ("/a/x.php", "/a/")}
