@@ -45,8 +45,12 @@ def framework(files: DataFrame, dependencies: DataFrame, markers: DataFrame) ->
 
     files(project, path), dependencies(project, name), markers(ord, framework, language, kind, marker).
     """
-    by_name = dependencies.join(F.broadcast(markers.where("kind = 'dependency'")), F.contains(F.lower("name"), F.lower("marker"))).select("project", F.lit(0).alias("rank"), "ord", "framework", "language")
-    by_path = files.select("project", "path").join(F.broadcast(markers.where("kind <> 'dependency'")), F.contains("path", F.col("marker"))).select("project", F.lit(1).alias("rank"), "ord", "framework", "language")
+    def met(rows, wanted, hit, rank):
+        some = markers.where(wanted).agg(F.collect_list(F.struct("ord", "framework", "language", "marker"))).scalar()  # a catalog table
+        return rows.withColumn("_some", some).select("project", F.explode(F.filter("_some", hit)).alias("m")).select("project", F.lit(rank).alias("rank"), "m.ord", "m.framework", "m.language")
+
+    by_name = met(dependencies, "kind = 'dependency'", lambda m: F.contains(F.lower("name"), F.lower(m["marker"])), 0)
+    by_path = met(files, "kind <> 'dependency'", lambda m: F.contains("path", m["marker"]), 1)
     best = by_name.unionByName(by_path).groupBy("project").agg(F.min(F.struct("rank", "ord", "framework", "language")).alias("best"))
     return best.select("project", "best.framework", "best.language")
 

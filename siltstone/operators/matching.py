@@ -126,8 +126,9 @@ def manifest_matches(manifests: DataFrame, keyword: str, match: list, unmatch: l
 
 def path_matches(files: DataFrame, keywords: list[str], least: int = 10) -> DataFrame:
     """File-path mode: (path, keyword) of files larger than `least` bytes."""
-    words = files.sparkSession.createDataFrame([(k.lower(),) for k in keywords], "keyword string")
-    return files.where(F.col("size") > least).join(F.broadcast(words), F.contains(F.lower(F.translate("path", "\\", "/")), F.col("keyword"))).select("path", "keyword")
+    low = F.lower(F.translate("path", "\\", "/"))
+    found = F.filter(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(low, k))
+    return files.where(F.col("size") > least).select("path", F.explode(found).alias("keyword"))
 
 
 def function_calls(files: DataFrame, match: str, language: str, echo: bool = False) -> DataFrame:

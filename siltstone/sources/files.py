@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,26 +29,33 @@ def read_tree(spark: SparkSession, root: str, most_bytes: int | None = None) ->
 
 
 def unzip(archives: DataFrame, most_members: int = 100_000, most_bytes: int = 1 << 28) -> DataFrame:
-    """archives(path, content binary) to (path, member, content); a package's header before the zip is skipped.
+    """archives(path, content binary) to (path, member, content, error); a package's header before the zip is skipped.
 
-    Members beyond the guards against zip bombs raise an error; nothing is written to disk.
-    Archives that cannot be read give no rows.
+    An archive that cannot be read, or whose members go beyond the guards against zip bombs, gives one row
+    with the error alone; so does a member that cannot be read.  Nothing is written to disk.
     """
+    names = ["path", "member", "content", "error"]
+
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
                 try:
-                    names = zipfile.ZipFile(io.BytesIO(content or b""))
-                except zipfile.BadZipFile:
-                    continue
-                members = [i for i in names.infolist() if not i.is_dir()]
-                if len(members) > most_members or sum(i.file_size for i in members) > most_bytes:
-                    raise ValueError(f"{path}: the archive is beyond the guard")
-                rows = [(path, i.filename, names.read(i).decode("utf-8", "replace")) for i in members]
+                    archive = zipfile.ZipFile(io.BytesIO(content or b""))
+                    members = [i for i in archive.infolist() if not i.is_dir()]
+                    if len(members) > most_members or sum(i.file_size for i in members) > most_bytes:
+                        rows, members = [(path, None, None, "beyond the guards")], []
+                except zipfile.BadZipFile as error:
+                    rows, members = [(path, None, None, str(error))], []
+                for i in members:
+                    try:
+                        rows.append((path, i.filename, archive.read(i).decode("utf-8", "replace"), None))
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as error:  # damaged, of an unknown method, or with a password
+                        rows.append((path, i.filename, None, str(error)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["path", "member", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names)
 
-    return archives.select("path", "content").mapInArrow(run, "path string, member string, content string")
+    return archives.select("path", "content").mapInArrow(run, "path string, member string, content string, error string")
 
 
 def extension_children(members: DataFrame) -> DataFrame:

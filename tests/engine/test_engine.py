@@ -129,7 +129,8 @@ def test_unzip_and_children(spark):
         z.writestr("a.js", "1")
     table = spark.createDataFrame([("p.crx", bytearray(b"Cr24header" + data.getvalue())), ("bad", bytearray(b"no"))], "path string, content binary")
     members = file_sources.unzip(table)
-    assert {r.member for r in members.collect()} == {"manifest.json", "a.js"}
+    assert {(r.path, r.member, r.error is None) for r in members.collect()} == {("p.crx", "manifest.json", True), ("p.crx", "a.js", True), ("bad", None, False)}
+    assert [(r.path, r.member, r.error) for r in file_sources.unzip(table.where("path <> 'bad'"), most_members=1).collect()] == [("p.crx", None, "beyond the guards")]
     assert {(r.child, r.kind) for r in file_sources.extension_children(members).collect()} == {("a.js", "js"), ("bg.html", "html"), ("r.js", "js"), ("n.html", "html")}
 
 
