@@ -21,7 +21,8 @@ def buckets(files: DataFrame, with_paths: bool = False) -> DataFrame:
 
 def by_language(files: DataFrame, extensions: DataFrame) -> DataFrame:
     """Files of each scanned language; `*` takes every file."""
-    return files.join(F.broadcast(extensions.withColumnRenamed("ext", "want")), (F.col("ext") == F.col("want")) | (F.col("want") == "*")).drop("want")
+    wanted = files.withColumn("want", F.explode(F.array_distinct(F.array("ext", F.lit("*")))))
+    return wanted.join(F.broadcast(extensions.withColumnRenamed("ext", "want")), "want").drop("want")
 
 
 def language_counts(files: DataFrame, languages: DataFrame) -> DataFrame:
