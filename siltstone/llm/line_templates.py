@@ -18,8 +18,8 @@ different texts, so exact copies of a text weigh nothing and keep their own line
 
 Counts are partial aggregations, so a line that a third of all rows share shuffles as one count
 a task; lines meet the forms that recur through a broadcast for the hottest forms (1,024 at most)
-and a shuffle for the rest.  Only lines of leaves that may hold a template are parsed
-further: a bitmap of fixed size tells them, and what it lets through by chance cannot reach
+and a shuffle for the rest.  Texts are parsed once, lines and forms written down.  Only lines of leaves
+that may hold a template are read again: a bitmap of fixed size tells them, and what it lets through by chance cannot reach
 `min_docs`.  Forms are told apart by 96 bits of hashes.  Null texts have no lines and come back
 null; rows that repeat id and text come back alike.  Other columns of the input pass through.
 """
@@ -101,7 +101,8 @@ def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     some = F.filter(split, lambda x: F.get(x["raw"], F.lit(0)) != "")
     form = lambda x: F.when(x["digits"] & (F.size(x["raw"]) >= DEPTH), _masked(x["raw"])).otherwise(x["raw"])
     formed = F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), form(x).alias("form"), F.when(F.size(x["raw"]) > DEPTH + 1, _leaf(x)).alias("leaf")))
-    keyed = F.transform(formed, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.size(x["form"]), x["form"]).alias("key"), F.hash(x["form"]).alias("also"), x["leaf"].alias("leaf")))
+    keyed = F.transform(formed, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.size(x["form"]), x["form"]).alias("key"), F.hash(x["form"]).alias("also"), x["leaf"].alias("leaf"),
+                                                    F.when(x["leaf"].isNotNull(), F.array_join(x["form"], " ")).alias("form")))
     lines = written(base.where(F.col("text").isNotNull()).select("id", "h", F.inline(keyed)), "lines")
 
     forms = lines.groupBy("key", "also").agg((F.min("h") != F.max("h")).alias("same"), F.min(F.struct("id", "pos", "h")).alias("first"), F.count("*").alias("n"))
@@ -110,15 +111,13 @@ def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             .groupBy("leaf").agg(F.count("*").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
             .where((F.col("texts") >= min_docs) & (F.col("low") != F.col("high"))).select("leaf"))
     marked = written(_bitmap(full, "leaf"), "bitmap")
-    branches = F.transform(F.filter(some, lambda x: F.size(x["raw"]) > DEPTH + 1), lambda x: F.struct(_leaf(x).alias("leaf"), form(x).alias("tokens")))
-    found = base.where(F.col("text").isNotNull()).select("h", F.inline(branches))
-    deep = written(found.where(_may_hold(marked, F.col("leaf"))).withColumn("key", F.xxhash64(F.size("tokens"), "tokens")), "deep")
+    deep = written(lines.where(F.col("leaf").isNotNull() & _may_hold(marked, F.col("leaf"))).select("h", "leaf", "key", F.split("form", " ").alias("tokens")), "deep")
     templates = written(_templates(deep, min_docs), "templates")
     groups = written(forms.join(templates, "key", "left").where(F.col("same") | F.col("template").isNotNull()), "forms")
     discard(deep, templates)
     heads = groups.where("template is not null").groupBy("template").agg(F.min("first").alias("head"))
     recurring = written(groups.join(heads, "template", "left").select("key", "also", F.coalesce("head", "first").alias("first"), "n"), "recurring")
-    gone = (join_counted(lines, recurring, ["key", "also"], "n").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
+    gone = (join_counted(lines.drop("form"), recurring, ["key", "also"], "n").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
             .groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}))
     out = base.join(gone, base["id"].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
     # the runs of lines between dropped ones
