@@ -164,7 +164,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id
             asked = [np.fromiter((place.setdefault(w, len(place)) for w in decompress(x.as_py()).split(b" ")), np.int64) for x in batch.column(2)]
             words, flats, sizes = list(islice(place, known, None)), [flat], [size]
             for at in range(0, len(words), 4000):
-                found = [x.ids for x in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at:at + 4000]], add_special_tokens=False)]
+                found = [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[at:at + 4000]], add_special_tokens=False)]
                 sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
                 flats.append(np.fromiter((i for x in found for i in x), np.uint32))
             flat, size = np.concatenate(flats), np.concatenate(sizes)

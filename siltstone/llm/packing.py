@@ -55,7 +55,7 @@ class UnitEncoder:
     def _encode(self, texts: list[str]):
         found = []
         for at in range(0, len(texts), 4000):  # encodings are large, ids small
-            found += [x.ids for x in self.tokenizer.encode_batch(texts[at:at + 4000], add_special_tokens=False)]
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(texts[at:at + 4000], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(size.sum())), size
 
