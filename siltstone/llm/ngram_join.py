@@ -45,6 +45,8 @@ LEVEL_KEYS = 1 << 20
 FLUSH = 1 << 20
 #: Rows of a tile of a column.
 TILE = 2048
+#: Pairs that a block looks at in one go, and rows whose prefixes it keeps at hand.
+PAIRS, ROWS_HELD = 1 << 18, 4000
 #: Columns of the longest prefix that goes with each of its entries.
 SHIPPED = 1024
 
@@ -268,7 +270,7 @@ def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
         def row(i: int) -> tuple:
             found = held.get(int(nodes[i]))
             if found is None:
-                if len(held) >= 20_000:
+                if len(held) >= ROWS_HELD:
                     held.clear()
                 ordered = prefix[int(order[i])].as_py()
                 found = held[int(nodes[i])] = (ordered, frozenset(ordered or ()))
@@ -276,7 +278,7 @@ def _product(entries: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
 
         out, at = {}, 0
         while at < len(n):
-            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20), "right")))
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
             span = spans[at:last]
             left = np.repeat(np.arange(at, last), span)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(span) - span, span)
@@ -377,10 +379,10 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str, k: int, num: int
         open_ = known.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.count("*").alias("m")).where("lo <> hi").select("col", "least", "m")
         return known.join(open_, "col").select("col", "node", "n", "rank", "label", "least", "m")
 
-    # one row of every component that meets a column
+    # one row of every component that meets a column, with that of one of them; by hash, so that columns differ in both
     open_entries = written(labelled(), "open")
-    tops = open_entries.groupBy("col", "label").agg(F.min(F.struct("node", "n")).alias("top"))
-    leads = tops.groupBy("col").agg(F.min(F.struct("label", "top")).alias("lead"))
+    tops = open_entries.groupBy("col", "label").agg(F.min(F.struct(F.xxhash64("node", "col").alias("h"), "node", "n")).alias("top"))
+    leads = tops.groupBy("col").agg(F.min(F.struct(F.xxhash64("label", "col").alias("h"), "label", "top")).alias("lead"))
     second = (tops.join(leads, "col").where("label <> lead.label")
               .select(F.least("lead.top.node", "top.node").alias("a"), F.greatest("lead.top.node", "top.node").alias("b"), F.col("lead.top.n").alias("na"), F.col("top.n").alias("nb"))
               .where(fit).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")))
