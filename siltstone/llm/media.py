@@ -2,7 +2,7 @@
 
 Each row is stored, read back and measured on its own, so equal payloads give equal
 values.  Null texts count as empty.  A payload is padded with 255 to a positive
-multiple of `row_bytes`, one image row; see webp.py for payloads beyond one image.
+multiple of `row_bytes`, one image row.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import small_batches
-from .webp import MOST_SIDE, decode, encode
+from .webp import decode, encode
+
+#: Rows of an image, so that what encoding and decoding it takes is bounded; longer payloads become several files, one after the other.
+MOST_ROWS = 4096
 
 
 def to_media(payload: np.ndarray, width: int) -> bytes:
     """Files of RGBA images `width` pixels wide."""
     rows = payload.reshape(-1, width, 4)
-    return b"".join(encode(rows[at:at + MOST_SIDE]) for at in range(0, len(rows), MOST_SIDE))
+    return b"".join(encode(rows[at:at + MOST_ROWS]) for at in range(0, len(rows), MOST_ROWS))
 
 
 def from_media(data: bytes) -> list[np.ndarray]:

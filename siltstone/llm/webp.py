@@ -13,12 +13,13 @@ The writer uses the palette transform for images of at most 16 colours, else the
 (black, left or top); then back-references of three pixels or more, the colour cache where it
 is hit, and prefix codes.  Palettes and the predictor's modes have codes by their counts; pixels
 have one of three sets of codes, made by rules for prose, differences and anything: mode and
-set are those that cost the image least.  Equal images give equal files.  An image takes at most 16,384 rows; longer payloads
-become several files, one after the other.
+set are those that cost the image least.  Equal images give equal files.  An image has at most 16,384 rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # Fixed values of the format.
@@ -75,6 +76,7 @@ class PrefixCode:
         used = np.flatnonzero(lengths)
         if len(used) < 2:
             self.longest, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64)
+            self.packed = self.length + 32 * (self.symbol > 255)
             return
         used = used[np.argsort(lengths[used], kind="stable")]
         of = lengths[used]
@@ -84,6 +86,7 @@ class PrefixCode:
             raise ValueError("a prefix code is not complete")
         row = np.repeat(np.arange(len(used)), share)[_REVERSED[:1 << longest] if longest == LONGEST else _REVERSED[:1 << longest] >> LONGEST - longest]
         self.symbol, self.length = used[row], of[row]
+        self.packed = self.length + 32 * (self.symbol > 255)
 
     def read(self, bits: Bits) -> int:
         at = bits.peek() & (1 << self.longest) - 1
@@ -95,7 +98,7 @@ class PrefixCode:
     def look(self, windows: np.ndarray):
         """(symbol, length) at the beginning of each window."""
         at = windows.view(np.int64) & (1 << self.longest) - 1
-        return self.symbol[at], self.length[at]
+        return self.symbol.take(at), self.length.take(at)
 
 
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
@@ -154,6 +157,9 @@ def read_group(bits: Bits, cache_size: int) -> list[PrefixCode]:
             return codes
     begin = bits.at
     codes = [read_code(bits, n) for n in (256 + 24 + cache_size, 256, 256, 256, 40)]
+    for i, j in ((2, 1), (3, 1), (3, 2)):  # equal codes are one object
+        if np.array_equal(codes[i].symbol, codes[j].symbol) and np.array_equal(codes[i].length, codes[j].length):
+            codes[i] = codes[j]
     if (n := bits.at - begin) < 8000:
         known.append((n, window & (1 << n) - 1, codes))
         del known[:-16]
@@ -201,6 +207,21 @@ def _cache_keys(argb: np.ndarray, cache_bits: int) -> np.ndarray:
     return (argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
 
 
+def _chain(step: memoryview, n: int, most: int, moves: bool) -> np.ndarray:
+    """The places met from the first on, up to n; at most `most` of them where a step may stand still."""
+    tokens, q = [], 0
+    add = tokens.append
+    if moves:
+        while q < n:
+            add(q)
+            q = step[q]
+    else:
+        while q < n and len(tokens) < most:
+            add(q)
+            q = step[q]
+    return np.array(tokens)
+
+
 def _by_chain(bits: Bits, codes: list[PrefixCode], width: int, total: int, cache_bits: int) -> np.ndarray:
     """The pixels of an image with one group of codes."""
     if not any(c.longest for c in codes[:4]) and codes[0].symbol[0] < 256:  # one colour, no bits
@@ -214,64 +235,56 @@ def _by_chain(bits: Bits, codes: list[PrefixCode], width: int, total: int, cache
             raise ValueError("the image ends early")
         windows = bits.windows(n + 64)
         low = windows.view(np.int64)
-        begin = low[:n] & (1 << codes[0].longest) - 1
-        here = np.arange(n)
-        after = here + codes[0].length[begin]
-        green = codes[0].symbol[begin]
-        literal = green < 256
-        spot, last, wide = after, None, None
+        green = codes[0].packed.take(low[:n] & (1 << codes[0].longest) - 1)
+        after = np.arange(n) + (green & 31)
+        far = np.flatnonzero(green & 32)
+        jump, last, wide = after, None, None
         for code in codes[1:4]:
-            if wide is None or code is not last:
-                wide, last = code.length[low & (1 << code.longest) - 1], code
-            spot = spot + wide[spot]
-        jump = np.where(literal, spot, after)
-        lengths: dict[int, int] = {}
-        far = np.flatnonzero((green >= 256) & (green < 280))
+            if code is not last:
+                wide, last = code.length.take(low & (1 << code.longest) - 1), code
+            jump = jump + wide.take(jump)
+        advance = None
         if len(far):
-            spot = after[far].astype(np.int64)
-            length, more = _values(green[far] - 256, windows[spot])
-            spot += more
+            jump[far] = after[far]
+            symbol, _ = codes[0].look(windows[far])
+            copy = symbol < 280
+            copies, spot = far[copy], after[far[copy]]
+            length, more = _values(symbol[copy] - 256, windows[spot])
+            spot = spot + more
             found, wide = codes[4].look(windows[spot])
             spot += wide
             distance, more = _values(found, windows[spot])
-            jump[far] = spot + more
-            lengths = dict(zip(far.tolist(), length.tolist(), strict=True))
-            distance = dict(zip(far.tolist(), _distances(distance, width).tolist(), strict=True))
-        step, q, left = memoryview(jump), 0, total - at
-        tokens, advance = [], lengths.get
-        add = tokens.append
-        while q < n and left > 0:
-            add(q)
-            left -= advance(q, 1)
-            q = step[q]
-        if left < 0:
+            jump[copies] = spot + more
+            if len(copies):
+                advance, distances = np.ones(n, np.int64), np.zeros(n, np.int64)
+                advance[copies], distances[copies] = length, _distances(distance, width)
+        tokens = _chain(memoryview(jump), n, total - at, codes[0].longest > 0)
+        took = np.ones(len(tokens), np.int64) if advance is None else advance.take(tokens)
+        ends = np.cumsum(took)
+        if len(ends) > (keep := int(np.searchsorted(ends, total - at)) + 1):  # what follows is no pixel
+            tokens, took, ends = tokens[:keep], took[:keep], ends[:keep]
+        if ends[-1] > total - at:
             raise ValueError("a back-reference leaves the image")
-        bits.at += q
+        bits.at += int(jump[tokens[-1]])
         if bits.at > bits.size:
             raise ValueError("the image ends early")
-        tokens = np.array(tokens)
-        if len(far):
-            wide = np.ones(n, np.int64)
-            wide[far] = length
-            wide = wide[tokens]
-            places = at + np.cumsum(wide) - wide
-            for i in np.flatnonzero((green[tokens] >= 256) & (green[tokens] < 280)).tolist():
-                copies_of.append((int(places[i]), int(wide[i]), distance[int(tokens[i])]))
-        else:
-            places = np.arange(at, at + len(tokens))
-        plain = literal[tokens]
-        some = tokens[plain]
-        value = green[some].astype(np.uint32) << np.uint32(8)
-        spot = after[some]
+        places = at + ends - took
+        symbol, wide = codes[0].look(windows.take(tokens))
+        plain = symbol < 256
+        spot = after.take(tokens[plain])
+        value = symbol[plain].astype(np.uint32) << np.uint32(8)
         for code, shift in zip(codes[1:4], (16, 0, 24), strict=True):
-            symbol, wide = code.look(windows[spot])
-            value |= symbol.astype(np.uint32) << np.uint32(shift)
-            spot = spot + wide
+            channel, wide = code.look(windows.take(spot))
+            value |= channel.astype(np.uint32) << np.uint32(shift)
+            spot += wide
         out[places[plain]] = value
-        held = green[tokens] >= 280
+        if advance is not None:
+            some = np.flatnonzero(~plain & (symbol < 280))
+            copies_of += zip(places[some].tolist(), took[some].tolist(), distances[tokens[some]].tolist(), strict=True)
+        held = symbol >= 280
         if held.any():
-            cached.append((places[held], green[tokens[held]] - 280))
-        at = total - left
+            cached.append((places[held], symbol[held] - 280))
+        at += int(ends[-1])
     if copies_of or cached:
         _resolve(out, copies_of, cached, cache_bits)
     return out
@@ -294,7 +307,7 @@ def _resolve(out: np.ndarray, copies: list[tuple[int, int, int]], cached: list,
         if cached:
             keys[place:place + length] = keys[place - distance:place - distance + length] if distance >= length else np.resize(keys[place - distance:place], length)
     if cached:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys.astype(np.uint16), kind="stable")
         before = np.full(len(out), -1)
         before[order[1:]] = np.where(keys[order[1:]] == keys[order[:-1]], order[:-1], -1)
         hits = np.concatenate([places for places, _ in cached])
@@ -609,7 +622,7 @@ def _matches(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n > 5:
         key = argb.astype(np.uint64)
         key = (key[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ key[1:-1] * np.uint64(0xBF58476D1CE4E5B9)) + key[2:] * np.uint64(0x94D049BB133111EB)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort((key >> np.uint64(48)).astype(np.uint16) if n < 4096 else key, kind="stable")  # short sorts by digits
         same = key[order[1:]] == key[order[:-1]]
         later, earlier = order[1:][same], order[:-1][same]
         keep = (later - earlier <= FARTHEST) & (argb[later] == argb[earlier]) & (argb[later + 1] == argb[earlier + 1]) & (argb[later + 2] == argb[earlier + 2])
@@ -643,11 +656,18 @@ def _prefixed(value: np.ndarray):
     return symbol, np.where(value <= 4, 0, less & (1 << more) - 1), more
 
 
-def _near_codes(distance: np.ndarray, width: int) -> np.ndarray:
-    """The code of each distance: a short one where the plane has it."""
-    short = {}
+@lru_cache(64)
+def _short_codes(width: int) -> dict[int, int]:
+    """Distances that have a short code."""
+    short: dict[int, int] = {}
     for i, (x, y) in enumerate(PLANE):
         short.setdefault(max(1, x + y * width), i + 1)
+    return short
+
+
+def _near_codes(distance: np.ndarray, width: int) -> np.ndarray:
+    """The code of each distance: a short one where the plane has it."""
+    short = _short_codes(width)
     return np.array([short.get(d, d + 120) for d in distance.tolist()], np.int64)
 
 
@@ -669,7 +689,7 @@ def _written(argb: np.ndarray, width: int, main: bool, kind: int | None = None):
     hit = np.zeros(n, bool)
     if cache_bits:
         keys = _cache_keys(argb, cache_bits)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys.astype(np.uint16), kind="stable")
         hit[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
         hit &= ~covered
         if not hit.any():
@@ -718,9 +738,13 @@ def _written(argb: np.ndarray, width: int, main: bool, kind: int | None = None):
 
 
 def _packed(values: np.ndarray, bits: np.ndarray) -> bytes:
-    total = int(bits.sum())
-    shift = np.arange(total) - np.repeat(np.cumsum(bits) - bits, bits)
-    return np.packbits((np.repeat(values, bits) >> shift & 1).astype(np.uint8), bitorder="little").tobytes()
+    """The values' bits, one after the other; a slice of the values at a time, as bits are many."""
+    out = []
+    for at in range(0, len(values), 1 << 15):
+        value, wide = values[at:at + (1 << 15)], bits[at:at + (1 << 15)]
+        shift = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+        out.append((np.repeat(value, wide) >> shift & 1).astype(np.uint8))
+    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
 
 
 _CHANNELS = np.arange(0, 1024, 256)
@@ -730,6 +754,8 @@ _COSTS = _costs()
 def encode(samples: np.ndarray) -> bytes:
     """A file of RGBA samples (height x width x 4), lossless."""
     height, width = samples.shape[:2]
+    if max(height, width) > MOST_SIDE:
+        raise ValueError("an image has at most 16,384 rows and columns")
     argb = np.ascontiguousarray(samples[:, :, [2, 1, 0, 3]]).view("<u4").reshape(-1)
     parts = [(np.array([width - 1, height - 1, 1, 0]), np.array([14, 14, 1, 3]))]
     some = set(argb[:64].tolist())
