@@ -71,7 +71,7 @@ def _mapped(text: Column, pattern: str, change) -> Column:
     return F.array_join(F.zip_with(parts, found, lambda p, h: F.concat(p, F.coalesce(change(h), F.lit("")))), "")
 
 
-_STRINGS = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"
+_STRINGS = r"\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'"  # possessive: long strings take no stack
 
 
 def strip_comments(text: Column) -> Column:

@@ -154,7 +154,7 @@ def clean_identifier(text: Column) -> Column:
 
 def property_path(text: Column) -> Column:
     """$this->a->b as [a, b]."""
-    chain = F.regexp_extract(text, r"\$this((?:->[A-Za-z_][A-Za-z0-9_]*)+)", 1)
+    chain = F.regexp_extract(text, r"\$this((?:->[A-Za-z_][A-Za-z0-9_]*+)++)", 1)  # possessive: long chains take no stack
     return F.filter(F.split(chain, "->"), lambda x: x != "")
 
 

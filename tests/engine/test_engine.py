@@ -334,3 +334,10 @@ def test_beginnings_join_as_equals(spark):
     rows = spark.createDataFrame([("/a/b/c.php",), ("/a/x.php",), ("plain",), (None,)], "path string")
     some = spark.createDataFrame([("/a/",), ("/a/b/",), ("/z/",)], "dir string")
     assert {(r.path, r.dir) for r in joins.by_prefix(rows, "path", some, "dir").collect()} == {("/a/b/c.php", "/a/"), ("/a/b/c.php", "/a/b/"), ("/a/x.php", "/a/")}
+
+
+def test_long_chains_and_strings_take_no_stack(spark):
+    from siltstone.functions import extractors
+
+    assert one(spark, F.size(X.property_path(F.concat(F.lit("$this"), F.repeat(F.lit("->a"), 100_000))))) == 100_000
+    assert one(spark, F.length(extractors.strip_comments(F.concat(F.lit('"'), F.repeat(F.lit("a\\n//"), 50_000), F.lit('" // gone'))))) == 250_003
