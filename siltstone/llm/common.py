@@ -50,9 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables of `written` whose last reader is done."""
+    """Remove tables of `written` whose last reader is done; the driver's collector then lets go of shuffles that nothing refers to."""
     for table in tables:
         _remove(table.sparkSession, table._siltstone_path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: Rows of an Arrow batch, so that a Python worker and its JVM hold few texts at once.

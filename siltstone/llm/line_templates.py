@@ -117,8 +117,9 @@ def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     discard(deep, templates)
     heads = groups.where("template is not null").groupBy("template").agg(F.min("first").alias("head"))
     recurring = written(groups.join(heads, "template", "left").select("key", "also", F.coalesce("head", "first").alias("first"), "n"), "recurring")
-    gone = (join_counted(lines.drop("form"), recurring, ["key", "also"], "n").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
-            .groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}))
+    gone = written(join_counted(lines.drop("form"), recurring, ["key", "also"], "n").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
+                   .groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}), "gone")
+    discard(lines, marked, groups, recurring)
     out = base.join(gone, base["id"].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
     # the runs of lines between dropped ones
     starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1)), F.concat("gone", F.array(F.size("parts")))
