@@ -120,7 +120,8 @@ def drop_templates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     gone = written(join_counted(lines.drop("form"), recurring, ["key", "also"], "n").where(~F.struct("id", "pos", "h").eqNullSafe(F.col("first")))
                    .groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumnsRenamed({"id": "gone_id", "h": "gone_h"}), "gone")
     discard(lines, marked, groups, recurring)
-    out = base.join(gone, base["id"].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
+    # dealt by id and text at every size: a table small enough to broadcast today would be planned otherwise tomorrow
+    out = base.join(gone.hint("merge"), base["id"].eqNullSafe(gone["gone_id"]) & (base["h"] == gone["gone_h"]), "left")
     # the runs of lines between dropped ones
     starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1)), F.concat("gone", F.array(F.size("parts")))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice("parts", x["a"] + 1, x["b"] - x["a"])))
