@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, toxicity, url_filter
+from . import divergence, line_templates, toxicity, url_filter
+from .alignment import align
 from .bpe import encode_decode
 from .exact_dedup import exact_duplicates
 from .line_templates import drop_templates
@@ -77,6 +78,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), groups="sha256")
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir), min_docs=10, terms=10)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
@@ -88,6 +98,8 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op12_alignment": op12_alignment,
+    "op13_divergence": op13_divergence,
 }
 
 _EXACT = """
@@ -118,4 +130,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": _SUBSTRING,
     "op5_exact_dedup": _EXACT,
     "op10_line_dedup": line_templates.oracle(),
+    "op13_divergence": divergence.ORACLE,
 }
