@@ -13,28 +13,17 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import java_regex
-
-
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+from .onepass import hit_lines
 
 
 def hits(files: DataFrame, pattern: str, group: int = 0, insensitive: bool = True) -> DataFrame:
-    """(path, ..., line, text) for every hit of a pattern in `content`.
-
-    The parts between hits give each hit's line: one plus the line breaks of all parts and
-    hits before it, accumulated along the array.  Files without a hit are filtered first.
-    """
+    """(path, ..., line, text) for every hit of a pattern in `content`; files without a hit are filtered first."""
     pattern = ("(?i)" if insensitive else "") + java_regex(pattern)
-    parts, found = F.split("content", pattern, -1), F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
-    chosen = F.regexp_extract_all("content", F.lit(pattern), F.lit(group))
-    pairs = F.zip_with(parts, found, lambda p, h: F.struct(_newlines(p).alias("p"), F.coalesce(_newlines(h), F.lit(0)).alias("h")))
-    lines = F.aggregate(pairs, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines")),
-                        lambda a, x: F.struct((a["at"] + x["p"] + x["h"]).alias("at"), F.concat(a["lines"], F.array(a["at"] + x["p"])).alias("lines")))["lines"]
     keep = [c for c in files.columns if c != "content"]
-    return (files.where(F.col("content").rlike(pattern))
-            .select(*keep, F.explode(F.arrays_zip(F.slice(lines, F.lit(1), F.size(found)).alias("line"), chosen.alias("text"))).alias("hit"))
-            .select(*keep, "hit.line", "hit.text"))
+    found = files.where(F.col("content").rlike(pattern)).select(*keep, "content", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("_found"))
+    chosen = F.regexp_extract_all("content", F.lit(pattern), F.lit(group)) if group else F.col("_found")
+    lines = hit_lines(F.col("content"), F.lit(pattern), F.col("_found"))
+    return found.select(*keep, F.explode(F.arrays_zip(lines.alias("line"), chosen.alias("text"))).alias("_hit")).select(*keep, "_hit.line", "_hit.text")
 
 
 def line_hits(files: DataFrame, pattern: str) -> DataFrame:

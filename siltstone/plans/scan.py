@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions.extractors import strip_comments
 from ..functions.scalars import md5_hex
-from ..operators import corpus, matching, predicates, sca
+from ..operators import corpus, matching, onepass, predicates, sca
 from ..sources import manifests
 from . import taint
 
@@ -28,16 +28,20 @@ def _of_language(files: DataFrame, language: str) -> DataFrame:
 
 
 def without_comments(files: DataFrame) -> DataFrame:
-    """(path, ext, content), PHP and JavaScript less their comments; written down, as every only-regex rule reads it."""
+    """(path, ext, content), PHP and JavaScript less their comments."""
     commented = F.col("ext").isin(*catalog.EXTENSIONS["php"], *catalog.EXTENSIONS["javascript"])
-    return taint.written_round(files.select("path", "ext", F.when(commented, strip_comments(F.col("content"))).otherwise(F.col("content")).alias("content")))
+    return files.select("path", "ext", F.when(commented, strip_comments(F.col("content"))).otherwise(F.col("content")).alias("content"))
 
 
-def regex_findings(files: DataFrame, rule: dict, plain: DataFrame | None) -> DataFrame:
-    """One rule of a mode that needs no taint; `plain` are the files without comments."""
+def only_regex_findings(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """All only-regex rules in one pass over the files without comments."""
+    found = onepass.match_rules(without_comments(files), rules)
+    return found.select("svid", "path", F.col("line").cast("int").alias("line"), F.col("text").alias("code"), F.lit("Regex-only-match").alias("reason"), F.lit(1).alias("verdict"), F.array().cast(_CHAIN).alias("chain"))
+
+
+def regex_findings(files: DataFrame, rule: dict) -> DataFrame:
+    """One rule of the other modes that need no taint."""
     mine = _of_language(files, rule["language"])
-    if rule["match_mode"] == catalog.REGEX:
-        return _shaped(matching.match_and_not(_of_language(plain, rule["language"]).select("path", "content"), rule["match"], rule["unmatch"]), rule["svid"], "Regex-only-match")
     if rule["match_mode"] == catalog.NAMES:
         return _shaped(matching.names_not_guarded(mine, rule["match_name"], rule["match"], rule["unmatch"], rule["black_list"]), rule["svid"], "Regex-return-regex")
     if rule["match_mode"] == catalog.MANIFEST:
@@ -68,14 +72,16 @@ def scan(files: DataFrame, languages=None, only=None, tampers: DataFrame | None
     """files(path, ext, size, content) to findings (svid, rule_name, language, level, path, line, code, reason, verdict, chain, vul_hash).
 
     Rules that are off run only if `only` names them.  Special files and matches that
-    begin as comments are rejected; every finding comes once.
+    begin as comments are rejected.  Every finding comes once; rules whose hash leaves the line out give its first line.
     """
     spark = files.sparkSession
     tampers = catalog.tampers(spark) if tampers is None else tampers
     files = predicates.not_ignored(files, list(ignore))
     rules = [r for r in catalog.rule_rows() if (languages is None or r["language"] in (*languages, "base")) and (r["svid"] in only if only is not None else r["status"])]
-    plain = without_comments(files) if any(r["match_mode"] == catalog.REGEX for r in rules) else None
-    parts = [regex_findings(files, r, plain) for r in rules if r["match_mode"] in (catalog.REGEX, catalog.NAMES, catalog.MANIFEST, catalog.PATH)]
+    parts = [regex_findings(files, r) for r in rules if r["match_mode"] in (catalog.NAMES, catalog.MANIFEST, catalog.PATH)]
+    texts = [r for r in rules if r["match_mode"] == catalog.REGEX]
+    if texts:
+        parts.append(only_regex_findings(files, texts))
     for language in ("php", "javascript"):
         chosen = [r["svid"] for r in rules if r["language"] == language and r["match_mode"] in (catalog.FUNCTION, catalog.CUSTOM)]
         if chosen:
@@ -88,7 +94,8 @@ def scan(files: DataFrame, languages=None, only=None, tampers: DataFrame | None
     found = found.where(~predicates.special_file(F.col("path")) & ~F.coalesce(predicates.annotation(F.col("code")), F.lit(False))).withColumn("code", predicates.stored_code(F.col("code")))
     named = found.join(F.broadcast(catalog.rules(spark).select("svid", "rule_name", "language", "level")), "svid", "left")
     hashed = named.withColumn("vul_hash", md5_hex(F.col("svid").cast("string"), "path", F.when(F.col("svid") < 5000, F.col("line").cast("string")).otherwise(""), F.col("code")))
-    return hashed.dropDuplicates(["vul_hash"])
+    rest = [c for c in hashed.columns if c != "vul_hash"]
+    return hashed.groupBy("vul_hash").agg(F.min_by(F.struct(*rest), F.struct("line", "reason")).alias("one")).select(*["one." + c for c in rest], "vul_hash")
 
 
 def report(findings: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import catalog
 from . import generated as G
 from .functions import scalars as X
-from .operators import corpus, joins, matching, predicates, reporting, sca
+from .operators import corpus, joins, matching, onepass, predicates, reporting, sca
 from .views import table, using, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -898,8 +898,7 @@ def _base_sql() -> str:
 
 def _base_hits(spark, d):
     rules = [r for r in catalog.rule_rows() if r["match_mode"] == catalog.REGEX and r["status"] and r["language"] == "base"]
-    f = G.tree(spark, d, G.BASE).select("path", "content")
-    return reduce(DataFrame.unionByName, [matching.match_and_not(f, r["match"], r["unmatch"]).withColumn("svid", F.lit(r["svid"])) for r in rules])
+    return onepass.match_rules(G.tree(spark, d, G.BASE), rules)
 
 
 @query("m01_base_rules", _base_sql())
@@ -1241,8 +1240,15 @@ def _scan_sql() -> str:
                 rows.append((i, f[0], 0, f[2], f[1], "vendor_source_match" if f[2] == 9999 else "file-path-regex-match" if f[2] == 5003 else "Regex-return-regex" if f[2] == 2100 else "Specail-crx-keyword-match", True))
             else:
                 rows.append((i, f[0], f[1], f[2], f[3], "New-function-param-controllable" if "§" in f[3] or f[3] == "closure" else "Function-param-controllable", False))
-    return f"""WITH f AS (SELECT {G.PATH} AS path, c.svid, (CASE WHEN c.whole THEN 0 ELSE c.line + {G.LINES} END)::int AS line, {G.own('c.code')} AS code, c.reason
-FROM documents d JOIN {G.values(rows, 'case_no, name, line, svid, code, reason, whole')} ON d.doc_id % {len(_SCANNED)} = c.case_no)
+    # the base rules also read what the other files say, less the comments of scripts
+    pattern = lambda r: "(?i)" + r["match"][0].replace("'", "''")
+    breaks = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y) - length(replace(y, chr(10), '')))), 0)"
+    texts = [f"""SELECT path, {r['svid']} AS svid, min((1 + {breaks('parts[1:i]')} + {breaks('hits[1:i - 1]')})::int) AS line, CASE WHEN length(hits[i]) > 512 THEN hits[i][1:500] ELSE hits[i] END AS code, 'Regex-only-match' AS reason
+FROM (SELECT path, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT path, regexp_extract_all(content, '{pattern(r)}') AS hits, regexp_split_to_array(content, '{pattern(r)}') AS parts FROM t
+WHERE regexp_matches(content, '{pattern(r)}'){''.join(" AND NOT regexp_matches(content, '(?i)" + u.replace("'", "''") + "')" for u in r['unmatch'])})) GROUP BY ALL""" for r in catalog.rule_rows() if r["match_mode"] == catalog.REGEX and r["status"] and r["language"] == "base"]
+    return f"""WITH t AS (SELECT path, CASE WHEN regexp_matches(path, '[.](php|js)$') THEN regexp_replace(content, '(?s)/[*].*?[*]/', '') ELSE content END AS content FROM ({G.tree_sql(_SCANNED)})),
+f AS (SELECT {G.PATH} AS path, c.svid, (CASE WHEN c.whole THEN 0 ELSE c.line + {G.LINES} END)::int AS line, {G.own('c.code')} AS code, c.reason
+FROM documents d JOIN {G.values(rows, 'case_no, name, line, svid, code, reason, whole')} ON d.doc_id % {len(_SCANNED)} = c.case_no UNION ALL {' UNION ALL '.join(texts)})
 SELECT f.path, f.line, f.svid::int AS svid, f.code, f.reason, 1 AS verdict, r.rule_name, r.language, r.level::int AS level FROM f LEFT JOIN (SELECT * FROM {_RULES}) r ON r.svid = f.svid"""
 
 
@@ -1252,6 +1258,5 @@ def scan_tree(spark, d):
     from .plans.scan import scan
 
     advisories = spark.createDataFrame([("Django", "3.2.1", "ADV-1")], "name string, version string, vuln_id string")
-    only = [r["svid"] for r in catalog.rule_rows() if r["status"] and r["svid"] not in (5001, 5002)]  # those two read texts as well: m01_base_rules
-    found = scan(G.tree(spark, d, _SCANNED), only=only, advisories=advisories)
+    found = scan(G.tree(spark, d, _SCANNED), advisories=advisories)
     return found.select("path", "line", "svid", F.regexp_replace("code", "^closure@.*", "closure").alias("code"), "reason", "verdict", "rule_name", "language", "level")
