@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -57,6 +58,16 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A folder in the shared folder for files of a job; it goes at the end."""
+    path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _remove(spark, path)
+
+
 #: Rows of an Arrow batch, so that a Python worker and its JVM hold few texts at once.
 BATCH_ROWS = 2000
 

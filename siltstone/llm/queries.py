@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import divergence, line_templates, toxicity, url_filter
 from .alignment import align
 from .bpe import encode_decode
+from .common import scratch
 from .exact_dedup import exact_duplicates
 from .line_templates import drop_templates
 from .media import store_texts
@@ -15,6 +16,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .sharding import assign
 from .substring_dedup import remove_repeats
+from .warc import CaptureIndex, resolved, write_archives
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    with scratch(spark, "warc") as folder:
+        write_archives(pages, folder, least=1000)
+        index = CaptureIndex.build(spark, folder)
+        return resolved(index.read(index.lookup(pages)))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = align(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), groups="sha256")
     return aligned.withColumnRenamed("groups", "groups_sha256")
@@ -98,6 +108,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op11_warc": op11_warc,
     "op12_alignment": op12_alignment,
     "op13_divergence": op13_divergence,
 }
@@ -125,10 +136,15 @@ words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j
 kept as (select doc_id, string_agg(word, ' ' order by j) as t, count(*) as n from words anti join gone using (doc_id, j) group by doc_id)
 select w.doc_id, len(w.ws)::bigint as n_words, (len(w.ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from w left join kept k on w.doc_id = k.doc_id"""
 
+_WARC = """
+with p as (select page_id, strlen(coalesce(html, '')) as size, sha1(coalesce(html, '')) as digest, max(page_id) over (partition by coalesce(html, '')) as last from pages)
+select page_id, size::bigint as payload_bytes, digest as payload_digest, case when size >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type, case when size >= 1000 and page_id <> last then last end as refers_to from p"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": _NGRAM_JOIN,
     "op3_substring_dedup": _SUBSTRING,
     "op5_exact_dedup": _EXACT,
     "op10_line_dedup": line_templates.oracle(),
+    "op11_warc": _WARC,
     "op13_divergence": divergence.ORACLE,
 }
