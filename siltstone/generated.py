@@ -76,6 +76,16 @@ class D extends C { function __destruct() { $this->act(); } }"""}, [("D::__destr
     "two files": ({"a.php": "class A { public $h; function __wakeup() { $this->h->close(); } }", "b.php": "class H { public $f;\nfunction close() { call_user_func($this->f, 1); } }"},
                   [("A::__wakeup", "A::__wakeup H::close", "call_user_func", 2)]),
     "harmless": ({"a.php": "class A { public $h; function __destruct() { $this->h->close(); } }\nclass H { function close() { system('ls'); } }"}, []),
+    "fixed argument": ({"a.php": "class A { public $b; function __destruct() { $this->b->act('fixed'); } }\nclass B { function act($p) { system($p); } }"}, []),
+    "argument handed on": ({"a.php": "class A { public $b; function __destruct() { $this->b->act($this->c, 1); } }\nclass B { function act($p, $q) { $this->d->run($q, $p); } }\nclass D { function run($x, $y) {\nsystem($y);\neval($x); } }"},
+                           [("A::__destruct", "A::__destruct B::act D::run", "system", 4)]),
+    "local variable": ({"a.php": "class A { function __wakeup() { $x = $this->c; $y = 'a' . $x; $this->b->act($y); } }\nclass B { function act($p) { $q = trim($p);\neval($q); } }"}, [("A::__wakeup", "A::__wakeup B::act", "eval", 3)]),
+    "arity": ({"a.php": "class A { function __destruct() { $this->b->act($this->c, 1); $this->b->opt($this->c); } }\nclass B { function act($p) { eval($p); } }\nclass C { function opt($p, $q = 1) {\nsystem($p); } }"},
+              [("A::__destruct", "A::__destruct C::opt", "system", 4)]),
+    "two ways": ({"a.php": "class A { function __destruct() { $this->b->one(); $this->b->two(); } }\nclass B { function one() { $this->c->run(); } function two() { $this->c->run(); $this->b->one(); } }\nclass C { function run() { eval($this->d); $this->b->one(); } }"},
+                 [("A::__destruct", "A::__destruct B::one C::run", "eval", 3), ("A::__destruct", "A::__destruct B::two C::run", "eval", 3), ("A::__destruct", "A::__destruct B::two B::one C::run", "eval", 3)]),
+    "called object": ({"a.php": "class A { function __destruct() { $f = $this->f; $f('id'); $g = 'x'; } }\nclass B { function __invoke($p) { system($this->cmd);\neval($p); } }"}, [("A::__destruct", "A::__destruct B::__invoke", "system", 2), ("B::__invoke", "B::__invoke", "system", 2)]),
+    "parent method": ({"a.php": "class A { function act($p) { eval($p); } }\nclass B extends A { function act($p) { parent::act($this->v); } function __wakeup() { self::act(1); } }"}, [("B::__wakeup", "B::__wakeup B::act A::act", "eval", 1)]),
 }
 
 #: name -> (files, database rows as (file, place below the file, order, source, kind, sink)).

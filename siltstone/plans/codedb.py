@@ -46,68 +46,186 @@ def ancestors(rows: DataFrame, projects: str | None = None) -> DataFrame:
     return found.select("root.project", F.col("root.cls").alias("cls"), F.col("node.cls").alias("parent"))
 
 
-def edges(rows: DataFrame, projects: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Which method may run which, inside a project: (project, src, dst, kind) by name; (project, src, magic) and (project, magic, dst) by a magic method.
+def inherited(rows: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, cls, name, dst): the methods that a class has, its own and its parents'; written down."""
+    m = methods(rows, projects).select("project", F.col("cls").alias("parent"), F.col("method").alias("name"), F.col("scope").alias("dst"))
+    return written_round(m.join(ancestors(rows, projects), ["project", "parent"]).select("project", "cls", "name", "dst"))
 
-    Callers and magic methods of a name meet through that name, so their product is never formed.
+
+_FROM = "struct<base:boolean,params:array<int>>"
+#: Functions that turn an object into text.
+TEXTS = ("echo", "print", "strlen", "trim", "strtolower", "md5", "preg_match", "file_exists", "die", "exit")
+
+
+def _first(name):
+    """What a leaf of a method's flow begins with: $this for a property, $_ for input from outside, else the variable."""
+    return F.when(F.startswith(name, F.lit("$this->")), "$this").when(F.regexp_extract(name, r"^(\$\w+)", 1).isin(*PHP_SOURCES), "$_").otherwise(F.regexp_extract(name, r"^(\$\w+)", 1))
+
+
+def parameters(rows: DataFrame) -> DataFrame:
+    """(path, scope, name, pos, kind) of methods."""
+    return of(rows, "param").where("cls <> ''").select("path", "scope", "name", "pos", "kind")
+
+
+def assigned(rows: DataFrame) -> DataFrame:
+    """(path, scope, var, more): what a method assigns to its local variables, over any number of steps; written down."""
+    plain = of(rows, "def").where("cls <> ''").where(F.col("name").rlike(r"^\$\w+$") & (F.col("name") != "$this"))
+    at = lambda c: F.struct("path", "scope", F.col(c).alias("var"))
+    step = plain.select("path", "scope", "name", F.explode(F.filter("flow", lambda x: x["kind"] == "var")).alias("leaf")).select("path", "scope", "name", _first(F.col("leaf.name")).alias("var"))
+    reach = hierarchy(step.select(at("name").alias("a"), at("var").alias("b")).where("a <> b").distinct(), plain.select(at("name").alias("root")), depth=1 << 20)
+    return written_round(reach.where("root <> node").select("root.path", "root.scope", "root.var", F.col("node.var").alias("more")))
+
+
+def origins(rows: DataFrame, leaves: DataFrame, keys: list[str], deeper: DataFrame) -> DataFrame:
+    """leaves(path, scope, *keys, flow) of methods to (*keys, path, scope, base, params): whether a property or outside input, and which own parameters, may flow in.
+
+    Local variables count with all that their method assigns to them: `deeper`, from `assigned`.
+    """
+    flow = leaves.select("path", "scope", *keys, F.explode_outer(F.filter("flow", lambda x: x["kind"] == "var")).alias("leaf")).select("path", "scope", *keys, _first(F.col("leaf.name")).alias("var"))
+    every = flow.unionByName(flow.join(deeper, ["path", "scope", "var"]).select("path", "scope", *keys, F.col("more").alias("var")))
+    own = parameters(rows).select("path", "scope", F.col("name").alias("var"), F.col("pos").alias("param"))
+    return every.join(own, ["path", "scope", "var"], "left").groupBy("path", "scope", *keys).agg(F.coalesce(F.bool_or(F.col("var").isin("$this", "$_")), F.lit(False)).alias("base"), F.collect_set("param").alias("params"))
+
+
+def _holds(x, ctrl):
+    """Whether a value is controllable in a state: by itself, or by a parameter that is."""
+    return x["base"] | F.arrays_overlap(x["params"], ctrl)
+
+
+def moves(rows: DataFrame, deeper: DataFrame, has: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, scope, node, need, gives): how a method's calls lead on.
+
+    `node` names what is called: `->name/n` (a method of any class, with n arguments), `Class=>name/n` (a static call),
+    `__invoke/n`, or a magic method.  All of `need` must be controllable; parameter `to` of the called one is if its value in `gives` is.
     """
     project = _project(projects)
-    m = methods(rows, projects)
-    up = ancestors(rows, projects)
-    calls = of(rows, "call").where("cls <> ''").select(project, "scope", "cls", "name", "kind", "flow")
-    named = calls.where("kind = 'method'")
-    inherited = m.select("project", F.col("cls").alias("parent"), F.col("method").alias("name"), F.col("scope").alias("dst")).join(up, ["project", "parent"])
-    own = named.join(inherited, ["project", "cls", "name"]).select("project", F.col("scope").alias("src"), "dst", F.lit("own").alias("kind"))
-    anywhere = named.join(m.select("project", F.col("method").alias("name"), F.col("scope").alias("dst")), ["project", "name"]).select("project", F.col("scope").alias("src"), "dst", F.lit("any").alias("kind"))
-
-    def magic(sources: DataFrame, name: str) -> DataFrame:
-        return sources.select("project", F.col("scope").alias("src"), F.lit(name).alias("magic")).distinct()
-
-    unknown = named.join(m.select("project", F.col("method").alias("name")).distinct(), ["project", "name"], "left_anti")
+    calls = of(rows, "call").where("cls <> ''")
     args = of(rows, "arg").where("cls <> ''")
-    fields = F.exists("flow", lambda x: (x["kind"] == "var") & F.startswith(x["name"], F.lit("$this->")))
-    deep = F.exists("flow", lambda x: (x["kind"] == "var") & (F.regexp_count(x["name"], F.lit("->")) >= 2))
-    texts = args.where(F.col("name").isin("echo", "print", "strlen", "trim", "strtolower", "md5", "preg_match", "file_exists", "die", "exit") & fields).select(project, "scope")
-    statics = calls.where("kind = 'static'").join(m.select("project", F.concat("cls", F.lit("::"), "method").alias("name")), ["project", "name"], "left_anti")
-    into = magic(unknown, "__call")
-    for part in (magic(calls.where("kind = 'dynamic'"), "__invoke"), magic(texts, "__toString"),
-                 magic(of(rows, "def", "arg", "return").where("cls <> ''").where(deep).select(project, "scope"), "__get"), magic(statics, "__callStatic")):
-        into = into.unionByName(part)
-    return own.unionByName(anywhere).where("src <> dst").distinct(), into, m.select("project", F.col("method").alias("magic"), F.col("scope").alias("dst"))
-
-
-def danger(rows: DataFrame, projects: str | None = None) -> DataFrame:
-    """(project, scope, sink, line): calls of a dangerous function whose required positions are all controllable."""
+    deep = lambda c: F.regexp_count(c, F.lit("->")) >= 2
+    # one row for each value that decides: arguments by position, -1 what a dynamic call calls, -2 the object of a deep property
+    callee = calls.where("kind = 'dynamic'").select("path", "scope", "id", F.lit(-1).alias("pos"), F.array(F.struct(F.lit("var").alias("kind"), "name")).alias("flow"))
+    light = lambda df: df.withColumn("flow", F.transform("flow", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"))))
+    values = light(args.select("path", "scope", "id", "pos", "flow")).unionByName(callee)
+    places = of(rows, "def", "arg", "return").where("cls <> ''")
+    reads = places.select("path", "scope", F.explode("flow").alias("x")).where((F.col("x.kind") == "var") & deep(F.col("x.name"))).select("path", "scope", F.col("x.name").alias("name"), F.lit("__get").alias("node")).distinct()
+    sets = of(rows, "def").where("cls <> ''").where(deep(F.col("name"))).select("path", "scope", "name", F.lit("__set").alias("node"), "ord", "flow")
+    objects = reads.withColumn("ord", F.lit(None).cast("int")).unionByName(sets.drop("flow")).select("path", "scope", F.concat_ws("#", "node", "name", F.col("ord").cast("string")).alias("key"), F.lit(-2).alias("pos"), F.array(F.struct(F.lit("var").alias("kind"), "name")).alias("flow"))
+    stored = light(sets.select("path", "scope", F.concat_ws("#", "node", "name", F.col("ord").cast("string")).alias("key"), F.lit(1).alias("pos"), "flow"))
+    leaves = values.select("path", "scope", F.col("id").cast("string").alias("key"), "pos", "flow").unionByName(objects).unionByName(stored)
+    told = origins(rows, leaves, ["key", "pos"], deeper).groupBy("path", "scope", "key").agg(F.collect_list(F.struct("pos", "base", "params")).alias("values"))  # a call's arguments
+    told = written_round(told)
+
+    of_pos = lambda test: F.transform(F.filter("values", test), lambda x: F.struct(x["base"].alias("base"), x["params"].alias("params")))
+    give = lambda to: F.transform(F.filter("values", lambda x: x["pos"] >= 0), lambda x: F.struct((x["pos"] if to is None else F.lit(to)).cast("int").alias("to"), x["base"].alias("base"), x["params"].alias("params")))
+    none = F.array().cast(f"array<{_FROM}>")
+    nothing = F.array().cast("array<struct<to:int,base:boolean,params:array<int>>>")
+    all_calls = calls.select(project, "path", "scope", "cls", F.col("id").cast("string").alias("key"), "name", "kind", F.col("pos").alias("n")).join(told, ["path", "scope", "key"], "left").withColumn("values", F.coalesce("values", F.array().cast(told.schema["values"].dataType)))
+    known = methods(rows, projects).select("project", F.col("method").alias("name")).distinct().withColumn("known", F.lit(True))
+    named = all_calls.where("kind = 'method'").join(known, ["project", "name"], "left")
+    by_name = named.where("known").select("project", "scope", F.concat(F.lit("->"), "name", F.lit("/"), F.col("n").cast("string")).alias("node"), none.alias("need"), give(None).alias("gives"))
+    unknown = named.where("known is null").select("project", "scope", F.lit("__call").alias("node"), none.alias("need"), give(1).alias("gives"))
+    dynamic = all_calls.where("kind = 'dynamic'").select("project", "scope", F.concat(F.lit("__invoke/"), F.col("n").cast("string")).alias("node"), of_pos(lambda x: x["pos"] == -1).alias("need"), give(None).alias("gives"))
+    cls, method = F.element_at(F.split("name", "::"), 1), F.element_at(F.split("name", "::"), -1)
+    static = all_calls.where("kind = 'static'").withColumn("of", F.when(F.lower(cls).isin("self", "static", "parent"), F.col("cls")).otherwise(cls)).withColumn("method", method)
+    there = has.select("project", F.col("cls").alias("of"), F.col("name").alias("method")).distinct().withColumn("known", F.lit(True))
+    static = static.join(there, ["project", "of", "method"], "left")
+    by_class = static.where("known").select("project", "scope", F.concat("of", F.lit("=>"), "method", F.lit("/"), F.col("n").cast("string")).alias("node"), none.alias("need"), give(None).alias("gives"))
+    no_class = static.where("known is null").select("project", "scope", F.lit("__callStatic").alias("node"), none.alias("need"), give(1).alias("gives"))
+    texts = all_calls.where(F.col("name").isin(*TEXTS)).select("project", "scope", F.lit("__toString").alias("node"), F.explode("values").alias("x")).where("x.pos >= 0").select("project", "scope", "node", F.array(F.struct("x.base", "x.params")).alias("need"), nothing.alias("gives"))
+    properties = told.where("key rlike '^__[gs]et#'").select(project, "scope", F.substring("key", 1, 5).alias("node"), of_pos(lambda x: x["pos"] == -2).alias("need"), give(None).alias("gives"))
+    out = by_name
+    for more in (unknown, dynamic, by_class, no_class, texts, properties):
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def targets(rows: DataFrame, nodes: DataFrame, has: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, node, dst, last): the methods that each of nodes(project, node) may run; a call of another number of arguments does not fit.
+
+    Callers and methods meet through nodes alone, so their product is never formed.  `last`: the place that takes all further arguments, if any.
+    """
+    arity = parameters(rows).groupBy(_project(projects), "scope").agg(F.count_if(F.col("kind") == "").alias("least"), F.count("*").alias("most"), F.max(F.when(F.col("kind") == "rest", F.col("pos"))).alias("last"))
+    m = methods(rows, projects).join(arity, ["project", "scope"], "left").select("project", "cls", "method", "scope", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(0)).alias("most"), "last")
+    counted = nodes.where(F.contains("node", F.lit("/"))).select("project", "node", F.split("node", "/").alias("p")).select("project", "node", F.col("p")[0].alias("what"), F.col("p")[1].cast("int").alias("n"))
+    fits = (F.col("n") >= F.col("least")) & ((F.col("n") <= F.col("most")) | F.col("last").isNotNull())
+    sized = m.select("project", F.col("method").alias("name"), F.col("scope").alias("dst"), "least", "most", "last")
+    by_name = counted.where(~F.contains("what", F.lit("=>"))).withColumn("name", F.regexp_replace("what", "^->", "")).join(sized, ["project", "name"]).where(fits)
+    static = counted.where(F.contains("what", F.lit("=>"))).withColumn("cls", F.split("what", "=>")[0]).withColumn("name", F.split("what", "=>")[1])
+    by_class = static.join(has, ["project", "cls", "name"]).join(sized.drop("name"), ["project", "dst"]).where(fits)
+    magic = nodes.where(~F.contains("node", F.lit("/"))).join(sized.withColumn("node", F.col("name")), ["project", "node"])
+    names = ["project", "node", "dst", "last"]
+    return by_name.select(*names).unionByName(by_class.select(*names)).unionByName(magic.select("project", "node", "dst", F.lit(None).cast("int").alias("last"))).distinct()
+
+
+def danger(rows: DataFrame, deeper: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, scope, sink, line, need): calls of a dangerous function, and the values at its required positions."""
     want = rows.sparkSession.createDataFrame([(n, p) for n, ps in SINKS.items() for p in ps], "name string, pos int")
-    good = F.exists("flow", lambda x: (x["kind"] == "var") & (F.startswith(x["name"], F.lit("$this->")) | x["name"].isin(*PHP_SOURCES)))
-    params = of(rows, "param").select("path", "scope", F.col("name").alias("param")).groupBy("path", "scope").agg(F.collect_set("param").alias("params"))
-    args = of(rows, "arg").where("cls <> ''").join(F.broadcast(want), ["name", "pos"]).join(params, ["path", "scope"], "left")
-    by_param = F.exists("flow", lambda x: F.array_contains(F.coalesce("params", F.array().cast("array<string>")), x["name"]))
-    return args.groupBy("path", "scope", "name", "id", "line").agg(F.bool_and(good | by_param).alias("ok"), F.count("*").alias("n")).where("ok").select(_project(projects), "scope", F.col("name").alias("sink"), "line").distinct()
+    args = of(rows, "arg").where("cls <> ''").join(F.broadcast(want), ["name", "pos"]).select("path", "scope", "name", "id", "pos", "line", "flow")
+    full = F.broadcast(want.groupBy("name").agg(F.count("*").alias("n")))
+    told = origins(rows, args, ["name", "id", "pos", "line"], deeper).groupBy("path", "scope", "name", "id").agg(F.min("line").alias("line"), F.collect_list(F.struct("base", "params")).alias("need"))
+    return told.join(full, "name").where(F.size("need") == F.col("n")).select(_project(projects), "scope", F.col("name").alias("sink"), "line", "need").distinct()
 
 
-def chains(rows: DataFrame, depth: int = 40, projects: str | None = None) -> DataFrame:
-    """(project, entry, methods, classes, sink, line, fingerprint, has_wakeup): shortest chains from entry methods to dangerous calls of a project.
+def states(rows: DataFrame, deeper: DataFrame, projects: str | None = None, depth: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The product of methods and controllable parameters that entries reach.
 
-    A frontier loop: a method is reached once from each entry, by the first path in
-    order among the shortest; rounds are written to the shared folder.  Projects are what the
-    regular expression `projects` finds in paths; without it all files are one.
+    (project, scope, ctrl) with ctrl the sorted controllable positions; (project, scope, ctrl, node, given) of calls, and (project, node, given, dst, ctrl_dst)
+    of what they run.  Entries begin with none.  A frontier loop: each state is met once, and each round is one table.
     """
-    direct, into, onward = (written_round(x) for x in edges(rows, projects))
-    at = F.col("scope")
-    start = methods(rows, projects).where(F.col("method").isin(*ENTRIES)).select("project", at.alias("entry"), at.alias("at"), F.array(at).alias("methods"))
-    known = frontier = written_round(start)
-    for _ in range(depth):
-        from_ = frontier.withColumnRenamed("at", "src")
-        by_magic = from_.join(into, ["project", "src"]).groupBy("project", "entry", "magic").agg(F.min("methods").alias("methods")).join(onward, ["project", "magic"])
-        step = from_.join(direct, ["project", "src"]).select("project", "entry", "methods", "dst").unionByName(by_magic.select("project", "entry", "methods", "dst"))
-        best = step.groupBy("project", "entry", F.col("dst").alias("at")).agg(F.min(F.concat("methods", F.array("dst"))).alias("methods"))
-        frontier = written_round(best.join(known.select("project", "entry", "at"), ["project", "entry", "at"], "left_anti"))
+    has = inherited(rows, projects)
+    steps = written_round(moves(rows, deeper, has, projects))
+    ends = written_round(targets(rows, steps.select("project", "node").distinct(), has, projects))
+
+    def calls_of(some: DataFrame) -> DataFrame:
+        taken = some.join(steps, ["project", "scope"]).where(F.forall("need", lambda x: _holds(x, F.col("ctrl"))))
+        given = F.array_sort(F.array_distinct(F.transform(F.filter("gives", lambda x: _holds(x, F.col("ctrl"))), lambda x: x["to"])))
+        return taken.select("project", "scope", "ctrl", "node", given.alias("given")).distinct()
+
+    def runs_of(calls: DataFrame) -> DataFrame:
+        into = F.when(F.col("last").isNull(), F.col("given")).otherwise(F.array_sort(F.array_distinct(F.transform("given", lambda x: F.least(x, "last")))))
+        return calls.select("project", "node", "given").distinct().join(ends, ["project", "node"]).select("project", "node", "given", "dst", into.alias("ctrl_dst"))
+
+    known = frontier = written_round(methods(rows, projects).where(F.col("method").isin(*ENTRIES)).select("project", "scope", F.array().cast("array<int>").alias("ctrl")).distinct())
+    for _ in range(depth - 1):
+        reached = runs_of(calls_of(frontier)).select("project", F.col("dst").alias("scope"), F.col("ctrl_dst").alias("ctrl")).distinct()
+        frontier = written_round(reached.join(known, ["project", "scope", "ctrl"], "left_anti"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
-    found = known.join(danger(rows, projects).withColumnRenamed("scope", "at"), ["project", "at"])
+    calls = written_round(calls_of(known))
+    return known, calls, written_round(runs_of(calls))
+
+
+def chains(rows: DataFrame, depth: int = 40, projects: str | None = None) -> DataFrame:
+    """(project, entry, methods, classes, sink, line, fingerprint, has_wakeup): every simple chain of at most `depth` methods from an entry method to a dangerous call whose required values are controllable there.
+
+    A chain comes once by its methods and sink, with the first line.  Three loops of joins, written down round by round: the states that entries reach,
+    which of these lead to danger, and paths over what is left, so that a path is extended only to where some chain may end.
+    Their number may grow fast with the calls of a project, as chains do.  Projects are what the regular expression `projects` finds in paths; without it all files are one.
+    """
+    deeper = assigned(rows)
+    known, calls, runs = states(rows, deeper, projects, depth)
+    key = ["project", "scope", "ctrl"]
+    hot = written_round(known.join(danger(rows, deeper, projects), ["project", "scope"]).where(F.forall("need", lambda x: _holds(x, F.col("ctrl")))).groupBy(*key, "sink").agg(F.min("line").alias("line")))
+    useful = back = hot.select(*key).distinct()
+    while True:
+        from_ = back.select("project", F.col("scope").alias("dst"), F.col("ctrl").alias("ctrl_dst")).join(runs, ["project", "dst", "ctrl_dst"]).select("project", "node", "given").distinct()
+        back = written_round(calls.join(from_, ["project", "node", "given"]).select(*key).distinct().join(useful, key, "left_anti"))
+        if back.isEmpty():
+            break
+        useful = useful.unionByName(back)
+    useful = written_round(useful)
+    live = written_round(runs.join(useful.select("project", F.col("scope").alias("dst"), F.col("ctrl").alias("ctrl_dst")), ["project", "dst", "ctrl_dst"]))
+    start = useful.where(F.element_at(F.split("scope", "::"), -1).isin(*ENTRIES) & (F.size("ctrl") == 0))
+    paths = written_round(start.select(*key, F.col("scope").alias("entry"), F.array("scope").alias("methods")))
+    found = paths
+    for _ in range(depth - 1):
+        step = paths.join(calls, key).select("project", "entry", "methods", "node", "given").distinct().join(live, ["project", "node", "given"]).where(~F.array_contains("methods", F.col("dst")))
+        paths = written_round(step.select("project", F.col("dst").alias("scope"), F.col("ctrl_dst").alias("ctrl"), "entry", F.concat("methods", F.array("dst")).alias("methods")).distinct())
+        if paths.isEmpty():
+            break
+        found = found.unionByName(paths)
+    found = found.join(hot, key).groupBy("project", "entry", "methods", "sink").agg(F.min("line").alias("line"))
     classes = F.array_distinct(F.transform("methods", lambda x: F.element_at(F.split(x, "::"), 1)))
-    out = found.select("project", "entry", "methods", classes.alias("classes"), "sink", "line")
-    return (out.withColumn("fingerprint", F.md5(F.to_json(F.struct("methods", "sink")).cast("binary"))).dropDuplicates(["project", "fingerprint"])
+    return (found.select("project", "entry", "methods", classes.alias("classes"), "sink", "line", F.md5(F.to_json(F.struct("methods", "sink")).cast("binary")).alias("fingerprint"))
             .withColumn("has_wakeup", F.exists("methods", lambda x: F.endswith(x, F.lit("::__wakeup")))))

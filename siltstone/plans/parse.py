@@ -467,7 +467,7 @@ class Reader:
         while self.i < len(self.t) and level:
             kind, text, _ = self.t[self.i]
             if kind == ("var" if self.php else "id") and level == 1 and (self.php or self.peek(-1) in ("(", ",", "...")):
-                self.add("param", text, pos=pos)
+                self.add("param", text, pos=pos, kind="rest" if self.peek(-1) == "..." else "optional" if self.peek(1) == "=" else "")
                 pos += 1
             level += (kind == "op" and text in "([{") - (kind == "op" and text in ")]}")
             self.i += 1

@@ -292,7 +292,9 @@ def test_ancestors_of_any_depth(spark):
 
 def test_chains_have_no_products(spark):
     rows = records(fixtures.files(spark, fixtures.CHAIN), "php")
-    for part in codedb.edges(rows):
+    deeper, has = codedb.assigned(rows), codedb.inherited(rows)
+    steps = codedb.moves(rows, deeper, has)
+    for part in (steps, codedb.targets(rows, steps.select("project", "node").distinct(), has), codedb.danger(rows, deeper)):
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
