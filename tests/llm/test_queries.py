@@ -11,6 +11,8 @@ import pytest
 from siltstone.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
 
 from .cases import rows
+from .test_alignment import told, tools  # noqa: F401
+from .test_divergence import brute as divergence_brute
 from .test_operators import PAGES, brute_components, line_cases, words
 
 TABLES = Path("/root/testdata/sf0.01")
@@ -38,7 +40,7 @@ def run(spark, folder, name):
 
 
 def test_every_query_is_called_here():
-    assert sorted(QUERIES) == sorted(["op1_ngram_join", "op2_sharding", "op3_substring_dedup", "op4_bpe", "op5_exact_dedup", "op6_toxicity", "op7_packing", "op8_media", "op9_url_filter", "op10_line_dedup"])
+    assert sorted(QUERIES) == sorted(["op1_ngram_join", "op2_sharding", "op3_substring_dedup", "op4_bpe", "op5_exact_dedup", "op6_toxicity", "op7_packing", "op8_media", "op9_url_filter", "op10_line_dedup", "op11_warc", "op12_alignment", "op13_divergence"])
 
 
 def test_op1(spark, folder):
@@ -154,3 +156,20 @@ def test_op9(spark, folder):
     assert len(got) == len(PAGES)
     ruled = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     assert all(r.verdict == ruled[r.rule] if r.rule else r.verdict in ("allow", "block") for r in got) and {r.rule for r in got} == {None, *ruled}
+
+
+def test_op11(spark, folder):
+    got = run(spark, folder, "op11_warc")
+    assert Counter(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got) == Counter((p[0], 0, hashlib.sha1(b"").hexdigest(), "response", None) for p in PAGES)
+
+
+def test_op12(spark, folder, tools):
+    got = run(spark, folder, "op12_alignment")
+    want = told([r[:2] for r in folder[1]], tools)
+    names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert Counter(tuple(r[c] for c in names) for r in got) == Counter({(*k[:7], hashlib.sha256(k[7].encode()).hexdigest() if k[7] else ""): n for k, n in want.items()})
+
+
+def test_op13(spark, folder):
+    got = Counter(tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in run(spark, folder, "op13_divergence"))
+    assert got == divergence_brute([(r[2], r[3], r[1]) for r in folder[1]], 10) and got
