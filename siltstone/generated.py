@@ -57,6 +57,13 @@ JS: dict[str, tuple[dict[str, str], list[tuple]]] = {
     "constant": ({"a.js": "var c = 2;\nel.innerHTML = c;\neval('1');"}, []),
     "closure": ({"a.js": "var a = document.cookie;\n(function(e){\neval(e);\n})(a);"}, [("a.js", 2, 3003, "closure")]),
     "attribute": ({"a.js": "var b = location.hash;\nel.setAttribute('x', b);\nel.setAttribute('x', 'b');"}, [("a.js", 2, 3006, "el.setAttribute")]),
+    "another name": ({"a.js": "function g§(x) { return eval(x); }\nvar h§ = g§;\nh§(location.hash);\nh§('1');\nvar w = document.write;\nw(location.search);"}, [("a.js", 3, 3003, "h§"), ("a.js", 6, 3002, "document.write")]),
+    "own member": ({"a.js": "var o = {a: location.hash, m: function(z) {\neval(this.a);\n}};\no.m(1);"}, [("a.js", 2, 3003, "eval")]),
+    "prototype": ({"a.js": "function F§(x) { this.a = x; }\nF§.prototype.get = function() { return this.a; };\nF§.prototype.run = function(y) { eval(y); };\nfunction G§() { }\nG§.prototype.run = function(y) { return 1; };\nvar f§ = new F§(location.hash), g§ = new G§();\ng§.run(location.hash);\nf§.run(location.hash);\ndocument.write(f§.get());"},
+                  [("a.js", 8, 3003, "f§.run"), ("a.js", 9, 3002, "document.write")]),
+    "class": ({"a.js": "class A§ { constructor(x) { this.a = x; } run(y) { return y; } go(y) { eval(y); } }\nclass B§ extends A§ { run(y) { eval(y); } }\nvar a§ = new A§(1), b§ = new B§(1);\na§.run(location.hash);\nb§.run(location.hash);\nb§.go(location.hash);"}, [("a.js", 5, 3003, "b§.run"), ("a.js", 6, 3003, "b§.go")]),
+    "handed function": ({"a.js": "function each§(cb, v) { cb(v); }\nfunction bad§(p) { eval(p); }\neach§(bad§, location.hash);"}, [("a.js", 3, 3003, "each§")]),
+    "evaluated name": ({"a.js": "eval('location.hash');\nsetTimeout('later', 1);\neval('1 + 1');"}, [("a.js", 1, 3003, "eval")]),
     "branches": ({"a.js": "var d;\nif (z) { d = location.hash; } else { d = 1; }\ndocument.write(d);"}, [("a.js", 3, 3002, "document.write")]),
 }
 

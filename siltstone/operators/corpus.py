@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog
+from . import ordered
+from .joins import written_round
 
 
 def extension(path: Column) -> Column:
@@ -110,23 +112,27 @@ def parsable_scripts(files: DataFrame) -> DataFrame:
     return files.where((F.length("content") <= 3000) & breaks.between(10, 500))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """2 * |shared characters as multisets| / (|a| + |b|), from two texts; null for two empty ones."""
-    counts = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(F.length(a) - F.length(F.replace(a, c, F.lit(""))), F.length(b) - F.length(F.replace(b, c, F.lit(""))))))
-    return F.try_divide(counts * F.lit(2.0), (F.length(a) + F.length(b)).cast("double"))
+def character_counts(text: Column) -> Column:
+    """(c, n) of each different character."""
+    return F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), lambda c: F.struct(c.alias("c"), (F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("n")))
+
+
+def similarity(counts: Column, size: Column, b: Column) -> Column:
+    """2 * |shared characters as multisets| / (|a| + |b|), from a's character counts and size and the text b; null for two empty ones."""
+    shared = F.aggregate(counts, F.lit(0), lambda n, x: n + F.least(x["n"], F.length(b) - F.length(F.replace(b, x["c"], F.lit("")))))
+    return F.try_divide(shared * F.lit(2.0), (size + F.length(b)).cast("double"))
 
 
 def similar_to_first(files: DataFrame, group: str, key: str, step: float = 0.03) -> DataFrame:
     """files(`group`, `key`, content): each one's similarity to the first of its group by `key`, and its cluster.
 
     In the order of falling similarity a cluster goes on while the ratio falls by less than `step`; clusters count from 1.
-    A group's first text reaches its rows by a join on the group, whose hot side Spark may split.
+    A first text is counted once and its counts reach the group's rows by a join, whose hot side Spark may split; clusters run
+    over ranges, so a hot group is no task of its own.  Keys should be unique in a group: rows that tie share a range.
     """
-    firsts = files.groupBy(group).agg(F.min_by("content", key).alias("_first"))
-    rated = files.join(firsts, group).select(group, key, F.coalesce(similarity(F.col("_first"), F.col("content")), F.lit(1.0)).alias("ratio"))
-    order = Window.partitionBy(group).orderBy(F.desc("ratio"), key)
-    falls = F.coalesce((F.lag("ratio").over(order) - F.col("ratio") >= step).cast("int"), F.lit(0))
-    return rated.withColumn("_falls", falls).withColumn("cluster", F.sum("_falls").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_falls")
+    firsts = files.groupBy(group).agg(F.min_by("content", key).alias("_first")).select(group, character_counts(F.col("_first")).alias("_counts"), F.length("_first").alias("_size"))
+    rated = files.join(firsts, group).select(group, key, F.coalesce(similarity(F.col("_counts"), F.col("_size"), F.col("content")), F.lit(1.0)).alias("ratio"))
+    return ordered.falls(written_round(rated), [group], "ratio", key, step)
 
 
 def entrances(nodes: DataFrame, limit: int | None = 0) -> DataFrame:

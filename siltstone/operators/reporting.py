@@ -87,8 +87,10 @@ def page(rows: DataFrame, order: list[Column | str], number: int, size: int = 50
 
 
 def indexed(rows: DataFrame, order: list[Column | str]) -> DataFrame:
-    """Rows with a display index from 1. For results of a page or a report: one task numbers them."""
-    return rows.withColumn("index", F.row_number().over(Window.orderBy(*order)))
+    """Rows with a display index from 1, numbered by ranges of the order."""
+    from .ordered import row_numbers
+
+    return row_numbers(rows, [], order)
 
 
 def rule_counts(rules: DataFrame, results: DataFrame) -> DataFrame:

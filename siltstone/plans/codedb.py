@@ -146,11 +146,11 @@ def targets(rows: DataFrame, nodes: DataFrame, has: DataFrame, projects: str | N
     """
     arity = parameters(rows).groupBy(_project(projects), "scope").agg(F.count_if(F.col("kind") == "").alias("least"), F.count("*").alias("most"), F.max(F.when(F.col("kind") == "rest", F.col("pos"))).alias("last"))
     m = methods(rows, projects).join(arity, ["project", "scope"], "left").select("project", "cls", "method", "scope", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("most", F.lit(0)).alias("most"), "last")
-    counted = nodes.where(F.contains("node", F.lit("/"))).select("project", "node", F.split("node", "/").alias("p")).select("project", "node", F.col("p")[0].alias("what"), F.col("p")[1].cast("int").alias("n"))
+    counted = nodes.where(F.contains("node", F.lit("/"))).select("project", "node", F.split("node", "/").alias("p")).select("project", "node", F.get("p", F.lit(0)).alias("what"), F.get("p", F.lit(1)).cast("int").alias("n"))
     fits = (F.col("n") >= F.col("least")) & ((F.col("n") <= F.col("most")) | F.col("last").isNotNull())
     sized = m.select("project", F.col("method").alias("name"), F.col("scope").alias("dst"), "least", "most", "last")
     by_name = counted.where(~F.contains("what", F.lit("=>"))).withColumn("name", F.regexp_replace("what", "^->", "")).join(sized, ["project", "name"]).where(fits)
-    static = counted.where(F.contains("what", F.lit("=>"))).withColumn("cls", F.split("what", "=>")[0]).withColumn("name", F.split("what", "=>")[1])
+    static = counted.where(F.contains("what", F.lit("=>"))).withColumn("cls", F.get(F.split("what", "=>"), F.lit(0))).withColumn("name", F.get(F.split("what", "=>"), F.lit(1)))
     by_class = static.join(has, ["project", "cls", "name"]).join(sized.drop("name"), ["project", "dst"]).where(fits)
     magic = nodes.where(~F.contains("node", F.lit("/"))).join(sized.withColumn("node", F.col("name")), ["project", "node"])
     names = ["project", "node", "dst", "last"]

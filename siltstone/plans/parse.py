@@ -12,6 +12,7 @@ after it; a file is never dropped.  Nothing is kept between files.
 from __future__ import annotations
 
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,10 @@ _ASSIGN = {"=", "+=", "-=", "*=", "/=", ".=", "%=", "&=", "|=", "^=", "<<=", ">>
 _SPECIAL = {"echo", "print", "eval", "include", "include_once", "require", "require_once", "exit", "die", "return", "isset", "empty", "unset", "list", "array"}
 
 
+#: Calls in each other's arguments that are read one by one; the flow of so many has some thousands of leaves.
+CALL_DEPTH = 120
+
+
 class Stop(Exception):
     pass
 
@@ -423,6 +428,7 @@ class Reader:
         return flow
 
     alias: str | None = None
+    nested = 0
 
     def function(self, name: str | None, arrow: bool = False) -> str:
         """Parameters and body after `function`; returns the scope's name."""
@@ -547,7 +553,19 @@ class Reader:
         return [] if compared else flow
 
     def arguments(self) -> list[list[dict]]:
-        """(a, b, ...)"""
+        """(a, b, ...); deeper than CALL_DEPTH, one argument of all variables that stand there, as each call's flow holds all inside it."""
+        if self.nested >= CALL_DEPTH:
+            at = self.i
+            self.skip_group()
+            names = dict.fromkeys(text for kind, text, _ in self.t[at:self.i] if kind == ("var" if self.php else "id"))
+            return [[leaf("var", x) for x in names]]
+        self.nested += 1
+        try:
+            return self.argument_list()
+        finally:
+            self.nested -= 1
+
+    def argument_list(self) -> list[list[dict]]:
         self.take()
         out = []
         while self.i < len(self.t) and not self.accept(")"):
@@ -800,7 +818,13 @@ class Reader:
 
 
 def read_file(text: str, language: str) -> list[dict]:
-    return Reader(text or "", language).read()
+    """The records of a text.  Nesting is as deep as the text has it: the reader's calls, which take no C stack, may be as many as its tokens need."""
+    reader, limit = Reader(text or "", language), sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1000 + 20 * len(reader.t)))
+    try:
+        return reader.read()
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def records(files: DataFrame, language: str) -> DataFrame:

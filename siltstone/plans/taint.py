@@ -5,7 +5,7 @@ ord, branch, through, stack, chain).  Each round settles what it can (sources,
 sanitisers, constants), joins variables with their definitions, formal parameters with
 the arguments of the call they were entered by, calls with returns and `__toString`, and
 open names with included files.  States that were met before are dropped, include hops are
-bounded, and each round is written to the shared folder.
+bounded, and each round is one table in the shared folder.
 
 Verdicts: 1 controllable, 4 flows to a parameter (a new rule), 3 open, 2 sanitised,
 -1 constant; of a sink's verdicts the first in that order counts.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..operators.joins import written_round
+from . import points
 from .parse import of, records
 
 STATE = ("fid", "svid", "path", "cls", "scope", "kind", "name", "key", "ord", "branch", "through", "call", "stack", "chain", "hops")
@@ -68,6 +69,9 @@ def sinks(rows: DataFrame, table: DataFrame) -> DataFrame:
     args, defs = of(rows, "arg"), of(rows, "def")
     looked = (args.withColumn("sink_kind", F.explode(F.array(F.lit("name"), F.lit("member")))).withColumn("sink", F.when(F.col("sink_kind") == "name", F.col("name")).otherwise(last))
               .unionByName(defs.where(F.contains("name", F.lit("."))).withColumn("sink_kind", F.lit("target")).withColumn("sink", last)))
+    # an argument of a known function is looked up by that function alone
+    own = F.startswith("key", F.lit("@")) & (F.col("rec") == "arg")
+    looked = looked.where(~F.coalesce(own, F.lit(False))).unionByName(args.where(F.startswith("key", F.lit("@"))).withColumn("sink_kind", F.lit("function")).withColumn("sink", F.col("key")))
     found = looked.join(table.withColumnRenamed("kind", "sink_kind"), ["sink", "sink_kind"]).where((F.col("sink_kind") == "target") | F.col("argument").isNull() | (F.col("pos") == F.col("argument")))
     return found.withColumn("fid", F.xxhash64("path", "svid", "ord"))
 
@@ -91,8 +95,8 @@ def _with(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.withColumnsRenamed({c: prefix + c for c in rows.columns})
 
 
-def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame, depth: int = 20) -> DataFrame:
-    """(fid, svid, verdict, param, function, chain) of every seed.
+def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame, depth: int = 20, aliases: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(fid, svid, verdict, param, function, chain) of every seed; `aliases` and `targets` as plans.points gives them, call numbers as in `rows`.
 
     Rounds go on until no state is new: seen states and the stack guard end cycles.  `depth` bounds include hops alone.
     """
@@ -119,7 +123,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
             source = F.col("kind").isin("var", "call") & F.exists(names, lambda n: F.contains(F.coalesce("name", F.lit("")), n))
         judged = known.withColumn("verdict", F.when(clean, 2).when(source, 1).when(F.col("kind").isin("str", "const"), -1)).drop("sanitisers")
         settled = judged.where("verdict is not null").select("fid", "svid", "verdict", F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), F.concat("chain", F.array(F.struct(F.lit("source").alias("node"), F.col("name").alias("code"), "path", F.lit(0).alias("line")))).alias("chain"))
-        verdicts.append(written_round(settled))
+        told = [settled]  # the round's verdicts
         open_ = judged.where("verdict is null").drop("verdict").withColumn("sid", F.xxhash64("fid", "path", "scope", "kind", "name", F.coalesce("key", F.lit("")), "ord", "branch", "stack", F.coalesce("call", F.lit(-1)), "through"))
         variables = open_.where("kind = 'var'")
 
@@ -134,17 +138,17 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
             base = F.substring_index(F.col("name"), ".", 1)
             member = F.lit(False)
             hit = (F.col("d_name") == F.col("name")) | F.startswith("name", F.concat("d_name", F.lit("."))) | F.startswith("d_name", F.concat("name", F.lit(".")))
-            inside = (F.col("d_scope") == F.col("scope")) & (F.col("d_ord") < F.col("ord")) | (F.col("d_scope") == "") & (F.col("scope") != "")
+            inside = (F.col("d_scope") == F.col("scope")) & (F.col("d_ord") < F.col("ord")) | (F.col("d_scope") == "") & (F.col("scope") != "") | (F.col("d_kind") == "field")
             met = variables.withColumn("base", base).join(d.withColumn("d_base", F.substring_index(F.col("d_name"), ".", 1)), same & (F.col("base") == F.col("d_base")) & hit & inside).drop("base", "d_base")
         kills = F.col("d_kind").isin("assign", "foreach", "global", "outer") & F.startswith("branch", F.col("d_branch")) & (F.col("d_scope") == F.col("scope")) & (F.col("d_key").isNull() | F.col("d_key").eqNullSafe(F.col("key")))
         if php:
             kills = kills & ~member
         at = F.max(F.when(kills, F.col("d_ord"))).over(Window.partitionBy("sid"))
         live = met.withColumn("kill", at).where(F.col("kill").isNull() | (F.col("d_ord") >= F.col("kill")))
-        live = written_round(live.drop("kill"))
+        live = live.drop("kill")
         out = _follow(live.where("d_kind not in ('global', 'outer')"), "d_", "def")
         bound = live.where((F.size("d_flow") == 0) & (F.col("d_kind") != "item") & ~F.col("d_kind").isin("global", "outer")).select("fid", "svid", F.lit(-1).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), "chain")
-        verdicts.append(written_round(bound))
+        told.append(bound)
         outer = live.where("d_kind in ('global', 'outer')").select(*[F.when(F.col("d_kind") == "outer", F.col("d_key")).otherwise("").alias("scope") if c == "scope" else F.when(F.col("d_kind") == "outer", F.col("ord")).otherwise(F.lit(LAST)).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
 
         # no definition: a parameter, an outer name, an included file, or open
@@ -157,7 +161,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         back = entered.join(a, (F.element_at("stack", -1) == F.col("a_id")) & (F.col("p_pos") == F.col("a_pos")))
         to_args = _follow(back, "a_", "argument", F.slice("stack", F.lit(1), F.size("stack") - 1))
         as_param = lost.where("p_pos is not null and size(stack) = 0").select("fid", "svid", F.lit(4).alias("verdict"), F.col("p_pos").alias("param"), F.col("scope").alias("function"), "chain")
-        verdicts.append(written_round(as_param))
+        told.append(as_param)
         free = lost.where("p_pos is null")
         leaves = includes.select(F.col("path").alias("i_path"), F.explode("flow").alias("i")).select("i_path", "i.kind", F.col("i.name").alias("target"))
         i = leaves.where("kind = 'str'").select("i_path", "target").unionByName(
@@ -167,17 +171,22 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         into = (free.where("scope = ''").join(i, F.col("path") == F.col("i_path")).withColumn("f_base", F.substring_index("target", "/", -1))
                 .join(files, "f_base").where(F.endswith("f_path", wanted)).drop("f_base"))
         included = into.where((F.col("f_path") != F.col("path")) & (F.col("hops") < depth)).select(*[(F.col("hops") + 1).alias("hops") if c == "hops" else F.col("f_path").alias("path") if c == "path" else F.lit(LAST).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
-        verdicts.append(written_round(free.select("fid", "svid", F.lit(3).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), "chain")))
+        told.append(free.select("fid", "svid", F.lit(3).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), "chain"))
 
         # calls of functions that the files define
         calls = open_.where("kind in ('call', 'new', 'function')")
         target = F.when(F.col("kind") == "new", F.concat("name", F.lit("::__toString"))).otherwise(F.col("name"))
+        if targets is not None:
+            calls = calls.join(targets, "call", "left")
+            target = F.coalesce("run", target)
         f = functions.select(F.col("path").alias("f_path"), F.col("scope").alias("f_scope"), F.col("name").alias("f_name"))
         known_calls = calls.withColumn("target", target).join(f, (F.col("f_name") == F.element_at(F.split("target", "::"), -1)) & ((F.col("f_scope") == F.col("target")) | (F.col("kind") == "call") & ~F.contains("target", F.lit("::"))))
         r = _with(returns, "r_")
         to_returns = known_calls.where("call is not null and not array_contains(stack, call)").join(r, (F.col("f_path") == F.col("r_path")) & (F.col("f_scope") == F.col("r_scope")))
         entering = _follow(to_returns, "r_", "return", F.concat("stack", F.array("call")))
 
+        if aliases is not None:  # the same field under another name
+            out = out.unionByName(variables.join(aliases, ["path", "scope", "name"]).withColumn("name", F.col("alias")).select(*STATE))
         new = out.unionByName(outer).unionByName(to_args).unionByName(included).unionByName(entering)
         key = ["fid", "path", "scope", "name", "key", "ord", "stack", "kind"]
         # a state met before comes again only with fewer include hops
@@ -187,7 +196,13 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         for c in key:
             one = F.col(c).eqNullSafe(F.col("k_" + c)) if c in ("key", "name") else F.col(c) == F.col("k_" + c)
             match = match & one
-        states = written_round(fresh.join(k, match, "left_anti"))
+        # verdicts and new states are one table, so that a round is one job and what both need is read once
+        judged_rows = reduce(DataFrame.unionByName, told).select(F.struct("fid", "svid", "verdict", "param", "function", "chain").alias("v"))
+        new_rows = fresh.join(k, match, "left_anti").select(F.struct(*STATE).alias("s"))
+        kinds = judged_rows.schema["v"].dataType, new_rows.schema["s"].dataType
+        table = written_round(judged_rows.withColumn("s", F.lit(None).cast(kinds[1])).unionByName(new_rows.select(F.lit(None).cast(kinds[0]).alias("v"), "s")))
+        verdicts.append(table.where("v is not null").select("v.*"))
+        states = table.where("s is not null").select("s.*")
         if states.isEmpty():
             break
         seen = seen.unionByName(states.select(*key, "hops"))
@@ -209,13 +224,18 @@ def derive(rows: DataFrame, language: str, tampers: DataFrame, table: DataFrame
     are traced in the next round, each (function, argument, rule) once, at most `derive` rounds.
     Derived functions are rows (svid, sink, argument, kind, origin, round): which sink's parameter they came from, and in which round.
     """
-    spark, rows = rows.sparkSession, numbered(rows)
+    spark = rows.sparkSession
     table = sink_table(spark, language) if table is None else table
+    more = {}
+    if language == "javascript":
+        rows, aliases, targets = points.resolve(rows, [r.sink for r in table.where("kind <> 'target'").select("sink").distinct().collect()])  # the catalog's names
+        more = {"aliases": aliases, "targets": targets.where(F.startswith("target", F.lit("fn:"))).select(F.xxhash64("path", "id").alias("call"), F.substring("target", 4, 1 << 30).alias("run"))}
+    rows = numbered(rows)
     made = written_round(table.select("svid", "sink", "argument", "kind"))
     out = functions = None
     for level in range(derive + 1):
         seeds = written_round(sinks(rows, table))
-        traced = written_round(trace(rows, seeds, language, tampers).join(seeds.select("fid", F.col("path").alias("at"), "line", F.col("name").alias("called")).distinct(), "fid"))
+        traced = written_round(trace(rows, seeds, language, tampers, **more).join(seeds.select("fid", F.col("path").alias("at"), "line", F.col("name").alias("called")).distinct(), "fid"))
         keep = [1, 3] if unconfirmed else [1]
         reason = F.when(F.col("verdict") == 3, "Unconfirmed Function-param-controllable").otherwise("Function-param-controllable" if not level else "New-function-param-controllable")
         found = traced.where(F.col("verdict").isin(keep)).select(F.col("at").alias("path"), "line", "svid", F.col("called").alias("sink"), "verdict", reason.alias("reason"), "chain")
@@ -227,6 +247,8 @@ def derive(rows: DataFrame, language: str, tampers: DataFrame, table: DataFrame
         new = (traced.where("verdict = 4 and function is not null").select("svid", F.when(method == "__construct", constructor).otherwise(method).alias("sink"), F.col("param").alias("argument"),
                                                                           F.lit("name" if language == "php" else "member").alias("kind"), F.col("called").alias("origin"))
                .groupBy("svid", "sink", "argument", "kind").agg(F.min("origin").alias("origin")))
+        if language == "javascript":  # by the function itself where calls are known to run it
+            new = new.unionByName(traced.where("verdict = 4 and function is not null").groupBy("svid", F.concat(F.lit("@"), "function").alias("sink"), F.col("param").alias("argument")).agg(F.min("called").alias("origin")).withColumn("kind", F.lit("function")))
         table = written_round(new.join(made, ["svid", "sink", "argument"], "left_anti").withColumn("round", F.lit(level + 1)))
         functions = table if functions is None else functions.unionByName(table)
         if table.isEmpty():

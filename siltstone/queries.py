@@ -672,9 +672,9 @@ def a14(spark, d):
 
 @query("w02_display_index", using("v_scan_result") + "SELECT id, row_number() OVER (PARTITION BY scan_project_id ORDER BY id DESC)::int AS index FROM v_scan_result")
 def w02(spark, d):
-    from pyspark.sql import Window
+    from .operators.ordered import row_numbers
 
-    return view(spark, d, "v_scan_result").select("id", F.row_number().over(Window.partitionBy("scan_project_id").orderBy(F.desc("id"))).alias("index"))
+    return row_numbers(view(spark, d, "v_scan_result").select("id", "scan_project_id"), ["scan_project_id"], [F.desc("id")]).select("id", "index")
 
 
 @query("o02_page", using("v_scan_task") + "SELECT id, task_name FROM v_scan_task ORDER BY id DESC LIMIT 50 OFFSET 50")

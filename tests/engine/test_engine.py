@@ -343,3 +343,15 @@ def test_long_chains_and_strings_take_no_stack(spark):
 
     assert one(spark, F.size(X.property_path(F.concat(F.lit("$this"), F.repeat(F.lit("->a"), 100_000))))) == 100_000
     assert one(spark, F.length(extractors.strip_comments(F.concat(F.lit('"'), F.repeat(F.lit("a\\n//"), 50_000), F.lit('" // gone'))))) == 250_003
+
+
+@pytest.mark.parametrize("source", ["{open}$_GET['a']{close}", "f({open}$_GET['a']{close})", "{call}$_GET['a']{close}"])
+def test_deep_expressions_keep_their_flow(spark, source):
+    n = 10_000
+    text = "<?php $x = " + source.format(open="(" * n, call="trim(" * n, close=")" * n) + "; system($x);"
+    assert [r.sink for r in taint.scan(fixtures.files(spark, {"/a.php": text}), "php").collect()] == ["system"]
+
+
+def test_deep_blocks_are_read():
+    rows = read_file("<?php " + "if ($a) { " * 10_000 + "system($_GET['x']);" + " }" * 10_000, "php")
+    assert [r["name"] for r in rows if r["rec"] == "arg"] == ["system"] and not [r for r in rows if r["kind"] == "Unknown"]
