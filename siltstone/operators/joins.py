@@ -56,24 +56,32 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+def _remove(spark, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        return
+
+
 def written_round(df: DataFrame) -> DataFrame:
-    """Cut the lineage of one round of a loop: a table in the shared folder, removed at exit."""
+    """Cut the lineage of one round of a loop: a table in the shared folder, removed by `release` or at exit."""
     import atexit
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._round_path = path
+    return table
 
-    def remove():
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `written_round` whose last reader is done, so that disk does not grow with rounds."""
+    for table in tables:
+        _remove(table.sparkSession, table._round_path)
 
 
 def purge_duplicates(rows: DataFrame, keys: list[str], order: str = "id") -> DataFrame:

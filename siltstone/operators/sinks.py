@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import written_round
+
 FORMATS = ("csv", "json", "xml", "parquet")
 
 
@@ -27,10 +29,14 @@ def _hadoop(spark, path: str):
 
 
 def write_csv(findings: DataFrame, path: str) -> bool:
-    """Append findings to the one CSV file at `path`, whose header is written once; False without findings. One task writes: for reports."""
-    if findings.isEmpty():
+    """Append findings to the one CSV file at `path`, whose header is written once; False without findings.
+
+    The findings are computed by all tasks and written down; then one task writes the file, as one file must be: for reports, `write` is for more.
+    The new file is whole before the old one moves aside, and the old one goes last, so a crash at any point leaves one of them.
+    """
+    spark, rows = findings.sparkSession, written_round(findings.select(*[F.col(c).cast("string").alias(c) for c in report_columns(findings)]))
+    if rows.isEmpty():
         return False
-    spark, rows = findings.sparkSession, findings.select(*[F.col(c).cast("string").alias(c) for c in report_columns(findings)])
     system, target = _hadoop(spark, path)
     options = {"header": True, "quoteAll": True, "escape": '"', "multiLine": True}
     if system.exists(target):
@@ -39,8 +45,12 @@ def write_csv(findings: DataFrame, path: str) -> bool:
     rows.coalesce(1).write.options(**options).csv(folder)
     system, made = _hadoop(spark, folder)
     part = next(f.getPath() for f in system.listStatus(made) if f.getPath().getName().startswith("part-"))
-    system.delete(target, False)
-    system.rename(part, target)
+    old = _hadoop(spark, f"{folder}.old")[1]
+    if system.exists(target) and not system.rename(target, old):
+        raise OSError(f"{path} cannot be moved aside; the new report is {part}")
+    if not system.rename(part, target):
+        raise OSError(f"{part} cannot be moved to {path}; the old report is {old}")
+    system.delete(old, False)
     system.delete(made, True)
     return True
 

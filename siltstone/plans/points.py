@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import hierarchy, written_round
+from ..operators.joins import hierarchy, release, written_round
 from .parse import of
 
 _VAR = ["path", "scope", "name"]
@@ -117,7 +117,9 @@ def solve(f: dict[str, DataFrame]) -> DataFrame:
         handed = bound.join(f["passed"].join(p, _VAR).select("path", "id", "pos", "obj").unionByName(f["passed_functions"]), ["path", "id", "pos"]).select("path", "scope", F.col("param").alias("name"), "obj")
         receiver = (called.where(F.contains("name", F.lit("."))).withColumn("base", _base(F.col("name"))).join(held, ["path", "scope", "base"])
                     .select("path", F.substring("obj", 4, 1 << 30).alias("scope"), F.lit("this").alias("name"), F.col("owner").alias("obj")))
-        points = written_round(_union(p, shared, copied, loaded, stored, handed, receiver).distinct())
+        points, before = written_round(_union(p, shared, copied, loaded, stored, handed, receiver).distinct()), p
+        if size >= 0:  # the first facts serve other readers
+            release(before)
         now = points.count()
         if now == size:
             return points

@@ -63,6 +63,28 @@ def constants(rows: DataFrame) -> DataFrame:
     return named.select("path", "key", F.col("leaf.name").alias("value")).distinct()
 
 
+def plain_path(path):
+    """A path without empty, `.` and `..` parts."""
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def include_links(rows: DataFrame) -> DataFrame:
+    """(i_path, f_path): the files that a file includes, by texts or by constants.
+
+    A target beside the including file is the one meant; only where there is none, every file whose path ends in the target.
+    """
+    leaves = of(rows, "include").select(F.col("path").alias("i_path"), F.explode("flow").alias("i")).select("i_path", "i.kind", F.col("i.name").alias("target"))
+    named = leaves.where("kind = 'str'").select("i_path", "target").unionByName(
+        leaves.where("kind = 'const'").join(constants(rows).withColumnRenamed("key", "target"), "target").select("i_path", F.col("value").alias("target"))).distinct()
+    files = rows.select(F.col("path").alias("f_path")).distinct().withColumn("f_base", F.substring_index("f_path", "/", -1))
+    beside = F.col("f_path") == plain_path(F.concat(F.regexp_replace("i_path", "[^/]*$", ""), F.ltrim(F.col("target"), F.lit("/"))))
+    ends = F.endswith("f_path", F.concat(F.lit("/"), F.regexp_replace("target", r"^(\./|/)", "")))
+    met = named.withColumn("f_base", F.substring_index("target", "/", -1)).join(files, "f_base").withColumn("beside", beside).where(F.col("beside") | ends)
+    known = met.groupBy("i_path", "target").agg(F.bool_or("beside").alias("known"))
+    return met.join(known, ["i_path", "target"]).where(F.col("beside") | ~F.col("known")).where("i_path <> f_path").select("i_path", "f_path").distinct()
+
+
 def sinks(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Seeds: one row for each sink's argument, with its flow; equal joins on the kind and the name that it looks at."""
     last = F.element_at(F.split("name", r"[.]"), -1)
@@ -107,7 +129,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
     defs, params = of(rows, "def"), of(rows, "param")
     returns, arguments = of(rows, "return"), of(rows, "arg")
     functions = of(rows, "function").select("path", "scope", "name", "cls").distinct()
-    includes = of(rows, "include")
+    followed = written_round(include_links(rows))
 
     root = F.regexp_extract("name", r"^(\$?[\w\\]+)", 1) if php else F.col("name")
     verdicts: list[DataFrame] = []
@@ -163,13 +185,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         as_param = lost.where("p_pos is not null and size(stack) = 0").select("fid", "svid", F.lit(4).alias("verdict"), F.col("p_pos").alias("param"), F.col("scope").alias("function"), "chain")
         told.append(as_param)
         free = lost.where("p_pos is null")
-        leaves = includes.select(F.col("path").alias("i_path"), F.explode("flow").alias("i")).select("i_path", "i.kind", F.col("i.name").alias("target"))
-        i = leaves.where("kind = 'str'").select("i_path", "target").unionByName(
-            leaves.where("kind = 'const'").join(constants(rows).withColumnRenamed("key", "target"), "target").select("i_path", F.col("value").alias("target")))
-        files = rows.select(F.col("path").alias("f_path")).distinct().withColumn("f_base", F.substring_index("f_path", "/", -1))
-        wanted = F.concat(F.lit("/"), F.regexp_replace("target", r"^(\./|/)", ""))
-        into = (free.where("scope = ''").join(i, F.col("path") == F.col("i_path")).withColumn("f_base", F.substring_index("target", "/", -1))
-                .join(files, "f_base").where(F.endswith("f_path", wanted)).drop("f_base"))
+        into = free.where("scope = ''").join(followed, F.col("path") == F.col("i_path"))
         included = into.where((F.col("f_path") != F.col("path")) & (F.col("hops") < depth)).select(*[(F.col("hops") + 1).alias("hops") if c == "hops" else F.col("f_path").alias("path") if c == "path" else F.lit(LAST).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
         told.append(free.select("fid", "svid", F.lit(3).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), "chain"))
 

@@ -355,3 +355,11 @@ def test_deep_expressions_keep_their_flow(spark, source):
 def test_deep_blocks_are_read():
     rows = read_file("<?php " + "if ($a) { " * 10_000 + "system($_GET['x']);" + " }" * 10_000, "php")
     assert [r["name"] for r in rows if r["rec"] == "arg"] == ["system"] and not [r for r in rows if r["kind"] == "Unknown"]
+
+
+def test_includes_of_the_same_name_in_other_folders(spark):
+    """The file beside the including one is meant; without one, any whose path ends alike."""
+    tainted, clean = "<?php $c = $_GET['c'];", "<?php $c = 'ls';"
+    tree = {"/x/conf.php": tainted, "/y/conf.php": clean, "/x/a.php": "<?php include 'conf.php'; system($c);", "/y/a.php": "<?php include 'conf.php'; system($c);",
+            "/y/b.php": "<?php include __DIR__ . '/../x/conf.php'; system($c);", "/z/a.php": "<?php include './conf.php'; system($c);", "/y/c/d.php": "<?php include '../conf.php'; system($c);", "/lib/k.php": tainted, "/w/a.php": "<?php include 'lib/k.php'; system($c);"}
+    assert {r.path for r in taint.scan(fixtures.files(spark, tree), "php").collect()} == {"/x/a.php", "/y/b.php", "/z/a.php", "/w/a.php"}
