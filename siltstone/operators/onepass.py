@@ -11,6 +11,7 @@ Rules are rows, so the plan has one scan of the files whatever the number of rul
 from __future__ import annotations
 
 import re
+from functools import cache
 from re import _constants as C
 from re import _parser as parser
 
@@ -88,11 +89,19 @@ def automaton(rules: dict[int, list[str]]):
     return candidates
 
 
+@cache
+def _machine(rules: tuple):
+    """The automaton of rules as pairs, made once a worker."""
+    return automaton({n: list(patterns) for n, patterns in rules})
+
+
 def candidate_rules(content: Column, rules: dict[int, list[str]]) -> Column:
     """An array of the rules that may hit in a content; evaluated in Arrow batches, the content itself stays with Spark."""
+    key = tuple((n, tuple(patterns)) for n, patterns in rules.items())
+
     @arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
-        find = automaton(rules)
+        find = _machine(key)
         return pa.array([find(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
 
     return of(content)

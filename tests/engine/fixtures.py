@@ -84,7 +84,7 @@ def files(spark, table: dict[str, str]):
     """A table of sources as files(path, ext, size, content)."""
     from pyspark.sql import functions as F
 
-    from .operators.corpus import extension
+    from siltstone.operators.corpus import extension
 
     rows = spark.createDataFrame(list(table.items()), "path string, content string")
     return rows.select("path", extension(F.col("path")).alias("ext"), F.length("content").cast("long").alias("size"), "content")
