@@ -85,6 +85,7 @@ def duck(folder):
 
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{folder[0]}/documents.parquet/*.parquet'")
+    con.execute(f"create view pages as select * from '{folder[0]}/pages.parquet/*.parquet'")
     return con
 
 
