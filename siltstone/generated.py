@@ -39,6 +39,8 @@ PHP: dict[str, tuple[dict[str, str], list[tuple]]] = {
     "include": ({"a.php": "include 'conf§.php';\nsystem($conf);\nsystem($safe);", "conf§.php": "$conf = $_GET['c'];\n$safe = 'ls';"}, [("a.php", 2, 1011, "system")]),
     "include by constant": ({"a.php": "define('CONF§', 'conf§.php');\ninclude CONF§;\nsystem($conf);\nsystem($safe);", "conf§.php": "$conf = $_GET['c'];\n$safe = 'ls';"}, [("a.php", 3, 1011, "system")]),
     "include beside": ({"x/a.php": "include 'own§.php';\nsystem($conf);", "y/a.php": "include 'own§.php';\nsystem($conf);", "x/own§.php": "$conf = $_GET['c'];", "y/own§.php": "$conf = 'ls';"}, [("x/a.php", 2, 1011, "system")]),
+    "include put together": ({"x/a.php": "define('BASE§', dirname(__FILE__) . '/');\ndefine('LIB§', BASE§ . 'lib/');\ninclude_once (LIB§ . 'own§') . '.php';\nsystem($conf);", "x/lib/own§.php": "$conf = $_GET['c'];", "y/lib/own§.php": "$conf = 'ls';",
+                              "y/b.php": "require __DIR__ . '/lib/own§.php';\nsystem($conf);", "y/z/c.php": "include dirname(__DIR__, 2) . DIRECTORY_SEPARATOR . 'x/lib/own§.php';\nsystem($conf);"}, [("x/a.php", 4, 1011, "system"), ("y/z/c.php", 2, 1011, "system")]),
     "derived rule": ({"a.php": "function run§($p) { helper§($p); }\nfunction helper§($q) { eval($q); }\nrun§('1');\nrun§($_COOKIE['z']);"}, [("a.php", 4, 1009, "run§")]),
     "derived position": ({"a.php": "function two§($p, $q) {\nexec($q);\n}\ntwo§($_GET['a'], 'ls');\ntwo§('ls', $_GET['a']);"}, [("a.php", 5, 1011, "two§")]),
     "nothing": ({"a.php": "$a = 'fixed';\nsystem($a);\necho 'x';\neval('1;');"}, []),

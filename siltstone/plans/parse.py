@@ -90,6 +90,48 @@ def leaf(kind, name, key=None, through=(), call=None):
     return {"kind": kind, "name": name, "key": key, "through": list(through), "call": call}
 
 
+def text_parts(tokens: list[tuple[str, str, int]]) -> list[dict] | None:
+    """The leaves of a concatenation of texts, constants and the file's own folder, in order; None for anything else.
+
+    A leaf of kind `dir` counts in its key how many last parts are taken off the file's path: __FILE__ 0, __DIR__ 1, dirname() one more.
+    """
+    levels: list[list[dict]] = [[]]
+    heads: list[bool] = []
+    for kind, text, _ in tokens:
+        here, low = levels[-1], text.lower()
+        if kind == "str" and (text[0] == "'" or text[0] == '"' and "$" not in text):
+            here.append(leaf("str", re.sub(r"\\([\\'\"])", r"\1", text[1:-1])))
+        elif kind == "id" and low in ("__file__", "__dir__"):
+            here.append(leaf("dir", "", str(int(low == "__dir__"))))
+        elif kind == "id" and low == "directory_separator":
+            here.append(leaf("str", "/"))
+        elif kind == "id":
+            here.append(leaf("const", text.lstrip("\\")))
+        elif kind == "op" and text == "(":
+            heads.append(bool(here) and here[-1]["kind"] == "const" and here[-1]["name"].lower() == "dirname")
+            if heads[-1]:
+                here.pop()
+            elif here and here[-1]["kind"] != "." and here[-1]["kind"] != "(":
+                return None  # a call of anything else
+            levels.append([])
+        elif kind == "op" and text == ")" and heads:
+            inner = [x for x in levels.pop() if x["kind"] != "."]
+            if heads.pop():
+                up = int(inner[2]["name"]) if len(inner) == 3 and inner[1]["kind"] == "," and inner[2]["kind"] == "num" and inner[2]["name"].isdigit() else 1 if len(inner) == 1 else 0
+                if not up or inner[0]["kind"] != "dir":
+                    return None
+                inner = [leaf("dir", "", str(int(inner[0]["key"]) + up))]
+            levels[-1].extend(inner)
+        elif kind == "op" and text == ".":
+            here.append(leaf(".", ""))
+        elif heads and heads[-1] and (kind == "num" or text == ","):
+            here.append(leaf("num" if kind == "num" else ",", text))
+        else:
+            return None
+    found = [x for x in levels[0] if x["kind"] != "."]
+    return found if len(levels) == 1 and found and all(x["kind"] in ("str", "dir", "const") for x in found) else None
+
+
 class Reader:
     """Reads one file."""
 
@@ -108,6 +150,12 @@ class Reader:
     def kind(self, k: int = 0) -> str:
         return self.t[self.i + k][0] if self.i + k < len(self.t) else "end"
 
+    def kind_at(self, at: int) -> str:
+        return self.t[at][0] if at < len(self.t) else "end"
+
+    def text_at(self, at: int) -> str:
+        return self.t[at][1] if at < len(self.t) else ""
+
     def line(self) -> int:
         return self.t[min(self.i, len(self.t) - 1)][2] if self.t else 0
 
@@ -143,6 +191,23 @@ class Reader:
         self.rows.append({"rec": rec, "scope": self.scope if scope is None else scope, "cls": self.cls if cls is None else cls, "name": name, "key": key, "line": self.line() if line is None else line,
                           "ord": self.ord, "kind": kind, "branch": self.branch, "pos": pos, "id": id_, "flow": list(flow)})
 
+    def texts(self, kind: str, name: str, at: int, line: int) -> bool:
+        """Notes what the expression from token `at` on is put together from, if that is texts and constants alone."""
+        level, end = 0, at
+        while end < len(self.t):
+            token, text, _ = self.t[end]
+            if token == "op":
+                level += (text in "([{") - (text in ")]}")
+                if level < 0 or not level and text in (";", ",", "||", "&&"):
+                    break
+            elif token == "id" and text.lower() in _LOGIC:
+                break
+            end += 1
+        parts = text_parts(self.t[at:end])
+        if parts:
+            self.rows.append({"rec": "path", "scope": self.scope, "cls": self.cls, "name": name, "key": None, "line": line, "ord": self.ord, "kind": kind, "branch": self.branch, "pos": None, "id": None, "flow": parts})
+        return bool(parts)
+
     def call(self, name, kind, args, line) -> int:
         self.ids += 1
         own = self.ids
@@ -320,6 +385,8 @@ class Reader:
                 self.accept(",")
         elif self.php and word in ("const",) and self.take():
             node("Constant", self.peek())
+            if not self.cls and self.kind() == "id" and self.peek(1) == "=":
+                self.texts("define", self.peek(), self.i + 2, line)
             while self.i < len(self.t) and not self.accept(";"):
                 self.take()
         elif not self.php and word in ("let", "const", "var") and self.take():
@@ -685,6 +752,7 @@ class Reader:
                 return self.term()
             if self.php and low in ("include", "include_once", "require", "require_once", "print", "exit", "die", "echo", "throw"):
                 self.i += 1
+                at = self.i
                 if self.accept("(") and self.accept(")"):
                     flow = []
                 elif self.peek(-1) == "(":
@@ -693,7 +761,7 @@ class Reader:
                 else:
                     flow = [] if self.peek() in (";", ")") else self.expression()
                 if low.startswith(("include", "require")):
-                    self.add("include", low, flow=flow, line=line)
+                    self.add("include", low, key="texts" if self.texts("include", low, at, line) else None, flow=flow, line=line)
                     self.add("node", low, kind="Include", pos=self.depth, line=line)
                 self.call(low, "special", [flow], line)
                 return []
@@ -749,6 +817,7 @@ class Reader:
             elif text == "{" and self.php and name and name[0] == "$" and self.kind(1) in ("num", "str"):
                 self.skip_group()
             elif text == "(":
+                at = self.i
                 args = self.arguments()
                 if name is None:
                     extra = [y for a in args for y in a]
@@ -770,6 +839,8 @@ class Reader:
                     names = [x["name"] for x in args[0] if x["kind"] == "str"]
                     if names:
                         self.add("define", names[0], flow=args[1] if len(args) > 1 else [], line=line)
+                        if self.kind_at(at + 1) == "str" and self.text_at(at + 2) == ",":
+                            self.texts("define", names[0], at + 3, line)
                 if plain in ("extract", "parse_str") and self.php and args:
                     self.add("def", "*", kind="extract", flow=args[0], line=line)
                 called = self.called(plain, kind, args, line)

@@ -57,10 +57,52 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", number(F.col("id"))).withColumn("flow", F.transform("flow", lambda leaf: leaf.withField("call", number(leaf["call"]))))
 
 
-def constants(rows: DataFrame) -> DataFrame:
-    """The constant table: (path, key, value) of each constant that a file defines as a text."""
-    named = of(rows, "define").select("path", F.col("name").alias("key"), F.explode(F.filter("flow", lambda x: x["kind"] == "str")).alias("leaf"))
-    return named.select("path", "key", F.col("leaf.name").alias("value")).distinct()
+def folded_texts(rows: DataFrame, projects: str | None = None) -> DataFrame:
+    """(project, path, kind, name, ord, text, whole) of constants and include targets that are put together from texts.
+
+    Each round puts the values known so far in the place of the first constant that stands open; new values meet what waits for
+    them, and what begins to wait meets all values, so no pair is formed twice.  Several definitions give several texts; a file's
+    own definition goes before those of its project.  A constant is never part of its own value, so cycles give none.
+    `whole` is true where the text begins with the file's own folder; `project` is what the regular expression `projects` finds in the path.
+    """
+    project = F.regexp_extract("path", projects, 0) if projects else F.lit("")
+    parts = F.split("path", "/")
+    up = lambda x: F.when(x["kind"] == "dir", F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - x["key"].cast("int"), F.lit(0))), "/")).otherwise(x["name"])
+    leaves = F.transform("flow", lambda x: F.struct((x["kind"] == "const").alias("open"), up(x).alias("name")))
+    first = of(rows, "path").select(project.alias("project"), "path", "kind", "name", "ord", F.lit("").alias("text"), leaves.alias("leaves"), (F.get("flow", F.lit(0))["kind"] == "dir").alias("whole"),
+                                    F.when(F.col("kind") == "define", F.array("name")).otherwise(F.array().cast("array<string>")).alias("used"))
+    own = first.where("kind = 'define'").select("path", F.col("name").alias("waits"), F.lit(True).alias("own")).distinct()
+
+    def settled(items: DataFrame) -> DataFrame:
+        at = F.array_position(F.transform("leaves", lambda x: x["open"]), True).cast("int")
+        ready = F.when(at > 0, at - 1).otherwise(F.size("leaves"))
+        plain = F.array_join(F.transform(F.slice("leaves", F.lit(1), ready), lambda x: x["name"]), "")
+        moved = items.withColumn("text", F.concat("text", plain)).withColumn("leaves", F.slice("leaves", ready + 1, F.size("leaves") - ready)).withColumn("waits", F.get("leaves", F.lit(0))["name"])
+        return written_round(moved.join(own, ["path", "waits"], "left").withColumn("own", F.coalesce("own", F.lit(False))))
+
+    def put(waiting: DataFrame, values: DataFrame) -> DataFrame:
+        v = values.select("project", F.col("name").alias("waits"), F.col("text").alias("value"), F.when(F.col("whole"), F.lit(True)).otherwise(F.lit(False)).alias("v_whole"), F.col("used").alias("v_used"), F.col("path").alias("v_path"))
+        met = waiting.join(v, ["project", "waits"]).where((~F.col("own") | (F.col("path") == F.col("v_path"))) & ~F.when(F.col("kind") == "define", F.array_contains("v_used", F.col("name"))).otherwise(False))
+        begins = (F.length("text") == 0) & F.col("v_whole")
+        return met.select("project", "path", "kind", "name", "ord", F.concat("text", "value").alias("text"), F.slice("leaves", F.lit(2), F.size("leaves")).alias("leaves"), (F.col("whole") | begins).alias("whole"), F.array_union("used", "v_used").alias("used")).distinct()
+
+    new = settled(first)
+    values = waiting = done = None
+    while not new.isEmpty():
+        fresh, begun = new.where("waits is null and kind = 'define'"), new.where("waits is not null")
+        before = waiting
+        values = fresh if values is None else values.unionByName(fresh)
+        waiting = begun if waiting is None else waiting.unionByName(begun)
+        ready = new.where("waits is null")
+        done = ready if done is None else done.unionByName(ready)
+        step = put(begun, values)
+        new = settled(step if before is None else step.unionByName(put(before, fresh)))
+    return (new if done is None else done).select("project", "path", "kind", "name", "ord", "text", "whole")
+
+
+def constants(rows: DataFrame, projects: str | None = None) -> DataFrame:
+    """The constant table: (path, key, value) of each constant that a file defines as a text or puts together from texts and constants."""
+    return folded_texts(rows, projects).where("kind = 'define'").select("path", F.col("name").alias("key"), F.col("text").alias("value")).distinct()
 
 
 def plain_path(path):
@@ -69,20 +111,28 @@ def plain_path(path):
     return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
 
 
-def include_links(rows: DataFrame) -> DataFrame:
-    """(i_path, f_path): the files that a file includes, by texts or by constants.
+def include_links(rows: DataFrame, projects: str | None = None) -> DataFrame:
+    """(i_path, f_path): the files that a file includes.
 
-    A target beside the including file is the one meant; only where there is none, every file whose path ends in the target.
+    Targets are folded first.  One that begins with the file's own folder is a full path and means that file alone; another means
+    the file beside the including one, and only where there is none, every file (of its project) whose path ends in it.
+    Where a variable or an unknown constant is part of a target, the texts in it are looked up by path ends.
     """
-    leaves = of(rows, "include").select(F.col("path").alias("i_path"), F.explode("flow").alias("i")).select("i_path", "i.kind", F.col("i.name").alias("target"))
-    named = leaves.where("kind = 'str'").select("i_path", "target").unionByName(
-        leaves.where("kind = 'const'").join(constants(rows).withColumnRenamed("key", "target"), "target").select("i_path", F.col("value").alias("target"))).distinct()
-    files = rows.select(F.col("path").alias("f_path")).distinct().withColumn("f_base", F.substring_index("f_path", "/", -1))
-    beside = F.col("f_path") == plain_path(F.concat(F.regexp_replace("i_path", "[^/]*$", ""), F.ltrim(F.col("target"), F.lit("/"))))
+    project = lambda c: F.regexp_extract(c, projects, 0) if projects else F.lit("")
+    folded = written_round(folded_texts(rows, projects).where("kind = 'include'"))
+    told = folded.select(F.col("path").alias("i_path"), F.col("text").alias("target"), "whole").distinct()
+    left = (of(rows, "include").where("key is null").select("path", "flow")
+            .unionByName(of(rows, "path").where("kind = 'include'").join(folded.select("path", "ord"), ["path", "ord"], "left_anti").select("path", "flow")))
+    texts = left.select(F.col("path").alias("i_path"), F.explode(F.filter("flow", lambda x: x["kind"] == "str")).alias("i")).select("i_path", F.col("i.name").alias("target"), F.lit(False).alias("whole"))
+    named = written_round(told.unionByName(texts).distinct())
+    files = rows.select(F.col("path").alias("f_path")).distinct()
+    here = plain_path(F.when(F.col("whole"), F.col("target")).otherwise(F.concat(F.regexp_replace("i_path", "[^/]*$", ""), F.ltrim(F.col("target"), F.lit("/")))))
+    exact = written_round(named.withColumn("f_path", here).join(files, "f_path").select("i_path", "target", "f_path"))
+    rest = named.where("not whole").join(exact.select("i_path", "target").distinct(), ["i_path", "target"], "left_anti")
     ends = F.endswith("f_path", F.concat(F.lit("/"), F.regexp_replace("target", r"^(\./|/)", "")))
-    met = named.withColumn("f_base", F.substring_index("target", "/", -1)).join(files, "f_base").withColumn("beside", beside).where(F.col("beside") | ends)
-    known = met.groupBy("i_path", "target").agg(F.bool_or("beside").alias("known"))
-    return met.join(known, ["i_path", "target"]).where(F.col("beside") | ~F.col("known")).where("i_path <> f_path").select("i_path", "f_path").distinct()
+    by_name = files.withColumn("f_base", F.substring_index("f_path", "/", -1)).withColumn("project", project("f_path"))
+    suffix = rest.withColumn("f_base", F.substring_index("target", "/", -1)).withColumn("project", project("i_path")).join(by_name, ["project", "f_base"]).where(ends)
+    return exact.select("i_path", "f_path").unionByName(suffix.select("i_path", "f_path")).where("i_path <> f_path").distinct()
 
 
 def sinks(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -117,8 +167,8 @@ def _with(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.withColumnsRenamed({c: prefix + c for c in rows.columns})
 
 
-def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame, depth: int = 20, aliases: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """(fid, svid, verdict, param, function, chain) of every seed; `aliases` and `targets` as plans.points gives them, call numbers as in `rows`.
+def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame, depth: int = 20, aliases: DataFrame | None = None, targets: DataFrame | None = None, included: DataFrame | None = None) -> DataFrame:
+    """(fid, svid, verdict, param, function, chain) of every seed; `aliases` and `targets` as plans.points gives them, call numbers as in `rows`; `included` as include_links gives it.
 
     Rounds go on until no state is new: seen states and the stack guard end cycles.  `depth` bounds include hops alone.
     """
@@ -129,7 +179,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
     defs, params = of(rows, "def"), of(rows, "param")
     returns, arguments = of(rows, "return"), of(rows, "arg")
     functions = of(rows, "function").select("path", "scope", "name", "cls").distinct()
-    followed = written_round(include_links(rows))
+    followed = written_round(include_links(rows)) if included is None else included
 
     root = F.regexp_extract("name", r"^(\$?[\w\\]+)", 1) if php else F.col("name")
     verdicts: list[DataFrame] = []
@@ -186,7 +236,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
         told.append(as_param)
         free = lost.where("p_pos is null")
         into = free.where("scope = ''").join(followed, F.col("path") == F.col("i_path"))
-        included = into.where((F.col("f_path") != F.col("path")) & (F.col("hops") < depth)).select(*[(F.col("hops") + 1).alias("hops") if c == "hops" else F.col("f_path").alias("path") if c == "path" else F.lit(LAST).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
+        across = into.where((F.col("f_path") != F.col("path")) & (F.col("hops") < depth)).select(*[(F.col("hops") + 1).alias("hops") if c == "hops" else F.col("f_path").alias("path") if c == "path" else F.lit(LAST).alias("ord") if c == "ord" else F.lit("").alias("branch") if c == "branch" else F.col(c) for c in STATE])
         told.append(free.select("fid", "svid", F.lit(3).alias("verdict"), F.lit(None).cast("int").alias("param"), F.lit(None).cast("string").alias("function"), "chain"))
 
         # calls of functions that the files define
@@ -203,7 +253,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
 
         if aliases is not None:  # the same field under another name
             out = out.unionByName(variables.join(aliases, ["path", "scope", "name"]).withColumn("name", F.col("alias")).select(*STATE))
-        new = out.unionByName(outer).unionByName(to_args).unionByName(included).unionByName(entering)
+        new = out.unionByName(outer).unionByName(to_args).unionByName(across).unionByName(entering)
         key = ["fid", "path", "scope", "name", "key", "ord", "stack", "kind"]
         # a state met before comes again only with fewer include hops
         fresh = new.groupBy(*key).agg(F.min_by(F.struct(*[c for c in STATE if c not in key]), "hops").alias("rest")).select(*[c if c in key else "rest." + c for c in STATE])
@@ -233,19 +283,20 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
     return best.select("fid", "svid", "b.*")
 
 
-def derive(rows: DataFrame, language: str, tampers: DataFrame, table: DataFrame | None = None, derive: int = 20, unconfirmed: bool = False) -> tuple[DataFrame, DataFrame]:
+def derive(rows: DataFrame, language: str, tampers: DataFrame, table: DataFrame | None = None, derive: int = 20, unconfirmed: bool = False, projects: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings, (path, line, svid, sink, verdict, reason, chain), of the rules and of rules derived from parameters; and the derived functions.
 
     A verdict of 4 makes the function a sink at that argument for the same rule; derived sinks
     are traced in the next round, each (function, argument, rule) once, at most `derive` rounds.
+    `projects`: a regular expression for what of a path is its project, which includes and constants stay in.
     Derived functions are rows (svid, sink, argument, kind, origin, round): which sink's parameter they came from, and in which round.
     """
     spark = rows.sparkSession
     table = sink_table(spark, language) if table is None else table
-    more = {}
+    more = {"included": written_round(include_links(rows, projects))}  # once for all levels
     if language == "javascript":
         rows, aliases, targets = points.resolve(rows, [r.sink for r in table.where("kind <> 'target'").select("sink").distinct().collect()])  # the catalog's names
-        more = {"aliases": aliases, "targets": targets.where(F.startswith("target", F.lit("fn:"))).select(F.xxhash64("path", "id").alias("call"), F.substring("target", 4, 1 << 30).alias("run"))}
+        more |= {"aliases": aliases, "targets": targets.where(F.startswith("target", F.lit("fn:"))).select(F.xxhash64("path", "id").alias("call"), F.substring("target", 4, 1 << 30).alias("run"))}
     rows = numbered(rows)
     made = written_round(table.select("svid", "sink", "argument", "kind"))
     out = functions = None

@@ -1073,12 +1073,15 @@ def custom_parameters(spark, d):
     return reduce(DataFrame.unionByName, found).withColumn("parameters", F.array_join("parameters", ","))
 
 
-@query("s15_constants", G.expected({k: (f, [("a.php", "CONF§", "conf§.php")] if k == "include by constant" else []) for k, (f, _) in G.PHP.items()}, "name, key, value", f"{G.PATH} AS path, {G.own('c.key')} AS key, {G.own('c.value')} AS value"))
+_CONSTANTS = {"include by constant": [("a.php", "CONF§", "conf§.php")], "include put together": [("x/a.php", "BASE§", "/gen/§/x/"), ("x/a.php", "LIB§", "/gen/§/x/lib/")]}
+
+
+@query("s15_constants", G.expected({k: (f, _CONSTANTS.get(k, [])) for k, (f, _) in G.PHP.items()}, "name, key, value", f"{G.PATH} AS path, {G.own('c.key')} AS key, {G.own('c.value')} AS value"))
 def constant_table(spark, d):
     from .plans import taint
-    from .plans.parse import records
+    from .plans.parse import of, records
 
-    return taint.constants(records(G.tree(spark, d, G.PHP), "php"))
+    return taint.constants(joins.written_round(of(records(G.tree(spark, d, G.PHP), "php"), "path")), G.PROJECT)
 
 
 _PHP_NAMES = list(G.PHP)
