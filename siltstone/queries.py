@@ -1189,6 +1189,24 @@ def pretty_scripts(spark, d):
     return files(spark, d).select("path", (F.size(F.split(marked, r"\n\.")) + F.when(F.rlike(marked, F.lit(r"^\.")), 1).otherwise(0)).cast("long").alias("statements"))
 
 
+_SENTENCES = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+w AS (SELECT doc_id, n, unnest(regexp_extract_all(part, '[A-Za-z]+')) AS word, generate_subscripts(regexp_extract_all(part, '[A-Za-z]+'), 1) AS k FROM l),
+o AS (SELECT doc_id, n, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i FROM w)
+SELECT doc_id, n::int AS source_line, min(3 * (i - 1) + j)::int AS first_line, count(*) AS lines, string_agg(code, chr(10) ORDER BY i, j) AS code FROM (SELECT doc_id, n, i, j, CASE j WHEN 1 THEN 'if (w_' || word || ' > -1) {' WHEN 2 THEN '    out("' || word || '", /[/;{]/g);' ELSE '}' END AS code FROM o, (VALUES (1), (2), (3)) AS t(j)) GROUP BY doc_id, n"""
+
+
+@query("x12_printed_lines", _SENTENCES)
+def printed_lines(spark, d):
+    """Every text as a script in which each word is a branch, all of a line's on one line: what each source line is printed as."""
+    from .functions.printer import print_scripts
+
+    branches = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda part: F.array_join(F.transform(F.regexp_extract_all(part, F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.concat(F.lit("if(w_"), x, F.lit('>-1){out("'), x, F.lit('",/[/;{]/g)/*}*/;}'))), " "))
+    scripts = print_scripts(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array_join(branches, "\n").alias("content")))
+    rows = scripts.where("content <> ''").select(F.col("path").cast("long").alias("doc_id"), F.posexplode(F.arrays_zip(F.split("content", "\n").alias("code"), F.col("lines").alias("source_line"))).alias("at", "x"))
+    lines = rows.groupBy("doc_id", "x.source_line").agg((F.min("at") + 1).alias("first_line"), F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("at", "x.code"))).alias("code"))  # one line of a text
+    return lines.select("doc_id", "source_line", "first_line", "lines", F.array_join(F.transform("code", lambda x: x["code"]), "\n").alias("code"))
+
+
 @query("x13_main_names", FILES + "SELECT path, regexp_extract(path, '([^/]+?)([.][^./]*)?$', 1) AS name FROM v_files")
 def main_names(spark, d):
     return files(spark, d).select("path", X.main_name(F.col("path")).alias("name"))
