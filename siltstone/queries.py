@@ -815,6 +815,44 @@ def code_database(spark, d):
     return codedb.dataflow(records(G.tree(spark, d, G.CODE), "php"))
 
 
+_OPERANDS = "WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents), o AS (SELECT doc_id, w, len(w) AS n FROM t WHERE len(w) > 0)"
+
+
+def _operators(spark, d):
+    """Every text as one concatenation of its words, and a loop up to a call of the first."""
+    from .plans import addresses
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), words.alias("w")).where(F.size("w") > 0)
+    source = F.concat(F.lit("<?php $x = '"), F.array_join("w", "' . '"), F.lit("'; for ($i = 0; $i < count('"), F.get("w", F.lit(0)), F.lit("') + "), F.size("w").cast("string"), F.lit("; $i++) { }"))
+    return joins.written_round(addresses.operators(rows.select("path", source.alias("content"))))
+
+
+@query("c07_operators", _OPERANDS + """, k AS (SELECT doc_id, n, w, unnest(range(1, n)) AS k FROM o)
+SELECT doc_id, '&' || k AS address, -1 AS node_sort, 'BinaryOp-.' AS node_type, CASE WHEN k = 1 THEN '''' || w[1] || '''' ELSE '&' || (k - 1) END AS source_node, '''' || w[k + 1] || '''' AS sink_node FROM k
+UNION ALL SELECT doc_id, '&' || (n + j), (CASE WHEN place < 0 THEN -1 WHEN j = 0 THEN 0 ELSE 2 * n + place END)::int, t, s, CASE x WHEN 'w' THEN '''' || w[1] || '''' WHEN 'n' THEN n::varchar WHEN 'a' THEN CASE WHEN n = 1 THEN '''' || w[1] || '''' ELSE '&' || (n - 1) END WHEN 'b' THEN '&' || (n + 3) ELSE x END
+FROM (SELECT o.*, v.j, v.place, v.t, CASE WHEN v.s = 'c' THEN '&' || (n + 2) ELSE v.s END AS s, v.x FROM o, (VALUES (0, 0, 'Assignment', '$x', 'a'), (1, 4, 'Assignment', '$i', '0'), (2, -1, 'FunctionCall', 'count', 'w'), (3, -1, 'BinaryOp-+', 'c', 'n'), (4, 8, 'BinaryOp-<', '$i', 'b'), (5, 17, 'UnaryOp-++', '$i', '')) AS v(j, place, t, s, x))""")
+def operator_rows(spark, d):
+    from .plans import addresses
+
+    return addresses.addressed(_operators(spark, d)).withColumn("doc_id", F.col("path").cast("long")).drop("path")
+
+
+@query("c08_resolved_names", _OPERANDS + """ SELECT doc_id, 'Assignment' AS kind, '' AS role, 0 AS clause, '$x = ''' || array_to_string(w, ''' . ''') || '''' AS name FROM o
+UNION ALL SELECT doc_id, kind, 'for', clause, replace(replace(name, '#', '''' || w[1] || ''''), '@', n::varchar) FROM o, (VALUES ('Assignment', 0, '$i = 0'), ('BinaryOp-<', 1, '$i < count(#) + @'), ('UnaryOp-++', 2, '$i++')) AS v(kind, clause, name)""")
+def resolved_names(spark, d):
+    from .plans import addresses
+
+    return addresses.resolved(_operators(spark, d)).select(F.col("path").cast("long").alias("doc_id"), "kind", "role", "clause", "name")
+
+
+@query("z14_loop_limits", _OPERANDS + " SELECT doc_id, '$i < count(''' || w[1] || ''') + ' || n AS loop_limit FROM o")
+def loop_limit_names(spark, d):
+    from .plans import addresses
+
+    return addresses.loop_limits(addresses.resolved(_operators(spark, d))).select(F.col("path").cast("long").alias("doc_id"), F.col("limit").alias("loop_limit"))
+
+
 def _weights(spark, d):
     from .plans.parse import of, records
 
