@@ -815,6 +815,36 @@ def code_database(spark, d):
     return codedb.dataflow(records(G.tree(spark, d, G.CODE), "php"))
 
 
+def _before(files):
+    """An earlier state of projects: in every third one other sources and a file that is gone, in every fifth no file yet."""
+    number = F.regexp_extract("path", "^/gen/([0-9]+)/", 1).cast("long")
+    old = files.where(number % 5 != 0).withColumn("content", F.when(number % 3 == 0, F.lit("<?php function old() { system($_GET['x']); }")).otherwise(F.col("content")))
+    gone = files.where((number % 3 == 0) & F.endswith("path", F.lit("/a.php"))).withColumn("path", F.concat(F.regexp_extract("path", G.PROJECT, 0), F.lit("gone.php"))).withColumn("content", F.lit("<?php gone();"))
+    return old.unionByName(gone)
+
+
+@query("c01_renewed_database", G.expected(G.CODE, "name, place, node_sort, source_node, node_type, sink_node", f"{G.PATH} AS path, {G.PATH} || c.place AS node_locate, c.node_sort::int AS node_sort, c.source_node, c.node_type, c.sink_node"))
+def renewed_database(spark, d):
+    """The database of an earlier state, renewed: the same as one of all files."""
+    from .plans import codedb, renew
+    from .plans.parse import records
+
+    new = G.tree(spark, d, G.CODE)
+    old = _before(new)
+    changed = joins.written_round(renew.changes(new, joins.written_round(renew.sums(old))))
+    return codedb.dataflow(renew.renewed_records(joins.written_round(records(old, "php")), new, changed))
+
+
+@query("c01_changed_files", f"""WITH n AS ({G.tree_sql(G.CODE)}), t AS (SELECT path, regexp_extract(path, '^/gen/([0-9]+)/', 1)::bigint AS p FROM n)
+SELECT path, CASE WHEN p % 5 = 0 THEN 'added' ELSE 'changed' END AS change FROM t WHERE p % 5 = 0 OR p % 3 = 0
+UNION ALL SELECT '/gen/' || p || '/gone.php', 'removed' FROM t WHERE p % 3 = 0 AND path LIKE '%/a.php'""")
+def changed_files(spark, d):
+    from .plans import renew
+
+    new = G.tree(spark, d, G.CODE)
+    return renew.changes(new, renew.sums(_before(new)))
+
+
 _OPERANDS = "WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents), o AS (SELECT doc_id, w, len(w) AS n FROM t WHERE len(w) > 0)"
 
 
