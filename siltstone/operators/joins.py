@@ -84,6 +84,12 @@ def release(*tables: DataFrame) -> None:
         _remove(table.sparkSession, table._round_path)
 
 
+def partitions(df: DataFrame, per_part: int = 8 << 20, most: int = 1 << 14) -> int:
+    """Partitions that keep one task's share of `df` near `per_part` bytes by Catalyst's estimate, and no fewer than the session's."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, found // per_part))
+
+
 def purge_duplicates(rows: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
     """The first row of each key stays."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
