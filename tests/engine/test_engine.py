@@ -365,3 +365,17 @@ def test_includes_of_the_same_name_in_other_folders(spark):
     tree = {"/x/conf.php": tainted, "/y/conf.php": clean, "/x/a.php": "<?php include 'conf.php'; system($c);", "/y/a.php": "<?php include 'conf.php'; system($c);",
             "/y/b.php": "<?php include __DIR__ . '/../x/conf.php'; system($c);", "/z/a.php": "<?php include './conf.php'; system($c);", "/y/c/d.php": "<?php include '../conf.php'; system($c);", "/lib/k.php": tainted, "/w/a.php": "<?php include 'lib/k.php'; system($c);"}
     assert {r.path for r in taint.scan(fixtures.files(spark, tree), "php").collect()} == {"/x/a.php", "/y/b.php", "/z/a.php", "/w/a.php"}
+
+
+def test_large_csv_report_is_parts(spark, tmp_path, monkeypatch):
+    """Beyond one file's bytes a report is parts that many tasks write; it grows as before, from a file too."""
+    monkeypatch.setattr(sinks, "PART_ROWS", 40)
+    rows = spark.range(300).select(F.lit("t").alias("target"), F.col("id").alias("n"), F.concat(F.lit('a, "b"\n'), F.col("id").cast("string")).alias("code")).repartition(3)
+    path = f"{tmp_path}/r.csv"
+    read = lambda: sorted((r.target, int(r.n), r.code) for r in spark.read.options(header=True, quoteAll=True, escape='"', multiLine=True).csv(path).collect())
+    want = sorted((r.target, r.n, r.code) for r in rows.collect())
+    assert sinks.write_csv(rows.where("n < 10"), path, one_file=1000) and (tmp_path / "r.csv").is_file()
+    assert sinks.write_csv(rows.where("n between 10 and 199"), path, one_file=1000) and sinks.write_csv(rows.where("n >= 200"), path, one_file=1000)
+    parts = list((tmp_path / "r.csv").glob("part-*"))
+    assert len(parts) >= 8 and max(p.read_text().count("t\",") for p in parts) <= 41
+    assert read() == want
