@@ -379,3 +379,14 @@ def test_large_csv_report_is_parts(spark, tmp_path, monkeypatch):
     parts = list((tmp_path / "r.csv").glob("part-*"))
     assert len(parts) >= 8 and max(p.read_text().count("t\",") for p in parts) <= 41
     assert read() == want
+
+
+def test_versions_meet_advisories_as_equals(spark):
+    """A name with many versions and many advisories does not bring all pairs together: the plan's join is on the version too."""
+    from siltstone.operators import sca
+
+    v = spark.createDataFrame([("A", "1.1"), ("a", "2"), ("a", ""), ("a", None), ("b", "2")], "name string, version string")
+    a = spark.createDataFrame([("a", ["1.1", "1.1", "3", None], "x"), ("A", ["2"], "y"), ("b", None, "z")], "vendor_name string, affected_versions array<string>, vuln_id string")
+    found = sca.vulnerable(v, a)
+    assert sorted((r.name, str(r.version), r.vuln_id) for r in found.collect()) == [("A", "1.1", "x"), ("a", "", "x"), ("a", "", "y"), ("a", "2", "y"), ("a", "None", "x"), ("a", "None", "y")]
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
