@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.joins import partitions
+
 _ON = {
     "v_files": ("documents",), "v_project": ("customer",), "v_project_vendors": ("lineitem", "orders", "part"), "v_vendor_vulns": ("part",),
     "v_scan_task": ("orders",), "v_scan_result": ("events",), "v_result_flow": ("conversations",),
@@ -37,13 +39,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a table is joined on first.
+_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey"}
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int | None:
+    """Tasks that a view's joins and groups are dealt to, by its largest table; None where the session's number is enough."""
+    most = max(partitions(table(spark, sf_dir, t)) for t in _ON[name])
+    return most if most > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the tables in sf_dir."""
+    """A derived view over the tables in sf_dir; joined tables are dealt to tasks whose number grows with them."""
+    n = parts(spark, sf_dir, name) if len(_ON[name]) > 1 else None
     for t in _ON[name]:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+        rows = table(spark, sf_dir, t)
+        (rows.repartition(n, _KEYS[t]) if n else rows).createOrReplaceTempView(t)
     return spark.sql(VIEWS[name])
 
 
+def packages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Distinct rows of these columns of v_project_vendors, dealt by all of them to as many tasks as its joins."""
+    rows, n = view(spark, sf_dir, "v_project_vendors").select(*columns), parts(spark, sf_dir, "v_project_vendors")
+    return (rows.repartition(n, *columns) if n else rows).distinct()
+
+
 def using(*names: str) -> str:
     """The WITH clause that defines these views for DuckDB."""
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + " "

@@ -390,3 +390,18 @@ def test_versions_meet_advisories_as_equals(spark):
     found = sca.vulnerable(v, a)
     assert sorted((r.name, str(r.version), r.vuln_id) for r in found.collect()) == [("A", "1.1", "x"), ("a", "", "x"), ("a", "", "y"), ("a", "2", "y"), ("a", "None", "x"), ("a", "None", "y")]
     assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vendor_joins_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    """Tasks of the joined view grow with its tables, so that one task's share does not."""
+    from siltstone import views
+
+    spark.range(20).selectExpr("id as o_orderkey", "id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20).selectExpr("id as p_partkey", "'p' as p_name", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(100).selectExpr("id % 20 as l_orderkey", "id % 20 as l_partkey", "1 as l_linenumber", "2.0D as l_quantity", "'A' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert views.parts(spark, str(tmp_path), "v_project_vendors") is None
+    monkeypatch.setattr(views, "partitions", lambda df: 9)
+    found = views.packages(spark, str(tmp_path), "language", "name", "version")
+    assert found.count() == 16
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and plan.count(", 9)") >= 4
