@@ -405,3 +405,11 @@ def test_vendor_joins_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
     assert found.count() == 16
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and plan.count(", 9)") >= 4
+
+
+def test_reader_batches_hold_few_texts(spark):
+    from siltstone.plans.parse import records
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    records(spark.createDataFrame([("a.php", "<?php f($x);")], "path string, content string"), "php")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
