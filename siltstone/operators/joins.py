@@ -64,8 +64,15 @@ def _remove(spark, path: str) -> None:
         return
 
 
+#: Bytes of files up to which a written table may be broadcast: its rows are some thirty times as large in memory, and go through the driver.
+SMALL_TABLE = 256 << 10
+
+
 def written_round(df: DataFrame) -> DataFrame:
-    """Cut the lineage of one round of a loop: a table in the shared folder, removed by `release` or at exit."""
+    """Cut the lineage of one round of a loop: a table in the shared folder, removed by `release` or at exit.
+
+    Spark takes the size of a table's files for that of its rows; so tables beyond SMALL_TABLE are joined by a shuffle, not through the driver.
+    """
     import atexit
     import uuid
 
@@ -74,6 +81,8 @@ def written_round(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
+    if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
+        table = table.hint("merge")
     table._round_path = path
     return table
 
