@@ -87,6 +87,27 @@ def written_round(df: DataFrame) -> DataFrame:
     return table
 
 
+def buckets(rows: DataFrame) -> int:
+    """Buckets for what is derived from `rows`, some 1 MB of its files each; the session's partitions where Catalyst knows no size."""
+    found = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if found > 1 << 50 else max(least, min(1 << 12, found >> 20))
+
+
+def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """A table in the shared folder, dealt by `keys` once: a join on just these keys shuffles its other side alone, however often it comes.  Removed at exit."""
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    atexit.register(_remove, spark, path)
+    # always with the hint: a broadcast would pass the rows through the driver
+    return spark.table(name).hint("merge")
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables of `written_round` whose last reader is done, so that disk does not grow with rounds."""
     for table in tables:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import hierarchy, release, written_round
+from ..operators.joins import bucketed, buckets, hierarchy, release, written_round
 from .parse import of
 
 _VAR = ["path", "scope", "name"]
@@ -97,7 +97,9 @@ def facts(rows: DataFrame, outside: list[str]) -> dict[str, DataFrame]:
     stored = target.where(F.contains("to_name", F.lit("."))).select("path", F.col("to_scope").alias("scope"), F.col("to_name").alias("name"), _base(F.col("to_name")).alias("base"), _field(F.col("to_name")).alias("field")).distinct()
     params = of(rows, "param").select("path", F.concat(F.lit("fn:"), "scope").alias("obj"), "scope", "name", "pos")
     tables = {"first": first, "copies": copies, "calls": calls, "passed": passed, "passed_functions": passed_functions, "mentions": mentions, "stored": stored, "params": params}
-    return {k: written_round(v) for k, v in tables.items()} | {"locals": locals_}
+    dealt = {"copies": _VAR, "calls": _VAR, "passed": _VAR, "mentions": ["path", "scope", "base"], "stored": ["path", "scope", "base"], "params": ["path", "obj"]}  # by what every round of `solve` joins them on
+    n = buckets(rows)
+    return {k: bucketed(v, n, *dealt[k]) if k in dealt else written_round(v) for k, v in tables.items()} | {"locals": locals_}
 
 
 def solve(f: dict[str, DataFrame]) -> DataFrame:

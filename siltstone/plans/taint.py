@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators.joins import written_round
+from ..operators.joins import bucketed, buckets, written_round
 from . import points
 from .parse import of, records
 
@@ -167,8 +167,29 @@ def _with(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.withColumnsRenamed({c: prefix + c for c in rows.columns})
 
 
-def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame, depth: int = 20, aliases: DataFrame | None = None, targets: DataFrame | None = None, included: DataFrame | None = None) -> DataFrame:
-    """(fid, svid, verdict, param, function, chain) of every seed; `aliases` and `targets` as plans.points gives them, call numbers as in `rows`; `included` as include_links gives it.
+def lookups(rows: DataFrame, language: str, included: DataFrame, aliases: DataFrame | None = None, targets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables that every round of `trace` looks states up in, each dealt once by what it is joined on."""
+    place, n = ("path", "cls", "scope", "name", "line", "ord", "branch", "flow"), buckets(rows)
+    defs = of(rows, "def").select(*place, "key", "kind")
+    if language != "php":
+        defs = defs.withColumn("base", F.substring_index("name", ".", 1))
+    tables = {
+        "defs": bucketed(defs, n, "path", "name" if language == "php" else "base"),
+        "params": bucketed(of(rows, "param").select("path", "scope", "name", "pos"), n, "path", "scope"),
+        "returns": bucketed(of(rows, "return").select(*place), n, "path", "scope"),
+        "arguments": bucketed(of(rows, "arg").select(*place, "id", "pos"), n, "id", "pos"),
+        "functions": bucketed(of(rows, "function").select("path", "scope", "name").distinct(), n, "name"),
+        "included": bucketed(included, n, "i_path"),
+    }
+    if aliases is not None:
+        tables["aliases"] = bucketed(aliases, n, "path", "scope", "name")
+    if targets is not None:
+        tables["targets"] = bucketed(targets, n, "call")
+    return tables
+
+
+def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame, depth: int = 20, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(fid, svid, verdict, param, function, chain) of every seed; `tables` as `lookups` gives them, made of `rows` if absent.
 
     Rounds go on until no state is new: seen states and the stack guard end cycles.  `depth` bounds include hops alone.
     """
@@ -176,10 +197,9 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
     filters = tampers.where("tam_type = 'Filter-Function'").groupBy("svid").agg(F.collect_set("tam_key").alias("sanitisers"))
     inputs = [r.tam_key for r in tampers.where("tam_type = 'Input-Control'").select("tam_key").distinct().collect()]  # a catalog table
     names = F.array(*[F.lit(n) for n in (*(catalog.PHP_SOURCES if php else catalog.JS_SOURCES), *inputs)])
-    defs, params = of(rows, "def"), of(rows, "param")
-    returns, arguments = of(rows, "return"), of(rows, "arg")
-    functions = of(rows, "function").select("path", "scope", "name", "cls").distinct()
-    followed = written_round(include_links(rows)) if included is None else included
+    tables = lookups(rows, language, include_links(rows)) if tables is None else tables
+    defs, params, returns, arguments, functions, followed = (tables[k] for k in ("defs", "params", "returns", "arguments", "functions", "included"))
+    aliases, targets = tables.get("aliases"), tables.get("targets")
 
     root = F.regexp_extract("name", r"^(\$?[\w\\]+)", 1) if php else F.col("name")
     verdicts: list[DataFrame] = []
@@ -211,7 +231,7 @@ def trace(rows: DataFrame, seeds: DataFrame, language: str, tampers: DataFrame,
             member = F.lit(False)
             hit = (F.col("d_name") == F.col("name")) | F.startswith("name", F.concat("d_name", F.lit("."))) | F.startswith("d_name", F.concat("name", F.lit(".")))
             inside = (F.col("d_scope") == F.col("scope")) & (F.col("d_ord") < F.col("ord")) | (F.col("d_scope") == "") & (F.col("scope") != "") | (F.col("d_kind") == "field")
-            met = variables.withColumn("base", base).join(d.withColumn("d_base", F.substring_index(F.col("d_name"), ".", 1)), same & (F.col("base") == F.col("d_base")) & hit & inside).drop("base", "d_base")
+            met = variables.withColumn("base", base).join(d, same & (F.col("base") == F.col("d_base")) & hit & inside).drop("base", "d_base")
         kills = F.col("d_kind").isin("assign", "foreach", "global", "outer") & F.startswith("branch", F.col("d_branch")) & (F.col("d_scope") == F.col("scope")) & (F.col("d_key").isNull() | F.col("d_key").eqNullSafe(F.col("key")))
         if php:
             kills = kills & ~member
@@ -293,16 +313,17 @@ def derive(rows: DataFrame, language: str, tampers: DataFrame, table: DataFrame
     """
     spark = rows.sparkSession
     table = sink_table(spark, language) if table is None else table
-    more = {"included": written_round(include_links(rows, projects))}  # once for all levels
+    included, more = include_links(rows, projects), {}
     if language == "javascript":
         rows, aliases, targets = points.resolve(rows, [r.sink for r in table.where("kind <> 'target'").select("sink").distinct().collect()])  # the catalog's names
-        more |= {"aliases": aliases, "targets": targets.where(F.startswith("target", F.lit("fn:"))).select(F.xxhash64("path", "id").alias("call"), F.substring("target", 4, 1 << 30).alias("run"))}
+        more = {"aliases": aliases, "targets": targets.where(F.startswith("target", F.lit("fn:"))).select(F.xxhash64("path", "id").alias("call"), F.substring("target", 4, 1 << 30).alias("run"))}
     rows = numbered(rows)
+    tables = lookups(rows, language, included, **more)  # once for all levels
     made = written_round(table.select("svid", "sink", "argument", "kind"))
     out = functions = None
     for level in range(derive + 1):
         seeds = written_round(sinks(rows, table))
-        traced = written_round(trace(rows, seeds, language, tampers, **more).join(seeds.select("fid", F.col("path").alias("at"), "line", F.col("name").alias("called")).distinct(), "fid"))
+        traced = written_round(trace(rows, seeds, language, tampers, tables=tables).join(seeds.select("fid", F.col("path").alias("at"), "line", F.col("name").alias("called")).distinct(), "fid"))
         keep = [1, 3] if unconfirmed else [1]
         reason = F.when(F.col("verdict") == 3, "Unconfirmed Function-param-controllable").otherwise("Function-param-controllable" if not level else "New-function-param-controllable")
         found = traced.where(F.col("verdict").isin(keep)).select(F.col("at").alias("path"), "line", "svid", F.col("called").alias("sink"), "verdict", reason.alias("reason"), "chain")

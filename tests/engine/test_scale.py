@@ -18,3 +18,13 @@ def test_written_tables_that_pack_well_are_not_broadcast(spark):
     assert "Broadcast" not in _plan(found) and found.count() == 300_000
     few = joins.written_round(spark.range(10))
     assert "Broadcast" in _plan(rows.join(few, "id"))
+
+
+def test_tables_of_every_round_are_dealt_once(spark):
+    rows = spark.range(2_000).select(F.col("id").alias("path"), (F.col("id") % 7).alias("scope"), "id")
+    dealt = joins.bucketed(rows, 8, "path", "scope")
+    states = spark.range(500).select(F.col("id").alias("s_path"), (F.col("id") % 7).alias("s_scope"))
+    for how in ("inner", "left"):
+        found = states.join(dealt, (F.col("s_path") == F.col("path")) & (F.col("s_scope") == F.col("scope")), how)
+        assert _plan(found).count("Exchange hashpartitioning") == 1 and "Broadcast" not in _plan(found)  # the states alone
+        assert found.count() == 500
