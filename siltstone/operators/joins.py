@@ -120,6 +120,11 @@ def partitions(df: DataFrame, per_part: int = 8 << 20, most: int = 1 << 14) -> i
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, found // per_part))
 
 
+def dealt(texts: DataFrame, *keys: str) -> DataFrame:
+    """Texts dealt to tasks by `keys`, some 4 MB of their files each: a file of few row groups is read by as few tasks, and what is done with a text takes far longer than to shuffle it."""
+    return texts.repartition(partitions(texts, 4 << 20), *keys)
+
+
 #: Texts of an Arrow batch, so that a Python worker holds few at once; the training-data operators use the same number.
 BATCH_ROWS = 2000
 
