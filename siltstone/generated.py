@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.corpus import extension
+from .operators.joins import dealt
 from .views import table
 
 #: name -> (files, findings as (file, line, rule, sink)).
@@ -182,7 +183,7 @@ def _rows(cases: dict) -> list[tuple]:
 
 def tree(spark: SparkSession, sf_dir: str, cases: dict) -> DataFrame:
     """files(path, ext, size, content): for each document, the files of case doc_id mod the number of cases."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(cases)).cast("int").alias("case"), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")).alias("text"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", (F.col("doc_id") % len(cases)).cast("int").alias("case"), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")).alias("text"))
     own = lambda c: F.replace(c, F.lit("§"), F.col("doc_id").cast("string"))
     some = spark.createDataFrame(_rows(cases), "case int, name string, source string, texts boolean, opens string, closes string")  # a table above
     rows = docs.join(F.broadcast(some), "case")

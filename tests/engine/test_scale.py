@@ -55,3 +55,15 @@ def test_pairs_below_a_fix_pack_well_where_they_are_written(spark, tmp_path):
     found.write.parquet(f"{tmp_path}/pairs")
     rows = spark.read.parquet(f"{tmp_path}/pairs").count()
     assert rows > 1_000_000 and sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * rows
+
+
+def test_trees_from_one_row_group_are_read_by_many_tasks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from siltstone import generated
+
+    pq.write_table(pa.table({"doc_id": list(range(400)), "text": [f"text {k}" if k % 9 else None for k in range(400)]}), tmp_path / "documents.parquet")
+    files = generated.tree(spark, str(tmp_path), {"one": ({"a.php": "f§();", "b.txt": "§"}, [])})
+    assert len(set(files.select(F.spark_partition_id()).collect())) == 4
+    assert files.count() == 800 and files.where("path = '/gen/9/a.php'").first().content == "<?php /**/\nf9();"
